@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, quality_model
+from . import ann, bpe, mixing, ngram_join, quality_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,14 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op10_quality": op10_quality}
+QUERIES = {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op9_ann": op9_ann, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, mixing, ngram_join, quality_model
+from . import ann, bpe, licenses, mixing, ngram_join, quality_model, quality_rules, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -29,6 +33,15 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -38,5 +51,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_ngram_jaccard": op6_ngram_jaccard, "op9_ann": op9_ann, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_licences": op4_licences,
+    "op5_bpe": op5_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_urls": op8_urls,
+    "op9_ann": op9_ann,
+    "op10_quality": op10_quality,
+}
+ORACLES: dict[str, str] = {"op4_licences": licenses.scan_sql(), "op7_quality_rules": quality_rules.RULES_SQL, "op8_urls": urls.judged_sql()}

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, mixing, ngram_join, quality_model, quality_rules, urls
+from . import ann, bpe, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_gone", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -52,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_licences": op4_licences,
     "op5_bpe": op5_bpe,

@@ -1,8 +1,50 @@
-"""The corpus pipeline: five stages, each a training-data operator."""
+"""The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing, BPE. Part of the training-data operators."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricewright.llm import bpe, line_dedup, mixing, ngram_join, quality_model
+from pricewright.llm.queries import vocabulary
+from pricewright.llm.tables import written
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the labels, finds good and harmless with probability 0.5 at least."""
+    return quality_model.selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without later copies of repeated runs of lines; n_chars counts anew."""
+    names = docs.columns
+    return line_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 0.8 Jaccard similarity of five-word shingles."""
+    return ngram_join.without_similar(docs, k=5, num=80, den=100)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix."""
+    return bpe.encode_decode(docs, vocabulary())
+
+
+STAGES = [("quality_classifier", classify), ("line_dedup", dedup_lines), ("ngram_jaccard", dedup_near), ("mixing", mix_sources), ("bpe", tokenize)]
+
+#: Fitting a classifier is not SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

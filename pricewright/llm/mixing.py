@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import bits_for, running_sum
-from .tables import words_of, written
+from .tables import BROADCAST_IDS, words_of, written
 
 #: Sources broadcast at most; with more, their joins are shuffled.
 BROADCAST_SOURCES = 20_000
@@ -16,9 +16,14 @@ CELLS = 4096
 GOLDEN = 2_654_435_769
 
 
+def digest() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("source"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words ``[^\\x20\\x09-\\x0D]+`` of each text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    """doc_id, source, size, digest: words ``[^\\x20\\x09-\\x0D]+`` of each text; the digest tells apart rows of one id."""
+    size = F.size(words_of(F.col("text"))).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), digest().alias("digest"))
 
 
 def source_targets(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -96,7 +101,7 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix_plan(rows: DataFrame, sources: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """The mix, one row for each piece of a document in a slot: slot, epoch, block, doc_id, source, size, at, from_word, to_word.
+    """The mix, one row for each piece of a document in a slot: slot, epoch, block, doc_id, digest, source, size, at, from_word, to_word.
 
     Documents of a source stand shuffled by a hash of their id and the seed, one after the other (``at``); blocks
     cut this row of words evenly. Words from_word up to to_word of the document come at that slot. Documents from
@@ -107,7 +112,7 @@ def mix_plan(rows: DataFrame, sources: DataFrame, block_words: int, seed: int) -
     known = written(boundaries(sources, block_words), "sources")
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
     rows = rows.withColumn("key", key).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 2))
-    placed = running_sum(rows, ["key"], "h", "size", "at", 62, bits_for(rows.count()), ties=["doc_id", "size"])
+    placed = running_sum(rows, ["key"], "h", "size", "at", 62, bits_for(rows.count()), ties=["doc_id", "digest"])
     placed = placed.drop("h").join(small(known.drop("source", "source_size", "words", "slots")), "key")
     ends = F.when(F.col("size") > 0, F.sequence(block_of(F.col("at")), block_of(F.col("at") + F.col("size") - 1)))
     pieces = placed.select("*", F.explode_outer(ends).alias("block"))
@@ -118,11 +123,11 @@ def mix_plan(rows: DataFrame, sources: DataFrame, block_words: int, seed: int) -
     joined = pieces.join(slots, ["key", "block"], "left")
     stops = F.when(F.col("epoch") < F.col("epochs"), F.col("last")).otherwise(F.least("last", F.col("rest") - F.col("at")))
     joined = joined.withColumn("to_word", F.greatest(stops, "first"))
-    return joined.select("slot", "epoch", "block", "doc_id", "source", "key", "size", "at", F.col("first").alias("from_word"), "to_word")
+    return joined.select("slot", "epoch", "block", "doc_id", "digest", "source", "key", "size", "at", F.col("first").alias("from_word"), "to_word")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: int = 17) -> DataFrame:
-    """How many words the mix takes of each document: doc_id, source, size, source_size, target, taken.
+    """How many words the mix takes of each document: doc_id, digest, source, size, source_size, target, taken.
 
     Only (id, source, size) move; a hot source is spread by hash buckets and its blocks are keys of their own.
     Targets are met to the word. ``taken`` is at most ``most`` (a whole number) times the size.
@@ -134,7 +139,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     rows = written(sized(docs), "sizes")
     sources = written(source_targets(rows, weights, share, most), "targets")
     plan = mix_plan(rows, sources, block_words, seed)
-    sums = plan.groupBy("doc_id", "key", "source", "size", "at").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).cast("long").alias("taken"), F.count("*").alias("_n"))
+    sums = plan.groupBy("doc_id", "digest", "key", "source", "size", "at").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).cast("long").alias("taken"))
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     known = sources.select("key", "source_size", "target")
-    return sums.join(F.broadcast(known) if few else known, "key").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return sums.join(F.broadcast(known) if few else known, "key").select("doc_id", "digest", "source", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them, same columns: a row for every whole time a document is taken, and one with its first words for a part.
+
+    Parts arise where a source's target ends, in one document of each; their words are joined by spaces, and an
+    ``n_chars`` column counts anew. Documents of which nothing is taken, those without words among them, go.
+    Equal rows of one id share what is taken of them evenly. The counts return to the texts by broadcast if they
+    were counted and are few, else by a join.
+    """
+    taken = mix(docs, **how).where("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("t"), F.count("*").alias("c"), F.max("size").alias("_s"))
+    taken = written(taken.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), F.expr("t div c").alias("_t"), "_s"), "taken")
+    few = taken.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    names = docs.columns
+    d = docs.withColumn("_i", F.col("doc_id").cast("long")).withColumn("_x", digest())
+    d = d.join(F.broadcast(taken) if few else taken, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_g")))
+    times = F.concat(F.array_repeat(F.col("_s"), F.expr("cast(_t div _s as int)")), F.when(F.col("_t") % F.col("_s") > 0, F.array(F.col("_t") % F.col("_s"))).otherwise(F.array().cast("array<long>")))
+    d = d.withColumn("_w", F.explode(times))
+    part = F.when(F.col("_w") < F.col("_s"), F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_w").cast("int")), " ")).otherwise(F.col("text"))
+    d = d.withColumn("text", part)
+    return (d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else d).select(*names)

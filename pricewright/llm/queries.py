@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, urls
+from . import ann, bpe, chat, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_gone", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.formatted(chat.parts_of_turns(table(spark, sf_dir, "conversations")), chat.REPLY)
+    return found.select("conv_id", "turn", "kind", "call_id", "linked_turn", "at", "problem", F.md5("json").alias("json_md5"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -59,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
     "op4_licences": op4_licences,
     "op5_bpe": op5_bpe,
@@ -68,4 +74,4 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op4_licences": licenses.scan_sql(), "op7_quality_rules": quality_rules.RULES_SQL, "op8_urls": urls.judged_sql()}
+ORACLES: dict[str, str] = {"op2_chat": chat.TURNS_SQL, "op4_licences": licenses.scan_sql(), "op7_quality_rules": quality_rules.RULES_SQL, "op8_urls": urls.judged_sql()}

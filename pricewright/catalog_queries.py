@@ -1,8 +1,805 @@
-"""Queries and oracles of the catalogue engine."""
+"""Queries over the stand-in data, one for each operator, and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import extract, gates, grid, narrow, resolve
+from .plans import answer
+from .sources import adapter
+from .sources.adapter import table
+from .streaming import sessions
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL; ``{model}`` stands for the tables of the stand-in data."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.replace("{model}", adapter.SQL).strip()
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.full_price_list(adapter.catalog_index(spark, sf_dir), adapter.prices(spark, sf_dir))
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+TOKENS = r"list_filter(string_split_regex({0}, '[^a-z0-9]+'), lambda x: x <> '')"
+NORMAL = r"trim(strip_accents(lower(coalesce({0}, ''))))"
+
+# ---- tables
+
+
+@query("WITH {model} SELECT brand, product_name, collection, art_code, first, start, stop FROM idx")
+def scan_catalog(spark, d):
+    return adapter.catalog_index(spark, d)
+
+
+@query("WITH {model} SELECT brand, product_name, model_variant, variant_context, size, fabric_tier, tier_label, code, price_eur, source_pdf_page, row_ord, ambiguous FROM prices")
+def scan_prices_sanitized(spark, d):
+    return adapter.prices(spark, d)
+
+
+@query("WITH {model} SELECT qid, brand, message, target FROM questions")
+def scan_questions(spark, d):
+    return adapter.questions(spark, d)
+
+
+# ---- text functions
+
+
+@query(f"SELECT doc_id, md5({NORMAL.format('text')}) AS normal FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.normalize("text")).alias("normal"))
+
+
+@query(f"SELECT doc_id, len({TOKENS.format(NORMAL.format('text'))})::BIGINT AS n, md5(array_to_string({TOKENS.format(NORMAL.format('text'))}, ' ')) AS tokens FROM documents")
+def tokenize(spark, d):
+    t = X.tokenize_loose("text")
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens"))
+
+
+@query("SELECT p_partkey, replace(format('{:,}', round(p_retailprice * 1000)::BIGINT), ',', '.') AS price FROM part")
+def italian_format(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.italian_number(F.col("p_retailprice") * 1000).alias("price"))
+
+
+@query("WITH {model} SELECT row_ord, code, CASE WHEN regexp_matches(price_eur, '[0-9]') THEN '€' || price_eur ELSE price_eur END AS display, (TRY_CAST(replace(replace(regexp_replace(price_eur, '[^0-9.,]', '', 'g'), '.', ''), ',', '.') AS DECIMAL(18, 2)) * 100)::BIGINT AS cents FROM prices")
+def price_display(spark, d):
+    return adapter.prices(spark, d).select("row_ord", "code", X.price_display("price_eur").alias("display"), (X.price_number("price_eur") * 100).cast("long").alias("cents"))
+
+
+@query(f"""WITH {{model}}, t AS (SELECT qid, {NORMAL.format('message')} AS q FROM questions)
+SELECT qid, coalesce(array_to_string(list_filter({_list(X.KNOWN_TIERS)}, lambda t: regexp_matches(' ' || q || ' ', '\\W' || regexp_escape(t) || '\\W')), '|'), '') AS tiers FROM t""")
+def tier_extract(spark, d):
+    return adapter.questions(spark, d).select("qid", F.array_join(X.extract_tiers("message"), "|").alias("tiers"))
+
+
+@query("WITH {model} SELECT qid, CASE WHEN regexp_matches(message, '[0-9]{2,3}\\s*x\\s*[0-9]{2,3}') THEN regexp_replace(regexp_extract(message, '[0-9]{2,3}\\s*x\\s*[0-9]{2,3}(\\s*x\\s*[0-9]{2,3})?'), '\\s', '', 'g') END AS size FROM questions")
+def size_extract(spark, d):
+    return adapter.questions(spark, d).select("qid", X.extract_size("message").alias("size"))
+
+
+@query("""WITH {model}, t AS (SELECT qid, replace(trim(strip_accents(lower(message))), lower(target), ' ') AS m FROM questions),
+p AS (SELECT qid, unnest(string_split_regex(m, '\\band\\b|,')) AS p, unnest(range(len(string_split_regex(m, '\\band\\b|,')))) AS k FROM t),
+g AS (SELECT qid, k, list_sort(list_transform(regexp_extract_all(regexp_replace(p, '([0-9])\\s*x\\s*([0-9])', '\\1 \\2', 'g'), '\\b[0-9]{2,3}\\b'), lambda x: x::INT)) AS g FROM p)
+SELECT qid, count(*) FILTER (len(g) > 0) AS n, coalesce(string_agg(array_to_string(g, '+'), '|' ORDER BY k) FILTER (len(g) > 0), '') AS groups FROM g GROUP BY qid""")
+def size_groups(spark, d):
+    g = X.size_groups("message", "target")
+    return adapter.questions(spark, d).select("qid", F.size(g).cast("long").alias("n"), F.array_join(F.transform(g, lambda x: F.array_join(x, "+")), "|").alias("groups"))
+
+
+@query(f"""WITH {{model}}, t AS (SELECT qid, {TOKENS.format(NORMAL.format('message'))} AS w, {TOKENS.format(NORMAL.format('target'))} AS n, {NORMAL.format('message')} AS q, {NORMAL.format('target')} AS p FROM questions),
+s AS (SELECT qid, list_concat(list_filter(w, lambda x: length(x) >= 2 AND NOT list_contains({_list(X.RISKY)}, x) AND NOT list_contains(n, x)),
+  list_concat(regexp_extract_all(q, '\\b(?:size|style|version|option|model|code)\\s+([a-z0-9]+)', 1), [CASE WHEN position(p IN q) > 0 THEN regexp_extract(substr(q, position(p IN q) + length(p)), '^\\s+([a-z0-9]+)', 1) ELSE '' END])) AS s FROM t)
+SELECT qid, coalesce(array_to_string(list_sort(list_distinct(list_filter(s, lambda x: x <> ''))), ' '), '') AS signals FROM s""")
+def size_signal_tokens(spark, d):
+    return adapter.questions(spark, d).select("qid", F.array_join(F.array_sort(F.array_distinct(X.size_signals("message", "target"))), " ").alias("signals"))
+
+
+@query("""WITH {model}, v AS (SELECT DISTINCT brand, product_name, model_variant FROM prices WHERE model_variant IS NOT NULL)
+SELECT brand, product_name, model_variant, CASE model_variant WHEN 'h.7' THEN 'h:7' WHEN 'h.27' THEN 'h:27' END AS short_code, regexp_extract(model_variant, '^([0-9]+)', 1) AS digits FROM v""")
+def variant_short_code(spark, d):
+    v = adapter.prices(spark, d).where("model_variant is not null").select("brand", "product_name", "model_variant").distinct()
+    return v.withColumn("short_code", X.short_code("model_variant")).withColumn("digits", F.coalesce(X.leading_digits("model_variant"), F.lit("")))
+
+
+@query("""SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS chip, CASE WHEN length(p_name || ' ' || repeat(p_type, 5)) > 40 THEN (p_name || ' ' || repeat(p_type, 5))[1:39] || '…' ELSE p_name || ' ' || repeat(p_type, 5) END AS label,
+regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '_', 'g') AS slug FROM part""")
+def labels_and_slugs(spark, d):
+    p = table(spark, d, "part")
+    long = F.concat("p_name", F.lit(" "), F.repeat("p_type", 5))
+    return p.select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)")).alias("chip"), X.chip_label(long).alias("label"), X.slug(F.concat("p_name", F.lit(" "), "p_type")).alias("slug"))
+
+
+# ---- resolution
+
+ST = r"list_filter(string_split_regex(regexp_replace(regexp_replace({0}, '[–—]', ' ', 'g'), '[()]', '', 'g'), '\s+'), lambda x: x <> '')"
+SCORES = rf"""
+sq AS (SELECT qid, brand, {NORMAL.format('message')} AS q FROM questions), sq2 AS (SELECT *, {ST.format('q')} AS qt FROM sq),
+sn AS (SELECT brand, product_name, collection, {NORMAL.format('product_name')} AS c FROM idx), sn2 AS (SELECT *, {ST.format('c')} AS ct FROM sn),
+sp AS (SELECT qid, brand, product_name, collection, q, c, qt, ct, list_filter(qt, lambda t: list_contains(ct, t)) AS o FROM sq2 JOIN sn2 USING (brand)),
+ss AS (SELECT qid, brand, product_name, collection, ct, CASE WHEN q = c THEN 100.0::DOUBLE
+  WHEN (len(qt) > 0 AND len(o) = len(qt)) OR (len(ct) > 0 AND len(list_filter(ct, lambda t: list_contains(qt, t))) = len(ct)) THEN 80.0
+  WHEN (len(ct) > 1 AND regexp_matches(' ' || q || ' ', '\W' || regexp_escape(array_to_string(ct, '')) || '\W')) OR (len(qt) > 1 AND regexp_matches(' ' || c || ' ', '\W' || regexp_escape(array_to_string(qt, '')) || '\W')) THEN 80.0
+  WHEN len(o) = 0 THEN 0.0
+  WHEN len(list_filter(o, lambda t: list_contains({_list(dict.fromkeys([*X.GENERIC, *X.RISKY, *X.FILLER]))}, t) OR regexp_matches(t, '^[0-9]+$'))) = len(o)
+   AND len(list_filter(qt, lambda t: NOT list_contains(ct, t) AND NOT list_contains({_list(dict.fromkeys([*X.RISKY, *X.FILLER]))}, t))) > 0 THEN 0.0
+  ELSE len(o)::DOUBLE / greatest(len(qt), len(ct)) * 60 END AS score FROM sp),
+scores AS (SELECT * FROM ss WHERE score > 0)"""
+
+
+@query("WITH {model}, " + SCORES + " SELECT qid, product_name, round(score, 4) AS score FROM scores")
+def similarity_scores(spark, d):
+    return resolve.scores(adapter.questions(spark, d), adapter.catalog_index(spark, d)).select("qid", "product_name", F.round("score", 4).alias("score"))
+
+
+MATCHES = SCORES + r""",
+mt AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM scores),
+ml AS (SELECT DISTINCT qid, collection, ct[1] AS head FROM mt WHERE score = top AND top < 80 AND len(ct) = 2 AND regexp_matches(ct[2], '[0-9]')),
+mp AS (SELECT mt.qid, product_name, CASE WHEN ml.qid IS NOT NULL AND len(ct) > 2 THEN top ELSE score END AS score FROM mt LEFT JOIN ml ON mt.qid = ml.qid AND mt.collection = ml.collection AND ct[1] = head),
+matches AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, product_name) AS rank FROM mp)"""
+
+
+@query("WITH {model}, " + MATCHES + " SELECT qid, product_name, round(score, 4) AS score, rank::INT AS rank FROM matches")
+def match_products(spark, d):
+    return resolve.matches(adapter.questions(spark, d), adapter.catalog_index(spark, d)).withColumn("score", F.round("score", 4))
+
+
+@query("WITH {model}, " + MATCHES + ", t AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM matches) SELECT qid, count(*) AS n, min(product_name) AS first FROM t WHERE score >= best - 5 GROUP BY qid")
+def tie_band(spark, d):
+    t = resolve.tied(resolve.matches(adapter.questions(spark, d), adapter.catalog_index(spark, d)))
+    return t.groupBy("qid").agg(F.count("*").alias("n"), F.min("product_name").alias("first"))
+
+
+MT = r"list_filter(string_split_regex({0}, '[^a-z0-9'']+'), lambda x: x <> '')"
+MENTIONS = rf"""
+nm AS (SELECT brand, product_name, length({NORMAL.format('product_name')}) AS size, {MT.format(NORMAL.format('product_name'))} AS t FROM idx),
+qm AS (SELECT qid, brand, {MT.format(NORMAL.format('message'))} AS t FROM questions),
+oc AS (SELECT qid, product_name, size, i AS pos, len(n.t) AS len FROM qm q JOIN nm n USING (brand), range(1, len(q.t) + 1) r(i) WHERE q.t[i:i + len(n.t) - 1] = n.t AND len(n.t) > 0),
+ol AS (SELECT qid, list({{'used': []::BIGINT[], 'names': []::VARCHAR[], 'name': product_name, 'pos': pos, 'len': len}} ORDER BY size DESC, product_name, pos) AS o FROM oc GROUP BY qid),
+om AS (SELECT qid, list_reduce(o, lambda a, x: CASE WHEN list_has_any(a.used, range(x.pos, x.pos + x.len)) THEN a
+  ELSE {{'used': list_concat(a.used, range(x.pos, x.pos + x.len)), 'names': CASE WHEN list_contains(a.names, x.name) THEN a.names ELSE list_append(a.names, x.name) END, 'name': x.name, 'pos': x.pos, 'len': x.len}} END,
+  {{'used': []::BIGINT[], 'names': []::VARCHAR[], 'name': '', 'pos': 0::BIGINT, 'len': 0::BIGINT}}) AS a FROM ol),
+mentions AS (SELECT qid, unnest(range(len(a.names)))::INT AS claim, unnest(a.names) AS product_name FROM om)"""
+
+
+@query("WITH {model}, " + MENTIONS + " SELECT qid, claim, product_name FROM mentions")
+def named_product_scan(spark, d):
+    return resolve.mentions(adapter.questions(spark, d), adapter.catalog_index(spark, d))
+
+
+CODES = rf"""
+cd AS (SELECT DISTINCT brand, product_name, regexp_replace({NORMAL.format('code')}, '[^a-z0-9]+', '', 'g') AS token, unnest(list_append({TOKENS.format(NORMAL.format("product_name || ' ' || coalesce(variant_context, '')"))}, '')) AS w FROM prices),
+cl AS (SELECT brand, product_name, token, list(DISTINCT w) AS w FROM cd WHERE token <> '' GROUP BY ALL),
+cq AS (SELECT qid, brand, {TOKENS.format(NORMAL.format('message'))} AS t FROM questions),
+ch AS (SELECT qid, product_name, max(len(list_intersect(t, w))) AS shared FROM cq JOIN cl ON cq.brand = cl.brand AND list_contains(t, token) GROUP BY ALL),
+coded AS (SELECT qid, product_name, shared FROM ch QUALIFY max(shared) OVER (PARTITION BY qid) = 0 OR shared = max(shared) OVER (PARTITION BY qid))"""
+
+
+def _codes(spark, d):
+    return adapter.prices(spark, d).select("brand", "product_name", "code", F.col("variant_context").alias("context"))
+
+
+@query("WITH {model}, " + CODES + " SELECT qid, product_name, shared::INT AS shared FROM coded")
+def code_lookup(spark, d):
+    return resolve.by_code(adapter.questions(spark, d), _codes(spark, d))
+
+
+FUZZY = rf"""
+fq AS (SELECT DISTINCT qid, brand, unnest({TOKENS.format(NORMAL.format('message'))}) AS w FROM questions),
+fn AS (SELECT DISTINCT brand, product_name, unnest({TOKENS.format(NORMAL.format('product_name'))}) AS v FROM idx),
+fuzzy AS (SELECT qid, product_name, min(levenshtein(w, v)) AS distance FROM fq JOIN fn USING (brand) WHERE length(w) >= 3 AND length(v) >= 3 AND NOT list_contains({_list(X.RISKY)}, w)
+  AND levenshtein(w, v) <= CASE WHEN length(w) <= 4 THEN 1 ELSE 2 END GROUP BY ALL)"""
+
+
+@query("WITH {model}, " + FUZZY + " SELECT qid, product_name, distance::INT AS distance FROM fuzzy")
+def fuzzy_match(spark, d):
+    return resolve.fuzzy(adapter.questions(spark, d), adapter.catalog_index(spark, d))
+
+
+@query("WITH {model}, " + ", ".join((MATCHES, MENTIONS, CODES, FUZZY)) + """,
+w AS (SELECT qid, product_name, 1 AS way, 0.0::DOUBLE AS k FROM coded UNION ALL SELECT qid, product_name, 2, claim FROM mentions UNION ALL SELECT qid, product_name, 3, -score FROM matches UNION ALL SELECT qid, product_name, 4, distance FROM fuzzy),
+b AS (SELECT qid, product_name, min({'way': way, 'k': k}) AS b FROM w GROUP BY ALL), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY b.way, b.k, product_name)::INT AS rank, product_name, b.way AS way FROM b)
+SELECT qid, rank, product_name, way FROM r WHERE rank <= 20""")
+def shortlist_topk(spark, d):
+    return resolve.shortlist(adapter.questions(spark, d), adapter.catalog_index(spark, d), _codes(spark, d))
+
+
+@query(f"""WITH {{model}}, n AS (SELECT brand, product_name, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM idx),
+p AS (SELECT brand, product_name, k AS shared, array_to_string(t[1:k], ' ') AS family FROM n, range(1, len(t) + 1) r(k)),
+c AS (SELECT brand, family FROM p GROUP BY ALL HAVING count(*) > 1)
+SELECT brand, product_name, max(shared)::INT AS shared, max_by(family, shared) AS family FROM p JOIN c USING (brand, family) GROUP BY ALL""")
+def family_prefix(spark, d):
+    return resolve.families(adapter.catalog_index(spark, d))
+
+
+@query()
+def family_ambiguity(spark, d):
+    q = adapter.questions(spark, d)
+    return resolve.family_ambiguity(q, q.select("qid", F.col("target").alias("product_name")), adapter.catalog_index(spark, d))
+
+
+@query(f"""WITH {{model}}, p AS (SELECT brand, product_name, unnest([variant_context, model_variant]) AS phrase FROM prices)
+SELECT brand, product_name, phrase, count(*) AS n FROM p WHERE phrase = 'Cuscini opzionali seduta' GROUP BY ALL""")
+def variant_phrase_index(spark, d):
+    return resolve.phrase_index(adapter.prices(spark, d))
+
+
+@query("WITH {model}, g AS (SELECT qid, collection, count(*) AS n, min(product_name) AS first FROM questions q JOIN idx i USING (brand) GROUP BY ALL) SELECT qid, arg_max(collection, {'n': n, 'f': -ascii(collection)}) AS family, max(n) AS products FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, first) AS r FROM g) WHERE r = 1 GROUP BY qid")
+def majority_group(spark, d):
+    names = adapter.catalog_index(spark, d)
+    found = adapter.questions(spark, d).select("qid", "brand").join(names.select("brand", "product_name"), "brand")
+    return resolve.majority_group(found, names)
+
+
+@query(f"""WITH {{model}}, t AS (SELECT qid, regexp_replace({NORMAL.format('message')}, '\\band\\b|&', ',', 'g') AS m FROM questions), c AS (SELECT qid, unnest(string_split(m, ',')) AS clause, unnest(range(len(string_split(m, ','))))::INT AS pos FROM t)
+SELECT qid, pos, trim(clause) AS clause FROM c WHERE trim(clause) <> ''""")
+def clause_split(spark, d):
+    return resolve.clauses(adapter.questions(spark, d)).select("qid", F.col("at").alias("pos"), "clause")
+
+
+@query()
+def clause_scoping(spark, d):
+    q = adapter.questions(spark, d)
+    return resolve.scoped(q, resolve.mentions(q, adapter.catalog_index(spark, d)))
+
+
+@query()
+def related_clauses(spark, d):
+    q = adapter.questions(spark, d)
+    return resolve.related_clauses(q, q.select("qid", F.col("target").alias("product_name")), adapter.prices(spark, d))
+
+
+@query(f"""WITH {{model}}, t AS (SELECT qid, message, {TOKENS.format(NORMAL.format('message'))} AS w FROM questions)
+SELECT qid, len(list_filter(w, lambda x: list_contains({_list(X.RISKY)}, x))) = len(w) AS content_free, regexp_matches(message, '(?i)\\b(all|full|complete|every)\\b') AS full_list FROM t""")
+def question_predicates(spark, d):
+    return adapter.questions(spark, d).select("qid", resolve.content_free("message").alias("content_free"), resolve.full_list("message").alias("full_list"))
+
+
+# ---- narrowing
+
+
+def _tasks(spark, d):
+    q = adapter.questions(spark, d)
+    return narrow.task_table(q, q.select("qid", F.col("target").alias("product_name")))
+
+
+def _rows(spark, d):
+    return narrow.candidate_rows(_tasks(spark, d), adapter.prices(spark, d)).withColumn("kept", F.col("row_ord").isNotNull())
+
+
+def _count(rows, *more):
+    return rows.groupBy("qid", "product_name", *more).agg(F.count_if("kept").alias("kept"), F.count("row_ord").alias("rows"))
+
+
+@query(r"""WITH {model}, t AS (SELECT qid, q.brand, target, regexp_extract(message, '([0-9]{2,3})x([0-9]{2,3})', ['a', 'b']) AS s, row_ord, size FROM questions q JOIN prices p ON q.brand = p.brand AND q.target = p.product_name),
+h AS (SELECT *, s.a <> '' AND coalesce((least(s.a::INT, s.b::INT) = least(split_part(size, 'x', 1)::INT, split_part(size, 'x', 2)::INT) AND greatest(s.a::INT, s.b::INT) = greatest(split_part(size, 'x', 1)::INT, split_part(size, 'x', 2)::INT)), false) AS hit FROM (SELECT * FROM t WHERE s.a <> '')),
+o AS (SELECT qid, target AS product_name, CASE WHEN count(size) = 0 THEN count(*) ELSE count(*) FILTER (hit) END AS kept, count(*) AS rows FROM h GROUP BY ALL)
+SELECT qid, product_name, kept, rows FROM o""")
+def size_numeric_filter(spark, d):
+    return _count(narrow.by_size(_rows(spark, d).where("size_wanted is not null")))
+
+
+@query()
+def size_word_filter(spark, d):
+    return _count(narrow.by_size_words(_rows(spark, d)))
+
+
+@query()
+def tier_resolve(spark, d):
+    return _count(narrow.by_tier(_rows(spark, d)), "tier_filtered")
+
+
+@query()
+def context_narrow(spark, d):
+    return _count(narrow.by_context(_rows(spark, d)))
+
+
+@query()
+def variant_choice(spark, d):
+    return _count(narrow.by_variant(_rows(spark, d)), "by_rule")
+
+
+@query()
+def narrowing_chain(spark, d):
+    return _count(narrow.narrowed(_tasks(spark, d), adapter.prices(spark, d)), "status")
+
+
+@query("""WITH {model} SELECT brand, product_name, model_variant, avg(starts_with(price_eur, '+')::INT) > 0.5 AS add_on FROM prices GROUP BY ALL""")
+def addon_variants(spark, d):
+    return narrow.add_on_rows(adapter.prices(spark, d))
+
+
+@query("""WITH {model}, p AS (SELECT *, coalesce(size, '') AS k FROM prices WHERE NOT ambiguous), m AS (SELECT brand, product_name, k, min_by(price_eur, row_ord) AS main FROM p WHERE NOT starts_with(price_eur, '+') AND regexp_matches(price_eur, '[0-9]') GROUP BY ALL)
+SELECT brand, product_name, code, size, row_ord, replace(format('{:,}', regexp_replace(main, '[^0-9]', '', 'g')::BIGINT + regexp_replace(price_eur, '[^0-9]', '', 'g')::BIGINT), ',', '.') AS total FROM p JOIN m USING (brand, product_name, k) WHERE starts_with(price_eur, '+')""")
+def addon_total(spark, d):
+    return narrow.add_on_totals(adapter.prices(spark, d))
+
+
+@query()
+def page_scoped_images(spark, d):
+    index = adapter.catalog_index(spark, d)
+    pages = F.sequence("start", "stop")
+    images = F.transform(pages, lambda p: F.concat(F.lit("page-"), p, F.lit(".png")))
+    index = index.withColumn("images", images).withColumn("page_images", F.map_from_arrays(F.transform(F.filter(pages, lambda p: p % 2 == 0), lambda p: p.cast("string")), F.filter(images, lambda x: F.regexp_extract(x, r"(\d+)", 1).cast("int") % 2 == 0)))
+    return narrow.page_images(adapter.prices(spark, d), index).select("row_ord", "code", F.size("shown").alias("n"), F.array_join("shown", ",").alias("shown"))
+
+
+ORACLES["page_scoped_images"] = ("WITH {model} SELECT row_ord, code, CASE WHEN source_pdf_page % 2 = 0 THEN 1 ELSE stop - start + 1 END::INT AS n, CASE WHEN source_pdf_page % 2 = 0 THEN 'page-' || source_pdf_page || '.png' ELSE array_to_string(list_transform(range(start, stop + 1), lambda p: 'page-' || p || '.png'), ',') END AS shown FROM prices JOIN idx USING (brand, product_name)").replace("{model}", adapter.SQL)
+
+# ---- answers
+
+
+@query()
+def decision_rules(spark, d):
+    return answer.decisions(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
+
+
+@query()
+def answer_status(spark, d):
+    a = answer.answers(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
+    return a.groupBy("qid", "status", "rule", "product_name").agg(F.count("row_ord").alias("rows"))
+
+
+@query()
+def compound_variants(spark, d):
+    q = adapter.questions(spark, d).withColumn("message", F.concat(F.lower("target"), F.lit(" h.7 and h.27")))
+    return answer.compound(q, q.select("qid", F.col("target").alias("product_name")), adapter.prices(spark, d))
+
+
+# ---- grids
+
+GRID = """
+g1 AS (SELECT *, min(coalesce(variant_context, '')) OVER b <> max(coalesce(variant_context, '')) OVER b AS contexts, min(coalesce(code, '')) OVER c <> max(coalesce(code, '')) OVER c AS several
+  FROM prices WINDOW b AS (PARTITION BY brand, product_name), c AS (PARTITION BY brand, product_name, variant_context, model_variant, coalesce(size, '__flat__'))),
+g2 AS (SELECT *, CASE WHEN contexts AND variant_context IS NOT NULL THEN variant_context || ' — ' ELSE '' END || coalesce(model_variant, 'Standard') AS group_label,
+  coalesce(size, '__flat__') || CASE WHEN several THEN '::' || coalesce(code, '') ELSE '' END AS column_key, coalesce(size, '—') || CASE WHEN several THEN ' (' || coalesce(code, '') || ')' ELSE '' END AS column_label FROM g1)"""
+CELLS = "c1 AS (SELECT brand, product_name, variant_context, model_variant, group_label, fabric_tier, column_key, column_label, min({'row_ord': row_ord, 'price_eur': price_eur, 'code': code}) AS f FROM g2 GROUP BY ALL)"
+
+
+@query("WITH {model}, " + GRID + " SELECT row_ord, code, group_label, column_key, column_label FROM g2")
+def size_columns(spark, d):
+    return grid.grouped(adapter.prices(spark, d)).select("row_ord", "code", "group_label", "column_key", "column_label")
+
+
+@query("WITH {model}, " + GRID + " SELECT brand, product_name, group_label, min(row_ord) AS first, count(*) AS n FROM g2 GROUP BY ALL")
+def variant_groups(spark, d):
+    return grid.grouped(adapter.prices(spark, d)).groupBy("brand", "product_name", "group_label").agg(F.min("row_ord").alias("first"), F.count("*").alias("n"))
+
+
+@query("WITH {model}, " + GRID + ", " + CELLS + " SELECT brand, product_name, variant_context, model_variant, group_label, fabric_tier, column_key, column_label, f.price_eur AS price_eur, f.code AS code FROM c1")
+def price_grid(spark, d):
+    return grid.cells(grid.grouped(adapter.prices(spark, d)))
+
+
+@query("WITH {model}, " + GRID + ", " + CELLS + f""", o AS (SELECT *, coalesce(list_position({_list(X.TIER_ORDER)}, lower(coalesce(fabric_tier, ''))), 13) AS tr, coalesce(nullif(regexp_extract(column_key, '^([0-9]+)', 1), '')::INT, 1073741824) AS w FROM c1)
+SELECT brand, product_name, group_label, fabric_tier, column_key, f.price_eur AS price_eur, dense_rank() OVER (b ORDER BY tr, fabric_tier NULLS LAST)::INT AS tier_place, dense_rank() OVER (b ORDER BY w, column_key)::INT AS column_place FROM o WINDOW b AS (PARTITION BY brand, product_name, variant_context, model_variant)""")
+def grid_layout(spark, d):
+    return grid.layout(adapter.prices(spark, d)).select("brand", "product_name", "group_label", "fabric_tier", "column_key", "price_eur", "tier_place", "column_place")
+
+
+@query("WITH {model}, pq AS (SELECT * FROM prices WHERE NOT ambiguous), " + GRID.replace("FROM prices", "FROM pq") + ", " + CELLS + """
+SELECT g2.brand, g2.product_name, g2.model_variant, size, g2.fabric_tier, g2.code, row_ord, g2.price_eur, c1.f.price_eur AS shown FROM g2 JOIN c1 ON g2.brand = c1.brand AND g2.product_name = c1.product_name AND g2.variant_context IS NOT DISTINCT FROM c1.variant_context
+  AND g2.model_variant IS NOT DISTINCT FROM c1.model_variant AND g2.fabric_tier IS NOT DISTINCT FROM c1.fabric_tier AND g2.column_key = c1.column_key WHERE c1.f.price_eur <> g2.price_eur""")
+def lost_rows(spark, d):
+    return grid.lost_rows(adapter.prices(spark, d))
+
+
+@query("""WITH {model}, o AS (SELECT brand, product_name, kind, value, min(row_ord) AS first FROM (SELECT brand, product_name, row_ord, unnest(['size', 'tier', 'category']) AS kind, unnest([size, fabric_tier, variant_context]) AS value FROM prices) WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, count(*) OVER b AS n, row_number() OVER (b ORDER BY first, value) AS place FROM o WINDOW b AS (PARTITION BY brand, product_name, kind))
+SELECT brand, product_name, kind, place::INT AS place, value AS label, 'give ' || product_name || ' ' || value || ' price' AS question FROM r WHERE n > 1 AND place <= CASE kind WHEN 'category' THEN 2 ELSE 6 END""")
+def option_chips(spark, d):
+    return grid.chips(adapter.prices(spark, d))
+
+
+@query("WITH {model} SELECT brand, product_name, CASE WHEN count(fabric_tier) > 0 THEN 'RIVESTIMENTO' ELSE '—' END AS header FROM prices GROUP BY ALL")
+def tier_header(spark, d):
+    return grid.tier_header(adapter.prices(spark, d))
+
+
+@query("""WITH {model}, r AS (SELECT qid, product_name, min(row_ord) AS first, count(*) AS n_rows FROM questions q JOIN prices p ON q.brand = p.brand AND p.product_name IN (q.target, q.target || ' ') GROUP BY ALL)
+SELECT qid, product_name, 1 AS place, n_rows, n_rows > 6 AS as_grid FROM r""")
+def grid_sections(spark, d):
+    rows = _rows(spark, d).where("kept").withColumn("status", F.lit("multiple_options"))
+    return grid.sections(rows)
+
+
+@query("WITH {model}, " + GRID + ", p AS (SELECT * FROM g2), " + "fx AS (SELECT brand, product_name, count(*) FILTER (NOT ambiguous) AS clean FROM prices GROUP BY ALL), fp AS (SELECT pr.* FROM prices pr JOIN fx USING (brand, product_name) WHERE clean = 0 OR NOT ambiguous), " + GRID.replace("FROM prices", "FROM fp").replace("g1", "h1").replace("g2", "h2") + ", " + CELLS.replace("g2", "h2") + " SELECT brand, product_name, group_label, fabric_tier, column_label, f.price_eur AS price_eur, f.code AS code FROM c1")
+def full_price_list(spark, d):
+    return flagship(spark, d)
+
+
+# ---- gates
+
+
+@query("WITH {model} SELECT row_ord, code, ambiguous AS conflict FROM prices")
+def ambiguity_flags(spark, d):
+    return gates.ambiguity(adapter.prices(spark, d)).select("row_ord", "code", "conflict")
+
+
+@query("WITH {model} SELECT brand, product_name, count(*) FILTER (NOT ambiguous) AS clean, count(*) FILTER (ambiguous) AS hidden FROM prices GROUP BY ALL")
+def clean_vs_ambiguous(spark, d):
+    return adapter.prices(spark, d).groupBy("brand", "product_name").agg(F.count_if(~F.col("ambiguous")).alias("clean"), F.count_if("ambiguous").alias("hidden"))
+
+
+@query("""WITH {model}, n AS (SELECT brand, product_name, price_eur, TRY_CAST(replace(regexp_replace(price_eur, '[^0-9.,]', '', 'g'), '.', '') AS BIGINT) * 100 AS n FROM prices)
+SELECT brand, product_name, min(n) AS low, max(n) AS high, min(n) FILTER (NOT starts_with(price_eur, '+')) AS low_main, max(n) FILTER (NOT starts_with(price_eur, '+')) AS high_main FROM n GROUP BY ALL""")
+def price_range(spark, d):
+    r = gates.price_range(adapter.prices(spark, d), "brand", "product_name")
+    return r.select("brand", "product_name", *((F.col(c) * 100).cast("long").alias(c) for c in ("low", "high", "low_main", "high_main")))
+
+
+@query("WITH {model} SELECT brand, product_name, model_variant, variant_context, fabric_tier, size, count(DISTINCT code) AS codes, count(DISTINCT price_eur) AS prices FROM prices GROUP BY ALL HAVING count(DISTINCT code) > 1 AND count(DISTINCT price_eur) > 1")
+def collision_products(spark, d):
+    return gates.collisions(adapter.prices(spark, d))
+
+
+@query("WITH {model} SELECT brand, product_name, model_variant, size, fabric_tier, tier_label, code, count(*) AS n FROM prices GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return gates.duplicate_keys(adapter.prices(spark, d))
+
+
+@query("""WITH {model}, s AS (SELECT *, CASE WHEN row_ord % 97 = 0 THEN price_eur || '9' ELSE price_eur END AS told FROM prices)
+SELECT row_ord, code, told AS price_eur FROM s WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.brand = s.brand AND p.product_name = s.product_name AND p.model_variant IS NOT DISTINCT FROM s.model_variant AND p.size IS NOT DISTINCT FROM s.size AND p.fabric_tier IS NOT DISTINCT FROM s.fabric_tier AND p.price_eur = s.told)""")
+def fabrication_antijoin(spark, d):
+    p = adapter.prices(spark, d)
+    told = p.withColumn("price_eur", F.when(F.col("row_ord") % 97 == 0, F.concat("price_eur", F.lit("9"))).otherwise(F.col("price_eur")))
+    return gates.fabricated(told, p).select("row_ord", "code", "price_eur")
+
+
+@query("WITH {model}, w AS (SELECT brand, product_name, CASE WHEN count(*) FILTER (NOT ambiguous) > 0 THEN count(*) FILTER (NOT ambiguous) ELSE count(*) END AS expected FROM prices GROUP BY ALL) SELECT brand, product_name, expected, expected AS returned FROM w")
+def coverage_counts(spark, d):
+    names, p = adapter.catalog_index(spark, d), adapter.prices(spark, d)
+    q = names.select(F.col("first").alias("qid"), "brand", F.concat(F.lit("give me all prices for "), F.lower("product_name")).alias("message"), "product_name")
+    rows = narrow.narrowed(narrow.task_table(q.drop("product_name"), q.select("qid", "product_name")), p).where("kept")
+    return gates.coverage(p, rows)
+
+
+@query("WITH {model} SELECT brand, product_name, art_code FROM idx WHERE first % 3 = 0 OR NOT EXISTS (SELECT 1 FROM prices p WHERE p.brand = idx.brand AND p.product_name = idx.product_name)")
+def zero_row_products(spark, d):
+    i = adapter.catalog_index(spark, d)
+    p = adapter.prices(spark, d).join(i.where("first % 3 = 0"), ["brand", "product_name"], "left_anti")
+    return gates.zero_row_products(i, p).select("brand", "product_name", "art_code")
+
+
+@query("WITH {model} SELECT brand, count(*) FILTER (regexp_matches(price_eur, '[0-9]')) AS priced, count(*) FILTER (NOT regexp_matches(price_eur, '[0-9]')) AS unpriced, count(DISTINCT product_name) AS products FROM prices GROUP BY ALL")
+def priced_counts(spark, d):
+    return gates.priced_counts(adapter.prices(spark, d))
+
+
+def _ledger(spark, d):
+    i = adapter.catalog_index(spark, d)
+    return i.where("first % 4 > 0").select("brand", "product_name", F.element_at(F.array(*map(F.lit, ("real_gap", "partial", "false_alarm"))), (F.col("first") % 4).cast("int")).alias("status"))
+
+
+@query("WITH {model} SELECT brand, product_name, start AS page, 'unreadable' AS reason FROM idx WHERE first % 4 = 0 AND first % 5 < 2")
+def orphan_flags(spark, d):
+    flags = adapter.catalog_index(spark, d).where("first % 5 < 2").select("brand", "product_name", F.col("start").alias("page"), F.lit("unreadable").alias("reason"))
+    return gates.orphan_flags(flags, _ledger(spark, d))
+
+
+@query("WITH {model} SELECT brand, product_name, CASE first % 4 WHEN 1 THEN 'real_gap' ELSE 'partial' END AS status FROM idx WHERE first % 4 IN (1, 2) AND first % 3 <> 0")
+def claimed_missing(spark, d):
+    return gates.claimed_missing(_ledger(spark, d), adapter.catalog_index(spark, d).where("first % 3 = 0"))
+
+
+@query("SELECT 'doc-' || doc_id AS file FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
+def orphan_files(spark, d):
+    files = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("file"))
+    return gates.orphan_files(files, table(spark, d, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("file")))
+
+
+@query("SELECT md5(text) AS md5, count(*) AS n, min('doc-' || doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def checksum_groups(spark, d):
+    return gates.checksum_groups(table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("file"), F.md5("text").alias("md5")))
+
+
+@query("""WITH i AS (SELECT source AS brand, 'doc ' || doc_id AS product_name, md5(text) AS md5, doc_id % 50 AS page FROM documents), f AS (SELECT brand, md5, min(product_name) AS first FROM i GROUP BY ALL HAVING count(DISTINCT product_name) > 1)
+SELECT DISTINCT i.brand, i.md5, i.product_name, first FROM i JOIN f ON i.brand = f.brand AND i.md5 = f.md5 WHERE i.product_name <> first AND NOT EXISTS (SELECT 1 FROM i j WHERE j.brand = i.brand AND j.md5 = i.md5 AND j.page = i.page AND j.product_name = f.first)""")
+def image_pairs(spark, d):
+    docs = table(spark, d, "documents")
+    images = docs.select(F.col("source").alias("brand"), F.concat(F.lit("doc "), "doc_id").alias("product_name"), F.md5("text").alias("md5"), (F.col("doc_id") % 50).alias("page"))
+    return gates.image_conflicts(images, docs.select(F.col("source").alias("brand"), F.concat(F.lit("doc "), "doc_id").alias("product_name"), "text"))
+
+
+@query("WITH {model}, w AS (SELECT DISTINCT brand, product_name, unnest(range(start, stop + 1))::INT AS page FROM idx) SELECT brand, product_name, page FROM w WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.brand = w.brand AND p.product_name = w.product_name AND p.source_pdf_page = w.page)")
+def page_coverage_gaps(spark, d):
+    pages = adapter.prices(spark, d).select("brand", "product_name", F.col("source_pdf_page").alias("page"))
+    return gates.page_gaps(adapter.catalog_index(spark, d), pages, "brand", "product_name")
+
+
+@query("WITH {model}, w AS (SELECT DISTINCT brand, product_name, unnest(range(start, stop + 1))::INT AS page FROM idx), g AS (SELECT brand FROM w WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.brand = w.brand AND p.product_name = w.product_name AND p.source_pdf_page = w.page)) SELECT brand, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, brand LIMIT 5")
+def worst_offenders(spark, d):
+    return gates.worst(page_coverage_gaps(spark, d), "brand")
+
+
+@query("WITH {model} SELECT brand, p_name AS name, count(DISTINCT p_type) AS files FROM pt GROUP BY ALL HAVING count(DISTINCT p_type) > 1")
+def cross_file_collisions(spark, d):
+    return gates.name_collisions(adapter.products(spark, d).select("brand", F.col("p_name").alias("name"), F.col("p_type").alias("file")))
+
+
+@query("""WITH {model}, c AS (SELECT DISTINCT 'Brand#' || (c_custkey % 25 + 1) AS brand, p_name AS name FROM customer JOIN part ON c_custkey = p_partkey)
+SELECT brand, name FROM c WHERE NOT EXISTS (SELECT 1 FROM idx WHERE idx.brand = c.brand AND (contains(lower(product_name), name) OR contains(name, lower(product_name))))""")
+def unmatched_candidates(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "part"), F.col("c_custkey") == F.col("p_partkey")).select(F.concat(F.lit("Brand#"), F.col("c_custkey") % 25 + 1).alias("brand"), F.col("p_name").alias("name")).distinct()
+    return gates.unmatched_candidates(c, adapter.catalog_index(spark, d))
+
+
+@query("WITH e AS (SELECT o_orderkey AS qid, 'p' || o_custkey % 7 AS image FROM orders), a AS (SELECT l_orderkey AS qid, 'p' || l_partkey % 7 AS image FROM lineitem) SELECT qid, image, 'missing' AS side FROM (FROM e EXCEPT FROM a) UNION ALL SELECT qid, image, 'extra' FROM (FROM a EXCEPT FROM e)")
+def image_difference(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("p"), F.col("o_custkey") % 7).alias("image"))
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.concat(F.lit("p"), F.col("l_partkey") % 7).alias("image"))
+    return gates.image_difference(e, a)
+
+
+@query("SELECT l_returnflag AS brand, l_linestatus AS cat, count(*) FILTER (l_quantity > 10) AS passed, count(*) FILTER (l_quantity <= 10 AND l_quantity > 1) AS failed, count(*) FILTER (l_quantity = 1) AS open FROM lineitem GROUP BY ROLLUP (1, 2)")
+def gate_totals(spark, d):
+    r = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("brand"), F.col("l_linestatus").alias("cat"), F.when(F.col("l_quantity") > 1, F.col("l_quantity") > 10).alias("soft"))
+    return gates.soft_totals(r)
+
+
+@query("""WITH {model}, r AS (SELECT qid, brand, target AS product_name, fabric_tier, CASE WHEN qid % 10 = 0 THEN 'none' ELSE price_eur END AS price_eur FROM questions q JOIN (SELECT brand AS b, product_name AS p, min({'r': row_ord, 't': fabric_tier, 'p': price_eur}) AS f, min(fabric_tier) AS ft FROM prices GROUP BY ALL) x ON b = brand AND p = target, LATERAL (SELECT f.t AS fabric_tier, f.p AS price_eur))
+SELECT qid, product_name, fabric_tier, price_eur FROM r WHERE price_eur = 'none'""")
+def isolation_failures(spark, d):
+    p, q = adapter.prices(spark, d), adapter.questions(spark, d)
+    first = p.groupBy("brand", "product_name").agg(F.min(F.struct("row_ord", "fabric_tier", "price_eur")).alias("f"))
+    required = q.join(first, (q.brand == first.brand) & (q.target == first.product_name)).select("qid", first.product_name, "f.fabric_tier", F.when(F.col("qid") % 10 == 0, "none").otherwise(F.col("f.price_eur")).alias("price_eur"))
+    results = q.join(p, (q.brand == p.brand) & (q.target == p.product_name)).select("qid", p.product_name, "fabric_tier", "price_eur")
+    return gates.isolation_failures(required, results)
+
+
+@query(f"""WITH {{model}}, f AS (SELECT brand, sum(len(list_filter(string_split_regex(product_name, '\\s+'), lambda x: x <> ''))) AS n FROM idx GROUP BY 1)
+SELECT qid, (n + len(list_filter(string_split_regex(message, '\\s+'), lambda x: x <> '')))::BIGINT AS full, (len(list_filter(string_split_regex(target, '\\s+'), lambda x: x <> '')) + len(list_filter(string_split_regex(message, '\\s+'), lambda x: x <> '')))::BIGINT AS short FROM questions JOIN f USING (brand)""")
+def prompt_tokens(spark, d):
+    q = adapter.questions(spark, d)
+    return gates.prompt_tokens(q, adapter.catalog_index(spark, d), q.select("qid", F.col("target").alias("product_name")))
+
+
+# ---- extraction
+
+
+@query("""WITH {model} SELECT brand, product_name, start, greatest(start, coalesce(lead(start) OVER (PARTITION BY brand ORDER BY start, product_name) - 1, max(stop) OVER (PARTITION BY brand)))::INT AS "end" FROM idx""")
+def page_ranges(spark, d):
+    i = adapter.catalog_index(spark, d)
+    i = i.join(i.groupBy("brand").agg(F.max("stop").alias("last")), "brand")
+    return extract.ranges(i, "start", "last", "brand").select("brand", "product_name", "start", "end")
+
+
+TIED = """t AS (SELECT brand, start, lead(start) OVER (PARTITION BY brand ORDER BY start) - 1 AS n FROM (SELECT DISTINCT brand, start FROM idx)), tr AS (SELECT idx.*, greatest(start, coalesce(n, max(stop) OVER (PARTITION BY brand)))::INT AS "end" FROM idx JOIN t USING (brand, start))"""
+
+
+def _tied(spark, d):
+    i = adapter.catalog_index(spark, d)
+    i = i.join(i.groupBy("brand").agg(F.max("stop").alias("last")), "brand")
+    return extract.tied_ranges(i, "start", "last", "brand")
+
+
+@query("WITH {model}, " + TIED + """ SELECT brand, product_name, start, "end" FROM tr""")
+def page_ranges_tied(spark, d):
+    return _tied(spark, d).select("brand", "product_name", "start", "end")
+
+
+PAGE_MAP = "pm AS (SELECT brand, start AS printed, max(start + 1 + (start % 10 = 0)::INT) AS pdf FROM idx WHERE start % 3 > 0 GROUP BY ALL), po AS (SELECT brand, pdf - printed AS o, count(*) AS c, min(printed) AS p FROM pm GROUP BY ALL), offs AS (SELECT brand, arg_min(o, {'c': -c, 'p': p})::INT AS o FROM po GROUP BY 1)"
+
+
+def _page_map(spark, d):
+    i = adapter.catalog_index(spark, d).where("start % 3 > 0")
+    return i.groupBy("brand", F.col("start").alias("printed")).agg(F.max(F.col("start") + 1 + (F.col("start") % 10 == 0).cast("int")).alias("pdf"))
+
+
+@query("WITH {model}, " + PAGE_MAP + ' SELECT brand, o AS "offset" FROM offs')
+def page_map_mode_offset(spark, d):
+    return extract.mode_offset(_page_map(spark, d), "brand")
+
+
+@query("WITH {model}, " + TIED + ", " + PAGE_MAP + """, m AS (SELECT tr.brand, product_name, first, coalesce(a.pdf, start + coalesce(o, 0)) AS x, coalesce(b.pdf, "end" + coalesce(o, 0)) AS y FROM tr LEFT JOIN pm a ON a.brand = tr.brand AND a.printed = start LEFT JOIN pm b ON b.brand = tr.brand AND b.printed = "end" LEFT JOIN offs ON offs.brand = tr.brand)
+SELECT brand, product_name, (CASE WHEN first % 20 = 0 THEN 7 ELSE greatest(1, least(x, y, 150)) END)::INT AS pdf_start, (CASE WHEN first % 20 = 0 THEN 9 ELSE greatest(1, least(greatest(x, y), 150)) END)::INT AS pdf_end FROM m""")
+def interval_clamp(spark, d):
+    overrides = adapter.catalog_index(spark, d).where("first % 20 = 0").select("brand", "product_name", F.lit(7).alias("pdf_start"), F.lit(9).alias("pdf_end"))
+    m = _page_map(spark, d)
+    return extract.pdf_ranges(_tied(spark, d), m, extract.mode_offset(m, "brand"), overrides, F.lit(150), "brand").select("brand", "product_name", "pdf_start", "pdf_end")
+
+
+@query("WITH {model} SELECT p_partkey, brand, product_name FROM pt")
+def name_disambiguation(spark, d):
+    p = table(spark, d, "part").withColumnRenamed("p_brand", "brand")
+    return extract.disambiguated(p, "p_name", "p_type", "brand").select("p_partkey", "brand", "product_name")
+
+
+@query("""SELECT p_partkey, p_brand AS brand, replace(p_name, ' ', '_') || CASE WHEN row_number() OVER b > 1 THEN '_' || row_number() OVER b ELSE '' END AS slug FROM part WINDOW b AS (PARTITION BY p_brand, p_name ORDER BY p_partkey)""")
+def slug_collisions(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_name").alias("product_name"), F.col("p_partkey").alias("ord"))
+    return extract.slugs(p).select("p_partkey", "brand", "slug")
+
+
+@query("""WITH r AS (SELECT p_partkey AS page, p_brand AS name, p_type AS file, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN p_type || ' old' ELSE p_name END AS new FROM part) SELECT page, new AS name FROM r WHERE new IS NOT NULL""")
+def rename_rules(spark, d):
+    p = table(spark, d, "part")
+    e = p.select(F.col("p_partkey").alias("page"), F.col("p_name").alias("name"), F.col("p_type").alias("file"))
+    by_page = e.where("page % 11 = 0 or page % 5 = 0").select("file", "name", "page", F.when(F.col("page") % 11 != 0, F.concat("file", F.lit(" old"))).alias("new"))
+    return extract.renamed(e, by_page).select("page", "name")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(c::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM o) SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
+def page_runs(spark, d):
+    return extract.runs(table(spark, d, "events"), "event_type", "event_id", "user_id")
+
+
+@query("""WITH {model}, p AS (SELECT DISTINCT brand, source_pdf_page AS page FROM prices), i AS (SELECT *, page - row_number() OVER (PARTITION BY brand ORDER BY page) AS k FROM p) SELECT brand, min(page) AS first, max(page) AS last, count(*) AS n FROM i GROUP BY brand, k""")
+def page_islands(spark, d):
+    return extract.page_islands(adapter.prices(spark, d).withColumnRenamed("source_pdf_page", "page"), "page", "brand")
+
+
+def _lines(spark, d):
+    """Lines of documents; every fifth is a page's footer, without its number on every fourth page."""
+    lines = extract.lines_of(table(spark, d, "documents"), "doc_id")
+    number = F.expr("line div 5 + 1")
+    foot = F.when((number + F.col("doc_id")) % 4 == 0, F.lit("Listino —")).otherwise(F.concat(F.lit("Listino — "), number))
+    return lines.withColumn("text", F.when(F.col("line") % 5 == 4, foot).otherwise(F.col("text")))
+
+
+LINES = "dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents), ln AS (SELECT doc_id, line, line // 5 + 1 AS number, CASE WHEN line % 5 = 4 THEN CASE WHEN (line // 5 + 1 + doc_id) % 4 = 0 THEN 'Listino —' ELSE 'Listino — ' || (line // 5 + 1) END ELSE t END AS text FROM dl)"
+
+
+@query("WITH " + LINES + """, fo AS (SELECT doc_id, line, nullif(regexp_extract(text, '^Listino — ?([0-9]*)$', 1), '')::INT AS n FROM ln WHERE regexp_matches(text, '^Listino — ?([0-9]*)$')),
+fp AS (SELECT doc_id, line, coalesce(n, CASE WHEN lead(n) OVER w - lag(n) OVER w = 2 THEN lag(n) OVER w + 1 END) AS page FROM fo WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+lp AS (SELECT ln.doc_id, ln.line, (SELECT arg_min(coalesce(page, -1), fp.line) FROM fp WHERE fp.doc_id = ln.doc_id AND fp.line >= ln.line) AS page FROM ln)
+SELECT doc_id, nullif(page, -1) AS page, count(*) AS n_lines FROM lp GROUP BY ALL""")
+def page_split(spark, d):
+    lines = extract.pages_by_footer(_lines(spark, d), r"^Listino — ?(\d*)$", "doc_id")
+    return lines.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+
+
+@query("WITH " + LINES + """, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line DESC) AS k FROM ln WHERE trim(text) <> '') SELECT doc_id, arg_min(regexp_extract(text, '^Listino — ([0-9]+)$', 1)::INT, k) AS printed FROM f WHERE k <= 4 AND regexp_matches(text, '^Listino — ([0-9]+)$') GROUP BY doc_id""")
+def line_lookback_footer(spark, d):
+    return extract.look_back_footer(_lines(spark, d), r"^Listino — (\d+)$", 4, "doc_id")
+
+
+@query("WITH " + LINES + """, s AS (SELECT doc_id, line, text, max(CASE WHEN line % 7 = 2 THEN line END) OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM ln) SELECT doc_id, 'P' || pos AS product_name, count(*) AS n_lines, md5(string_agg(text, chr(10) ORDER BY line)) AS text_md5 FROM s WHERE pos IS NOT NULL GROUP BY ALL""")
+def text_slices(spark, d):
+    lines = _lines(spark, d)
+    starts = lines.where("line % 7 = 2").select("doc_id", "line", F.concat(F.lit("P"), "line").alias("product_name"))
+    return extract.text_slices(lines, starts, "doc_id").select("doc_id", "product_name", "n_lines", F.md5("text").alias("text_md5"))
+
+
+@query("WITH {model} SELECT brand, upper(product_name) AS name, start AS printed FROM idx WHERE first % 6 > 0")
+def index_dot_leader(spark, d):
+    i = adapter.catalog_index(spark, d)
+    dots = F.concat(F.upper("product_name"), F.lit(" ..... "), "start")
+    lines = i.select("brand", F.when(F.col("first") % 6 > 0, dots).otherwise(F.lit("SOFAS .... 3")).alias("text"))
+    return extract.index_dot_leader(lines, ("SOFAS",)).select("brand", "name", "printed")
+
+
+@query("SELECT o_orderkey AS doc, 1 AS line, unnest([0, 1])::INT AS at, unnest(['Name ' || o_custkey, 'Other ' || o_orderkey]) AS name, unnest([o_custkey, o_orderkey])::INT AS printed FROM orders")
+def index_grid(spark, d):
+    o = table(spark, d, "orders")
+    names = F.concat(F.lit("Name "), "o_custkey", F.lit("    Other "), "o_orderkey")
+    pages = F.concat(F.lit("p. "), "o_custkey", F.lit("     p. "), "o_orderkey")
+    lines = extract.lines_of(o.select(F.col("o_orderkey").alias("doc"), F.concat(names, F.lit("\n"), pages).alias("text")), "doc")
+    return extract.index_grid(lines, "doc")
+
+
+@query("""WITH l AS (SELECT page_id, page_id % 3 AS page, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS name FROM pages) SELECT name, min(page) AS printed FROM l GROUP BY 1""")
+def repeated_headers(spark, d):
+    lines = table(spark, d, "pages").select((F.col("page_id") % 3).alias("page"), F.col("html").alias("text"), F.lit(1).alias("one"))
+    return extract.repeated_headers(lines, "<h1>([^<]*)</h1>").select("name", "printed")
+
+
+def _words(spark, d):
+    """Words of pages: one for each line item, its order being the page."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("top"), (F.col("l_partkey") % 300).cast("double").alias("left"), F.col("l_linenumber").cast("string").alias("text"))
+
+
+@query()
+def row_clustering(spark, d):
+    return extract.rows_of_words(_words(spark, d)).groupBy("page", "row").agg(F.count("*").alias("n"), F.min("top").cast("int").alias("top"))
+
+
+@query()
+def gutter_split(spark, d):
+    return extract.split_at_gap(extract.rows_of_words(_words(spark, d))).groupBy("page", "row", "column").agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS page, l_partkey % 300 AS x FROM lineitem), c AS (SELECT page, x, count(*) AS c FROM w GROUP BY ALL), b AS (SELECT page, arg_min(x, {'c': -c, 'x': x}) AS band FROM c GROUP BY 1)
+SELECT page, band::INT AS band, count(*) AS n FROM w JOIN b USING (page) WHERE abs(x - band) <= 3 GROUP BY ALL""")
+def number_band(spark, d):
+    return extract.number_band(_words(spark, d)).groupBy("page", "band").agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT l_orderkey AS page, l_linenumber, l_partkey % 300 AS x, l_partkey, l_suppkey FROM lineitem), s AS (SELECT page, x AS start FROM w WHERE l_linenumber <= 2)
+SELECT page, x::INT AS x, (SELECT max(start) FROM s WHERE s.page = w.page AND start <= x + 2)::INT AS start FROM w""")
+def nearest_column(spark, d):
+    w = _words(spark, d)
+    starts = w.where(F.col("text").cast("int") <= 2).select("page", F.col("left").alias("start"))
+    return extract.nearest_column(w, starts).select("page", F.col("left").cast("int").alias("x"), F.col("start").cast("int").alias("start"))
+
+
+@query("""WITH w AS (SELECT DISTINCT l_orderkey AS page, (l_partkey % 300)::DOUBLE AS x FROM lineitem), n AS (SELECT page, (x + lead(x) OVER (PARTITION BY page ORDER BY x)) / 2 AS mid FROM w) SELECT page, arg_min(mid, {'d': abs(mid - 150), 'm': mid}) AS place FROM n WHERE mid IS NOT NULL GROUP BY 1""")
+def split_place(spark, d):
+    return extract.split_place(_words(spark, d), 300.0)
+
+
+@query("""WITH {model} SELECT row_ord, code, product_name AS name FROM prices WHERE regexp_matches(price_eur, '[0-9]')""")
+def code_chunks(spark, d):
+    p = adapter.prices(spark, d).where(F.col("price_eur").rlike("[0-9]"))
+    lines = p.select("row_ord", F.lit(0).alias("line"), F.concat("code", F.lit("   "), "product_name", F.lit("    € "), "price_eur").alias("text"), F.col("code").alias("own"))
+    found = extract.code_chunks(lines, r"P\d+S\d+", "row_ord", "own")
+    return found.select("row_ord", "code", F.regexp_replace("name", r" € \S+$", "").alias("name"))
+
+
+@query("""WITH {model} SELECT row_ord, code AS own, code FROM prices WHERE row_ord % 4 > 0""")
+def article_discovery(spark, d):
+    p = adapter.prices(spark, d)
+    word = F.when(F.col("row_ord") % 4 == 0, "cover art. ").otherwise("art. ")
+    lines = extract.lines_of(p.select("row_ord", F.col("code").alias("own"), F.concat("product_name", F.lit("\n"), word, "code", F.lit("\nend")).alias("text")), "row_ord", "own")
+    return extract.articles(lines, "row_ord", "own").select("row_ord", "own", "code")
+
+
+@query("""WITH {model}, p AS (SELECT *, regexp_matches(price_eur, '[0-9]') AS priced FROM prices), f AS (SELECT *, min(source_pdf_page) FILTER (priced) OVER (PARTITION BY brand, product_name) AS pp FROM p)
+SELECT brand, product_name AS code, min(source_pdf_page) AS first_page, min(pp) AS priced_page, max(source_pdf_page) FILTER (pp IS NULL OR source_pdf_page <= pp) AS end_page FROM f GROUP BY ALL""")
+def section_fold(spark, d):
+    p = adapter.prices(spark, d).select("brand", F.col("product_name").alias("code"), F.col("source_pdf_page").alias("page"), F.col("model_variant").alias("name"), F.col("price_eur").rlike("[0-9]").alias("priced"))
+    return extract.section_fold(p, "brand").drop("name")
+
+
+@query("""WITH {model} SELECT brand, product_name, CASE WHEN first % 3 = 0 AND first % 2 = 0 THEN 'kept' WHEN first % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM idx""")
+def index_merge(spark, d):
+    i = adapter.catalog_index(spark, d).select("brand", "product_name", "first")
+    old = i.withColumn("origin", F.when((F.col("first") % 3 == 0) & (F.col("first") % 2 == 0), "kept").otherwise("old"))
+    new = i.where("first % 3 = 0").withColumn("origin", F.lit("new"))
+    return extract.merged_index(old, new, i.where("first % 2 = 0").select("brand", "product_name")).select("brand", "product_name", "origin")
+
+
+@query("""WITH {model} SELECT brand, product_name, code, price_eur FROM prices JOIN (SELECT brand, product_name, first FROM idx) USING (brand, product_name) WHERE first % 5 <> 0 UNION ALL SELECT brand, product_name, art_code, '1.000' FROM idx WHERE first % 5 = 0""")
+def manual_merge(spark, d):
+    manual = adapter.catalog_index(spark, d).where("first % 5 = 0").select("brand", "product_name", F.col("art_code").alias("code"), F.lit("1.000").alias("price_eur"))
+    return extract.merged_manual(adapter.prices(spark, d).select("brand", "product_name", "code", "price_eur"), manual)
+
+
+@query("""WITH {model}, t AS (SELECT brand, product_name, count(DISTINCT fabric_tier) AS n, bool_or(fabric_tier = 'cat. A') AS a, bool_or(fabric_tier = 'cat. N') AS b FROM prices GROUP BY ALL)
+SELECT brand, product_name, CASE WHEN a THEN 'rivestimento' ELSE 'struttura' END AS label FROM t WHERE a <> b""")
+def label_backfill(spark, d):
+    tiers = adapter.prices(spark, d).where("fabric_tier is not null").select("brand", "product_name", F.col("fabric_tier").alias("tier")).distinct()
+    texts = adapter.catalog_index(spark, d).select("brand", "product_name", F.lit("Rivestimento: cat. A\nStruttura: cat. N").alias("text"))
+    return extract.backfilled_labels(texts, tiers, ("Rivestimento", "Struttura", "Base"))
+
+
+@query("""WITH {model}, p AS (SELECT row_ord, code FROM prices) SELECT row_ord, code, unnest(['c', 'd']) AS fabric_tier, unnest(['1.000', '+200']) AS price_eur FROM p WHERE row_ord % 3 > 0""")
+def tier_tables(spark, d):
+    p = adapter.prices(spark, d)
+    row = F.when(F.col("row_ord") % 3 > 0, "120x40   1.000   +200").otherwise("120x40   1.000")
+    lines = extract.lines_of(p.select("row_ord", "code", F.concat(F.lit("c   d\n"), row).alias("text")), "row_ord", "code")
+    return extract.tier_tables(lines, "row_ord", "code")[0].select("row_ord", "code", "fabric_tier", "price_eur")
+
+
+# ---- sessions
+
+
+@query("""SELECT conv_id, turn, len(h)::INT AS n, md5(coalesce(array_to_string(h, chr(10)), '')) AS history FROM (SELECT conv_id, turn, coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), []) AS h FROM conversations)""")
+def history_window(spark, d):
+    h = sessions.history(table(spark, d, "conversations"), 6, "conv_id")
+    return h.select("conv_id", "turn", F.size("history").alias("n"), F.md5(F.array_join("history", "\n")).alias("history"))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count()
+@query("""WITH r AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN split_part(text, ' ', 1) END AS p, CASE length(text) % 3 WHEN 1 THEN split_part(text, ' ', 1) || '|' || split_part(text, ' ', 2) END AS c FROM conversations)
+SELECT conv_id, turn, lag(p) OVER w AS product_name, lag(c) OVER w AS candidates FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def session_anchor(spark, d):
+    c = table(spark, d, "conversations")
+    words = F.split("text", " ")
+    kind = F.length("text") % 3
+    r = c.select("conv_id", "turn", F.when(kind == 0, "ok").when(kind == 1, "clarify_product").otherwise("no_product_match").alias("status"), F.when(kind == 0, F.get(words, F.lit(0))).alias("product_name"), F.array(F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))).alias("candidates"), F.array().cast("array<string>").alias("variants"))
+    return sessions.anchors(r, "conv_id").select("conv_id", "turn", "anchor.product_name", F.array_join("anchor.candidates", "|").alias("candidates"))

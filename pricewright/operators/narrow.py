@@ -20,12 +20,17 @@ def any_of(c: Column) -> Column:
 
 
 def task_table(questions: DataFrame, chosen: DataFrame, clause: str | None = None) -> DataFrame:
-    """Tasks of chosen products (qid, product_name): the message, or a clause column of ``chosen``, with its size, known tiers and wish for all."""
+    """Tasks of chosen products (qid, product_name): the message, or a clause column of ``chosen``, and all that the chain reads from it, worked out once for each task, not for each row."""
     q = questions.select("qid", "brand", "message", *(c for c in ("last_variants",) if c in questions.columns))
     d = chosen.select("qid", "product_name", *([F.col(clause).alias("clause")] if clause else [])).join(q, "qid")
     text = F.col("clause") if clause else F.col("message")
     d = d.withColumn("text", text).withColumn("wants_all", full_list("message"))
-    d = d.withColumn("size_wanted", X.extract_size("text")).withColumn("tiers", X.extract_tiers(X.strip_name(X.normalize("text"), X.normalize("product_name"))))
+    d = d.withColumn("q", X.normalize("text")).withColumn("name", X.normalize("product_name")).withColumn("plain", X.strip_name("q", "name"))
+    d = d.withColumn("size_wanted", X.extract_size("text")).withColumn("tiers", F.filter(X.words_literal(X.KNOWN_TIERS), lambda t: X.contains_word("plain", t)))
+    numbers = lambda c: F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{2,3})\b")), lambda x: x.cast("int")))
+    d = d.withColumn("groups", X.size_groups("text", "product_name")).withColumn("wanted", X.size_numbers("size_wanted")).withColumn("bare", numbers(F.col("plain")))
+    d = d.withColumn("asked_code", X.short_code("text")).withColumn("signals", X.size_signals("text", "product_name")).withColumn("asked", X.tokenize_loose("text"))
+    d = d.withColumn("compact", F.regexp_replace("plain", "[^a-z0-9]", ""))
     return d if "last_variants" in d.columns else d.withColumn("last_variants", F.array().cast("array<string>"))
 
 
@@ -43,24 +48,21 @@ def keep(rows: DataFrame, hit: Column, falls_back: bool = True, where: Column |
 
 def by_size(rows: DataFrame) -> DataFrame:
     """Several groups of numbers, else a size, else bare numbers of two or three digits. Only an explicit size may leave nothing."""
-    rows = rows.withColumn("real", X.size_numbers("size")).withColumn("groups", X.size_groups("text", "product_name")).withColumn("wanted", X.size_numbers("size_wanted"))
-    bare = F.array_sort(F.transform(F.regexp_extract_all(X.strip_name(X.normalize("text"), X.normalize("product_name")), F.lit(r"\b(\d{2,3})\b")), lambda x: x.cast("int")))
-    rows = rows.withColumn("bare", bare)
+    rows = rows.withColumn("real", X.size_numbers("size"))
     several, sized = F.size("groups") > 1, F.size("wanted") > 0
     rows = keep(rows, F.exists("groups", lambda g: X.size_matches(g, F.col("real"))), where=several)
-    code = X.short_code("text")
-    excused = any_of(code.isNotNull() & (X.short_code("model_variant") == code)) | F.contains(X.normalize("product_name"), F.col("size_wanted"))
+    excused = any_of(X.short_code("model_variant") == F.col("asked_code")) | F.contains("name", F.col("size_wanted"))
     rows = rows.withColumn("excused", F.coalesce(excused, F.lit(False))).withColumn("any_size", any_of(F.col("size").isNotNull()))
     hit = X.size_matches(F.col("wanted"), F.col("real"))
     rows = keep(rows, hit, falls_back=True, where=~several & sized & F.col("any_size") & F.col("excused"))
     rows = keep(rows, hit, falls_back=False, where=~several & sized & F.col("any_size") & ~F.col("excused"))
     rows = keep(rows, X.size_matches(F.col("bare"), F.col("real")), where=~several & ~sized & (F.size("bare") > 0))
-    return rows.drop("groups", "wanted", "bare", "excused", "any_size")
+    return rows.drop("excused", "any_size")
 
 
 def by_size_words(rows: DataFrame) -> DataFrame:
     """Words of the message that stand in some, not all, of the sizes left."""
-    hit = F.col("size").isNotNull() & F.arrays_overlap(X.size_words("size"), X.size_signals("text", "product_name"))
+    hit = F.col("size").isNotNull() & F.arrays_overlap(X.size_words("size"), "signals")
     miss = any_of(F.col("kept") & F.col("size").isNotNull() & ~hit)
     rows = rows.withColumn("_some", any_of(F.col("kept") & hit) & miss)
     return keep(rows, hit, where=F.col("_some")).drop("_some")
@@ -71,7 +73,7 @@ def by_tier(rows: DataFrame) -> DataFrame:
     tier = X.normalize("fabric_tier")
     words = F.filter(X.tokenize_loose("fabric_tier"), lambda w: ~w.isin(*X.TIER_FILLER))
     variants = F.array_distinct(F.collect_set(X.normalize("model_variant")).over(BY))
-    plain = F.aggregate(variants, X.strip_name(X.normalize("text"), X.normalize("product_name")), lambda a, v: F.when(v != "", F.replace(a, v, F.lit(" "))).otherwise(a))
+    plain = F.aggregate(variants, F.col("plain"), lambda a, v: F.when(v != "", F.replace(a, v, F.lit(" "))).otherwise(a))
     asked = X.not_empty(F.split(plain, "[^a-z0-9]+"))
     raw = (F.size(words) > 0) & (F.size(F.array_except(words, asked)) == 0)
     resolves = lambda t: (tier == t) | F.array_contains(F.split(tier, "[^a-z0-9]+"), t) | ((F.length(t) >= 3) & F.contains(tier, t))
@@ -85,7 +87,7 @@ def by_tier(rows: DataFrame) -> DataFrame:
 
 def shared_words(c: str) -> Column:
     """Words of four letters or with a digit of a column, that the message has."""
-    return F.size(F.filter(F.array_intersect(X.tokenize_loose(c), X.tokenize_loose("text")), lambda w: (F.length(w) >= 4) | w.rlike(r"\d")))
+    return F.size(F.filter(F.array_intersect(X.tokenize_loose(c), "asked"), lambda w: (F.length(w) >= 4) | w.rlike(r"\d")))
 
 
 def by_context(rows: DataFrame) -> DataFrame:
@@ -98,13 +100,12 @@ def by_context(rows: DataFrame) -> DataFrame:
 def by_variant(rows: DataFrame) -> DataFrame:
     """The variant whose short code the message names; else the one whose suffix it contains, longest first; else those that share most words with at most three
     unmatched more than the best; else variants of the previous turn; else, unless everything is wanted, the only one that is no add-on. Adds ``by_rule``."""
-    code, own = X.short_code("text"), X.short_code("model_variant")
+    own = X.short_code("model_variant")
     suffix = F.regexp_replace(X.variant_suffix("model_variant", "product_name"), "[^a-z0-9]", "")
-    compact = F.regexp_replace(X.strip_name(X.normalize("text"), X.normalize("product_name")), "[^a-z0-9]", "")
     shared, words = shared_words("model_variant"), F.size(X.tokenize_loose("model_variant"))
     addon = F.avg(F.when(F.col("kept"), F.trim("price_eur").startswith("+").cast("int"))).over(Window.partitionBy("qid", "product_name", "model_variant")) > 0.5
-    rows = rows.withColumn("_code", F.col("kept") & F.coalesce(own == code, F.lit(False)))
-    rows = rows.withColumn("_len", F.when(F.col("kept") & (F.length(suffix) >= 3) & F.contains(compact, suffix), F.length(suffix)).otherwise(0))
+    rows = rows.withColumn("_code", F.col("kept") & F.coalesce(own == F.col("asked_code"), F.lit(False)))
+    rows = rows.withColumn("_len", F.when(F.col("kept") & (F.length(suffix) >= 3) & F.contains("compact", suffix), F.length(suffix)).otherwise(0))
     rows = rows.withColumn("_shared", F.when(F.col("kept") & F.col("model_variant").isNotNull(), shared).otherwise(0)).withColumn("_rest", words - F.col("_shared"))
     rows = rows.withColumn("_last", F.col("kept") & F.coalesce(F.array_contains("last_variants", F.col("model_variant")), F.lit(False)))
     rows = rows.withColumn("_main", F.col("kept") & ~F.coalesce(addon, F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import narrow, resolve
+from ..sources.staging import staged
 
 
 def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFrame:
@@ -24,13 +25,13 @@ def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> Data
     codes = prices.select("brand", "product_name", "code", F.col("variant_context").alias("context"))
     named = resolve.mentions(q, names).select("qid", "product_name")
     guesses = q.select("qid", "brand", F.explode("intent.product_names").alias("guess"))
-    named = resolve.without_fragments(resolve.validated(guesses, names), named)
-    coded = resolve.by_code(q, codes).select("qid", "product_name")
-    scored = resolve.matches(q, names)
+    named = staged(resolve.without_fragments(resolve.validated(guesses, names), named), "named")
+    coded = staged(resolve.by_code(q, codes).select("qid", "product_name"), "coded")
+    scored = staged(resolve.matches(q, names), "scored")
     top = resolve.tied(scored)
     best = scored.where("rank = 1").select("qid", F.col("score").alias("best"))
     full = resolve.maximal(top.select("qid", "product_name"))
-    phrased = resolve.by_phrase(q, resolve.phrase_index(prices)).select("qid", "product_name").distinct()
+    phrased = staged(resolve.by_phrase(q, resolve.phrase_index(prices)).select("qid", "product_name").distinct(), "phrased")
     explained = resolve.anchor_explains(q, prices)
     anchor = q.where("last_product is not null").select("qid", F.col("last_product").alias("product_name"))
     counted = lambda d: d.withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
@@ -64,7 +65,8 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
     A question of several products is scoped to clauses (R9, R13) before the chain; a choice to clarify lists its
     candidates (L4: the first five, with the number of the others in ``hidden``) and no rows.
     """
-    found = decisions(questions, names, prices)
+    questions, names, prices = staged(questions, "questions"), staged(names, "names"), staged(prices, "prices")
+    found = staged(decisions(questions, names, prices), "decisions")
     multi = found.where("outcome = 'multi'")
     claims = multi.select("qid", "product_name", F.dense_rank().over(Window.partitionBy("qid").orderBy("product_name")).alias("claim"))
     lookups = found.where("outcome = 'lookup'").join(resolve.related_clauses(questions, found.where("outcome = 'lookup'").select("qid", "product_name"), prices), "qid").select("qid", "product_name", F.col("scoped").alias("clause"))

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .resolve import full_list
 
-BY = Window.partitionBy("qid", "product_name")
+def by_task():
+    return Window.partitionBy("qid", "product_name")
 
 
 def any_of(c: Column) -> Column:
-    return F.coalesce(F.max(c).over(BY), F.lit(False))
+    return F.coalesce(F.max(c).over(by_task()), F.lit(False))
 
 
 def task_table(questions: DataFrame, chosen: DataFrame, clause: str | None = None) -> DataFrame:
@@ -72,13 +73,13 @@ def by_tier(rows: DataFrame) -> DataFrame:
     """Tiers that the message holds word for word (but cat and category), or known ones that a tier of the product contains; those inside longer ones drop out. Adds ``tier_filtered``."""
     tier = X.normalize("fabric_tier")
     words = F.filter(X.tokenize_loose("fabric_tier"), lambda w: ~w.isin(*X.TIER_FILLER))
-    variants = F.array_distinct(F.collect_set(X.normalize("model_variant")).over(BY))
+    variants = F.array_distinct(F.collect_set(X.normalize("model_variant")).over(by_task()))
     plain = F.aggregate(variants, F.col("plain"), lambda a, v: F.when(v != "", F.replace(a, v, F.lit(" "))).otherwise(a))
     asked = X.not_empty(F.split(plain, "[^a-z0-9]+"))
     raw = (F.size(words) > 0) & (F.size(F.array_except(words, asked)) == 0)
     resolves = lambda t: (tier == t) | F.array_contains(F.split(tier, "[^a-z0-9]+"), t) | ((F.length(t) >= 3) & F.contains(tier, t))
     rows = rows.withColumn("hit", F.col("fabric_tier").isNotNull() & (raw | F.exists("tiers", resolves)))
-    hits = F.collect_set(F.when(F.col("hit"), tier)).over(BY)
+    hits = F.collect_set(F.when(F.col("hit"), tier)).over(by_task())
     rows = rows.withColumn("hits", hits)
     longest = ~F.exists("hits", lambda o: (o != tier) & X.contains_word(o, tier))
     rows = rows.withColumn("tier_filtered", F.size("hits") > 0)
@@ -93,7 +94,7 @@ def shared_words(c: str) -> Column:
 def by_context(rows: DataFrame) -> DataFrame:
     """Contexts that share most words with the message; rows without context stay."""
     rows = rows.withColumn("_n", F.when(F.col("kept") & F.col("variant_context").isNotNull(), shared_words("variant_context")).otherwise(0))
-    rows = rows.withColumn("_m", F.max("_n").over(BY))
+    rows = rows.withColumn("_m", F.max("_n").over(by_task()))
     return keep(rows, (F.col("_n") == F.col("_m")) | F.col("variant_context").isNull(), where=F.col("_m") > 0).drop("_n", "_m")
 
 
@@ -109,9 +110,9 @@ def by_variant(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_shared", F.when(F.col("kept") & F.col("model_variant").isNotNull(), shared).otherwise(0)).withColumn("_rest", words - F.col("_shared"))
     rows = rows.withColumn("_last", F.col("kept") & F.coalesce(F.array_contains("last_variants", F.col("model_variant")), F.lit(False)))
     rows = rows.withColumn("_main", F.col("kept") & ~F.coalesce(addon, F.lit(False)))
-    mains = F.size(F.collect_set(F.when(F.col("_main"), F.coalesce("model_variant", F.lit("")))).over(BY))
-    rows = rows.withColumn("_mains", mains).withColumn("_ml", F.max("_len").over(BY)).withColumn("_ms", F.max("_shared").over(BY))
-    rows = rows.withColumn("_least", F.min(F.when((F.col("_shared") == F.col("_ms")) & (F.col("_ms") > 0), F.col("_rest"))).over(BY))
+    mains = F.size(F.collect_set(F.when(F.col("_main"), F.coalesce("model_variant", F.lit("")))).over(by_task()))
+    rows = rows.withColumn("_mains", mains).withColumn("_ml", F.max("_len").over(by_task())).withColumn("_ms", F.max("_shared").over(by_task()))
+    rows = rows.withColumn("_least", F.min(F.when((F.col("_shared") == F.col("_ms")) & (F.col("_ms") > 0), F.col("_rest"))).over(by_task()))
     rule = F.when(any_of(F.col("_code")), "code").when(F.col("_ml") > 0, "suffix").when(F.col("_ms") > 0, "words").when(any_of(F.col("_last")) & ~F.col("wants_all"), "last").when((F.col("_mains") == 1) & ~F.col("wants_all"), "main").otherwise("none")
     rows = rows.withColumn("by_rule", rule)
     hit = F.when(F.col("by_rule") == "code", F.col("_code")).when(F.col("by_rule") == "suffix", F.col("_len") == F.col("_ml")).when(F.col("by_rule") == "words", (F.col("_shared") == F.col("_ms")) & (F.col("_rest") <= F.col("_least") + 3))
@@ -130,7 +131,7 @@ def narrowed(tasks: DataFrame, prices: DataFrame) -> DataFrame:
     clean = F.col("kept") & ~F.coalesce("ambiguous", F.lit(False))
     rows = rows.withColumn("any_row", any_of(F.col("row_ord").isNotNull())).withColumn("any_kept", any_of(F.col("kept"))).withColumn("any_clean", any_of(clean))
     rows = rows.withColumn("kept", F.when(F.col("any_clean"), clean).otherwise(F.col("kept")))
-    n = F.count_if("kept").over(BY)
+    n = F.count_if("kept").over(by_task())
     status = F.when(~F.col("any_row"), "no_price_data").when(~F.col("any_kept"), "no_matching_variant").when(~F.col("any_clean"), "ambiguous_price").when(n == 1, "ok").when(F.col("wants_all") & ~F.col("tier_filtered"), "full_price_grid").otherwise("multiple_options")
     return rows.withColumn("n_rows", n).withColumn("status", status).drop("any_row", "any_kept", "any_clean", "real")
 

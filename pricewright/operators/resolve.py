@@ -72,7 +72,7 @@ def scores(questions: DataFrame, names: DataFrame) -> DataFrame:
     q_keys = keys(F.col("qt"), "q", F.concat(F.transform(word(F.col("q")), lambda x: F.concat(F.lit("c "), x)), F.array(F.concat(F.lit("q "), F.array_join("qt", "")), F.concat(F.lit("e "), F.col("q")))))
     n_keys = keys(F.col("ct"), "c", F.concat(F.transform(word(F.col("c")), lambda x: F.concat(F.lit("q "), x)), F.array(F.concat(F.lit("c "), F.array_join("ct", "")), F.concat(F.lit("e "), F.col("c")))))
     by_key = q.select("qid", "brand", F.explode(q_keys).alias("k")).join(n.select("brand", "product_name", F.explode(n_keys).alias("k")), ["brand", "k"]).select("qid", "brand", "product_name")
-    odd_names = q.where(F.size("qt") > 1).select("qid", "brand").join(n.where(odd(F.col("ct"))).select("brand", "product_name"), "brand")
+    odd_names = n.where(odd(F.col("ct")) & (F.size("ct") > 1)).select("brand", "product_name", F.array_join("ct", "").alias("whole")).join(q.select("qid", "brand", "q"), "brand").where(X.contains_word("q", "whole")).select("qid", "brand", "product_name")
     odd_questions = q.where(odd(F.col("qt")) & (F.size("qt") > 1)).select("qid", "brand", "qt").join(n.select("brand", "product_name", "c"), "brand").where(X.contains_word("c", F.array_join("qt", ""))).select("qid", "brand", "product_name")
     pairs = by_key.unionByName(odd_names).unionByName(odd_questions).distinct()
     joined = pairs.join(q, ["qid", "brand"]).join(n, ["brand", "product_name"])

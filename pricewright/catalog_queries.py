@@ -226,7 +226,14 @@ def family_prefix(spark, d):
     return resolve.families(adapter.catalog_index(spark, d))
 
 
-@query()
+@query(f"""WITH {{model}}, n AS (SELECT brand, product_name, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM idx),
+p AS (SELECT brand, product_name, k AS shared, array_to_string(t[1:k], ' ') AS family FROM n, range(1, len(t) + 1) r(k)), c AS (SELECT brand, family FROM p GROUP BY ALL HAVING count(*) > 1),
+f AS (SELECT brand, product_name, max(shared) AS shared, max_by(family, shared) AS family FROM p JOIN c USING (brand, family) GROUP BY ALL),
+m AS (SELECT f.brand, family, product_name AS member, t AS mt FROM f JOIN n USING (brand, product_name)),
+q AS (SELECT qid, q.brand, family, shared, {TOKENS.format(NORMAL.format('message'))} AS t FROM questions q JOIN f ON f.brand = q.brand AND f.product_name = q.target WHERE {NORMAL.format('message')} <> {NORMAL.format('target')}),
+o AS (SELECT qid, member, mt FROM q JOIN m USING (brand, family) WHERE list_has_all(t, mt[shared + 1:])),
+x AS (SELECT qid, member FROM o WHERE NOT EXISTS (SELECT 1 FROM o w WHERE w.qid = o.qid AND len(w.mt) > len(o.mt) AND list_has_all(w.mt, o.mt)))
+SELECT qid, member AS product_name FROM x QUALIFY count(*) OVER (PARTITION BY qid) > 1""")
 def family_ambiguity(spark, d):
     q = adapter.questions(spark, d)
     return resolve.family_ambiguity(q, q.select("qid", F.col("target").alias("product_name")), adapter.catalog_index(spark, d))
@@ -293,22 +300,35 @@ def size_numeric_filter(spark, d):
     return _count(narrow.by_size(_rows(spark, d).where("size_wanted is not null")))
 
 
-@query()
+TASKS = rf"""
+tk0 AS (SELECT qid, q.brand, target AS product_name, {NORMAL.format('message')} AS q, {NORMAL.format('target')} AS n FROM questions q),
+tk1 AS (SELECT *, replace(q, n, ' ') AS p, array_to_string(string_split(n, ' ')[1:2], ' ') AS two FROM tk0),
+tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, regexp_matches(q, '\\b(all|full|complete|every)\\b') AS wants_all FROM tk1),
+tr AS (SELECT tk.*, model_variant, variant_context, size, fabric_tier, price_eur, row_ord, ambiguous FROM tk JOIN prices USING (brand, product_name))"""
+
+
+@query("WITH {model}, " + TASKS + " SELECT qid, product_name, count(*) AS kept, count(*) AS rows FROM tr GROUP BY ALL")
 def size_word_filter(spark, d):
     return _count(narrow.by_size_words(_rows(spark, d)))
 
 
-@query()
+@query("WITH {model}, " + TASKS + r""", h AS (SELECT *, fabric_tier IS NOT NULL AND list_has_all(list_filter(string_split_regex(replace(replace(replace(plain, 'h.27', ' '), 'h.7', ' '), '2-er base', ' '), '[^a-z0-9]+'), lambda x: x <> ''), [lower(split_part(fabric_tier, ' ', 2))]) AS hit FROM tr),
+f AS (SELECT *, bool_or(hit) OVER (PARTITION BY qid, product_name) AS tier_filtered FROM h) SELECT qid, product_name, tier_filtered, count(*) FILTER (hit OR NOT tier_filtered) AS kept, count(*) AS rows FROM f GROUP BY ALL""")
 def tier_resolve(spark, d):
     return _count(narrow.by_tier(_rows(spark, d)), "tier_filtered")
 
 
-@query()
+@query("WITH {model}, " + TASKS + " SELECT qid, product_name, count(*) AS kept, count(*) AS rows FROM tr GROUP BY ALL")
 def context_narrow(spark, d):
     return _count(narrow.by_context(_rows(spark, d)))
 
 
-@query()
+@query("WITH {model}, " + TASKS + r""", v AS (SELECT *, CASE model_variant WHEN 'h.7' THEN 'h7' WHEN 'h.27' THEN 'h27' END AS own, regexp_replace(regexp_extract(q, '\bh[.\s]?\s*[0-9]+\b'), '[^h0-9]', '', 'g') AS code, regexp_replace(plain, '[^a-z0-9]', '', 'g') AS compact, regexp_replace(model_variant, '[^a-z0-9]', '', 'g') AS suffix,
+  avg(starts_with(price_eur, '+')::INT) OVER (PARTITION BY qid, product_name, model_variant) > 0.5 AS add_on FROM tr),
+w AS (SELECT *, coalesce(own = code, false) AS c, CASE WHEN length(suffix) >= 3 AND contains(compact, suffix) THEN length(suffix) ELSE 0 END AS s FROM v),
+x AS (SELECT *, bool_or(c) OVER p AS any_c, max(s) OVER p AS most, len(list(DISTINCT CASE WHEN NOT add_on THEN coalesce(model_variant, '') END) FILTER (NOT add_on) OVER p) AS mains FROM w WINDOW p AS (PARTITION BY qid, product_name)),
+y AS (SELECT *, CASE WHEN any_c THEN 'code' WHEN most > 0 THEN 'suffix' WHEN mains = 1 AND NOT wants_all THEN 'main' ELSE 'none' END AS by_rule FROM x)
+SELECT qid, product_name, by_rule, count(*) FILTER (CASE by_rule WHEN 'code' THEN c WHEN 'suffix' THEN s = most WHEN 'main' THEN NOT add_on ELSE true END) AS kept, count(*) AS rows FROM y GROUP BY ALL""")
 def variant_choice(spark, d):
     return _count(narrow.by_variant(_rows(spark, d)), "by_rule")
 
@@ -704,12 +724,20 @@ def _words(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("top"), (F.col("l_partkey") % 300).cast("double").alias("left"), F.col("l_linenumber").cast("string").alias("text"))
 
 
-@query()
+ROWS = """
+wl AS (SELECT l_orderkey AS page, list({'top': l_quantity, 'x': (l_partkey % 300)::DOUBLE, 'name': l_linenumber::VARCHAR, 'row': -1::BIGINT, 'rows': []::BIGINT[]} ORDER BY l_quantity, l_partkey % 300, l_linenumber::VARCHAR) AS w FROM lineitem GROUP BY 1),
+wr AS (SELECT page, w, list_reduce(w, lambda a, b: CASE WHEN a.row < 0 OR abs(b.top - a.top) > 3 THEN {'top': b.top, 'x': b.x, 'name': b.name, 'row': a.row + 1, 'rows': list_append(a.rows, a.row + 1)}
+  ELSE {'top': a.top, 'x': b.x, 'name': b.name, 'row': a.row, 'rows': list_append(a.rows, a.row)} END, {'top': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'name': '', 'row': -1::BIGINT, 'rows': []::BIGINT[]}).rows AS r FROM wl),
+rw AS (SELECT page, unnest(w) AS w, unnest(r)::INT AS row FROM wr)"""
+
+
+@query("WITH " + ROWS + " SELECT page, row, count(*) AS n, min(w.top)::INT AS top FROM rw GROUP BY ALL")
 def row_clustering(spark, d):
     return extract.rows_of_words(_words(spark, d)).groupBy("page", "row").agg(F.count("*").alias("n"), F.min("top").cast("int").alias("top"))
 
 
-@query()
+@query("WITH " + ROWS + """, g AS (SELECT page, row, w.x AS x, coalesce(w.x - lag(w.x) OVER (PARTITION BY page, row ORDER BY w.x) > 80, false)::INT AS wide FROM rw),
+c AS (SELECT page, row, max(wide) OVER (PARTITION BY page, row ORDER BY x) AS "column" FROM g) SELECT page, row, "column", count(*) AS n FROM c GROUP BY ALL""")
 def gutter_split(spark, d):
     return extract.split_at_gap(extract.rows_of_words(_words(spark, d))).groupBy("page", "row", "column").agg(F.count("*").alias("n"))
 

@@ -12,30 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import with_ids, written
+from .tables import small_batches, sole, with_ids, written
 
 #: Word hashes kept in a worker at most; the cache is emptied when full.
-CACHE = 500_000
-#: Counters of the n-gram frequency sketch: a fixed 4 MB whatever the corpus; they only order n-grams, results don't depend on them.
-SKETCH_BITS, SKETCH_BLOCK = 21, 4096
+CACHE = 200_000
+#: Counters of the n-gram frequency sketch: a fixed 16 MB whatever the corpus; they only order n-grams, results don't depend on them.
+SKETCH_BITS, SKETCH_BLOCK = 24, 32768
+#: Rows of a column that are paired at once at most; columns of more go by pivots.
+SHORT = 8
 
-_words: dict[bytes, int] = {}
+
+class Words(dict):
+    """Signed 64-bit hashes of the words that a worker has seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return h
+
+
+_words = Words()
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text, A-Z lower-cased; fewer words make one shingle, none make none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
-    n, get = len(words), _words.get
+    n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
     if len(_words) > CACHE:
         _words.clear()
-    ids = []
-    for w in words:
-        if (h := get(w)) is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        ids.append(h)
-    ids = np.array(ids, dtype=np.uint64)
+    ids = np.fromiter(map(_words.__getitem__, words), dtype=np.int64, count=n).view(np.uint64)
     width = min(n, k)
     acc = np.full(n - width + 1, 0x2545F4914F6CDD1D + width, dtype=np.uint64)
     for j in range(width):
@@ -51,6 +57,7 @@ def least_overlap(n, num: int, den: int):
 
 
 def _sets(batches, k: int):
+    sole(_words)
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
@@ -71,13 +78,13 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, class) of each document, and counter blocks (block, counts) of the n-gram frequency sketch of each task."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for ids, sets in _sets(batches, k):
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_class, sets), pa.binary()), none, pa.nulls(len(sets), pa.binary())], names=["doc_id", "n", "class", "block", "counts"])
             if sets and len(flat := np.concatenate(sets)):
                 at, more = np.unique(flat >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                counts[at] += more.astype(np.uint32)
+                counts[at] = np.minimum(counts[at] + more, 255)
         blocks = [i for i in range(0, len(counts), SKETCH_BLOCK) if counts[i : i + SKETCH_BLOCK].any()]
         packed = [zlib.compress(counts[i : i + SKETCH_BLOCK].tobytes(), 1) for i in blocks]
         none = pa.nulls(len(blocks), pa.int64())
@@ -87,21 +94,21 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
 
 
 def frequency_sketch(found: DataFrame) -> np.ndarray:
-    """The summed counters, capped at 15 bits; each task adds its blocks as they come. The driver gets 4 MB at most."""
+    """The summed counters, capped at 255; each task adds its blocks as they come. The driver gets 16 MB at most."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
-                sums[block] = sums.get(block, 0) + more.astype(np.uint64)
-        packed = [np.minimum(v, 0x7FFF).astype(np.uint16).tobytes() for v in sums.values()]
+                more = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+                sums[block] = np.minimum(sums[block].astype(np.uint16) + more, 255).astype(np.uint8) if block in sums else more
+        packed = [v.tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     blocks = found.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for row in blocks.collect():
-        out[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(row.counts, dtype=np.uint16)
+        out[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(row.counts, dtype=np.uint8)
     return out
 
 
@@ -158,10 +165,10 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
     1. Documents of equal sets form a class, named by its smallest id; only these go on.
     2. Of the incidence matrix (class by n-gram) the columns that size bounds allow are kept: the rarest n-grams of
-       each row. The product of the matrix with itself runs column by column: the row with the fewest rarer n-grams
-       is the pivot, every other row is paired with it. Pairs below the size or place bounds are discarded, the
-       overlap of the others is counted over whole rows. This costs one pair for each kept cell, however large a column.
-    3. Links make components. Columns whose rows are in several components then pair the rows outside the largest
+       each row. The product of the matrix with itself runs column by column: rows of short columns are all paired;
+       in longer ones the row with the fewest rarer n-grams is the pivot, every other row is paired with it. Pairs below the size or place bounds are discarded, the
+       overlap of the others is counted over whole rows. This costs a few pairs for each kept cell, however large a column.
+    3. Links make components. Long columns whose rows are in several components then pair the rows outside the largest
        one with all rows of other components. Pairs within a component are never needed, so all links between
        different components are found, exactly.
 
@@ -169,7 +176,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     sets. Rows of the same id count as one document; rows with null ids join a class, but a class of null ids links
     with nothing. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(digests(docs, k), "digests")
     known = found.where("block is null").select("doc_id", "n", "class")
     classes = written(known.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
@@ -177,13 +184,18 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     rows = prefixes(docs, sketch, k, num, den).where("n > 0")
     rows = rows.join(classes, (rows["class"] == classes["class"]) & (rows.doc_id == classes.rep), "left_semi").select(F.col("doc_id").alias("id"), "n", "tokens")
     rows = written(rows, "prefixes")
-    cells = rows.select("id", "n", F.posexplode("tokens").alias("at", "token"))
-    order = F.shiftleft(F.col("at").cast("long"), 44) + F.xxhash64("id").bitwiseAND((1 << 44) - 1)
-    pivots = cells.withColumn("o", order).groupBy("token").agg(F.count("*").alias("c"), F.min_by("id", "o").alias("pid"), F.min_by("n", "o").alias("pn"), F.min("o").alias("o"))
-    pivots = written(pivots.where("c > 1").select("token", "pid", "pn", F.shiftright("o", 44).alias("pat")), "pivots")
-    cells = written(cells.join(pivots, "token"), "cells")
+    cells = rows.select("id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    place = F.shiftleft(F.col("at").cast("long"), 44) + F.xxhash64("id").bitwiseAND((1 << 44) - 1)
+    shared = written(cells.groupBy("token").agg(F.count("*").alias("c"), F.min(place).alias("po")).where("c > 1"), "shared")
+    cells = written(cells.join(shared, "token"), "cells")
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    pairs = cells.where("id <> pid").where(within_bounds("n", "at", "pn", "pat", num, den)).select(*pair("id", "pid")).distinct()
+    short = cells.where(F.col("c") <= SHORT).groupBy("token").agg(F.collect_list(F.struct("id", "n", "at")).alias("l"))
+    short = short.select("l", F.posexplode("l").alias("i", "x")).select("x.*", F.explode(F.slice("l", F.col("i") + 2, SHORT)).alias("y")).select("id", "n", "at", *(F.col(f"y.{c}").alias(f"p{c}") for c in ("id", "n", "at")))
+    cells = cells.where(F.col("c") > SHORT)
+    pivots = written(cells.where(place == F.col("po")).groupBy("token").agg(F.min("id").alias("pid"), F.first("n").alias("pn"), F.first("at").alias("pat")), "pivots")
+    cells = cells.select("token", "id", "n", "at")
+    starred = cells.join(pivots, "token").select("id", "n", "at", "pid", "pn", "pat")
+    pairs = short.unionByName(starred).where("id <> pid").where(within_bounds("n", "at", "pn", "pat", num, den)).select(*pair("id", "pid")).distinct()
     links = written(verified(docs, written(pairs, "pairs"), k, num, den), "verified")
     groups = written(connected_components(links), "groups")
 
@@ -209,3 +221,14 @@ def without_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     found = similar_groups(docs, k, num, den)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return with_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+
+
+GROUPS_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(id, x) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.x = l.a),
+m AS (SELECT id, min(x) AS c FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id FROM s JOIN m ON id = doc_id
+"""

@@ -12,8 +12,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .tables import small_batches, sole
+
 #: Words kept in a worker's cache at most; it is emptied when full.
-CACHE = 400_000
+CACHE = 200_000
 
 #: White space and the word pattern of the byte-level vocabulary.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -133,6 +135,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep
 
     def run(batches):
         bpe = tokenizer(shared.value)
+        sole(bpe.cache)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -148,4 +151,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches, sole
+
 #: Hashed features; a model is 2**BITS floats and its thresholds, 1 MB, whatever the corpus.
 BITS = 18
 #: Words kept in a worker's cache at most.
-CACHE = 500_000
+CACHE = 150_000
 #: Labelled rows that a model is fitted on at most, those of the smallest id hashes.
 FIT_ROWS = 12_000
 #: Characters around a word that are features of their own when there is more than one of them.
@@ -134,12 +136,13 @@ def training_rows(docs: DataFrame, grades: DataFrame, rows: int = FIT_ROWS) -> t
     picked = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it is broadcast
 
     def run(batches):
+        sole(_words)
         for batch in batches:
             found = [features(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["grade", "found"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = text.join(F.broadcast(picked), "doc_id").select("grade", "text").mapInArrow(run, "grade int, found binary").toArrow()
+    got = small_batches(text).join(F.broadcast(picked), "doc_id").select("grade", "text").mapInArrow(run, "grade int, found binary").toArrow()
     found = [np.frombuffer(x, dtype=np.int32) for x in got.column("found").to_pylist()]
     order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # the same fit however tasks are ordered
     return [found[i] for i in order], np.array(got.column("grade").to_pylist(), dtype=np.int64)[order] if found else np.empty(0, dtype=np.int64)
@@ -149,35 +152,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
     return fit_ordinal(*training_rows(docs, graded(labels), rows))
 
 
-def score(docs: DataFrame, model: OrdinalModel, least: float = 0.5, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, expected_grade, p_low (grade 0), p_top (the top grade) and selected (p_top >= ``least``) of each document; ``extra`` columns pass.
-
-    Null and empty texts have the features of a text without words. Very long texts are read whole. Repeated rows
-    and null ids: a result for each row. Empty table: no rows.
-    """
+def judge(docs: DataFrame, model: OrdinalModel, result, schema) -> DataFrame:
+    """Applies ``result`` to batches of ``docs`` and the tail probabilities of their texts; the model is broadcast, 1 MB."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
-    extra = extra or []
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)))
-    schema = "doc_id long, expected_grade double, p_low double, p_top double, selected boolean" + "".join(f", x{i} {kept.schema[f'x{i}'].dataType.simpleString()}" for i in range(len(extra)))
+    at = docs.columns.index("text")
 
     def run(batches):
-        weights, cuts = shared.value
-        judge = OrdinalModel(weights, cuts)
+        sole(_words)
+        fitted = OrdinalModel(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                tails = judge.tails([features(t.as_py()) for t in part.column(1)]).astype(float)
-                out = [part.column(0), pa.array(tails.sum(1)), pa.array(1 - tails[:, 0]), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)]
-                yield pa.RecordBatch.from_arrays([*out, *(part.column(2 + i) for i in range(len(extra)))], names=["doc_id", "expected_grade", "p_low", "p_top", "selected", *(f"x{i}" for i in range(len(extra)))])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield result(part, fitted.tails([features(t.as_py()) for t in part.column(at)]).astype(float))
+
+    return small_batches(docs).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
+    """doc_id, expected_grade, p_low (grade 0), p_top (the top grade) and selected (p_top >= ``least``) of each document.
+
+    Null and empty texts have the features of a text without words. Very long texts are read whole. Repeated rows
+    and null ids: a result for each row. Empty table: no rows. Other columns are ignored.
+    """
+
+    def result(part, tails):
+        out = [part.column(0), pa.array(tails.sum(1)), pa.array(1 - tails[:, 0]), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least)]
+        return pa.RecordBatch.from_arrays(out, names=["doc_id", "expected_grade", "p_low", "p_top", "selected"])
 
-    out = kept.mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)}) if extra else out
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return judge(ids, model, result, "doc_id long, expected_grade double, p_low double, p_top double, selected boolean")
 
 
 def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects: a narrow pass, texts are not shuffled."""
-    model = fit(docs, labels)
-    names = docs.columns
-    numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id"), F.col("text"))
-    out = score(numbered, model, least, [f"c{i}" for i in range(len(names))]).where("selected")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    """``docs`` without the documents that the classifier rejects, all columns as they are: a narrow pass, texts are not shuffled."""
+    return judge(docs, fit(docs, labels), lambda part, tails: part.filter(pa.array(tails[:, -1] >= least)), docs.schema)

@@ -43,6 +43,25 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+_caches: list = []
+
+
+def sole(cache):
+    """``cache`` (anything with ``clear``) of an operator in a Python worker; those of other operators, which the worker ran before, are emptied."""
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    _caches[:] = [cache]
+    return cache
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session was told to pass texts to Python in batches of 2,000 rows and 16 MB at most, so that long ones don't add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def words_of(text):
     """Column: the array of words ``[^\\x20\\x09-\\x0D]+`` of a text; null and empty texts have none."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACE[1:], " " * (len(SPACE) - 1))

@@ -87,8 +87,8 @@ def ordered(parts: DataFrame) -> DataFrame:
 
     A result follows its call, a call the results that it is ``after``. Parts whose needs stand before them keep
     their turn (at = turn, depth 0); one that stands too early moves to the last of its needs, a depth further.
-    Rounds go on, over the moved parts only, until nothing moves; what still moves after as many rounds as parts
-    moved lies behind a cycle, keeps its turn and is marked.
+    Rounds go on, over the moved parts only, until nothing moves; what is deeper than parts moved in a conversation,
+    after twice as many rounds, lies behind a cycle, keeps its turn and is marked.
     """
     node = F.struct("turn", "part", "kind")
     p = parts.withColumn("node", node)
@@ -108,11 +108,11 @@ def ordered(parts: DataFrame) -> DataFrame:
         found = known.where((F.coalesce("need_at", "need.turn") > F.col("node.turn")) | F.col("need_depth").isNotNull() & (F.coalesce("need_at", "need.turn") >= F.col("node.turn")) | (F.col("need.turn") == F.col("node.turn")) & (F.col("need.part") >= F.col("node.part")))
         places = written(found.groupBy("conv_id", "node").agg(F.max(place).alias("p")).select("conv_id", "node", "p.at", "p.depth"), "places")
         now = places.agg(F.count("*"), F.sum(F.xxhash64("conv_id", "node", "at", "depth").cast("decimal(38,0)"))).first()
+        most = places.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
         rounds += 1
-        settled = now == last or rounds > now[0] + 1
+        settled = now == last or rounds > 2 * most + 2
         if now != last and settled:
-            moving = places.where(F.col("depth") >= rounds)
-            places = places.join(moving.select("conv_id", "node", F.lit(True).alias("cyclic")), ["conv_id", "node"], "left")
+            places = places.withColumn("cyclic", F.col("depth") > most)
         last = now
     if "cyclic" not in places.columns:
         places = places.withColumn("cyclic", F.lit(None).cast("boolean"))

@@ -148,3 +148,19 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     d = d.withColumn("_l", lines)
     left = F.when(F.col("gone").isNotNull(), F.array_join(F.flatten(parts), "\n")).otherwise(text)
     return d.select(*(left.alias("text") if c == "text" else F.col(c) for c in names), F.greatest(F.size("_l"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))
+
+
+DEDUP_SQL = f"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, text, unnest(range(len(l))) AS i, unnest(l) AS raw FROM d),
+y AS (SELECT doc_id, i, trim(translate(raw, chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS s FROM x),
+z AS (SELECT *, len(list_filter(string_split(s, ' '), lambda q: q <> '')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM y WHERE s <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY j) AS cw FROM z),
+f AS (SELECT a.doc_id, a.j AS a, min(b.j) AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.cw - a.cw + a.w >= {MIN_WORDS} GROUP BY 1, 2
+  UNION SELECT a.doc_id, max(b.j), a.j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j <= a.j AND a.cw - b.cw + b.w >= {MIN_WORDS} GROUP BY a.doc_id, a.j),
+k AS (SELECT f.doc_id, a, b, string_agg(s, chr(10) ORDER BY j) AS run FROM f JOIN c ON c.doc_id = f.doc_id AND j BETWEEN a AND b GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS n FROM k),
+g AS (SELECT DISTINCT r.doc_id, c.i FROM r JOIN c ON c.doc_id = r.doc_id AND j BETWEEN a AND b WHERE n > 1)
+SELECT x.doc_id, CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END AS n_lines, count(g.i) AS n_gone, md5(coalesce(string_agg(raw, chr(10) ORDER BY x.i) FILTER (g.i IS NULL), '')) AS text_md5
+FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id
+"""

@@ -74,4 +74,12 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_chat": chat.TURNS_SQL, "op4_licences": licenses.scan_sql(), "op7_quality_rules": quality_rules.RULES_SQL, "op8_urls": urls.judged_sql()}
+#: Queries that SQL can express. Not here: mixing (a hash order and a schedule), BPE, nearest neighbours and fitted models; tests hold these against brute force.
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.DEDUP_SQL,
+    "op2_chat": chat.TURNS_SQL,
+    "op4_licences": licenses.scan_sql(),
+    "op6_ngram_jaccard": ngram_join.GROUPS_SQL,
+    "op7_quality_rules": quality_rules.RULES_SQL,
+    "op8_urls": urls.judged_sql(),
+}

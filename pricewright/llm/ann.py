@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import small_batches, written
 
 #: Vectors that the index is fitted on at most, those of the smallest id hashes; every vector is indexed.
 FIT_ROWS = 16_384
@@ -89,7 +89,9 @@ def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
     books = [kmeans(rest[:, m], 256, 6, random) for m in range(parts)]
     books = [np.concatenate([b, np.repeat(b[:1], 256 - len(b), 0)]) for b in books]
     index.books = np.stack(books)
-    tried = random.choice(len(x), min(512, len(x)), replace=False)
+    x = np.unique(x, axis=0)  # copies of one vector, which are easy to find, don't count more than others
+    of = nearest(x, centres)
+    tried = random.choice(len(x), min(1024, len(x)), replace=False)
     near = x[tried] @ x.T
     near[np.arange(len(tried)), tried] = -9
     best = np.argpartition(-near, min(5, len(x) - 1), axis=1)[:, :5]
@@ -99,21 +101,22 @@ def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
     return index
 
 
-def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12, rerank: int = 64, part: int = 2, target: float = 0.97, seed: int = 11) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12, rerank: int = 64, part: int = 2, target: float = 0.99, seed: int = 11) -> DataFrame:
     """The ``k`` nearest vectors by cosine of each query (vec_id divisible by ``every``): query_id, rank, vec_id, score.
 
     Vectors are coded once, with their list and a block of it; a list of any size falls into blocks of some
     hundred to 16,384 vectors, queries into chunks of 2,048, so a task holds one block and one chunk. A query
     meets the blocks of the lists that it probes (as many as ``target`` asks for, more while these hold few
     vectors), keeps ``kept`` of each block by asymmetric distance, ``rerank`` of all, and these get their exact
-    cosine in double precision from the original vectors. Ties go to smaller ids at every step.
+    cosine in double precision from the original vectors. Ties go to smaller ids at every step. Of copies, which
+    have one code and so one distance, only the k + 1 of the smallest ids go on: no others can be among the nearest.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
     nor do rows without id. Rows with the query's own id are no candidates; of several queries with one id the
     least vector counts. Fewer candidates than ``k`` are all returned. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = written(taking_part(vectors), "vectors")
+    v = written(taking_part(small_batches(vectors)), "vectors")
     n = v.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
@@ -162,6 +165,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float32")})
         left = left.sort_values("vec_id")
+        left = left[left.groupby("code").cumcount() <= k]  # of copies only those of the smallest ids can be found
         ids = left["vec_id"].to_numpy()
         code = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
         q = np.frombuffer(b"".join(right["q"]), dtype=np.float32).reshape(len(right), -1)
@@ -181,7 +185,9 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
     keys = ["list", "block", "chunk"]
     met = cells.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, near float")
     first = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    picked = met.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "vec_id")
+    copies = Window.partitionBy("query_id", "near").orderBy("vec_id")
+    picked = met.distinct().withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1)
+    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "vec_id")
     picked = written(picked, "picked")
     pairs = picked.join(v, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +47,7 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
 
 
 _caches: list = []
+_shipped: list = []
 
 
 def sole(cache):
@@ -55,8 +59,20 @@ def sole(cache):
     return cache
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors where their Python wouldn't find it: it is neither installed nor on PYTHONPATH nor in the working folder."""
+    root = Path(__file__).resolve().parents[2]
+    known = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root.name == "site-packages" or root in known or root == Path.cwd() or spark.sparkContext in _shipped:
+        return
+    at = tempfile.mkdtemp(prefix="pricewright-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/pricewright", "zip", root, "pricewright"))  # served by the driver
+    _shipped.append(spark.sparkContext)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session was told to pass texts to Python in batches of 2,000 rows and 16 MB at most, so that long ones don't add up."""
+    """``df``, after the session was told to pass texts to Python in batches of 2,000 rows and 16 MB at most, so that long ones don't add up, and the executors can import this package."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df

@@ -67,14 +67,26 @@ class IvfPq:
         parts, _, width = self.books.shape
         return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, length of the residual, and the code of its direction: dense lists, of short residuals, are coded as finely as others."""
         lists = nearest(x, self.centres)
-        rest = self.parts(x - self.centres[lists])
-        return lists, np.stack([nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
+        lengths, rest = shapes(x - self.centres[lists])
+        rest = self.parts(rest)
+        return lists, lengths, np.stack([nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Asymmetric tables: the product of each part of a query with each code word."""
-        return np.einsum("qmd,mcd->qmc", self.parts(q), self.books)
+    def distances(self, q: np.ndarray, at: int, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric square distances of queries to the coded vectors of one list: tables hold the product of each part of a query's own residual with each code word."""
+        rest = q - self.centres[at]
+        tables = np.einsum("qmd,mcd->qmc", self.parts(rest), self.books)
+        products = np.zeros((len(q), len(codes)), dtype=np.float32)
+        for m in range(codes.shape[1]):
+            products += tables[:, m, :][:, codes[:, m]]
+        return (rest * rest).sum(1)[:, None] - 2 * lengths * products + lengths * lengths
+
+
+def shapes(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.linalg.norm(rest, axis=1).astype(np.float32)
+    return lengths, (rest / np.maximum(lengths, 1e-30)[:, None]).astype(np.float32)
 
 
 def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
@@ -85,7 +97,7 @@ def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
     of = nearest(x, centres)
     parts = -(-x.shape[1] // part)
     index = IvfPq(centres, np.zeros((parts, 1, part), dtype=np.float32), len(centres))
-    rest = index.parts(x - centres[of])
+    rest = index.parts(shapes(x - centres[of])[1])
     books = [kmeans(rest[:, m], 256, 6, random) for m in range(parts)]
     books = [np.concatenate([b, np.repeat(b[:1], 256 - len(b), 0)]) for b in books]
     index.books = np.stack(books)
@@ -128,10 +140,10 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                lists, codes = index.value.encode(unit(rows_of(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "code"])
+                lists, lengths, codes = index.value.encode(unit(rows_of(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists.astype(np.int32)), pa.array(lengths), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "length", "code"])
 
-    codes = written(v.mapInArrow(encode, "vec_id long, list int, code binary"), "codes")
+    codes = written(v.mapInArrow(encode, "vec_id long, list int, length float, code binary"), "codes")
     sizes = np.zeros(len(index.value.centres), dtype=np.int64)
     for row in codes.groupBy("list").count().collect():  # a row for each centroid, 1,024 at most
         sizes[row["list"]] = row["count"]
@@ -151,12 +163,12 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
             ids, out = batch.column(0).to_pylist(), []
             for i, row in enumerate(order):
                 enough = int(np.searchsorted(np.cumsum(many[row]), 4 * rerank)) + 1
-                out += [(i, int(c), b, float(near[i, c])) for c in row[: max(found.probes, enough)] for b in range(split[c])]
-            at, lists, parts, base = zip(*out)
+                out += [(i, int(c), b) for c in row[: max(found.probes, enough)] for b in range(split[c])]
+            at, lists, parts = zip(*out)
             chunk = [hash(ids[i]) % chunks for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(chunk, pa.int32()), pa.array(base, pa.float32()), pa.array([q[i].tobytes() for i in at], pa.binary())], names=["query_id", "list", "block", "chunk", "base", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(chunk, pa.int32()), pa.array([q[i].tobytes() for i in at], pa.binary())], names=["query_id", "list", "block", "chunk", "q"])
 
-    probes = queries.mapInArrow(probe, "query_id long, list int, block int, chunk int, base float, q binary")
+    probes = queries.mapInArrow(probe, "query_id long, list int, block int, chunk int, q binary")
     spread = F.element_at(F.array(*(F.lit(int(max(1, b))) for b in blocks.value[1])), F.col("list") + 1)
     cells = codes.withColumn("block", F.pmod(F.xxhash64("vec_id"), spread).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
@@ -165,16 +177,13 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float32")})
         left = left.sort_values("vec_id")
-        left = left[left.groupby("code").cumcount() <= k]  # of copies only those of the smallest ids can be found
+        left = left[left.groupby(["length", "code"]).cumcount() <= k]  # of copies only those of the smallest ids can be found
         ids = left["vec_id"].to_numpy()
         code = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
         q = np.frombuffer(b"".join(right["q"]), dtype=np.float32).reshape(len(right), -1)
         qs, vs, ns = [], [], []
         for at in range(0, len(q), 64):
-            tables = found.tables(q[at : at + 64])
-            near = np.repeat(right["base"].to_numpy()[at : at + 64, None], len(ids), 1)
-            for m in range(code.shape[1]):
-                near = near + tables[:, m, :][:, code[:, m]]
+            near = -found.distances(q[at : at + 64], int(left["list"].iloc[0]), left["length"].to_numpy(), code)
             best = np.argsort(-near, axis=1, kind="stable")[:, : kept + 1]
             qs.append(np.repeat(right["query_id"].to_numpy()[at : at + 64], best.shape[1]))
             vs.append(ids[best].ravel())

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,13 +113,12 @@ def frequency_sketch(found: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, class, n, tokens): the rarest n-grams of each set, in the order of (sketched frequency, hash).
+def prefixes(docs: DataFrame, shared: Broadcast, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, class, n, tokens): the rarest n-grams of each set, in the order of (sketched frequency, hash); the sketch comes as a broadcast.
 
     Two sets that link have overlap of at least num / den of either, so among the n - overlap + 1 rarest of
     each there is a common one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         counts = shared.value
@@ -180,10 +180,11 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     found = written(digests(docs, k), "digests")
     known = found.where("block is null").select("doc_id", "n", "class")
     classes = written(known.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    sketch = frequency_sketch(found)
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(found))
     rows = prefixes(docs, sketch, k, num, den).where("n > 0")
     rows = rows.join(classes, (rows["class"] == classes["class"]) & (rows.doc_id == classes.rep), "left_semi").select(F.col("doc_id").alias("id"), "n", "tokens")
     rows = written(rows, "prefixes")
+    sketch.destroy()
     cells = rows.select("id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
     place = F.shiftleft(F.col("at").cast("long"), 44) + F.xxhash64("id").bitwiseAND((1 << 44) - 1)
     shared = written(cells.groupBy("token").agg(F.count("*").alias("c"), F.min(place).alias("po")).where("c > 1"), "shared")

@@ -81,19 +81,22 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(found: list[np.ndarray], grades: np.ndarray, levels: int = 3, rounds: int = 10, rate: float = 0.15, l1: float = 1e-3, batch: int = 128, rare: int = 3, seed: int = 7) -> OrdinalModel:
+def fit_ordinal(flat: np.ndarray, ends: np.ndarray, grades: np.ndarray, levels: int = 3, rounds: int = 10, rate: float = 0.15, l1: float = 1e-3, batch: int = 128, rare: int = 3, seed: int = 7) -> OrdinalModel:
     """Fits weights shared by all levels and ordered thresholds by adaptive gradient steps with an L1 penalty.
 
-    Features of fewer than ``rare`` rows are left out. Thresholds are a first one and positive gaps (exponentials),
-    so they stay ordered. No rows: weights 0 and
+    ``flat`` has the features of all rows, ``ends`` where each row's end. Features of fewer than ``rare`` rows are left
+    out. Thresholds are a first one and positive gaps (exponentials), so they stay ordered. No rows: weights 0 and
     thresholds far below 0, by which every text has the top grade.
     """
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     if not len(grades):
         return OrdinalModel(weights, np.arange(levels - 1) * 0.1 - 10.0)
-    known = np.bincount(np.concatenate(found), minlength=1 << BITS) >= rare
+    counts = np.zeros(1 << BITS, dtype=np.int64)
+    for i in range(0, len(flat), 1 << 20):
+        counts += np.bincount(flat[i : i + (1 << 20)], minlength=1 << BITS)
+    known = counts >= rare
     known[hashed("bias")] = True
-    found = [f[known[f]] for f in found]
+    starts = np.concatenate([[0], ends[:-1]])
     below = [np.clip((grades <= k).mean(), 0.01, 0.99) for k in range(levels - 1)]
     cuts = np.log(np.array(below) / (1 - np.array(below)))
     steps = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
@@ -101,15 +104,15 @@ def fit_ordinal(found: list[np.ndarray], grades: np.ndarray, levels: int = 3, ro
     random = np.random.default_rng(seed)
     for _ in range(rounds):
         for at in np.array_split(random.permutation(len(grades)), max(1, len(grades) // batch)):
-            rows, y = [found[i] for i in at], grades[at]
-            flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+            rows = [f[known[f]] for f in (flat[starts[i] : ends[i]] for i in at)]
+            y, used_by, sizes = grades[at], np.concatenate(rows), np.array([len(r) for r in rows])
             cuts = np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
-            scores = np.add.reduceat(weights[flat], np.cumsum([0, *sizes])[:-1])
+            scores = np.add.reduceat(weights[used_by], np.cumsum([0, *sizes])[:-1])
             edge = np.concatenate([[-np.inf], cuts, [np.inf]])
             hi, lo = sigmoid(edge[y + 1] - scores), sigmoid(edge[y] - scores)
             # the log likelihood of a grade grows with the score by hi + lo - 1
-            by_score = np.bincount(flat, weights=np.repeat(hi + lo - 1, sizes), minlength=len(weights)) / len(at)
-            used = np.unique(flat)
+            by_score = np.bincount(used_by, weights=np.repeat(hi + lo - 1, sizes), minlength=len(weights)) / len(at)
+            used = np.unique(used_by)
             g = by_score[used]
             squares[used] += g * g
             pace = rate / np.sqrt(squares[used])
@@ -131,21 +134,31 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grade).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def training_rows(docs: DataFrame, grades: DataFrame, rows: int = FIT_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most ``rows`` labelled documents. Texts are hashed on the executors; the driver gets sets of features only."""
+def training_rows(docs: DataFrame, grades: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (one array, and where each row's end) and grades of at most ``rows`` labelled documents, in the order of their ids.
+
+    Texts are hashed on the executors; the driver gets sets of features only, in one piece.
+    """
     picked = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it is broadcast
 
     def run(batches):
         sole(_words)
         for batch in batches:
-            found = [features(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["grade", "found"])
+            found = [features(t.as_py()).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.large_binary())], names=["doc_id", "grade", "found"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = small_batches(text).join(F.broadcast(picked), "doc_id").select("grade", "text").mapInArrow(run, "grade int, found binary").toArrow()
-    found = [np.frombuffer(x, dtype=np.int32) for x in got.column("found").to_pylist()]
-    order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # the same fit however tasks are ordered
-    return [found[i] for i in order], np.array(got.column("grade").to_pylist(), dtype=np.int64)[order] if found else np.empty(0, dtype=np.int64)
+    got = small_batches(text).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, found binary")
+    got = got.toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")]).combine_chunks()
+    if not got.num_rows:
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    found = got.column("found").cast(pa.large_binary()).combine_chunks()
+    ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset : found.offset + len(found) + 1] // 4
+    flat = np.frombuffer(found.buffers()[2], dtype=np.int32)[ends[0] : ends[-1]].copy()
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    del got, found
+    pa.default_memory_pool().release_unused()
+    return flat, ends[1:] - ends[0], grades
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalModel:

@@ -73,23 +73,34 @@ def contains_word(text, needle) -> Column:
     return (needle != "") & F.regexp_like(text, F.concat(F.lit(r"(?i)(?:^|\W)\Q"), needle, F.lit(r"\E(?:$|\W)")))
 
 
-def similarity(q, c, qt, ct) -> Column:
+def strong_tokens(qt) -> Column:
+    """Tokens that are no numbers and neither generic nor weak words."""
+    weak = words_literal(dict.fromkeys([*GENERIC, *RISKY, *FILLER]))
+    return F.filter(F.array_except(_c(qt), weak), lambda t: ~t.rlike(r"^\d+$"))
+
+
+def content_tokens(qt) -> Column:
+    """Tokens that are no weak words."""
+    return F.array_except(_c(qt), words_literal(dict.fromkeys([*RISKY, *FILLER])))
+
+
+def similarity(q, c, qt, ct, strong=None, content=None) -> Column:
     """Score of a question against a name, of normalised texts and their ``score_tokens``.
 
     100 if equal; 80 if the tokens of one are all in the other, or joined stand in it as a word; else 60 times the
     question's tokens in the name (repeats count) by the longer token list, but 0 if these are only generic or weak words
-    and something else is left.
+    and something else is left. ``strong`` and ``content`` are the question's own, worked out before it meets names.
     """
+    strong = strong_tokens(qt) if strong is None else _c(strong)
+    content = content_tokens(qt) if content is None else _c(content)
     q, c, qt, ct = map(_c, (q, c, qt, ct))
-    weak, filler = words_literal(dict.fromkeys([*GENERIC, *RISKY, *FILLER])), words_literal(dict.fromkeys([*RISKY, *FILLER]))
-    inside = lambda a, b: (F.size(a) > 0) & F.forall(a, lambda t: F.array_contains(b, t))
-    joined = lambda text, tokens: (F.size(tokens) > 1) & contains_word(text, F.array_join(tokens, ""))
-    overlap = F.filter(qt, lambda t: F.array_contains(ct, t))
-    only_weak = F.forall(overlap, lambda t: F.array_contains(weak, t) | t.rlike(r"^\d+$"))
-    left = F.exists(qt, lambda t: ~F.array_contains(ct, t) & ~F.array_contains(filler, t))
-    share = F.size(overlap) / F.greatest(F.size(qt), F.size(ct)) * 60
+    inside = lambda a, b: (F.size(a) > 0) & (F.size(F.array_except(a, b)) == 0)
+    whole = lambda tokens: F.array_join(tokens, "")
+    joined = lambda text, tokens: (F.size(tokens) > 1) & F.contains(text, whole(tokens)) & contains_word(text, whole(tokens))
+    overlap = F.size(F.filter(qt, lambda t: F.array_contains(ct, t)))
+    only_weak = ~F.arrays_overlap(strong, ct) & (F.size(F.array_except(content, ct)) > 0)
     out = F.when(q == c, 100.0).when(inside(qt, ct) | inside(ct, qt) | joined(q, ct) | joined(c, qt), 80.0)
-    return out.when((F.size(overlap) == 0) | (only_weak & left), 0.0).otherwise(share)
+    return out.when(~F.arrays_overlap(qt, ct) | only_weak, 0.0).otherwise(overlap / F.greatest(F.size(qt), F.size(ct)) * 60)
 
 
 def common_prefix(a, b) -> Column:

@@ -76,7 +76,8 @@ def by_tier(rows: DataFrame) -> DataFrame:
     variants = F.array_distinct(F.collect_set(X.normalize("model_variant")).over(by_task()))
     plain = F.aggregate(variants, F.col("plain"), lambda a, v: F.when(v != "", F.replace(a, v, F.lit(" "))).otherwise(a))
     asked = X.not_empty(F.split(plain, "[^a-z0-9]+"))
-    raw = (F.size(words) > 0) & (F.size(F.array_except(words, asked)) == 0)
+    # taking variants out can only lose words, so most rows are settled by the task's own words
+    raw = F.when((F.size(words) == 0) | (F.size(F.array_except(words, "asked")) > 0), F.lit(False)).otherwise(F.size(F.array_except(words, asked)) == 0)
     resolves = lambda t: (tier == t) | F.array_contains(F.split(tier, "[^a-z0-9]+"), t) | ((F.length(t) >= 3) & F.contains(tier, t))
     rows = rows.withColumn("hit", F.col("fabric_tier").isNotNull() & (raw | F.exists("tiers", resolves)))
     hits = F.collect_set(F.when(F.col("hit"), tier)).over(by_task())

@@ -65,6 +65,7 @@ def scores(questions: DataFrame, names: DataFrame) -> DataFrame:
     joined token across them, so these few join by brand alone.
     """
     q = questions.select("qid", "brand", X.normalize("message").alias("q")).withColumn("qt", X.score_tokens("q"))
+    q = q.withColumn("strong", X.strong_tokens("qt")).withColumn("content", X.content_tokens("qt"))
     n = scored_names(names).select("brand", "product_name", "collection", "c", "ct")
     word = lambda t: X.not_empty(F.split(t, r"\W+"))
     odd = lambda t: F.array_join(t, "").rlike(r"\W")
@@ -76,7 +77,7 @@ def scores(questions: DataFrame, names: DataFrame) -> DataFrame:
     odd_questions = q.where(odd(F.col("qt")) & (F.size("qt") > 1)).select("qid", "brand", "qt").join(n.select("brand", "product_name", "c"), "brand").where(X.contains_word("c", F.array_join("qt", ""))).select("qid", "brand", "product_name")
     pairs = by_key.unionByName(odd_names).unionByName(odd_questions).distinct()
     joined = pairs.join(q, ["qid", "brand"]).join(n, ["brand", "product_name"])
-    return joined.select("qid", "product_name", "collection", "ct", X.similarity("q", "c", "qt", "ct").alias("score")).where("score > 0")
+    return joined.select("qid", "product_name", "collection", "ct", X.similarity("q", "c", "qt", "ct", "strong", "content").alias("score")).where("score > 0")
 
 
 def matches(questions: DataFrame, names: DataFrame) -> DataFrame:

@@ -814,6 +814,41 @@ def tier_tables(spark, d):
     return extract.tier_tables(lines, "row_ord", "code")[0].select("row_ord", "code", "fabric_tier", "price_eur")
 
 
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_id % 4 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS category FROM events""")
+def carried_category(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("category"))
+    return extract.carried(e, "category", "event_id", "user_id")
+
+
+@query("""WITH w AS (SELECT l_orderkey AS page, CASE WHEN l_partkey % 300 < 150 THEN 'L' ELSE 'R' END AS side, l_quantity::INT AS row, list('n' || l_linenumber ORDER BY l_partkey % 300, l_linenumber) AS t FROM lineitem GROUP BY ALL)
+SELECT page, side, row, array_to_string(t, ' ') AS name, page::INT AS printed FROM w""")
+def index_columns(spark, d):
+    w = _words(spark, d).withColumn("text", F.concat(F.lit("n"), "text"))
+    pages = w.withColumn("side", F.col("left") < 150).groupBy("page", "side", "top").agg(F.when(F.col("side"), 149.5).otherwise(400.0).alias("left"), F.first("page").cast("string").alias("text"))
+    return extract.index_columns(w.unionByName(pages.select("page", "top", "left", "text")), 150.0)
+
+
+@query("""WITH {model}, m AS (SELECT brand, start AS printed, max(start + 1) AS pdf FROM idx WHERE start % 3 > 0 GROUP BY ALL), h AS (SELECT brand, start + 1 AS pdf, max(product_name) AS heading FROM idx GROUP BY ALL)
+SELECT i.brand, i.product_name AS name, coalesce(m.pdf, start + 2)::INT AS pdf, coalesce(contains(lower(heading), lower(i.product_name)), false) AS confirmed FROM idx i LEFT JOIN m ON m.brand = i.brand AND m.printed = i.start LEFT JOIN h ON h.brand = i.brand AND h.pdf = coalesce(m.pdf, start + 2)""")
+def resolved_entries(spark, d):
+    i = adapter.catalog_index(spark, d)
+    m = i.where("start % 3 > 0").groupBy("brand", F.col("start").alias("printed")).agg(F.max(F.col("start") + 1).alias("pdf"))
+    h = i.groupBy("brand", (F.col("start") + 1).alias("pdf")).agg(F.max("product_name").alias("heading"))
+    return extract.resolved_entries(i.select("brand", F.col("product_name").alias("name"), F.col("start").alias("printed")), m, h, 2, "brand").select("brand", "name", "pdf", "confirmed")
+
+
+@query("""WITH {model} SELECT brand, art_code, CASE WHEN first % 5 = 0 THEN 'renamed' ELSE product_name END AS product_name FROM idx WHERE first % 7 <> 0""")
+def static_rules(spark, d):
+    i = adapter.catalog_index(spark, d).select("brand", "art_code", "product_name", "first")
+    return extract.without_listed(i, i.where("first % 7 = 0"), i.where("first % 5 = 0").withColumn("new", F.lit("renamed")), "brand", "art_code").select("brand", "art_code", "product_name")
+
+
+@query("""SELECT 'P' || l_partkey AS code, min(l_orderkey) AS page FROM lineitem WHERE l_partkey % 300 < 50 GROUP BY 1""")
+def codes_by_place(spark, d):
+    w = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("top"), (F.col("l_partkey") % 300).cast("double").alias("left"), F.concat(F.lit("P"), "l_partkey").alias("text"))
+    return extract.codes_by_place(w, r"P\d+")
+
+
 # ---- sessions
 
 

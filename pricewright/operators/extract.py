@@ -84,6 +84,44 @@ def page_islands(pages: DataFrame, page: str, *keys: str) -> DataFrame:
     return d.groupBy(*keys, "_i").agg(F.min(page).alias("first"), F.max(page).alias("last"), F.count("*").alias("n")).drop("_i")
 
 
+def index_columns(words: DataFrame, middle: float) -> DataFrame:
+    """Name and printed page of a two-column index by coordinates: words of one side and one rounded top are a row, its last word is the page."""
+    w = words.withColumn("side", F.when(F.col("left") < middle, "L").otherwise("R")).withColumn("row", F.round("top").cast("int"))
+    rows = w.groupBy("page", "side", "row").agg(F.array_sort(F.collect_list(F.struct("left", "text"))).alias("w")).withColumn("t", F.transform("w", lambda x: x["text"]))
+    last = F.element_at("t", -1)
+    rows = rows.where((F.size("t") > 1) & last.rlike(r"^\d+$"))
+    return rows.select("page", "side", "row", F.array_join(F.slice("t", F.lit(1), F.size("t") - 1), " ").alias("name"), last.cast("int").alias("printed"))
+
+
+def carried(rows: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
+    """S6e, W3: fills a missing ``value`` with the last one before it."""
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(by))
+
+
+def resolved_entries(entries: DataFrame, page_map: DataFrame, headings: DataFrame, ahead: int, *keys: str) -> DataFrame:
+    """S6i: literal entries (keys, name, printed) on their page: by the page map, else ``ahead`` pages on; ``confirmed`` if the page's heading (keys, pdf, heading) holds the name. Misses stay, unconfirmed."""
+    d = entries.join(page_map.select(*keys, "printed", F.col("pdf").alias("_m")), [*keys, "printed"], "left").withColumn("pdf", F.coalesce("_m", F.col("printed") + ahead)).drop("_m")
+    d = d.join(headings.select(*keys, "pdf", "heading"), [*keys, "pdf"], "left")
+    return d.withColumn("confirmed", F.coalesce(F.contains(X.normalize("heading"), X.normalize("name")), F.lit(False)))
+
+
+def without_listed(entries: DataFrame, drops: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """Entries without those in ``drops`` (keys), and with ``product_name`` replaced where ``names`` (keys, new) has another."""
+    d = entries.join(drops.select(*keys).distinct(), [*keys], "left_anti").join(names.select(*keys, F.col("new").alias("_new")), [*keys], "left")
+    return d.withColumn("product_name", F.coalesce("_new", "product_name")).drop("_new")
+
+
+def codes_by_place(words: DataFrame, code: str, edge: float = 50.0, down: float = 3.0, right: float = 40.0) -> DataFrame:
+    """S14d: code and first page of codes in the left column (left of ``edge``); a lone letter merges with the next word within ``down`` points below or above and ``right`` to its right."""
+    by = Window.partitionBy("page").orderBy(F.round("top"), "left")
+    near = (F.abs(F.lead("top").over(by) - F.col("top")) <= down) & (F.lead("left").over(by) - F.col("left") <= right)
+    lone = F.col("text").rlike("^[A-Z]$")
+    whole = F.when(lone & near, F.concat("text", F.lead("text").over(by))).otherwise(F.col("text"))
+    d = words.withColumn("code", whole).where((F.col("left") < edge) & F.col("code").rlike(f"^(?:{code})$"))
+    return d.groupBy("code").agg(F.min("page").alias("page"))
+
+
 def rows_of_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """S6d: adds ``row`` to words (page, top, left, text): a row begins where a word's top is more than ``tolerance`` from the top of the row's first word.
 

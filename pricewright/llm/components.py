@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
+#: Links, counted, that one task can take (5 MB); with these a round is one stage without shuffles, with more it is distributed.
+ONE_TASK = 200_000
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): for each end of ``links`` (a, b) the smallest id that links reach. Nulls and loops link nothing.
@@ -16,6 +19,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "links")
+    small = edges.count() <= ONE_TASK
+    hold = (lambda d: d.coalesce(1).hint("merge")) if small else lambda d: d
+    edges = hold(edges)
     last = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,8 +29,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.unionByName(edges.join(least, "a").where("a <> m").select("a", F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        star = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = hold(written(star.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links"))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

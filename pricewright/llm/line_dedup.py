@@ -136,7 +136,8 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     no rows. Other columns pass; n_lines and n_gone replace columns of these names.
     """
     gone = written(deletions(docs, least), "gone")
-    few = gone.limit(BROADCAST_IDS // 10 + 1).count() <= BROADCAST_IDS // 10 and (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_IDS
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    few = 4 * rows <= BROADCAST_IDS and numbers <= 4 * BROADCAST_IDS
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "gone")
     text = F.col("text")
     names = [c for c in docs.columns if c not in ("n_lines", "n_gone")]

@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids broadcast at most; beyond it the same join is a shuffled one. 2 million longs are 16 MB.
-BROADCAST_IDS = 2_000_000
+#: Ids broadcast at most (some 50 MB as a hash table); beyond it the same join is a shuffled one.
+BROADCAST_IDS = 500_000
 
 #: The class of characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"

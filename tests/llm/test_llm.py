@@ -323,6 +323,26 @@ def test_quality_model(spark, docs):
     assert quality_model.selected(d, labels.limit(0)).count() == 900
 
 
+# ---- what is too much to broadcast
+
+
+def test_shuffled_paths_agree(spark, docs, monkeypatch):
+    from pricewright.llm import tables
+
+    d = spark.createDataFrame([(i, t + "\n" + t, f"s{i % 3}") for i, t in enumerate(random_docs(50))], "doc_id long, text string, source string").unionByName(docs.select("doc_id", "text", "source"))
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.com/") for i in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 3), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    key = lambda x: sorted(map(repr, map(tuple, x.collect())))
+    runs = [
+        lambda: key(line_dedup.without_repeats(d, 5)), lambda: key(mixing.mixed(d, block_words=64)), lambda: key(mixing.mix(d, block_words=64)), lambda: key(ngram_join.without_similar(d, 3, 60, 100)),
+        lambda: key(ngram_join.similar_groups(d, 3, 60, 100)), lambda: key(urls.judged(pages, labels)),
+    ]
+    want = [r() for r in runs]
+    for module, name in ((tables, "BROADCAST_IDS"), (line_dedup, "BROADCAST_IDS"), (mixing, "BROADCAST_IDS"), (mixing, "BROADCAST_SOURCES"), (urls, "BROADCAST_HOSTS"), (components, "ONE_TASK")):
+        monkeypatch.setattr(module, name, 0)
+    assert [r() for r in runs] == want
+
+
 # ---- pipeline
 
 

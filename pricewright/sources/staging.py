@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset a temporary folder is made, in local mode only."""
@@ -20,7 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: what several branches of a plan read is made once, and lineage ends here."""
+    """``df`` written as Parquet and read back: what several branches of a plan read is made once, lineage ends here, and lost executors cost only their running tasks."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes the tables that this process staged, once results that read them are written; returns their number."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in _paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(_paths)
+    _paths.clear()
+    return n

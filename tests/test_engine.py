@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -164,6 +165,15 @@ def test_sessions_stream_like_batch(spark, tmp_path):
     assert got == want
 
 
+def test_staged_tables_are_cleared(spark):
+    from pricewright.sources import staging
+
+    d = staging.staged(spark.range(3).toDF("id"), "three")
+    where = d.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert d.count() == 3 and os.path.isdir(where)
+    assert staging.clear_staged(spark) > 0 and not os.path.isdir(where)
+
+
 def test_empty_inputs(spark):
     p = price_rows(spark)
     q = spark.createDataFrame([], "qid long, brand string, message string")

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged as written
+
+__all__ = ["BROADCAST_IDS", "SPACE", "ship_package", "small_batches", "sole", "with_ids", "words_of", "written"]
+
 #: Ids broadcast at most (some 50 MB as a hash table); beyond it the same join is a shuffled one.
 BROADCAST_IDS = 500_000
 
@@ -18,28 +21,6 @@ BROADCAST_IDS = 500_000
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset a temporary folder is made, in local mode only.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="pricewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join of ``df`` with the distinct ``ids[key]``; broadcast only if they were counted and are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -303,7 +303,7 @@ def size_numeric_filter(spark, d):
 TASKS = rf"""
 tk0 AS (SELECT qid, q.brand, target AS product_name, {NORMAL.format('message')} AS q, {NORMAL.format('target')} AS n FROM questions q),
 tk1 AS (SELECT *, replace(q, n, ' ') AS p, array_to_string(string_split(n, ' ')[1:2], ' ') AS two FROM tk0),
-tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, regexp_matches(q, '\\b(all|full|complete|every)\\b') AS wants_all FROM tk1),
+tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, regexp_matches(q, '\b(all|full|complete|every)\b') AS wants_all FROM tk1),
 tr AS (SELECT tk.*, model_variant, variant_context, size, fabric_tier, price_eur, row_ord, ambiguous FROM tk JOIN prices USING (brand, product_name))"""
 
 
@@ -333,7 +333,25 @@ def variant_choice(spark, d):
     return _count(narrow.by_variant(_rows(spark, d)), "by_rule")
 
 
-@query()
+CHAIN = TASKS + r""",
+k1 AS (SELECT *, regexp_extract(q, '([0-9]{2,3})x([0-9]{2,3})', 1) AS sa, regexp_extract(q, '([0-9]{2,3})x([0-9]{2,3})', 2) AS sb, list_sort(list_transform(regexp_extract_all(coalesce(size, ''), '[0-9]+'), lambda x: x::INT)) AS nums,
+  list_sort(list_transform(regexp_extract_all(plain, '\b[0-9]{2,3}\b'), lambda x: x::INT)) AS bare FROM tr),
+k2 AS (SELECT *, CASE WHEN sa <> '' THEN coalesce(nums = list_sort([sa::INT, sb::INT]), false) WHEN len(bare) > 0 THEN CASE WHEN len(bare) = len(nums) THEN bare = nums ELSE len(bare) < len(nums) AND list_has_all(nums, bare) END ELSE true END AS h1 FROM k1),
+k3 AS (SELECT *, CASE WHEN sa <> '' THEN CASE WHEN count(size) OVER p > 0 THEN h1 ELSE true END WHEN bool_or(h1) OVER p THEN h1 ELSE true END AS kept1 FROM k2 WINDOW p AS (PARTITION BY qid, product_name)),
+k4 AS (SELECT *, fabric_tier IS NOT NULL AND list_has_all(list_filter(string_split_regex(replace(replace(replace(plain, 'h.27', ' '), 'h.7', ' '), '2-er base', ' '), '[^a-z0-9]+'), lambda x: x <> ''), [lower(split_part(fabric_tier, ' ', 2))]) AS h2 FROM k3),
+k5 AS (SELECT *, bool_or(h2) OVER (PARTITION BY qid, product_name) AS tiered FROM k4), k6 AS (SELECT *, kept1 AND (h2 OR NOT tiered) AS kept2 FROM k5),
+v1 AS (SELECT *, CASE model_variant WHEN 'h.7' THEN 'h7' WHEN 'h.27' THEN 'h27' END AS own, regexp_replace(regexp_extract(q, '\bh[.\s]?\s*[0-9]+\b'), '[^h0-9]', '', 'g') AS code, regexp_replace(plain, '[^a-z0-9]', '', 'g') AS compact, regexp_replace(model_variant, '[^a-z0-9]', '', 'g') AS suffix,
+  coalesce(avg(starts_with(price_eur, '+')::INT) FILTER (kept2) OVER (PARTITION BY qid, product_name, model_variant) > 0.5, false) AS add_on FROM k6),
+v2 AS (SELECT *, kept2 AND coalesce(own = code, false) AS c, CASE WHEN kept2 AND length(suffix) >= 3 AND contains(compact, suffix) THEN length(suffix) ELSE 0 END AS s, kept2 AND NOT add_on AS main,
+  CASE WHEN kept2 AND model_variant = '2-er base' AND list_contains(asked, 'base') THEN 1 ELSE 0 END AS w FROM v1),
+v3 AS (SELECT *, bool_or(c) OVER p AS any_c, max(s) OVER p AS most, max(w) OVER p AS shared, len(coalesce(list(DISTINCT coalesce(model_variant, '')) FILTER (main) OVER p, [])) AS mains FROM v2 WINDOW p AS (PARTITION BY qid, product_name)),
+v4 AS (SELECT *, CASE WHEN any_c THEN c WHEN most > 0 THEN s = most WHEN shared > 0 THEN w = shared WHEN mains = 1 AND NOT wants_all THEN main ELSE true END AS h3 FROM v3),
+v5 AS (SELECT *, CASE WHEN bool_or(kept2 AND h3) OVER (PARTITION BY qid, product_name) THEN kept2 AND h3 ELSE kept2 END AS kept3 FROM v4),
+v6 AS (SELECT *, bool_or(kept3) OVER p AS any_kept, bool_or(kept3 AND NOT ambiguous) OVER p AS any_clean FROM v5 WINDOW p AS (PARTITION BY qid, product_name)),
+v7 AS (SELECT qid, product_name, wants_all, tiered, any_kept, any_clean, count(*) FILTER (CASE WHEN any_clean THEN kept3 AND NOT ambiguous ELSE kept3 END) AS kept, count(*) AS rows FROM v6 GROUP BY ALL)"""
+
+
+@query("WITH {model}, " + CHAIN + """ SELECT qid, product_name, CASE WHEN NOT any_kept THEN 'no_matching_variant' WHEN NOT any_clean THEN 'ambiguous_price' WHEN kept = 1 THEN 'ok' WHEN wants_all AND NOT tiered THEN 'full_price_grid' ELSE 'multiple_options' END AS status, kept, rows FROM v7""")
 def narrowing_chain(spark, d):
     return _count(narrow.narrowed(_tasks(spark, d), adapter.prices(spark, d)), "status")
 

@@ -381,7 +381,18 @@ ORACLES["page_scoped_images"] = ("WITH {model} SELECT row_ord, code, CASE WHEN s
 # ---- answers
 
 
-@query()
+DECISIONS = rf"""
+tp AS (SELECT * FROM (SELECT qid, product_name, score, max(score) OVER (PARTITION BY qid) AS best FROM matches) WHERE score >= best - 5),
+tt AS (SELECT qid, product_name, best, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM tp), tu AS (SELECT qid, list_distinct(flatten(list(t))) AS u FROM tt GROUP BY qid),
+mx AS (SELECT qid, product_name FROM tt JOIN tu USING (qid) WHERE list_has_all(t, u) AND best < 100 QUALIFY count(*) OVER (PARTITION BY qid) = 1),
+cand AS (SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1 AS m, 2 AS one, 1 AS many, 'named' AS r1, 'named' AS r2, 'multi' AS o FROM mentions
+  UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 3, 4, 'code', 'code', 'clarify' FROM coded
+  UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 6, 9, 'score', 'tie', 'clarify' FROM tp
+  UNION ALL SELECT qid, product_name, false, 8, 8, 'maximal', 'maximal', 'lookup' FROM mx),
+decided AS (SELECT qid, product_name, CASE WHEN m THEN many ELSE one END AS priority, CASE WHEN m THEN r2 ELSE r1 END AS rule, CASE WHEN m THEN o ELSE 'lookup' END AS outcome FROM cand)"""
+
+
+@query("WITH {model}, " + ", ".join((MATCHES, MENTIONS, CODES, DECISIONS)) + " SELECT qid, product_name, priority, rule, outcome FROM decided QUALIFY priority = min(priority) OVER (PARTITION BY qid)")
 def decision_rules(spark, d):
     return answer.decisions(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
 

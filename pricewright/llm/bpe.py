@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .tables import small_batches, sole
 
 #: Words kept in a worker's cache at most; it is emptied when full.
-CACHE = 200_000
+CACHE = 150_000
 
 #: White space and the word pattern of the byte-level vocabulary.
 WHITE = r"\t-\r \x85\xa0  -     　"

@@ -16,7 +16,7 @@ from .components import connected_components
 from .tables import small_batches, sole, with_ids, written
 
 #: Word hashes kept in a worker at most; the cache is emptied when full.
-CACHE = 200_000
+CACHE = 100_000
 #: Counters of the n-gram frequency sketch: a fixed 16 MB whatever the corpus; they only order n-grams, results don't depend on them.
 SKETCH_BITS, SKETCH_BLOCK = 24, 32768
 #: Rows of a column that are paired at once at most; columns of more go by pivots.

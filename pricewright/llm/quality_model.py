@@ -16,7 +16,7 @@ from .tables import small_batches, sole
 #: Hashed features; a model is 2**BITS floats and its thresholds, 1 MB, whatever the corpus.
 BITS = 18
 #: Words kept in a worker's cache at most.
-CACHE = 150_000
+CACHE = 60_000
 #: Labelled rows that a model is fitted on at most, those of the smallest id hashes.
 FIT_ROWS = 12_000
 #: Characters around a word that are features of their own when there is more than one of them.

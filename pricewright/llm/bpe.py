@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from .tables import small_batches, sole
 
 #: Words kept in a worker's cache at most; it is emptied when full.
-CACHE = 150_000
+CACHE = 200_000
 
 #: White space and the word pattern of the byte-level vocabulary.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -60,7 +61,7 @@ class ByteBpe:
     def word(self, word: str) -> bytes:
         """Ids of one word as little-endian 32-bit integers."""
         ids = self.merge([self.first[b] for b in word.encode()])
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self.cache) >= CACHE:
                 self.cache.clear()

@@ -61,12 +61,20 @@ RULES = (
     LicenceRule("All-rights-reserved", (22,), "block"),
 )
 
-ENDS, OTHER = r"[.;:!?]+[ \t\r\n]+|\n", r"[^\p{L}\p{N}\n]+"
+#: Marks before the first letter or digit of a line (indents, comment marks, bullets); ends of sentences; all else that isn't a letter or digit.
+MARKS, ENDS, OTHER = r"\n[^\p{L}\p{N}\n]+", r"[.;:!?]+[ \t\r\n]+", r"[^\p{L}\p{N}\n]+"
 
 
 def normalised(text) -> Column:
-    """Column: a text in lower case, sentences a line each, everything but letters and digits one space."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), ENDS, "\n"), OTHER, " ")
+    """Column: a text in lower case, everything but letters and digits one space; a line feed where a line ends, two or more at an end of a sentence or a blank line (also one of marks only)."""
+    text = F.regexp_replace(F.concat(F.lit("\n"), F.lower(text)), MARKS, "\n")
+    return F.regexp_replace(F.regexp_replace(text, ENDS, "\n\n"), OTHER, " ")
+
+
+def anywhere(sentences) -> str:
+    """Pattern of the normalised sentences, longer ones first: from the start of a line or sentence to the end of one, single line ends standing for spaces."""
+    gap = r"(?: ?\n| )"
+    return r"(?<![^\n]) ?(?:" + "|".join(x.replace(" ", gap) for x in sorted(sentences, key=lambda x: (-len(x), x))) + r")(?= ?(?:\n|\z))"
 
 
 def plain(sentence: str) -> str:
@@ -80,14 +88,19 @@ def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) ->
     shuffled, and a document of any length is one row. ``sequence`` holds the identifiers between spaces;
     ``licences`` the distinct names in order, between commas; ``verdict`` the strictest (block, review, allow) or none.
 
+    A known sentence may be wrapped over lines, with comment marks (without letters: #, *, //, ;;) before and (but for .;:!?) after
+    each, but not over a blank line. It starts where a line or a sentence starts and ends where one ends, so a line
+    alone counts as well; of several that start at one place the longest counts, and none within another.
+
     Null and empty texts have no sentences and the verdict none. Repeated rows and null ids: a row for each.
     Empty table: no rows. Other columns are ignored.
     """
-    known = F.create_map(*(F.lit(x) for i, s in sentences.items() for x in (plain(s), i)))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(normalised(F.coalesce("text", F.lit(""))), "\n").alias("s"))
-    lengths = sorted({len(plain(s)) for s in sentences.values()})
-    d = d.withColumn("s", F.filter(F.transform("s", lambda x: F.trim(x)), lambda x: F.length(x).isin(lengths)))
-    d = d.withColumn("s", F.filter(F.transform("s", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()))
+    known = {p: i for i, x in sentences.items() if (p := plain(x))}
+    found = F.regexp_extract_all(normalised(F.coalesce("text", F.lit(""))), F.lit(anywhere(known)), F.lit(0)) if known else F.array().cast("array<string>")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("s"))
+    if known:
+        ids = F.create_map(*(F.lit(x) for p, i in known.items() for x in (p, i)))
+        d = d.withColumn("s", F.transform("s", lambda x: F.try_element_at(ids, F.trim(F.regexp_replace(x, r"\s+", " ")))))
     d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.when(F.size("s") > 0, F.concat(F.lit(" "), F.array_join(F.transform("s", lambda x: x.cast("string")), " "), F.lit(" "))).otherwise("").alias("sequence"))
     found = [F.when(F.col("sequence").rlike(pattern(r)), F.struct(F.lit(r.licence).alias("l"), F.lit(r.verdict).alias("v"))) for r in rules]
     d = d.withColumn("f", F.when(F.col("n_sentences") > 0, F.array_compact(F.array(*found))))

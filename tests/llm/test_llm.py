@@ -154,6 +154,37 @@ def test_licences(spark, docs):
     assert {r.verdict for r in licenses.scan(docs).collect()} == {"none"} and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_wrapped(spark):
+    import textwrap
+
+    groups = [(3, 4, 5), (6,), (7, 8, 9), (11, 12, 13), (16,), (17,), (18, 19, 20, 21), (22,)]
+    rows, want = [], {}
+
+    def add(text, ids):
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = "".join(f" {i}" for i in ids) + " " if ids else ""
+
+    for g in groups:
+        text = ". ".join(licenses.SENTENCES[i] for i in g) + "."
+        for width in (40, 76, 80):
+            lines = textwrap.wrap(text, width)
+            for first, last, end in (("", "", "\n"), ("# ", "", "\n"), (" * ", "", "\r\n"), ("// ", "  //", "\n"), (";; ", "", "\n"), ("! ", " |", "\n")):
+                add(end.join(["/*", *(first + x + last for x in lines), "*/ code"]), g)
+        add("Copyright 2020 Someone\n" + "\n\n".join("\n".join(textwrap.wrap(licenses.SENTENCES[i], 60)) + "." for i in g), g)
+    nc = licenses.SENTENCES[17]
+    half = nc.split(" ")
+    for gap in ("\n\n", "\n \n", "\n#\n# ", ".\n", "\n \r\n"):  # a blank line or an end stands in the sentence
+        add(" ".join(half[:5]) + gap + " ".join(half[5:]), ())
+    add("some word " + nc, ())
+    add(nc + " and more", ())
+    add("a title\n# Released under the MIT License\nimport x\nAll rights\nreserved\nby us", (1, 22))
+    add("Licensed under the Apache License, Version 2.0\n(the \"License\");\nAll rights reserved\nAll rights reserved", (7, 22, 22))
+    add("x\n" * 20000 + "Licensed under\nCC BY 4.0", (15,))
+    got = {r.doc_id: r.sequence for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert [r.sequence for r in licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).collect()] == [""]
+
+
 # ---- 5
 
 

@@ -19,39 +19,47 @@ KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBL
 MESSAGE = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>,tool_call_id:string,content:string>"
 
 
-def parts_of_messages(messages: DataFrame) -> DataFrame:
+def parts_of_messages(messages: DataFrame, turns: bool = False) -> DataFrame:
     """conv_id, turn, part, kind, role, call_id, name, arguments, content, after: the parts of messages (conv_id, turn, role, text).
 
     A text that is a JSON object with ``tool_calls`` (id, name, arguments, and ``after``: ids whose results a call
-    needs) has a part for each call; one with ``tool_call_id`` is a result; any other is a plain message.
+    needs) has a part for each call; one with ``tool_call_id`` is a result; any other is a plain message, or with
+    ``turns`` what ``parts_of_turns`` makes of it.
     """
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     # only texts that can be such objects are parsed
     likely = F.ltrim(F.coalesce("text", F.lit(""))).startswith("{") & (F.col("text").contains('"tool_calls"') | F.col("text").contains('"tool_call_id"'))
     m = m.withColumn("j", F.when(likely, F.from_json("text", MESSAGE)))
     none = F.lit(None).cast("string")
-    shape = lambda kind, i, name, arguments, content, after: F.struct(F.lit(kind).alias("kind"), i.alias("call_id"), name.alias("name"), arguments.alias("arguments"), content.alias("content"), after.alias("after"))
+    shape = lambda kind, i, name, arguments, content, after: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), i.alias("call_id"), name.alias("name"), arguments.alias("arguments"), content.alias("content"), after.alias("after"))
     no_ids = F.lit(None).cast("array<string>")
     calls = F.transform("j.tool_calls", lambda c: shape("call", c["id"], c["name"], c["arguments"], none, c["after"]))
     result = F.array(shape("result", F.col("j.tool_call_id"), none, none, F.col("j.content"), no_ids))
-    plain = F.array(shape("message", none, none, none, F.col("text"), no_ids))
+    plain = F.array(shape(*turn_part(), no_ids) if turns else shape("message", none, none, none, F.col("text"), no_ids))
     found = F.when(F.size("j.tool_calls") > 0, calls).when(F.col("j.tool_call_id").isNotNull(), result).otherwise(plain)
     return m.select("conv_id", "turn", "role", F.posexplode(found).alias("part", "p")).select("conv_id", "turn", "part", "role", "p.*")
 
 
-def parts_of_turns(messages: DataFrame) -> DataFrame:
-    """Parts as above from conversations without markup: a user's turn is a call of ``reply``, named by its turn, and an assistant's turn is the result of the turn before."""
+def turn_part() -> tuple:
+    """Columns kind, call_id, name, arguments and content of a turn without markup."""
     text = F.coalesce("text", F.lit(""))
-    m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     kind = F.when(F.col("role") == "user", "call").when((F.col("role") == "assistant") & (F.col("turn") > 0), "result").otherwise("message")
     number = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
     words = F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), ""))
     arguments = F.to_json(F.struct(words.alias("words"), text.alias("prompt")))
+    return (
+        kind, F.when(kind != "message", F.concat(F.lit("turn-"), number)), F.when(kind == "call", "reply"),
+        F.when(kind == "call", arguments), F.when(kind != "call", F.col("text")),
+    )
+
+
+def parts_of_turns(messages: DataFrame) -> DataFrame:
+    """Parts as above from conversations without markup: a user's turn is a call of ``reply``, named by its turn, and an assistant's turn is the result of the turn before."""
+    m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
+    kind, call_id, name, arguments, content = turn_part()
     return m.select(
-        "conv_id", "turn", F.lit(0).alias("part"), "role", kind.alias("kind"),
-        F.when(kind != "message", F.concat(F.lit("turn-"), number)).alias("call_id"),
-        F.when(kind == "call", "reply").alias("name"), F.when(kind == "call", arguments).alias("arguments"),
-        F.when(kind != "call", F.col("text")).alias("content"), F.lit(None).cast("array<string>").alias("after"),
+        "conv_id", "turn", F.lit(0).alias("part"), "role", kind.alias("kind"), call_id.alias("call_id"), name.alias("name"),
+        arguments.alias("arguments"), content.alias("content"), F.lit(None).cast("array<string>").alias("after"),
     )
 
 

@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.formatted(chat.parts_of_turns(table(spark, sf_dir, "conversations")), chat.REPLY)
+    found = chat.formatted(chat.parts_of_messages(table(spark, sf_dir, "conversations"), turns=True), chat.REPLY)
     return found.select("conv_id", "turn", "kind", "call_id", "linked_turn", "at", "problem", F.md5("json").alias("json_md5"))
 
 

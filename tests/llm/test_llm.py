@@ -103,6 +103,26 @@ def test_chat_links_orders_checks(spark):
     assert chat.formatted(chat.parts_of_messages(m.limit(0)), schemas).count() == 0
 
 
+def test_chat_query_reads_tool_calls(spark, tmp_path):
+    from pricewright.llm.queries import op2_chat
+
+    call = lambda i, n, a, after=(): {"id": i, "name": n, "arguments": a, "after": list(after)}
+    rows = [
+        (1, 0, "user", "hi there"), (1, 1, "assistant", "hello"), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "early"})),
+        (1, 3, "assistant", json.dumps({"tool_calls": [call("a", "reply", '{"prompt":"x","words":"1"}'), call("b", "odd", "{}", ["a"])]})),
+        (1, 4, "tool", json.dumps({"tool_call_id": "zz", "content": "?"})), (2, 0, "user", '{"no": "tool_calls"}'), (2, 1, "assistant", None), (None, 0, "system", ""),
+    ]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    m.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn, r.call_id): (r.kind, r.linked_turn, r.at, r.problem) for r in op2_chat(spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, 0, "turn-0"): ("call", 1, 0, None), (1, 1, "turn-0"): ("result", 0, 1, None), (1, 2, "a"): ("result", 3, 3, None), (1, 3, "a"): ("call", 2, 3, "kind of words"),
+        (1, 3, "b"): ("call", None, 3, "unknown tool"), (1, 4, "zz"): ("result", None, 4, "no call"), (2, 0, "turn-0"): ("call", 1, 0, None), (2, 1, "turn-0"): ("result", 0, 1, None), (None, 0, None): ("message", None, 0, None),
+    }
+    plain, names = m.where("turn < 2"), ["conv_id", "turn", "part", "role", "kind", "call_id", "name", "arguments", "content", "after"]
+    assert sorted(map(repr, chat.parts_of_messages(plain, turns=True).select(names).collect())) == sorted(map(repr, chat.parts_of_turns(plain).select(names).collect()))
+
+
 # ---- 3
 
 

@@ -176,6 +176,11 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     sets. Rows of the same id count as one document; rows with null ids join a class, but a class of null ids links
     with nothing. An empty table gives no rows. Other columns are ignored.
     """
+    return grouped(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, class, component of each document as above; the component is null where nothing of the class has an id."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = written(digests(docs, k), "digests")
     known = found.where("block is null").select("doc_id", "n", "class")
@@ -213,15 +218,33 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         groups = written(connected_components(links.unionByName(more)), "groups")
 
     named = written(classes.join(groups, classes.rep == groups.id, "left").select("class", F.coalesce("component", "rep").alias("component")), "named")
-    out = known.join(named, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return known.join(named, "class", "left").select("doc_id", "n", "class", "component")
 
 
 def without_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; documents without words and null ids stay."""
-    found = similar_groups(docs, k, num, den)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return with_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each group, that of the smallest id.
+
+    Rows of one id and one class are one document, of which a row stays (of the smallest text hash). A row without id
+    goes where its class is in a group of ids; of a class without ids one row stays. Documents without words stay,
+    once for each id, and each of those without id.
+    """
+    found = written(grouped(docs, k, num, den), "grouped")
+    gone = written(found.where("doc_id <> component").select("doc_id").distinct(), "gone")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
+    several = written(ids.select("doc_id"), "several")  # ids of several rows; null if there are rows without
+    if several.isEmpty():
+        return with_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    several_ids, known = several.where("doc_id is not null"), F.col("doc_id").cast("long").isNotNull()
+    once = with_ids(docs.where(known), gone.unionByName(several_ids).distinct(), "doc_id", "left_anti").select(docs.columns)
+    rest = with_ids(docs.where(known), several_ids, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(~known))
+    rest = written(rest.withColumn("_row", F.monotonically_increasing_id()), "rest")
+    rows = digests(small_batches(rest).select(F.col("_row").alias("doc_id"), "text"), k).where("block is null").select(F.col("doc_id").alias("_row"), "n", "class")
+    rows = rest.select("_row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("x")).join(rows, "_row")
+    alone = F.when((F.col("n") == 0) & F.col("id").isNull(), F.col("_row"))
+    rows = rows.groupBy("id", "class", "n", alone.alias("alone")).agg(F.min(F.struct("x", "_row"))["_row"].alias("_row"))
+    groups = found.where("component is not null").groupBy("class").agg(F.min("component").alias("component"))
+    rows = rows.join(groups, "class", "left").where("n = 0 or id = component or id is null and component is null")
+    return once.unionByName(rest.join(written(rows.select("_row"), "kept"), "_row", "left_semi").select(docs.columns))
 
 
 GROUPS_SQL = """

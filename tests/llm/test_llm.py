@@ -271,6 +271,25 @@ def test_ngram_join_edges(spark, docs):
     assert ngram_join.similar_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_ngram_join_copies_of_an_id(spark, monkeypatch, broadcast):
+    from pricewright.llm import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_IDS", broadcast)
+    a, b, c, d = ("one two three four five six seven", "q w e r t y u", "only rows without id here", "near copy of a long line that has many words in it so that few differ x")
+    rows = [
+        (1, a), (1, a), (1, a), (1, "a text of its own in id one"), (2, a), (2, c + " but two"), (None, a), (None, a.upper()), (3, b), (None, b), (None, c), (None, c), (None, c + " too"), (4, None), (4, ""), (None, None), (None, ""), (5, b), (5, b),
+        (6, d), (7, d + " y"), (7, d + " y"), (None, d + " y"), (8, "last"),
+    ]
+    t = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
+    got = ngram_join.without_similar(t, 3, 80, 100)
+    assert got.columns == t.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = [(1, a), (1, "a text of its own in id one"), (2, c + " but two"), (3, b), (4, ""), (6, d), (8, "last"), (None, c), (None, c + " too"), (None, ""), (None, "")]
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=key) == sorted(want, key=key)
+    assert ngram_join.without_similar(t.limit(0)).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 40), (40, 77), (5, 5), (None, 3)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

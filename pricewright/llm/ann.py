@@ -17,13 +17,15 @@ from .tables import small_batches, written
 FIT_ROWS = 16_384
 
 
+#: Lengths of so many vectors at most, but for the most frequent, are searched exactly, each in one task.
+EXACT_ROWS = 4_096
+
+
 def taking_part(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that can be compared: of the most frequent length (the smaller of equals), not zero, without null or non-finite components, with an id."""
+    """(vec_id, embedding) of the vectors that can be compared: not empty or zero, without null or non-finite components, with an id."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(finite & F.exists("embedding", lambda x: x != 0))
-    sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("embedding") == (sizes[0].n if sizes else 0))
+    return v.where(finite & F.exists("embedding", lambda x: x != 0))
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -123,16 +125,60 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
     cosine in double precision from the original vectors. Ties go to smaller ids at every step. Of copies, which
     have one code and so one distance, only the k + 1 of the smallest ids go on: no others can be among the nearest.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
-    nor do rows without id. Rows with the query's own id are no candidates; of several queries with one id the
-    least vector counts. Fewer candidates than ``k`` are all returned. An empty table gives no rows. Other columns are ignored.
+    Vectors are compared with those of their own length: the most frequent length and others of more than
+    ``EXACT_ROWS`` vectors have an index each, the rest are searched exactly. Vectors that are null, zero or hold null or
+    non-finite components take no part, nor do rows without id. Rows with the query's own id are no candidates; of
+    several queries with one id that of the more frequent (then smaller) length counts, then the least vector. Fewer
+    candidates than ``k`` are all returned. An empty table gives no rows. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     v = written(taking_part(small_batches(vectors)), "vectors")
-    n = v.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
+    sizes = [tuple(r) for r in v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").collect()]  # a row for each length
+    if not sizes:
+        return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = v.where(F.col("vec_id") % every == 0)
+    if len(sizes) == 1:
+        queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    else:
+        places = v.sparkSession.createDataFrame([(n, i) for i, (n, _) in enumerate(sizes)], "n int, place int")
+        queries = queries.withColumn("n", F.size("embedding")).join(F.broadcast(places), "n").groupBy("vec_id").agg(F.min(F.struct("place", "embedding"))["embedding"].alias("embedding"))
+    queries = written(queries, "queries")
+    large = [s for i, s in enumerate(sizes) if not i or s[1] > EXACT_ROWS]
+    of = lambda df, n: df.where(F.size("embedding") == n) if len(sizes) > 1 else df
+    found = [indexed(of(v, n), of(queries, n), rows, k, kept, rerank, part, target, seed) for n, rows in large]
+    if len(large) < len(sizes):
+        few = ~F.size("embedding").isin([n for n, _ in large])
+        found.append(compared(v.where(few), queries.where(few), k))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def compared(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The nearest vectors as in ``neighbours``, by all cosines of the vectors and queries of a length, 64 queries at a time."""
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rank": pd.Series(dtype="int32"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        if len(left) and len(right):
+            ids, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            a, b = np.stack(left["embedding"]), np.stack(right["embedding"])
+            a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
+            a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+            for at in range(0, len(b), 64):
+                scores = np.stack([(a * q).sum(1) for q in b[at : at + 64]])  # copies get the same score to the last bit
+                for query, score in zip(asked[at : at + 64], scores):
+                    order = np.lexsort((ids, -score))
+                    order = order[ids[order] != query][:k]
+                    out.append(pd.DataFrame({"query_id": query, "rank": np.arange(1, len(order) + 1, dtype=np.int32), "vec_id": ids[order], "score": score[order]}))
+        return pd.concat(out) if len(out) == 1 else pd.concat(out[1:])
+
+    n = F.size("embedding").alias("n")
+    return v.select(n, "vec_id", "embedding").groupBy("n").cogroup(queries.select(n, "vec_id", "embedding").groupBy("n")).applyInPandas(meet, "query_id long, rank int, vec_id long, score double")
+
+
+def indexed(v: DataFrame, queries: DataFrame, n: int, k: int, kept: int, rerank: int, part: int, target: float, seed: int) -> DataFrame:
+    """The nearest vectors as in ``neighbours``, by an index of the ``n`` vectors ``v`` of one length."""
+    spark = v.sparkSession
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select(F.col("embedding").cast("array<float>").alias("e")).toArrow()
     x = unit(rows_of(sample.column("e").combine_chunks()).astype(np.float64))
     index = spark.sparkContext.broadcast(fit(x, n, part, target, seed))
@@ -149,7 +195,6 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
         sizes[row["list"]] = row["count"]
     block = max(256, min(16_384, n // 64))
     blocks = spark.sparkContext.broadcast((sizes, -(-sizes // block)))
-    queries = written(v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     chunks = max(1, -(-queries.count() // 2048))
 
     def probe(batches):

@@ -368,6 +368,31 @@ def test_ann(spark):
     assert ann.neighbours(v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [4096, 100])
+def test_ann_lengths(spark, monkeypatch, exact):
+    monkeypatch.setattr(ann, "EXACT_ROWS", exact)
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=12 if i % 4 < 2 else 7 if i % 4 == 2 else 3).tolist()) for i in range(800)]
+    rows += [(2000, [1.0, 2.0]), (2001, [2.0, 4.0]), (2002, [1.0, 0.0]), (2003, [2.0, 4.0]), (2003, [0.0, 0.0]), (2050, [1.0]), (50, [9.0, 9.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    of, hits, want_rows = {}, 0, 0
+    for i, x in rows:
+        if any(x):
+            of.setdefault(len(x), []).append((i, np.array(x)))
+    for q in [*range(0, 800, 50), 2000, 2050]:
+        n, x = next((len(x), np.array(x)) for i, x in rows if i == q)
+        best = sorted((-float(x @ y / np.sqrt((x @ x) * (y @ y))), i) for i, y in of[n] if i != q)[:5]
+        g = got[got.query_id == q].sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, len(best) + 1))
+        want = {i: -s for s, i in best}
+        hits += len(want.keys() & set(g.vec_id))
+        want_rows += len(want)
+        assert np.allclose([s for i, s in zip(g.vec_id, g.score) if i in want], [want[i] for i in g.vec_id if i in want], atol=1e-12)
+        if n < 3 or n < 12 and exact == 4096:
+            assert set(g.vec_id) == set(want)
+    assert got[got.query_id == 2000].sort_values("rank").vec_id.tolist()[:2] == [2001, 2003] and len(got) == want_rows and hits >= 0.9 * want_rows
+
+
 # ---- 10
 
 

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import small_batches, sole, with_ids, written
+from .tables import named, small_batches, sole, unused, with_ids, written
 
 #: Word hashes kept in a worker at most; the cache is emptied when full.
 CACHE = 100_000
 #: Counters of the n-gram frequency sketch: a fixed 16 MB whatever the corpus; they only order n-grams, results don't depend on them.
 SKETCH_BITS, SKETCH_BLOCK = 24, 32768
+#: Shingles that are passed on at once, more only where one document has more.
+PASSED = 200_000
 #: Rows of a column that are paired at once at most; columns of more go by pivots.
 SHORT = 8
 
@@ -60,9 +62,13 @@ def least_overlap(n, num: int, den: int):
 def _sets(batches, k: int):
     sole(_words)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            yield part.column(0), [shingles(t.as_py(), k) for t in part.column(1)]
+        at, sets, n = 0, [], 0
+        for i, text in enumerate(batch.column(1)):
+            sets.append(shingles(text.as_py(), k))
+            n += len(sets[-1])
+            if n > PASSED or i + 1 == batch.num_rows:
+                yield batch.column(0).slice(at, len(sets)), sets
+                at, sets, n = i + 1, [], 0
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -79,13 +85,13 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, class) of each document, and counter blocks (block, counts) of the n-gram frequency sketch of each task."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
         for ids, sets in _sets(batches, k):
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_class, sets), pa.binary()), none, pa.nulls(len(sets), pa.binary())], names=["doc_id", "n", "class", "block", "counts"])
             if sets and len(flat := np.concatenate(sets)):
                 at, more = np.unique(flat >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                counts[at] = np.minimum(counts[at] + more, 255)
+                counts[at] = np.minimum(counts[at] + more, 65535)
         blocks = [i for i in range(0, len(counts), SKETCH_BLOCK) if counts[i : i + SKETCH_BLOCK].any()]
         packed = [zlib.compress(counts[i : i + SKETCH_BLOCK].tobytes(), 1) for i in blocks]
         none = pa.nulls(len(blocks), pa.int64())
@@ -94,22 +100,30 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, class binary, block int, counts binary")
 
 
+def rough(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: exact below 32, then eight steps for each doubling, up to 2**32."""
+    steps = np.floor(8 * np.log2(np.maximum(counts, 32) / 32))
+    return np.where(counts < 32, counts, 32 + steps).astype(np.uint8)
+
+
 def frequency_sketch(found: DataFrame) -> np.ndarray:
-    """The summed counters, capped at 255; each task adds its blocks as they come. The driver gets 16 MB at most."""
+    """The summed counters, in a byte each; tasks add up the blocks of all others as they come. The driver gets 16 MB at most."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
-                sums[block] = np.minimum(sums[block].astype(np.uint16) + more, 255).astype(np.uint8) if block in sums else more
-        packed = [v.tobytes() for v in sums.values()]
+                more = np.frombuffer(zlib.decompress(packed), dtype=np.uint16)
+                if block not in sums:
+                    sums[block] = np.zeros(SKETCH_BLOCK, dtype=np.int64)
+                sums[block] += more
+        packed = [zlib.compress(rough(v).tobytes(), 1) for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     blocks = found.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for row in blocks.collect():
-        out[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(row.counts, dtype=np.uint8)
+        out[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint8)
     return out
 
 
@@ -153,11 +167,35 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return both.withColumn("o", overlap).where(F.col("o") * den >= (F.size("ga") + F.size("gb") - F.col("o")) * num).select("a", "b")
 
 
-def within_bounds(n1, at1, n2, at2, num: int, den: int):
-    """Column: sizes and the places of the common n-gram leave room for the overlap that a link needs."""
-    n1, at1, n2, at2 = map(F.col, (n1, at1, n2, at2))
-    need = F.ceil((n1 + n2) * num / F.lit(float(num + den)) - F.lit(1e-9))
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (F.least(n1 - at1, n2 - at2) >= need)
+def reach(n: str, at: str, num: int, den: int):
+    """Column: the largest set that a set of ``n`` can link to, if the first n-gram that both have is the one at place ``at``."""
+    return F.expr(f"({n} - {at}) * {num + den}L div {num} - {n}")
+
+
+def within_bounds(n1: str, at1: str, n2: str, at2: str, num: int, den: int):
+    """Column: sizes and the places of the common n-gram leave room for the overlap that a link needs, num / (num + den) of both sizes."""
+    return (F.col(n2) <= reach(n1, at1, num, den)) & (F.col(n1) <= reach(n2, at2, num, den))
+
+
+def band(n: str):
+    """Column: sizes in bands, exact below 128, then 64 to each doubling."""
+    n = F.expr(n)
+    return F.when(n < 128, n).otherwise(F.floor(F.log2(n) * 64) - 320).cast("int")
+
+
+def between_groups(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of rows of different groups ``g`` that share a column and are within the bounds, from open ``cells`` (token, id, n, at, g, most).
+
+    Rows meet in keys of a column and a band of sizes: the smaller of two stands in all bands that its bound reaches,
+    the larger in its own. So where a passage that many texts share is too small a part of them, as places tell, no
+    two of them meet. Rows of the largest group ``most`` meet others only.
+    """
+    cells = written(cells.withColumn("r", reach("n", "at", num, den)).drop("at"), "open")
+    ask = cells.where("r >= n").withColumn("band", F.explode(F.sequence(band("n"), band("r"))))
+    told = cells.select("token", band("n").alias("band"), *(F.col(c).alias(f"{c}2") for c in ("id", "n", "r", "g", "most")))
+    meet = lambda x, y: x.join(y, ["token", "band"]).where("g <> g2 and n2 <= r and n <= r2 and (n < n2 or n = n2 and id < id2)")
+    both = meet(ask.where("g <> most"), told).unionByName(meet(ask.where("g = most"), told.where("g2 <> most2")))
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -169,8 +207,8 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
        in longer ones the row with the fewest rarer n-grams is the pivot, every other row is paired with it. Pairs below the size or place bounds are discarded, the
        overlap of the others is counted over whole rows. This costs a few pairs for each kept cell, however large a column.
     3. Links make components. Long columns whose rows are in several components then pair the rows outside the largest
-       one with all rows of other components. Pairs within a component are never needed, so all links between
-       different components are found, exactly.
+       one with the rows of other components that the bounds allow (``between_groups``). Pairs within a component are
+       never needed, so all links between different components are found, exactly.
 
     Texts without words, null or empty, have no shingles and are groups of their own. Very long texts are whole
     sets. Rows of the same id count as one document; rows with null ids join a class, but a class of null ids links
@@ -209,13 +247,11 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     cells = written(cells, "cells")
     split = cells.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("g", "c").alias("most"), F.count("*").alias("groups"))
     split = written(split.where("groups > 1").select("token", "most"), "split")
-    open_cells = written(cells.join(split, "token"), "open")
-    few = open_cells.where("g <> most").select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "g")))
-    rest = open_cells.join(few, "token").where("g <> g2 and (g = most or id < id2)").where(within_bounds("n", "at", "n2", "at2", num, den))
-    rest = written(rest.select(*pair("id", "id2")).distinct(), "pairs")
+    rest = written(between_groups(cells.join(split, "token"), num, den), "pairs")
     if not rest.isEmpty():
         more = written(verified(docs, rest, k, num, den), "verified")
-        groups = written(connected_components(links.unionByName(more)), "groups")
+        known_links = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        groups = written(connected_components(known_links.unionByName(more)), "groups")
 
     named = written(classes.join(groups, classes.rep == groups.id, "left").select("class", F.coalesce("component", "rep").alias("component")), "named")
     return known.join(named, "class", "left").select("doc_id", "n", "class", "component")
@@ -232,19 +268,21 @@ def without_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     gone = written(found.where("doc_id <> component").select("doc_id").distinct(), "gone")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
     several = written(ids.select("doc_id"), "several")  # ids of several rows; null if there are rows without
+    columns = [named(c) for c in docs.columns]
     if several.isEmpty():
-        return with_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+        return with_ids(docs, gone, "doc_id", "left_anti").select(*columns)
     several_ids, known = several.where("doc_id is not null"), F.col("doc_id").cast("long").isNotNull()
-    once = with_ids(docs.where(known), gone.unionByName(several_ids).distinct(), "doc_id", "left_anti").select(docs.columns)
-    rest = with_ids(docs.where(known), several_ids, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(~known))
-    rest = written(rest.withColumn("_row", F.monotonically_increasing_id()), "rest")
-    rows = digests(small_batches(rest).select(F.col("_row").alias("doc_id"), "text"), k).where("block is null").select(F.col("doc_id").alias("_row"), "n", "class")
-    rows = rest.select("_row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("x")).join(rows, "_row")
-    alone = F.when((F.col("n") == 0) & F.col("id").isNull(), F.col("_row"))
-    rows = rows.groupBy("id", "class", "n", alone.alias("alone")).agg(F.min(F.struct("x", "_row"))["_row"].alias("_row"))
+    once = with_ids(docs.where(known), gone.unionByName(several_ids).distinct(), "doc_id", "left_anti").select(*columns)
+    rest = with_ids(docs.where(known), several_ids, "doc_id", "left_semi").select(*columns).unionByName(docs.where(~known))
+    (row,) = unused(docs, "row")
+    rest = written(rest.withColumn(row, F.monotonically_increasing_id()), "rest")
+    rows = digests(small_batches(rest).select(F.col(row).alias("doc_id"), "text"), k).where("block is null").select(F.col("doc_id").alias(row), "n", "class")
+    rows = rest.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("x")).join(rows, row)
+    alone = F.when((F.col("n") == 0) & F.col("id").isNull(), F.col(row))
+    rows = rows.groupBy("id", "class", "n", alone.alias("alone")).agg(F.min(F.struct("x", row))[row].alias(row))
     groups = found.where("component is not null").groupBy("class").agg(F.min("component").alias("component"))
     rows = rows.join(groups, "class", "left").where("n = 0 or id = component or id is null and component is null")
-    return once.unionByName(rest.join(written(rows.select("_row"), "kept"), "_row", "left_semi").select(docs.columns))
+    return once.unionByName(rest.join(written(rows.select(row), "kept"), row, "left_semi").select(*columns))
 
 
 GROUPS_SQL = """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged as written
 
-__all__ = ["BROADCAST_IDS", "SPACE", "ship_package", "small_batches", "sole", "with_ids", "words_of", "written"]
+__all__ = ["BROADCAST_IDS", "SPACE", "named", "ship_package", "small_batches", "sole", "unused", "with_ids", "words_of", "written"]
 
 #: Ids broadcast at most (some 50 MB as a hash table); beyond it the same join is a shuffled one.
 BROADCAST_IDS = 500_000
@@ -51,14 +51,39 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.append(spark.sparkContext)
 
 
+#: Settings of the session that the operators give batches of texts, unless the caller set others: rows and bytes of a batch at most.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", str(4 << 20))}
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session was told to pass texts to Python in batches of 2,000 rows and 16 MB at most, so that long ones don't add up, and the executors can import this package."""
+    """``df``, with the executors able to import this package and texts passed to Python in small batches.
+
+    Batches are read from the session's settings when a plan runs, so they stay set: those of ``BATCHES`` that have
+    Spark's default value get 1,000 rows and 4 MB, so that long texts don't add up; values of the caller's are kept.
+    """
     ship_package(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for name, (default, ours) in BATCHES.items():
+        if df.sparkSession.conf.get(name, default).removesuffix("b") in (default, "256m"):
+            df.sparkSession.conf.set(name, ours)
     return df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, those that ``df`` has already (in capitals or not) with more underscores before them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str):
+    """Column of exactly this name, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def words_of(text):
     """Column: the array of words ``[^\\x20\\x09-\\x0D]+`` of a text; null and empty texts have none."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACE[1:], " " * (len(SPACE) - 1))

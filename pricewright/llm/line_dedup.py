@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .running import bits_for, running_sum
-from .tables import BROADCAST_IDS, SPACE, written
+from .tables import BROADCAST_IDS, SPACE, named, unused, written
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 20
+#: Hashed after a line for its second hash.
+SECOND = "second"
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, digest and ``lines`` of each document: for each line with a word its number, hash and the lines of the least window of ``least`` words from it on (ahead) and up to it (back), null if none."""
+    """doc_id, digest and ``lines`` of each document: for each line with a word its number, two 64-bit hashes and the lines of the least window of ``least`` words from it on (ahead) and up to it (back), null if none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.translate(text, SPACE.replace("\n", ""), " " * (len(SPACE) - 1))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(plain, "\n").alias("l"))
     lines = F.transform("l", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
-    lines = F.transform(F.filter(lines, lambda x: x["x"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.size(F.array_remove(F.split(x["x"], " "), "")).alias("w")))
+    lines = F.transform(F.filter(lines, lambda x: x["x"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.xxhash64(x["x"], F.lit(SECOND)).alias("h2"), F.size(F.array_remove(F.split(x["x"], " "), "")).alias("w")))
     d = d.select("doc_id", "digest", lines.alias("l")).where(F.size("l") > 0).select("doc_id", "digest", "l", F.transform("l", lambda x: x["w"]).alias("w"))
     d = d.withColumn("r", F.reverse("w"))
 
@@ -29,7 +31,7 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
 
     lengths = lambda c: F.transform(c, lambda x, i: F.when(x >= least, F.lit(1)).otherwise(window(F.col(c), i)))
     d = d.select("doc_id", "digest", "l", lengths("w").alias("a"), F.reverse(lengths("r")).alias("b"))
-    joined = F.transform(F.arrays_zip("l", "a", "b"), lambda x: F.struct(x["l"]["i"].alias("i"), x["l"]["h"].alias("h"), x["a"].alias("ahead"), x["b"].alias("back")))
+    joined = F.transform(F.arrays_zip("l", "a", "b"), lambda x: F.struct(x["l"]["i"].alias("i"), x["l"]["h"].alias("h"), x["l"]["h2"].alias("h2"), x["a"].alias("ahead"), x["b"].alias("back")))
     return d.select("doc_id", "digest", joined.alias("lines"))
 
 
@@ -52,9 +54,9 @@ def placed(lines: DataFrame) -> tuple[DataFrame, int]:
 
 def ranked_lines(at: DataFrame) -> DataFrame:
     """(p, r) of the lines that occur twice or more: r is the place of the line among sorted lines."""
-    kinds = written(at.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").withColumn("o", F.shiftrightunsigned("h", 1)), "kinds")
-    kinds = written(running_sum(kinds, [], "o", "c", "r", 63, bits_for(kinds.count()), ["h"]).select("h", "r"), "ranks")
-    return written(at.join(kinds, "h").select("p", "r"), "suffixes")
+    kinds = written(at.groupBy("h", "h2").agg(F.count("*").alias("c")).where("c > 1").withColumn("o", F.shiftrightunsigned("h", 1)), "kinds")
+    kinds = written(running_sum(kinds, [], "o", "c", "r", 63, bits_for(kinds.count()), ["h", "h2"]).select("h", "h2", "r"), "ranks")
+    return written(at.join(kinds, ["h", "h2"]).select("p", "r"), "suffixes")
 
 
 def doubled(ranks: DataFrame, width: int, total: int) -> DataFrame:
@@ -73,7 +75,7 @@ def doubled(ranks: DataFrame, width: int, total: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, int]:
-    """(p, n, first): windows of n lines from place p whose first copy is at the earlier place ``first``; the placed documents; the bits of a line number.
+    """(p, n, first): windows of n lines from place p whose first copy, at place ``first``, ends before p; the placed documents; the bits of a line number.
 
     A run of ``least`` words or more is repeated exactly if its windows that just reach ``least`` words, from each
     line ahead and back, are; whether a window just reaches them depends on its content only. So all copies of a
@@ -81,7 +83,7 @@ def repeated_windows(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame
     intervals of suffixes whose common prefix has this length.
     """
     d, bits = placed(line_table(docs, least))
-    at = d.select(F.shiftleft("place", bits).alias("base"), F.posexplode("lines").alias("j", "x")).select((F.col("base") + F.col("j")).alias("p"), "x.h", "x.ahead", "x.back")
+    at = d.select(F.shiftleft("place", bits).alias("base"), F.posexplode("lines").alias("j", "x")).select((F.col("base") + F.col("j")).alias("p"), "x.h", "x.h2", "x.ahead", "x.back")
     levels = [ranked_lines(at)]
     ahead = at.where("ahead is not null").select("p", F.col("ahead").alias("n"))
     back = at.where("back > 1").select((F.col("p") - F.col("back") + 1).alias("p"), F.col("back").alias("n"))
@@ -100,7 +102,7 @@ def repeated_windows(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame
         classes = w if classes is None else classes.unionByName(w)
     classes = written(classes, "classes")
     first = written(classes.groupBy("n", "head", "tail").agg(F.min("p").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
-    return classes.join(first, ["n", "head", "tail"]).where("p > first").select("p", "n", "first"), d, bits
+    return classes.join(first, ["n", "head", "tail"]).where("p >= first + n").select("p", "n", "first"), d, bits
 
 
 def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -121,15 +123,16 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the columns they have, ``text`` without the lines of repeated runs but for the first copy, and n_lines, n_gone.
+    """``docs`` with the columns they have, ``text`` without the lines of later copies of repeated runs, and n_lines, n_gone.
 
     Runs are of lines with a word (white space at the ends doesn't count), have ``least`` words at least, and stay
-    within a document; lines without a word in between stay. The first copy is that of the smallest id (in a
-    document the upper one). A document may lose all its text and stays as an empty one.
+    within a document; lines without a word in between stay. A run is a later copy if an equal one ends before it, in
+    its document or in one of a smaller id; copies that overlap the first one aren't, so of eight equal lines whose
+    first four make a run four stay. A document may lose all its text and stays as an empty one.
 
     Only hashes of lines move, a row each and only those that repeat; ranks and classes are made by counts of
     distinct values, so a line of any frequency is split between tasks. The numbers of lines that go return to the
-    texts by broadcast if few rows were counted, else by a join.
+    texts by broadcast if few rows were counted, else by a join. Lines are equal if both their 64-bit hashes are.
 
     Null texts stay null, with no lines; empty ones stay. Very long texts have their lines in rows of their own.
     Equal rows of one id count as one document and stay as they are in number; null ids stand first. Empty table:
@@ -138,17 +141,19 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     gone = written(deletions(docs, least), "gone")
     rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     few = 4 * rows <= BROADCAST_IDS and numbers <= 4 * BROADCAST_IDS
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "gone")
-    text = F.col("text")
     names = [c for c in docs.columns if c not in ("n_lines", "n_gone")]
-    d = docs.select(*names, F.col("doc_id").cast("long").alias("_i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_x"))
-    d = d.join(F.broadcast(gone) if few else gone, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_g")), "left")
+    i, x, l, d, g, out = unused(docs, "id", "digest", "lines", "gone_id", "gone_digest", "gone")
+    gone = gone.select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("gone").alias(out))
+    text = F.col("text")
+    rows = docs.select(*map(named, names), F.col("doc_id").cast("long").alias(i), F.xxhash64(F.coalesce(text, F.lit(""))).alias(x))
+    rows = rows.join(F.broadcast(gone) if few else gone, F.col(i).eqNullSafe(F.col(d)) & (F.col(x) == F.col(g)), "left")
     lines = F.split(text, "\n")
-    ends = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size(lines)))
-    parts = F.zip_with(F.slice(ends, 1, F.size("gone") + 1), F.slice(ends, 2, F.size("gone") + 1), lambda a, b: F.slice("_l", a + 2, b - a - 1))
-    d = d.withColumn("_l", lines)
-    left = F.when(F.col("gone").isNotNull(), F.array_join(F.flatten(parts), "\n")).otherwise(text)
-    return d.select(*(left.alias("text") if c == "text" else F.col(c) for c in names), F.greatest(F.size("_l"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"))
+    ends = F.concat(F.array(F.lit(-1)), out, F.array(F.size(lines)))
+    parts = F.zip_with(F.slice(ends, 1, F.size(out) + 1), F.slice(ends, 2, F.size(out) + 1), lambda a, b: F.slice(l, a + 2, b - a - 1))
+    left = F.when(F.col(out).isNotNull(), F.array_join(F.flatten(parts), "\n")).otherwise(text)
+    count = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    columns = [left.alias("text") if c == "text" else named(c) for c in names]
+    return rows.withColumn(l, lines).select(*columns, count(l).alias("n_lines"), count(out).alias("n_gone"))
 
 
 DEDUP_SQL = f"""
@@ -160,8 +165,8 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY j) AS cw FROM z),
 f AS (SELECT a.doc_id, a.j AS a, min(b.j) AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.cw - a.cw + a.w >= {MIN_WORDS} GROUP BY 1, 2
   UNION SELECT a.doc_id, max(b.j), a.j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.j <= a.j AND a.cw - b.cw + b.w >= {MIN_WORDS} GROUP BY a.doc_id, a.j),
 k AS (SELECT f.doc_id, a, b, string_agg(s, chr(10) ORDER BY j) AS run FROM f JOIN c ON c.doc_id = f.doc_id AND j BETWEEN a AND b GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS n FROM k),
-g AS (SELECT DISTINCT r.doc_id, c.i FROM r JOIN c ON c.doc_id = r.doc_id AND j BETWEEN a AND b WHERE n > 1)
+e AS (SELECT run, min_by(doc_id, (doc_id, a)) AS first_doc, min_by(b, (doc_id, a)) AS first_end FROM k GROUP BY run),
+g AS (SELECT DISTINCT k.doc_id, c.i FROM k JOIN e USING (run) JOIN c ON c.doc_id = k.doc_id AND j BETWEEN a AND b WHERE k.doc_id <> first_doc OR a > first_end)
 SELECT x.doc_id, CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END AS n_lines, count(g.i) AS n_gone, md5(coalesce(string_agg(raw, chr(10) ORDER BY x.i) FILTER (g.i IS NULL), '')) AS text_md5
 FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id
 """

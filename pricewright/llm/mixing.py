@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import bits_for, running_sum
-from .tables import BROADCAST_IDS, words_of, written
+from .tables import BROADCAST_IDS, named, unused, words_of, written
 
 #: Sources broadcast at most; with more, their joins are shuffled.
 BROADCAST_SOURCES = 20_000
@@ -17,7 +17,8 @@ GOLDEN = 2_654_435_769
 
 
 def digest() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("source"))
+    """Column: what tells apart rows of one id; a null is none of the other values."""
+    return F.xxhash64(F.col("text").isNull(), "text", F.col("source").isNull(), "source")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...], share: float, mo
     Sources stand by code point, null last, and weigh ``weights`` in turn. Together they get ``share`` of all
     sizes by weight; a target stops at ``most`` times its source's size and the excess is shared again by weight.
     The level at which no target is above its stop is found by sorting stops per weight: below the level sources
-    are full, above it they get level times weight. The window is over sources, one row each, not over rows.
+    are full, above it they get level times weight. The windows are over sources, one row each, in one task: some
+    millions of sources at most, of any number of rows.
     """
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("key")
     src = rows.groupBy(key).agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
@@ -101,7 +103,7 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix_plan(rows: DataFrame, sources: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """The mix, one row for each piece of a document in a slot: slot, epoch, block, doc_id, digest, source, size, at, from_word, to_word.
+    """The mix, one row for each piece of a document in a slot: slot, epoch, block, row, doc_id, digest, source, size, at, from_word, to_word.
 
     Documents of a source stand shuffled by a hash of their id and the seed, one after the other (``at``); blocks
     cut this row of words evenly. Words from_word up to to_word of the document come at that slot. Documents from
@@ -123,7 +125,7 @@ def mix_plan(rows: DataFrame, sources: DataFrame, block_words: int, seed: int) -
     joined = pieces.join(slots, ["key", "block"], "left")
     stops = F.when(F.col("epoch") < F.col("epochs"), F.col("last")).otherwise(F.least("last", F.col("rest") - F.col("at")))
     joined = joined.withColumn("to_word", F.greatest(stops, "first"))
-    return joined.select("slot", "epoch", "block", "doc_id", "digest", "source", "key", "size", "at", F.col("first").alias("from_word"), "to_word")
+    return joined.select("slot", "epoch", "block", "row", "doc_id", "digest", "source", "key", "size", "at", F.col("first").alias("from_word"), "to_word")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: int = 17) -> DataFrame:
@@ -133,13 +135,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     Targets are met to the word. ``taken`` is at most ``most`` (a whole number) times the size.
 
     Null and empty texts have size 0 and nothing is taken of them. Null sources are one source, the last. Very
-    long documents span several blocks. Repeated rows are documents of their own; null ids stand together. An
-    empty table gives no rows. Other columns are ignored.
+    long documents span several blocks. Repeated rows are documents of their own, also those without words; null
+    ids stand together. An empty table gives no rows. Other columns are ignored.
     """
-    rows = written(sized(docs), "sizes")
+    rows = written(sized(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
     sources = written(source_targets(rows, weights, share, most), "targets")
     plan = mix_plan(rows, sources, block_words, seed)
-    sums = plan.groupBy("doc_id", "digest", "key", "source", "size", "at").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).cast("long").alias("taken"))
+    words = F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))
+    sums = plan.groupBy("row", "doc_id", "digest", "key", "source", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     known = sources.select("key", "source_size", "target")
     return sums.join(F.broadcast(known) if few else known, "key").select("doc_id", "digest", "source", "size", "source_size", "target", "taken")
@@ -153,14 +156,17 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Equal rows of one id share what is taken of them evenly. The counts return to the texts by broadcast if they
     were counted and are few, else by a join.
     """
-    taken = mix(docs, **how).where("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("t"), F.count("*").alias("c"), F.max("size").alias("_s"))
-    taken = written(taken.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), F.expr("t div c").alias("_t"), "_s"), "taken")
+    i, x, d, g, t, n, w = unused(docs, "id", "row_digest", "taken_id", "taken_digest", "times", "words", "part")
+    taken = mix(docs, **how).where("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("t"), F.count("*").alias("c"), F.max("size").alias(n))
+    taken = written(taken.select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.expr("t div c").alias(t), n), "taken")
     few = taken.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    names = docs.columns
-    d = docs.withColumn("_i", F.col("doc_id").cast("long")).withColumn("_x", digest())
-    d = d.join(F.broadcast(taken) if few else taken, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_g")))
-    times = F.concat(F.array_repeat(F.col("_s"), F.expr("cast(_t div _s as int)")), F.when(F.col("_t") % F.col("_s") > 0, F.array(F.col("_t") % F.col("_s"))).otherwise(F.array().cast("array<long>")))
-    d = d.withColumn("_w", F.explode(times))
-    part = F.when(F.col("_w") < F.col("_s"), F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_w").cast("int")), " ")).otherwise(F.col("text"))
-    d = d.withColumn("text", part)
-    return (d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else d).select(*names)
+    rows = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(x, digest())
+    rows = rows.join(F.broadcast(taken) if few else taken, F.col(i).eqNullSafe(F.col(d)) & (F.col(x) == F.col(g)))
+    part = F.col(t) % F.col(n)
+    whole = F.array_repeat(F.col(n), F.floor(F.col(t) / F.col(n)).cast("int"))
+    rows = rows.withColumn(w, F.explode(F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    first_words = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col(w).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col(w) < F.col(n), first_words).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*map(named, docs.columns))

@@ -81,6 +81,31 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def cuts_of(steps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first one, and each next one an exponential further."""
+    return np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
+
+
+def likelihoods(weights: np.ndarray, steps: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade <= y) and P(grade < y) of each row, given its features; the difference is the likelihood of its grade."""
+    scores = np.add.reduceat(weights[np.concatenate(rows)], np.cumsum([0, *map(len, rows)])[:-1])
+    edge = np.concatenate([[-np.inf], cuts_of(steps), [np.inf]])
+    return sigmoid(edge[y + 1] - scores), sigmoid(edge[y] - scores)
+
+
+def slopes(weights: np.ndarray, steps: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the mean log likelihood by weights and by steps."""
+    hi, lo = likelihoods(weights, steps, rows, y)
+    # by the score: minus the density at both edges over their difference, which is hi + lo - 1
+    by_score = np.bincount(np.concatenate(rows), weights=np.repeat(hi + lo - 1, list(map(len, rows))), minlength=len(weights)) / len(y)
+    p = np.maximum(hi - lo, 1e-9)
+    by_cut = np.zeros(len(steps))
+    for k in range(len(steps)):
+        by_cut[k] = ((hi * (1 - hi) / p)[y == k].sum() - (lo * (1 - lo) / p)[y == k + 1].sum()) / len(y)
+    by_step = [by_cut[k:].sum() * np.exp(steps[k]) for k in range(1, len(steps))]
+    return by_score, np.concatenate([[by_cut.sum()], by_step])
+
+
 def fit_ordinal(flat: np.ndarray, ends: np.ndarray, grades: np.ndarray, levels: int = 3, rounds: int = 10, rate: float = 0.15, l1: float = 1e-3, batch: int = 128, rare: int = 3, seed: int = 7) -> OrdinalModel:
     """Fits weights shared by all levels and ordered thresholds by adaptive gradient steps with an L1 penalty.
 
@@ -105,27 +130,16 @@ def fit_ordinal(flat: np.ndarray, ends: np.ndarray, grades: np.ndarray, levels:
     for _ in range(rounds):
         for at in np.array_split(random.permutation(len(grades)), max(1, len(grades) // batch)):
             rows = [f[known[f]] for f in (flat[starts[i] : ends[i]] for i in at)]
-            y, used_by, sizes = grades[at], np.concatenate(rows), np.array([len(r) for r in rows])
-            cuts = np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
-            scores = np.add.reduceat(weights[used_by], np.cumsum([0, *sizes])[:-1])
-            edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-            hi, lo = sigmoid(edge[y + 1] - scores), sigmoid(edge[y] - scores)
-            # the log likelihood of a grade grows with the score by hi + lo - 1
-            by_score = np.bincount(used_by, weights=np.repeat(hi + lo - 1, sizes), minlength=len(weights)) / len(at)
-            used = np.unique(used_by)
+            by_score, by_step = slopes(weights, steps, rows, grades[at])
+            used = np.unique(np.concatenate(rows))
             g = by_score[used]
             squares[used] += g * g
             pace = rate / np.sqrt(squares[used])
             moved = weights[used] + pace * g
             weights[used] = np.sign(moved) * np.maximum(0, np.abs(moved) - pace * l1)
-            p = np.maximum(hi - lo, 1e-9)
-            by_cut = np.zeros(levels - 1)
-            for k in range(levels - 1):
-                by_cut[k] = ((hi * (1 - hi) / p)[y == k].sum() - (lo * (1 - lo) / p)[y == k + 1].sum()) / len(at)
-            g = np.concatenate([[by_cut.sum()], [by_cut[k:].sum() * np.exp(steps[k]) for k in range(1, levels - 1)]])
-            step_squares += g * g
-            steps = steps + rate * g / np.sqrt(step_squares)
-    return OrdinalModel(weights, np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))]))
+            step_squares += by_step * by_step
+            steps = steps + rate * by_step / np.sqrt(step_squares)
+    return OrdinalModel(weights, cuts_of(steps))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -134,41 +148,55 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grade).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def training_rows(docs: DataFrame, grades: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (one array, and where each row's end) and grades of at most ``rows`` labelled documents, in the order of their ids.
-
-    Texts are hashed on the executors; the driver gets sets of features only, in one piece.
-    """
+def training_rows(docs: DataFrame, grades: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, grade, found): grades and features, as bytes, of at most ``rows`` labelled documents; texts are hashed where they lie."""
     picked = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it is broadcast
 
     def run(batches):
         sole(_words)
         for batch in batches:
             found = [features(t.as_py()).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.large_binary())], names=["doc_id", "grade", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = small_batches(text).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, found binary")
-    got = got.toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")]).combine_chunks()
-    if not got.num_rows:
-        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    found = got.column("found").cast(pa.large_binary()).combine_chunks()
-    ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset : found.offset + len(found) + 1] // 4
-    flat = np.frombuffer(found.buffers()[2], dtype=np.int32)[ends[0] : ends[-1]].copy()
-    grades = got.column("grade").to_numpy().astype(np.int64)
-    del got, found
-    pa.default_memory_pool().release_unused()
-    return flat, ends[1:] - ends[0], grades
+    labelled = small_batches(text).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
+    return labelled.mapInArrow(run, "doc_id long, grade int, found binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalModel:
-    return fit_ordinal(*training_rows(docs, graded(labels), rows))
+    """The model of the labelled documents, at most ``rows`` of them (those of the smallest id hashes).
+
+    The features of these rows, some 40 MB for 12,000, meet in one task, in the order of their ids, and are fitted
+    there: the driver gets a model of 2 MB, and a lost executor costs one task. Labels with nulls give no rows, nor do
+    labels without a document; a document of several labels has the least grade; documents of one id all count.
+    Null and empty texts have the features of a text without words, very long ones are read whole. Without rows,
+    every text has the top grade. Other columns are ignored.
+    """
+
+    def run(batches):
+        flat, sizes, grades = [], [], []
+        for batch in batches:
+            for grade, found in zip(batch.column(1).to_pylist(), batch.column(2)):
+                flat.append(np.frombuffer(found.as_py(), dtype=np.int32))
+                sizes.append(len(flat[-1]))
+                grades.append(grade)
+        whole = np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)
+        model = fit_ordinal(whole, np.cumsum(sizes, dtype=np.int64), np.array(grades, dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
+
+    one = training_rows(docs, graded(labels), rows).repartition(1).sortWithinPartitions("doc_id", "found")
+    got = one.mapInArrow(run, "weights binary, thresholds binary").collect()
+    if not got:  # an empty input has no task
+        return fit_ordinal(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    return OrdinalModel(*(np.frombuffer(x, dtype=np.float64) for x in got[0]))
 
 
-def judge(docs: DataFrame, model: OrdinalModel, result, schema) -> DataFrame:
-    """Applies ``result`` to batches of ``docs`` and the tail probabilities of their texts; the model is broadcast, 1 MB."""
+def judge(docs: DataFrame, at: int, model: OrdinalModel, result, schema) -> DataFrame:
+    """Applies ``result`` to batches of ``docs`` and the tail probabilities of their texts, column ``at``; the model is broadcast, 1 MB.
+
+    A row gives a result of its own, whatever its id; texts as in ``fit``; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
-    at = docs.columns.index("text")
 
     def run(batches):
         sole(_words)
@@ -193,9 +221,15 @@ def score(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame
         return pa.RecordBatch.from_arrays(out, names=["doc_id", "expected_grade", "p_low", "p_top", "selected"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judge(ids, model, result, "doc_id long, expected_grade double, p_low double, p_top double, selected boolean")
+    return judge(ids, 1, model, result, "doc_id long, expected_grade double, p_low double, p_top double, selected boolean")
 
 
 def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects, all columns as they are: a narrow pass, texts are not shuffled."""
-    return judge(docs, fit(docs, labels), lambda part, tails: part.filter(pa.array(tails[:, -1] >= least)), docs.schema)
+    """``docs`` without the documents that the classifier rejects, all columns as they are: a narrow pass, texts are not shuffled.
+
+    Rows are judged by their texts alone: null and empty ones as texts without words, repeated rows and rows without id
+    each for themselves, very long ones whole. Where no labelled document is found nothing is rejected. Empty table: no rows.
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind
+    kept = judge(plain, docs.columns.index("text"), fit(docs, labels), lambda part, tails: part.filter(pa.array(tails[:, -1] >= least)), plain.schema)
+    return kept.toDF(*docs.columns)

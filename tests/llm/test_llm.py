@@ -42,22 +42,20 @@ def random_docs(n=120, seed=3):
 
 
 def brute_lines(rows, least):
-    seen, out = set(), {}
+    """A line goes if a run of lines that holds it, of ``least`` words or more, equals one that ends before it."""
+    docs = {}
     for i, t in sorted(rows):
         lines = [(k, words(x), re.sub("[\x09\x0b-\x0d]", " ", x).strip(" ")) for k, x in enumerate(t.split("\n"))]
-        lines = [x for x in lines if x[1]]
-        gone, found = set(), set()
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                if sum(len(x[1]) for x in lines[a : b + 1]) >= least:
-                    found.add((a, b))
-        for a, b in sorted(found):
-            key = tuple(x[2] for x in lines[a : b + 1])
-            if key in seen:
-                gone |= {x[0] for x in lines[a : b + 1]}
-            seen.add(key)
-        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-    return out
+        docs[i] = [x for x in lines if x[1]]
+    runs = [(i, a, b, tuple(x[2] for x in d[a : b + 1])) for i, d in docs.items() for a in range(len(d)) for b in range(a, len(d)) if sum(len(x[1]) for x in d[a : b + 1]) >= least]
+    ends = {}
+    for i, _, b, run in runs:
+        ends.setdefault(run, []).append((i, b))
+    gone = {i: set() for i in docs}
+    for i, a, b, run in runs:
+        if any((j, end) < (i, a) for j, end in ends[run]):
+            gone[i] |= {x[0] for x in docs[i][a : b + 1]}
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
 @pytest.mark.parametrize("least", [1, 4, 9])
@@ -79,6 +77,31 @@ def test_line_dedup_edges(spark, docs):
     assert [tuple(x) for x in runs] == [(2, 1, 2)]
 
 
+def test_line_dedup_first_copy(spark):
+    line = "one two three four five"
+    rows = [(1, "\n".join([line] * 8)), (2, "\n".join(["a b c d e", "f g h i j"] * 4 + ["end"])), (3, "x\n" + "\n".join([line] * 3) + "\ny")]
+    got = {r.doc_id: (r.text, r.n_gone) for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("\n".join([line] * 4), 4)  # the first run of 20 words stays whole
+    assert got[2] == ("\n".join(["a b c d e", "f g h i j"] * 2 + ["end"]), 4)
+    assert got[3] == (rows[2][1], 0)  # 15 words
+
+
+def test_clashing_columns(spark):
+    names = ["gone", "Lines", "id", "digest", "gone_id", "gone_digest", "_d", "_g", "_l", "row", "times", "words", "part", "taken_id", "taken_digest", "row_digest", "_w", "_s", "_t", "at", "a.b"]
+    rows = [(i, "\n".join(["one two three four five"] * 8) + f" {i % 4}", f"s{i % 2}", *([f"c{i}"] * len(names))) for i in range(6)]
+    rows += [rows[0], (None, rows[0][1], *rows[0][2:]), (None, "only here", *rows[0][2:])]
+    d = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = line_dedup.without_repeats(d)
+    assert out.columns == [*d.columns, "n_lines", "n_gone"] and out.count() == 9 and {r["a.b"] for r in out.collect()} == {f"c{i}" for i in range(6)}
+    assert {r["gone"] for r in out.collect()} == {r["_l"] for r in out.collect()} == {f"c{i}" for i in range(6)}
+    mixed = mixing.mixed(d, block_words=8)
+    assert mixed.columns == d.columns and mixed.count() > 6 and all(r["_w"] == r["a.b"] == r["at"] for r in mixed.collect())
+    kept = ngram_join.without_similar(d)
+    assert kept.columns == d.columns and sorted((r.doc_id is None, r.row) for r in kept.collect()) == [*((False, f"c{i}") for i in range(4)), (True, "c0")]
+    judged = quality_model.selected(d, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert judged.columns == d.columns
+
+
 # ---- 2
 
 
@@ -163,6 +186,13 @@ def test_mixing(spark, docs):
     assert slots.slot.is_unique and not slots.duplicated(["key", "epoch", "block"]).any()
 
 
+def test_mixing_keeps_rows_without_words(spark):
+    rows = [(5, None, "a"), (5, None, "a"), (5, "", "a"), (5, "x y", "a"), (5, "x y", "a"), (None, None, None), (None, None, None), (6, "", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 8 and sum(r["size"] == 0 for r in got) == 6 and sum(r.taken for r in got) == 6
+    assert {r.taken for r in got if r["size"] == 0} == {0}
+
+
 # ---- 4
 
 
@@ -253,6 +283,22 @@ def brute_groups(rows, k, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_ngram_join_one_column(spark, monkeypatch):
+    """All rows share a passage, in one column of the product; own words of different numbers decide which link."""
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    made = []
+    between = ngram_join.between_groups
+    monkeypatch.setattr(ngram_join, "between_groups", lambda *a: made.append(between(*a)) or made[-1])
+    passage = " ".join(f"p{i}" for i in range(60))
+    r = np.random.default_rng(6)
+    rows = [(i, passage + "".join(f" own{i}x{j}" for j in range(r.integers(0, 9)))) for i in range(150)]
+    rows += [(150 + i, " ".join(f"p{j}" for j in range(r.integers(0, 12), 60)) + f" q{i % 20} q{i % 7}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similar_groups(d, 3, 90, 100).collect()}
+    assert got == brute_groups(rows, 3, 90, 100)
+    assert made[0].count() < 2000  # of 26,335 pairs
+
+
 @pytest.mark.parametrize("k, num", [(3, 90), (5, 80), (1, 60), (2, 50)])
 @pytest.mark.parametrize("short", [8, 2])
 def test_ngram_join_brute(spark, monkeypatch, k, num, short):
@@ -418,6 +464,67 @@ def test_quality_model(spark, docs):
     assert quality_model.selected(d, labels.limit(0)).count() == 900
 
 
+def ordinal_rows(n=240, levels=3, seed=4):
+    r = np.random.default_rng(seed)
+    rows = [np.unique(np.append(r.choice(12, 4, replace=False), 12)) for _ in range(n)]  # 12 is in all rows
+    true = r.normal(size=13)
+    score = np.array([true[x].sum() for x in rows]) + r.logistic(size=n) * 0.7
+    return rows, np.digitize(score, np.quantile(score, [(k + 1) / levels for k in range(levels - 1)]))
+
+
+def plain_likelihood(weights, cuts, rows, y):
+    """Mean log likelihood of cumulative links, from the definition."""
+    total = 0.0
+    for x, grade in zip(rows, y):
+        below = lambda k: 1.0 if k == len(cuts) else 0.0 if k < 0 else 1 / (1 + np.exp(weights[x].sum() - cuts[k]))
+        total += np.log(below(grade) - below(grade - 1))
+    return total / len(y)
+
+
+def test_ordinal_gradients_and_likelihood():
+    rows, y = ordinal_rows()
+    r = np.random.default_rng(1)
+    weights, steps = r.normal(size=13) * 0.3, np.array([-0.4, 0.2])
+    cuts = quality_model.cuts_of(steps)
+    hi, lo = quality_model.likelihoods(weights, steps, rows, y)
+    assert np.log(hi - lo).mean() == pytest.approx(plain_likelihood(weights, cuts, rows, y), abs=1e-9)
+    by_score, by_step = quality_model.slopes(weights, steps, rows, y)
+    for k in range(13):
+        d = np.eye(13)[k] * 1e-5
+        want = (plain_likelihood(weights + d, cuts, rows, y) - plain_likelihood(weights - d, cuts, rows, y)) / 2e-5
+        assert by_score[k] == pytest.approx(want, abs=1e-6)
+    for k in range(2):
+        d = np.eye(2)[k] * 1e-5
+        want = (plain_likelihood(weights, quality_model.cuts_of(steps + d), rows, y) - plain_likelihood(weights, quality_model.cuts_of(steps - d), rows, y)) / 2e-5
+        assert by_step[k] == pytest.approx(want, abs=1e-6)
+
+
+def test_ordinal_fit_like_plain_optimiser(monkeypatch):
+    """The fit without penalty comes to the likelihood, thresholds and tails of plain gradient ascent on all rows."""
+    monkeypatch.setattr(quality_model, "BITS", 4)
+    monkeypatch.setattr(quality_model, "hashed", lambda f: 12)
+    rows, y = ordinal_rows()
+    flat, ends = np.concatenate(rows).astype(np.int32), np.cumsum(list(map(len, rows)))
+    model = quality_model.fit_ordinal(flat, ends, y, rounds=4000, rate=0.3, l1=0.0, batch=len(rows), rare=1)
+    weights, steps = np.zeros(16), np.array([-0.5, 0.0])
+    for _ in range(6000):
+        cuts = np.concatenate([steps[:1], steps[0] + np.cumsum(np.exp(steps[1:]))])
+        at = np.array([weights[x].sum() for x in rows])
+        edge = np.concatenate([[-40.0], cuts, [40.0]])
+        hi, lo = 1 / (1 + np.exp(at - edge[y + 1])), 1 / (1 + np.exp(at - edge[y]))
+        by_row = (lo * (1 - lo) - hi * (1 - hi)) / (hi - lo)  # the slope by the score
+        g = np.zeros(16)
+        for x, v in zip(rows, by_row):
+            g[x] += v / len(rows)
+        by_cut = np.array([(np.where(y == k, hi * (1 - hi), 0) / (hi - lo)).mean() - (np.where(y == k + 1, lo * (1 - lo), 0) / (hi - lo)).mean() for k in range(2)])
+        weights, steps = weights + g, steps + np.array([by_cut.sum(), by_cut[1] * np.exp(steps[1])])
+    cuts = quality_model.cuts_of(steps)
+    assert plain_likelihood(model.weights, model.thresholds, rows, y) == pytest.approx(plain_likelihood(weights, cuts, rows, y), abs=2e-3)
+    want = np.array([[1 / (1 + np.exp(c - weights[x].sum())) for c in cuts] for x in rows])
+    assert np.abs(model.tails([x.astype(np.int32) for x in rows]) - want).max() < 0.03
+    assert np.diff(model.thresholds)[0] == pytest.approx(np.diff(cuts)[0], abs=0.05)
+
+
 # ---- what is too much to broadcast
 
 

@@ -19,6 +19,12 @@ FIT_ROWS = 16_384
 
 #: Lengths of so many vectors at most, but for the most frequent, are searched exactly, each in one task.
 EXACT_ROWS = 4_096
+#: Coarse centroids and fine ones, which are added to them, at most: lists grow with the root of the vectors up to 32,768 of them.
+COARSE, FINE = 1024, 32
+#: Distances of sampled vectors to centroids that the number of probes is found by, at most (but for 32 vectors).
+TRIED = 1 << 22
+#: Queries of one list that meet a block of it at once.
+CHUNK = 2048
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
@@ -34,10 +40,16 @@ def rows_of(column: pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled in double precision first, so that none over- or underflows."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, components up to 1: their cosines are the same to the last bit, but squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, random) -> np.ndarray:
     """Centroids by Lloyd's rounds; those that lose all points move to random ones."""
     x = np.unique(x, axis=0)
@@ -59,26 +71,42 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class IvfPq:
-    """Coarse centroids, a code book for each part of the residual, and how many lists a query probes."""
+    """Coarse centroids, a code book for each part of the residual, and how many lists a query probes.
+
+    Centroids are sums of one of ``coarse`` and one of ``fine``: list i is that of coarse i // len(fine) and fine i % len(fine).
+    """
 
-    centres: np.ndarray
+    coarse: np.ndarray
+    fine: np.ndarray
     books: np.ndarray  # part, code, component
     probes: int
 
+    def centre(self, at):
+        return self.coarse[at // len(self.fine)] + self.fine[at % len(self.fine)]
+
+    @property
+    def centres(self) -> np.ndarray:
+        return (self.coarse[:, None, :] + self.fine[None, :, :]).reshape(-1, self.coarse.shape[1])
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector: by the nearest coarse centroid, then by what remains."""
+        first = nearest(x, self.coarse)
+        return first * len(self.fine) + nearest(x - self.coarse[first], self.fine)
+
     def parts(self, x: np.ndarray) -> np.ndarray:
         parts, _, width = self.books.shape
         return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, length of the residual, and the code of its direction: dense lists, of short residuals, are coded as finely as others."""
-        lists = nearest(x, self.centres)
-        lengths, rest = shapes(x - self.centres[lists])
+        lists = self.lists(x)
+        lengths, rest = shapes(x - self.centre(lists))
         rest = self.parts(rest)
         return lists, lengths, np.stack([nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
 
     def distances(self, q: np.ndarray, at: int, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric square distances of queries to the coded vectors of one list: tables hold the product of each part of a query's own residual with each code word."""
-        rest = q - self.centres[at]
+        rest = q - self.centre(at)
         tables = np.einsum("qmd,mcd->qmc", self.parts(rest), self.books)
         products = np.zeros((len(q), len(codes)), dtype=np.float32)
         for m in range(codes.shape[1]):
@@ -94,18 +122,19 @@ def shapes(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
     """Fits the index on a sample of unit vectors. The probes are the fewest by which ``target`` of the sample's own five nearest neighbours lie in probed lists."""
     random = np.random.default_rng(seed)
-    lists = max(1, min(1024, round(math.sqrt(rows) / 2), len(x) // 8))
-    centres = kmeans(x, lists, 8, random)
-    of = nearest(x, centres)
+    wanted = max(1, round(math.sqrt(rows) / 2))
+    coarse = kmeans(x, max(1, min(wanted, COARSE, len(x) // 8)), 8, random)
+    rest = x - coarse[nearest(x, coarse)]
+    fine = kmeans(rest, min(FINE, -(-wanted // len(coarse))), 8, random) if wanted > len(coarse) else np.zeros((1, x.shape[1]), dtype=np.float32)
     parts = -(-x.shape[1] // part)
-    index = IvfPq(centres, np.zeros((parts, 1, part), dtype=np.float32), len(centres))
-    rest = index.parts(shapes(x - centres[of])[1])
+    index = IvfPq(coarse, fine, np.zeros((parts, 1, part), dtype=np.float32), 1)
+    rest = index.parts(shapes(x - index.centre(index.lists(x)))[1])
     books = [kmeans(rest[:, m], 256, 6, random) for m in range(parts)]
     books = [np.concatenate([b, np.repeat(b[:1], 256 - len(b), 0)]) for b in books]
     index.books = np.stack(books)
     x = np.unique(x, axis=0)  # copies of one vector, which are easy to find, don't count more than others
-    of = nearest(x, centres)
-    tried = random.choice(len(x), min(1024, len(x)), replace=False)
+    of, centres = index.lists(x), index.centres
+    tried = random.choice(len(x), min(max(32, TRIED // len(centres)), 1024, len(x)), replace=False)
     near = x[tried] @ x.T
     near[np.arange(len(tried)), tried] = -9
     best = np.argpartition(-near, min(5, len(x) - 1), axis=1)[:, :5]
@@ -119,7 +148,9 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
     """The ``k`` nearest vectors by cosine of each query (vec_id divisible by ``every``): query_id, rank, vec_id, score.
 
     Vectors are coded once, with their list and a block of it; a list of any size falls into blocks of some
-    hundred to 16,384 vectors, queries into chunks of 2,048, so a task holds one block and one chunk. A query
+    hundred to 16,384 vectors, the queries that probe it into chunks of some 2,048, so a task holds one block and one
+    chunk, and a code is copied only as often as its own list has chunks. Lists grow with the root of the number of
+    vectors, so the work does with its power 1.5 at most. A query
     meets the blocks of the lists that it probes (as many as ``target`` asks for, more while these hold few
     vectors), keeps ``kept`` of each block by asymmetric distance, ``rerank`` of all, and these get their exact
     cosine in double precision from the original vectors. Ties go to smaller ids at every step. Of copies, which
@@ -162,7 +193,7 @@ def compared(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if len(left) and len(right):
             ids, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             a, b = np.stack(left["embedding"]), np.stack(right["embedding"])
-            a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
+            a, b = scaled(a), scaled(b)
             a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
             for at in range(0, len(b), 64):
                 scores = np.stack([(a * q).sum(1) for q in b[at : at + 64]])  # copies get the same score to the last bit
@@ -179,8 +210,9 @@ def compared(v: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def indexed(v: DataFrame, queries: DataFrame, n: int, k: int, kept: int, rerank: int, part: int, target: float, seed: int) -> DataFrame:
     """The nearest vectors as in ``neighbours``, by an index of the ``n`` vectors ``v`` of one length."""
     spark = v.sparkSession
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select(F.col("embedding").cast("array<float>").alias("e")).toArrow()
-    x = unit(rows_of(sample.column("e").combine_chunks()).astype(np.float64))
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()
+    x = np.concatenate([unit(rows_of(chunk)) for chunk in sample.column(0).chunks if len(chunk)])
+    del sample
     index = spark.sparkContext.broadcast(fit(x, n, part, target, seed))
 
     def encode(batches):
@@ -190,39 +222,47 @@ def indexed(v: DataFrame, queries: DataFrame, n: int, k: int, kept: int, rerank:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists.astype(np.int32)), pa.array(lengths), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "length", "code"])
 
     codes = written(v.mapInArrow(encode, "vec_id long, list int, length float, code binary"), "codes")
-    sizes = np.zeros(len(index.value.centres), dtype=np.int64)
-    for row in codes.groupBy("list").count().collect():  # a row for each centroid, 1,024 at most
+    lists = len(index.value.coarse) * len(index.value.fine)
+    sizes = np.zeros(lists, dtype=np.int64)
+    for row in codes.groupBy("list").count().collect():  # a row for each centroid, 32,768 at most
         sizes[row["list"]] = row["count"]
     block = max(256, min(16_384, n // 64))
-    blocks = spark.sparkContext.broadcast((sizes, -(-sizes // block)))
-    chunks = max(1, -(-queries.count() // 2048))
+    split = -(-sizes // block)
+    held = spark.sparkContext.broadcast(sizes)
 
     def probe(batches):
-        found, (many, split) = index.value, blocks.value
+        found, many = index.value, held.value
+        centres = found.centres
+        half = (centres * centres).sum(1) / 2
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = unit(rows_of(batch.column(1)))
-            near = q @ found.centres.T
-            order = np.argsort(-(near - (found.centres**2).sum(1) / 2), axis=1, kind="stable")
-            ids, out = batch.column(0).to_pylist(), []
-            for i, row in enumerate(order):
-                enough = int(np.searchsorted(np.cumsum(many[row]), 4 * rerank)) + 1
-                out += [(i, int(c), b) for c in row[: max(found.probes, enough)] for b in range(split[c])]
-            at, lists, parts = zip(*out)
-            chunk = [hash(ids[i]) % chunks for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), pa.array(chunk, pa.int32()), pa.array([q[i].tobytes() for i in at], pa.binary())], names=["query_id", "list", "block", "chunk", "q"])
-
-    probes = queries.mapInArrow(probe, "query_id long, list int, block int, chunk int, q binary")
-    spread = F.element_at(F.array(*(F.lit(int(max(1, b))) for b in blocks.value[1])), F.col("list") + 1)
-    cells = codes.withColumn("block", F.pmod(F.xxhash64("vec_id"), spread).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                q = unit(rows_of(part.column(1)))
+                order = np.argsort(half - q @ centres.T, axis=1, kind="stable")
+                enough = (np.cumsum(many[order], axis=1) < 4 * rerank).sum(1) + 1
+                probed = np.minimum(np.maximum(found.probes, enough), len(centres))
+                at = np.repeat(np.arange(len(q)), probed)
+                to = np.concatenate([row[:p] for row, p in zip(order, probed)])
+                at, to = at[many[to] > 0], to[many[to] > 0]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(to.astype(np.int32)), pa.array([q[i].tobytes() for i in at], pa.binary())], names=["query_id", "list", "q"])
+
+    probes = written(queries.mapInArrow(probe, "query_id long, list int, q binary"), "probes")
+    asked = np.zeros(lists, dtype=np.int64)
+    for row in probes.groupBy("list").count().collect():
+        asked[row["list"]] = row["count"]
+    shape = [(i, int(s), int(c)) for i, (s, c) in enumerate(zip(split, -(-asked // CHUNK))) if s and c]
+    shape = F.broadcast(spark.createDataFrame(shape, "list int, blocks int, chunks int"))
+    cells = codes.join(shape, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    cells = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("blocks", "chunks")
+    probes = probes.join(shape, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int"))
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "chunks")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = index.value
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float32")})
         left = left.sort_values("vec_id")
-        left = left[left.groupby(["length", "code"]).cumcount() <= k]  # of copies only those of the smallest ids can be found
+        left = left[left.groupby(["length", "code"], dropna=False).cumcount() <= k]  # of copies only those of the smallest ids can be found
         ids = left["vec_id"].to_numpy()
         code = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
         q = np.frombuffer(b"".join(right["q"]), dtype=np.float32).reshape(len(right), -1)
@@ -248,7 +288,7 @@ def indexed(v: DataFrame, queries: DataFrame, n: int, k: int, kept: int, rerank:
     def exact(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = rows_of(batch.column("embedding")), rows_of(batch.column("q"))
+                a, b = scaled(rows_of(batch.column("embedding"))), scaled(rows_of(batch.column("q")))
                 score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
 

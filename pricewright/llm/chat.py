@@ -14,7 +14,7 @@ Schemas = dict[str, tuple[tuple[str, str, bool], ...]]
 REPLY: Schemas = {"reply": (("prompt", "string", True), ("words", "integer", True), ("system", "string", False))}
 
 #: What a schema kind may be as a variant.
-KINDS = {"string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY"}
+KINDS = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY"}
 
 MESSAGE = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>,tool_call_id:string,content:string>"
 
@@ -63,18 +63,47 @@ def parts_of_turns(messages: DataFrame) -> DataFrame:
     )
 
 
+#: Stands around integers of over 38 digits, which variants don't hold, while arguments are read as strings.
+MARK = "\ue0f0"
+#: What comes before such an integer, from the end of the last one on: all but strings and numbers, strings, other numbers. Steps are never taken back.
+BEFORE = r'[^"\d-]++|"(?:[^"\\]++|\\.)*+"|-(?!\d)|(?!-?[1-9]\d{38,}+(?![.eE]))-?\d++(?:[.eE][+-]?\d*+)*+'
+LONG = rf"(?s)\G((?:{BEFORE})*+)(-?[1-9]\d{{38,}}+)"
+
+
+def holding_long(arguments):
+    """Column: JSON whose integers of over 38 digits are strings between marks, so that no digit is lost; texts that hold the mark stay."""
+    some = arguments.rlike(r"\d{39}") & ~arguments.contains(MARK)
+    return F.when(some, F.regexp_replace(arguments, LONG, f'$1"{MARK}$2{MARK}"')).otherwise(arguments)
+
+
+def canonical(arguments):
+    """Column: JSON with sorted keys and without white space, null where the text is none; long integers come back digit by digit."""
+    form = F.to_json(F.try_parse_json(holding_long(arguments)))
+    return F.when(arguments.contains(MARK), form).otherwise(F.regexp_replace(form, f'"{MARK}(-?\\d+){MARK}"', "$1"))
+
+
+def kind_of(v, key: str, arguments):
+    """Columns: the value of ``key`` in a variant, and its kind in SQL's names."""
+    value = F.try_variant_get(v, f"$.{key}", "variant")
+    long = F.try_variant_get(v, f"$.{key}", "string").rlike(f"^{MARK}-?\\d+{MARK}$") & ~arguments.contains(MARK)
+    return value, F.when(long, "DECIMAL(39,0)").otherwise(F.schema_of_variant(value))
+
+
 def problem_of(schemas: Schemas):
     """Column: the first thing wrong with a call's arguments, null if none: ``unknown tool``, ``not an object``, ``missing x``, ``kind of x`` or ``unexpected``."""
-    v = F.try_parse_json("arguments")
-    out = F.when(~F.col("name").isin(*schemas) | F.col("name").isNull(), "unknown tool").when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
-    for name, parameters in schemas.items():
+    name, arguments = F.col("name"), F.col("arguments")
+    v = F.try_parse_json(holding_long(arguments))
+    out = F.when(~name.isin(*schemas) | name.isNull(), "unknown tool")
+    out = out.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
+    for tool, parameters in schemas.items():
         for key, kind, needed in parameters:
-            value = F.try_variant_get(v, f"$.{key}", "variant")
+            value, found = kind_of(v, key, arguments)
             if needed:
-                out = out.when((F.col("name") == name) & value.isNull(), f"missing {key}")
-            out = out.when((F.col("name") == name) & value.isNotNull() & ~F.schema_of_variant(value).rlike(KINDS[kind]), f"kind of {key}")
+                out = out.when((name == tool) & value.isNull(), f"missing {key}")
+            out = out.when((name == tool) & value.isNotNull() & ~found.rlike(KINDS[kind]), f"kind of {key}")
         keys = F.array(*(F.lit(k) for k, _, _ in parameters)) if parameters else F.array().cast("array<string>")
-        out = out.when((F.col("name") == name) & (F.size(F.array_except(F.json_object_keys("arguments"), keys)) > 0), "unexpected")
+        others = F.array_except(F.json_object_keys(arguments), keys)
+        out = out.when((name == tool) & (F.size(others) > 0), "unexpected")
     return out
 
 
@@ -90,44 +119,101 @@ def linked(parts: DataFrame) -> DataFrame:
     return joined.withColumn("linked_turn", F.when(F.col("kind") == "call", F.col("result_turn")).when(F.col("kind") == "result", F.col("call_turn"))).drop("call_turn", "result_turn")
 
 
+def needs_of(parts: DataFrame) -> DataFrame:
+    """(conv_id, node, need): a result needs the first call of its identifier, a call the first results that it is ``after``; nodes are (turn, part, kind)."""
+    p = parts.withColumn("node", F.struct("turn", "part", "kind"))
+    first = lambda kind: p.where(F.col("kind") == kind).groupBy("conv_id", "call_id").agg(F.min("node").alias("need"))
+    on_call = p.where("kind = 'result' and call_id is not null").select("conv_id", "node", "call_id")
+    after = p.where("size(after) > 0").select("conv_id", "node", F.explode("after").alias("call_id"))
+    on_call = on_call.join(first("call"), ["conv_id", "call_id"])
+    after = after.join(first("result"), ["conv_id", "call_id"])
+    return on_call.unionByName(after).select("conv_id", "node", "need").distinct()
+
+
+def followed(picks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where chains of ``picks`` (conv_id, node, to) end: (conv_id, node, to, hops), and (conv_id, node) of those that lead into a cycle.
+
+    Every round doubles the steps that all chains have made, so a chain of n parts takes log n rounds.
+    """
+    chains = written(picks.withColumn("hops", F.lit(1).cast("long")), "chains")
+    rounds = (chains.count() + 1).bit_length() + 1
+    for _ in range(rounds):
+        ahead = chains.select("conv_id", F.col("node").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        known = chains.join(ahead, ["conv_id", "to"], "left")
+        known = known.select("conv_id", "node", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("open"))
+        chains = written(known, "chains")
+        if chains.where("open").isEmpty():
+            break
+    inside = chains.join(chains.select("conv_id", F.col("node").alias("to")), ["conv_id", "to"], "left_semi")
+    cyclic = written(inside.select("conv_id", "node"), "cyclic")
+    return chains.join(cyclic, ["conv_id", "node"], "left_anti").drop("open"), cyclic
+
+
+def moved_places(needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, node, at, depth) of the parts that move, and (conv_id, node) of those in or behind a cycle.
+
+    A part moves behind the need that stands last, if that doesn't stand before it: to the same turn (``at``), a
+    depth further. Each round, all parts choose that need by the places found so far, chains of choices are followed
+    to their ends by doubling, and this gives the next places, until they stay. Parts whose choices make a cycle are
+    taken out, keep their turns, and the rest starts anew.
+    """
+    nothing = needs.limit(0).select("conv_id", "node")
+    empty = nothing.select("conv_id", "node", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("depth"))
+    places, cyclic, last = empty, nothing, None
+    while True:
+        of_need = places.select("conv_id", F.col("node").alias("need"), F.col("at").alias("need_at"), F.col("depth").alias("need_depth"))
+        known = needs.join(cyclic, ["conv_id", "node"], "left_anti").join(of_need, ["conv_id", "need"], "left")
+        stands = F.coalesce("need_at", "need.turn")
+        same = (stands == F.col("node.turn")) & (F.col("need_at").isNotNull() | (F.col("need.part") >= F.col("node.part")))
+        late = known.where((stands > F.col("node.turn")) | same)
+        choice = F.max(F.struct(stands.alias("at"), (F.coalesce("need_depth", F.lit(0)) + 1).alias("depth"), F.col("need").alias("to")))
+        picks = late.groupBy("conv_id", "node").agg(choice.alias("c")).select("conv_id", "node", "c.to")
+        found, stuck = followed(picks)
+        if not stuck.isEmpty():
+            cyclic, places, last = written(cyclic.unionByName(stuck), "cyclic"), empty, None
+            continue
+        places = written(found.select("conv_id", "node", F.col("to.turn").alias("at"), F.col("hops").alias("depth")), "places")
+        now = places.agg(F.count("*"), F.sum(F.xxhash64("conv_id", "node", "at", "depth").cast("decimal(38,0)"))).first()
+        if now == last:
+            return places, cyclic
+        last = now
+
+
 def ordered(parts: DataFrame) -> DataFrame:
     """Adds at, depth and cyclic: (at, depth, turn, part) is a topological order of a conversation's parts.
 
-    A result follows its call, a call the results that it is ``after``. Parts whose needs stand before them keep
-    their turn (at = turn, depth 0); one that stands too early moves to the last of its needs, a depth further.
-    Rounds go on, over the moved parts only, until nothing moves; what is deeper than parts moved in a conversation,
-    after twice as many rounds, lies behind a cycle, keeps its turn and is marked.
+    Parts whose needs (``needs_of``) stand before them keep their turn (at = turn, depth 0), others move as in
+    ``moved_places``. Those in or behind a cycle keep their turn and are marked.
     """
-    node = F.struct("turn", "part", "kind")
-    p = parts.withColumn("node", node)
-    calls = p.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min("node").alias("need"))
-    results = p.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min("node").alias("need"))
-    on_call = p.where("kind = 'result' and call_id is not null").select("conv_id", "node", "call_id").join(calls, ["conv_id", "call_id"])
-    after = p.where("size(after) > 0").select("conv_id", "node", F.explode("after").alias("call_id")).join(results, ["conv_id", "call_id"])
-    needs = written(on_call.unionByName(after).select("conv_id", "node", "need").distinct(), "needs")
+    needs = written(needs_of(parts), "needs")
     late = needs.where("need.turn > node.turn or (need.turn = node.turn and need.part >= node.part)")
-    empty = needs.limit(0).select("conv_id", "node", F.lit(0).cast("long").alias("at"), F.lit(0).alias("depth"))
-    places, moved, rounds = empty, late.isEmpty(), 0
-    settled = moved
-    last = None
-    while not settled:
-        known = needs.join(places.select("conv_id", F.col("node").alias("need"), F.col("at").alias("need_at"), F.col("depth").alias("need_depth")), ["conv_id", "need"], "left")
-        place = F.struct(F.coalesce("need_at", "need.turn").alias("at"), (F.coalesce("need_depth", F.lit(0)) + 1).alias("depth"))
-        found = known.where((F.coalesce("need_at", "need.turn") > F.col("node.turn")) | F.col("need_depth").isNotNull() & (F.coalesce("need_at", "need.turn") >= F.col("node.turn")) | (F.col("need.turn") == F.col("node.turn")) & (F.col("need.part") >= F.col("node.part")))
-        places = written(found.groupBy("conv_id", "node").agg(F.max(place).alias("p")).select("conv_id", "node", "p.at", "p.depth"), "places")
-        now = places.agg(F.count("*"), F.sum(F.xxhash64("conv_id", "node", "at", "depth").cast("decimal(38,0)"))).first()
-        most = places.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-        rounds += 1
-        settled = now == last or rounds > 2 * most + 2
-        if now != last and settled:
-            places = places.withColumn("cyclic", F.col("depth") > most)
-        last = now
-    if "cyclic" not in places.columns:
-        places = places.withColumn("cyclic", F.lit(None).cast("boolean"))
-    p = p.join(places, ["conv_id", "node"], "left").drop("node")
-    cyclic = F.coalesce("cyclic", F.lit(False))
-    stays = cyclic | F.col("at").isNull()
-    return p.withColumn("at", F.when(stays, F.col("turn")).otherwise(F.col("at"))).withColumn("depth", F.when(stays, 0).otherwise(F.col("depth"))).withColumn("cyclic", cyclic)
+    if late.isEmpty():
+        return parts.withColumns({"at": F.col("turn"), "depth": F.lit(0).cast("long"), "cyclic": F.lit(False)})
+    places, cyclic = moved_places(needs)
+    marks = places.withColumn("cyclic", F.lit(False)).unionByName(cyclic.withColumn("cyclic", F.lit(True)), allowMissingColumns=True)
+    p = parts.withColumn("node", F.struct("turn", "part", "kind")).join(marks, ["conv_id", "node"], "left").drop("node")
+    return p.withColumns({"at": F.coalesce("at", "turn"), "depth": F.coalesce("depth", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))})
+
+
+def quoted(column: str):
+    """Column: a string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(F.col(column).alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+
+
+def json_of():
+    """Column: a part in canonical JSON, keys sorted, without nulls; arguments that are no JSON are a string."""
+    call, result = F.col("kind") == "call", F.col("kind") == "result"
+    arguments = F.coalesce(canonical(F.col("arguments")), quoted("arguments"))
+    fields = [
+        ("arguments", call & F.col("arguments").isNotNull(), arguments),
+        ("content", ~call & F.col("content").isNotNull(), quoted("content")),
+        ("id", call & F.col("call_id").isNotNull(), quoted("call_id")),
+        ("name", call & F.col("name").isNotNull(), quoted("name")),
+        ("role", F.col("role").isNotNull(), quoted("role")),
+        ("tool_call_id", result & F.col("call_id").isNotNull(), quoted("call_id")),
+    ]
+    held = F.array_compact(F.array(*(F.when(held, F.concat(F.lit(f'"{key}":'), value)) for key, held, value in fields)))
+    return F.concat(F.lit("{"), F.array_join(held, ","), F.lit("}"))
 
 
 def formatted(parts: DataFrame, schemas: Schemas) -> DataFrame:
@@ -135,29 +221,22 @@ def formatted(parts: DataFrame, schemas: Schemas) -> DataFrame:
 
     ``problem`` also tells ``no call`` (a result without one), ``no result`` (a call without one), ``repeated`` (an
     identifier of an earlier call) and ``cycle``. ``json`` has sorted keys, no white space and no nulls; arguments that
-    are JSON are put into the same form, others stay a string. The order is given by (at, depth, turn, part), not by
-    gathering conversations into rows, so they can be of any length.
+    are JSON are put into the same form, integers of any length digit by digit, other arguments stay a string. The order
+    is given by (at, depth, turn, part), not by gathering conversations into rows, so they can be of any length.
 
     Null texts are messages without content. Empty and very long texts are kept whole. Null conversations or turns:
     their parts stay, unlinked. Repeated rows: the first call of an identifier counts, others are ``repeated``.
     Empty table: no rows. Other columns are ignored.
     """
-    p = linked(ordered(parts))
     first = F.min(F.struct("turn", "part"))
-    calls = written(parts.where("kind = 'call'").groupBy("conv_id", "call_id").agg(first.alias("first_call")), "calls")
-    p = p.join(calls, ["conv_id", "call_id"], "left")
-    call = F.col("kind") == "call"
-    problem = F.when(F.col("cyclic"), "cycle").when(call & (F.struct("turn", "part") != F.col("first_call")), "repeated").when(call, F.coalesce(problem_of(schemas), F.when(F.col("linked_turn").isNull(), "no result"))).when((F.col("kind") == "result") & F.col("linked_turn").isNull(), "no call")
-    form = F.to_json(F.try_parse_json("arguments"))
-    arguments = F.coalesce(form, F.to_json(F.array("arguments")).substr(F.lit(2), F.length(F.to_json(F.array("arguments"))) - 2))
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
-    field = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
-    fields = F.array(
-        F.when(call & F.col("arguments").isNotNull(), field("arguments", arguments)), F.when(~call & F.col("content").isNotNull(), field("content", quoted("content"))), F.when(call & F.col("call_id").isNotNull(), field("id", quoted("call_id"))),
-        F.when(call & F.col("name").isNotNull(), field("name", quoted("name"))), F.when(F.col("role").isNotNull(), field("role", quoted("role"))), F.when((F.col("kind") == "result") & F.col("call_id").isNotNull(), field("tool_call_id", quoted("call_id"))),
-    )
-    json = F.concat(F.lit("{"), F.array_join(F.array_compact(fields), ","), F.lit("}"))
-    return p.select("conv_id", "turn", "part", "kind", "call_id", "linked_turn", "at", "depth", "cyclic", problem.alias("problem"), json.alias("json"))
+    calls = parts.where("kind = 'call'").groupBy("conv_id", "call_id").agg(first.alias("first_call"))
+    p = linked(ordered(parts)).join(written(calls, "calls"), ["conv_id", "call_id"], "left")
+    call, unlinked = F.col("kind") == "call", F.col("linked_turn").isNull()
+    problem = F.when(F.col("cyclic"), "cycle")
+    problem = problem.when(call & (F.struct("turn", "part") != F.col("first_call")), "repeated")
+    problem = problem.when(call, F.coalesce(problem_of(schemas), F.when(unlinked, "no result")))
+    problem = problem.when((F.col("kind") == "result") & unlinked, "no call")
+    return p.select("conv_id", "turn", "part", "kind", "call_id", "linked_turn", "at", "depth", "cyclic", problem.alias("problem"), json_of().alias("json"))
 
 
 TURNS_SQL = """

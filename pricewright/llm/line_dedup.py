@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import bits_for, running_sum
@@ -12,6 +12,8 @@ from .tables import BROADCAST_IDS, SPACE, named, unused, written
 MIN_WORDS = 20
 #: Hashed after a line for its second hash.
 SECOND = "second"
+#: Distinct pairs of ranks, counted, whose running sums are plain windows by rank; with more, sums go by buckets, so that no rank is one task's.
+FEW_KINDS = 50_000
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
@@ -68,9 +70,13 @@ def doubled(ranks: DataFrame, width: int, total: int) -> DataFrame:
     second = ranks.select((F.col("p") - width).alias("p"), F.col("r").alias("s"))
     pairs = written(ranks.join(second, "p"), "pairs")
     kinds = written(pairs.groupBy("r", "s").agg(F.count("*").alias("c")).where("c > 1"), "kinds")
-    bits = max(1, total.bit_length())
-    kinds = running_sum(kinds, ["r"], "s", "c", "n", bits, min(bits, bits_for(kinds.count())))
-    kinds = written(kinds.select("r", "s", (F.col("r") + F.col("n")).alias("t")), "ranks")
+    known, bits = kinds.count(), max(1, total.bit_length())
+    if known <= FEW_KINDS:
+        earlier = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        kinds = kinds.withColumn("n", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    else:
+        kinds = running_sum(kinds, ["r"], "s", "c", "n", bits, min(bits, bits_for(known)))
+    kinds = kinds.select("r", "s", (F.col("r") + F.col("n")).alias("t"))
     return written(pairs.join(kinds, ["r", "s"]).select("p", F.col("t").alias("r")), "suffixes")
 
 
@@ -115,8 +121,6 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, from_line, to_line of each maximal run of lines that goes: consecutive lines with a word, by number."""
-    from pyspark.sql import Window
-
     gone = deletions(docs, least).select("doc_id", "digest", F.posexplode("gone").alias("j", "i"))
     runs = gone.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("i")))
     return runs.groupBy("doc_id", "digest", "island").agg(F.min("i").alias("from_line"), F.max("i").alias("to_line")).drop("digest", "island")

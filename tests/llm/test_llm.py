@@ -146,6 +146,67 @@ def test_chat_query_reads_tool_calls(spark, tmp_path):
     assert sorted(map(repr, chat.parts_of_messages(plain, turns=True).select(names).collect())) == sorted(map(repr, chat.parts_of_turns(plain).select(names).collect()))
 
 
+def brute_order(needs, turns):
+    """Places by repeated relaxation, from the definition; no cycles here."""
+    place = {}
+    for _ in range(len(needs) + 2):
+        new = {}
+        for x, y in needs:
+            at, depth = place.get(y, (turns[y], 0))
+            if at > turns[x] or at == turns[x] and (y in place or y[1] >= x[1]):
+                new[x] = max(new.get(x, (-1, 0)), (at, depth + 1))
+        if new == place:
+            return place
+        place = new
+    raise AssertionError("a cycle")
+
+
+def test_chat_orders_chains_and_cycles(spark):
+    r = np.random.default_rng(3)
+    rows, needs, turns = [], [], {}
+    n = 50  # a chain against the order of turns: each call is after the result of the call one turn later
+    for i in range(n):
+        rows.append((1, i, "assistant", json.dumps({"tool_calls": [{"id": f"c{i}", "name": "t", "arguments": "{}", "after": [f"c{i + 1}"]}]})))
+        rows.append((1, n + i, "tool", json.dumps({"tool_call_id": f"c{n - 1 - i}", "content": ""})))
+    order = r.permutation(60)  # 30 calls after up to three calls of smaller number, turns at random
+    for i in range(30):
+        after = [int(x) for x in r.choice(i, min(i, 3), replace=False)] if i % 2 else []
+        rows.append((2, int(order[i]), "assistant", json.dumps({"tool_calls": [{"id": f"d{i}", "name": "t", "arguments": "{}", "after": [f"d{x}" for x in after]}]})))
+        rows.append((2, int(order[30 + i]), "tool", json.dumps({"tool_call_id": f"d{i}", "content": ""})))
+    for i in range(20):  # one ring
+        rows.append((3, i, "assistant", json.dumps({"tool_calls": [{"id": f"e{i}", "name": "t", "arguments": "{}", "after": [f"e{(i + 1) % 20}"]}]})))
+        rows.append((3, 100 + i, "tool", json.dumps({"tool_call_id": f"e{i}", "content": ""})))
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.parts_of_messages(m)
+    p = [x.asDict() for x in parts.collect()]
+    for conv in (1, 2):
+        own = [x for x in p if x["conv_id"] == conv]
+        call = {x["call_id"]: (x["turn"], x["part"], "call") for x in own if x["kind"] == "call"}
+        result = {x["call_id"]: (x["turn"], x["part"], "result") for x in own if x["kind"] == "result"}
+        needs = [(result[i], call[i]) for i in result] + [(call[x["call_id"]], result[y]) for x in own for y in x["after"] or [] if y in result]
+        turns = {x: x[0] for pair in needs for x in pair}
+        want = brute_order(needs, turns)
+        got = {(x.turn, x.part, x.kind): (x["at"], x.depth, x.cyclic) for x in chat.ordered(parts.where(F.col("conv_id") == conv)).collect()}
+        assert all(got[x] == (*want.get(x, (x[0], 0)), False) for x in turns)
+    third = chat.ordered(parts.where("conv_id = 3")).collect()
+    assert all(x.cyclic and x["at"] == x.turn for x in third if x.kind == "call")
+
+
+def test_chat_long_numbers(spark):
+    long = "123456789012345678901234567890123456789012345"
+    cases = {
+        f'{{"y": -{long}, "x":"a {long}, b", "z":[{long},1.5,{long}.5]}}': f'{{"x":"a {long}, b","y":-{long},"z":[{long},1.5,1.2345678901234567E44]}}',
+        f'{{"y": 0{long}}}': None, f'{{"s":"{chr(92)}"{long}","y":{long}}}': f'{{"s":"{chr(92)}"{long}","y":{long}}}',
+        f'{{"y":"{chat.MARK}1{chat.MARK}","z":{long}}}': f'{{"y":"{chat.MARK}1{chat.MARK}","z":1.2345678901234567E44}}',
+        '{"y":12345678901234567890}': '{"y":12345678901234567890}', '{"t":"' + "q" * 50000 + '","y":[' + "1,[2]," * 20000 + long + "]}": '{"t":"' + "q" * 50000 + '","y":[' + "1,[2]," * 20000 + long + "]}",
+    }
+    d = spark.createDataFrame([(x, y, "t") for x, y in cases.items()], "arguments string, want string, name string")
+    schemas = {"t": (("y", "integer", False), ("x", "string", False))}
+    out = d.withColumn("got", chat.canonical(F.col("arguments"))).withColumn("problem", chat.problem_of(schemas)).collect()
+    assert all(x.got == x.want for x in out)
+    assert [x.problem for x in out] == ["unexpected", "not an object", "unexpected", "kind of y", None, "kind of y"]
+
+
 # ---- 3
 
 
@@ -439,6 +500,35 @@ def test_ann_lengths(spark, monkeypatch, exact):
     assert got[got.query_id == 2000].sort_values("rank").vec_id.tolist()[:2] == [2001, 2003] and len(got) == want_rows and hits >= 0.9 * want_rows
 
 
+def brute_neighbours(x, ids, query, k=5):
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    score = (x * x[query]).sum(1) / np.sqrt((x * x).sum(1) * (x[query] ** 2).sum())
+    order = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[query]][:k]
+    return {int(ids[i]): score[i] for i in order}
+
+
+@pytest.mark.parametrize("lists", ["plain", "fine", "chunks"])
+def test_ann_doubles(spark, monkeypatch, lists):
+    """Double columns whose squares over- or underflow, centroids in two levels, and lists of several chunks of queries."""
+    if lists == "fine":
+        monkeypatch.setattr(ann, "COARSE", 3)
+    if lists == "chunks":
+        monkeypatch.setattr(ann, "CHUNK", 2)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(700, 6)) * 10.0 ** r.integers(-200, 200, (700, 1))
+    x[50], x[51], x[100], x[101] = [1e200, 0, 0, 0, 0, 0], [2e-200, 1e-201, 0, 0, 0, 0], [5e-324] + [0] * 5, [1.7e308] * 6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        want = brute_neighbours(x, np.arange(700), q)
+        assert g.sort_values("rank")["rank"].tolist() == [1, 2, 3, 4, 5]
+        found = dict(zip(g.vec_id, g.score))
+        hits += len(found.keys() & want.keys())
+        assert all(found[i] == pytest.approx(want[i], abs=1e-12) for i in found.keys() & want.keys())
+    assert got.query_id.nunique() == 70 and hits >= 0.95 * 350
+
+
 # ---- 10
 
 
@@ -540,7 +630,7 @@ def test_shuffled_paths_agree(spark, docs, monkeypatch):
         lambda: key(ngram_join.similar_groups(d, 3, 60, 100)), lambda: key(urls.judged(pages, labels)),
     ]
     want = [r() for r in runs]
-    for module, name in ((tables, "BROADCAST_IDS"), (line_dedup, "BROADCAST_IDS"), (mixing, "BROADCAST_IDS"), (mixing, "BROADCAST_SOURCES"), (urls, "BROADCAST_HOSTS"), (components, "ONE_TASK")):
+    for module, name in ((tables, "BROADCAST_IDS"), (line_dedup, "BROADCAST_IDS"), (mixing, "BROADCAST_IDS"), (mixing, "BROADCAST_SOURCES"), (urls, "BROADCAST_HOSTS"), (components, "ONE_TASK"), (line_dedup, "FEW_KINDS")):
         monkeypatch.setattr(module, name, 0)
     assert [r() for r in runs] == want
 

@@ -31,33 +31,92 @@ SENTENCES: dict[int, str] = {
     20: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     21: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     22: "All rights reserved",
+    23: "This project is licensed under the MIT License",
+    24: "Distributed under the MIT License",
+    25: "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    26: "either version 2 of the License, or (at your option) any later version",
+    27: "Licensed under the GNU General Public License v2.0",
+    28: "Licensed under the GNU General Public License v3.0",
+    29: "This library is free software",
+    30: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    31: "either version 2.1 of the License, or (at your option) any later version",
+    32: "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    33: "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    34: "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    35: "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    36: "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    37: "Licensed under the Mozilla Public License 2.0",
+    38: "Licensed under the Mozilla Public License, Version 2.0",
+    39: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    40: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    41: "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    42: "Licensed under CC0 1.0",
+    43: "Licensed under CC BY-SA 4.0",
+    44: "Licensed under CC BY-ND 4.0",
+    45: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    46: "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    47: "This is free and unencumbered software released into the public domain",
+    48: "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    49: "Licensed under the BSD 2-Clause License",
+    50: "Licensed under the BSD 3-Clause License",
+    51: "Distributed under the Boost Software License, Version 1.0",
+    52: "This work is licensed under the GNU General Public License, version 2",
 }
 
 
 @dataclass(frozen=True)
 class LicenceRule:
-    """A licence is found where these sentences stand in this order; other known sentences may stand between."""
+    """A licence is found where these sentences stand in this order, up to ``GAP`` other known sentences between two of them."""
 
     licence: str
     sentences: tuple[int, ...]
     verdict: str  # allow, review or block
 
 
-#: Ordered rules.
+#: Other known sentences that may stand between two of a rule.
+GAP = 3
+
+#: Rules in the order in which they take sentences; what one rule took is there no more for those after it.
 RULES = (
+    LicenceRule("BSD-3-Clause", (18, 19, 20, 21), "allow"),
+    LicenceRule("BSD-2-Clause", (18, 19, 20), "allow"),
+    LicenceRule("BSD-3-Clause", (50,), "allow"),
+    LicenceRule("BSD-2-Clause", (49,), "allow"),
+    LicenceRule("MIT", (3, 4, 5), "allow"),
     LicenceRule("MIT", (1,), "allow"),
     LicenceRule("MIT", (2,), "allow"),
-    LicenceRule("MIT", (3, 4, 5), "allow"),
-    LicenceRule("Apache-2.0", (6,), "allow"),
+    LicenceRule("MIT", (23,), "allow"),
+    LicenceRule("MIT", (24,), "allow"),
     LicenceRule("Apache-2.0", (7, 8, 9), "allow"),
-    LicenceRule("GPL-3.0", (10,), "review"),
+    LicenceRule("Apache-2.0", (6,), "allow"),
+    LicenceRule("AGPL-3.0", (11, 33, 13), "block"),
+    LicenceRule("LGPL-3.0", (11, 32, 13), "review"),
+    LicenceRule("LGPL-2.1", (29, 30, 31), "review"),
     LicenceRule("GPL-3.0", (11, 12, 13), "review"),
+    LicenceRule("GPL-2.0", (11, 25, 26, 13), "review"),
+    LicenceRule("GPL-3.0", (10,), "review"),
+    LicenceRule("GPL-3.0", (28,), "review"),
+    LicenceRule("GPL-2.0", (27,), "review"),
+    LicenceRule("GPL-2.0", (52,), "review"),
+    LicenceRule("MPL-2.0", (34, 35), "review"),
+    LicenceRule("MPL-2.0", (34, 36), "review"),
+    LicenceRule("MPL-2.0", (37,), "review"),
+    LicenceRule("MPL-2.0", (38,), "review"),
+    LicenceRule("ISC", (39,), "allow"),
+    LicenceRule("0BSD", (40,), "allow"),
+    LicenceRule("CC0-1.0", (41,), "allow"),
+    LicenceRule("CC0-1.0", (42,), "allow"),
     LicenceRule("CC-BY-NC-4.0", (14,), "block"),
     LicenceRule("CC-BY-NC-4.0", (17,), "block"),
+    LicenceRule("CC-BY-ND-4.0", (44,), "block"),
+    LicenceRule("CC-BY-ND-4.0", (46,), "block"),
+    LicenceRule("CC-BY-SA-4.0", (43,), "review"),
+    LicenceRule("CC-BY-SA-4.0", (45,), "review"),
     LicenceRule("CC-BY-4.0", (15,), "allow"),
     LicenceRule("CC-BY-4.0", (16,), "allow"),
-    LicenceRule("BSD-2-Clause", (18, 19, 20), "allow"),
-    LicenceRule("BSD-3-Clause", (18, 19, 20, 21), "allow"),
+    LicenceRule("Unlicense", (47, 48), "allow"),
+    LicenceRule("Unlicense", (47,), "allow"),
+    LicenceRule("BSL-1.0", (51,), "allow"),
     LicenceRule("All-rights-reserved", (22,), "block"),
 )
 
@@ -81,12 +140,31 @@ def plain(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
 
+def forms(sentences: dict[int, str]) -> dict[str, int]:
+    """Normalised sentences, in both spellings of licence, to identifiers."""
+    plains = [(plain(s), i) for i, s in sentences.items()]
+    return {x.replace("license", spelling): i for x, i in plains if x for spelling in ("license", "licence")}
+
+
+def pattern(rule: LicenceRule) -> str:
+    """Regular expression of a rule over a sequence, a group for what stands between two sentences."""
+    between = rf"((?:\d+ ){{0,{GAP}}}?)"
+    return r"\b" + between.join(f"{i} " for i in rule.sentences)
+
+
+def between(rule: LicenceRule, sign: str) -> str:
+    """What is left of a match of ``pattern``: the groups, by the sign of references."""
+    return "".join(f"{sign}{i}" for i in range(1, len(rule.sentences)))
+
+
 def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
     """doc_id, n_sentences, sequence, licences, verdict: known sentences of each text, in order, and the rules that they fulfil.
 
     Narrow: the dictionary and the rules are literals of the plan (a bounded table of known texts), nothing is
-    shuffled, and a document of any length is one row. ``sequence`` holds the identifiers between spaces;
-    ``licences`` the distinct names in order, between commas; ``verdict`` the strictest (block, review, allow) or none.
+    shuffled, and a document of any length is one row. ``sequence`` holds the identifiers between spaces. Rules are
+    tried in their order; each takes all the runs of sentences that fulfil it, so that a rule of fewer sentences
+    after it doesn't find them again. ``licences`` has the distinct names in order, between commas; ``verdict`` the
+    strictest (block, review, allow) or none.
 
     A known sentence may be wrapped over lines, with comment marks (without letters: #, *, //, ;;) before and (but for .;:!?) after
     each, but not over a blank line. It starts where a line or a sentence starts and ends where one ends, so a line
@@ -95,36 +173,44 @@ def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) ->
     Null and empty texts have no sentences and the verdict none. Repeated rows and null ids: a row for each.
     Empty table: no rows. Other columns are ignored.
     """
-    known = {p: i for i, x in sentences.items() if (p := plain(x))}
-    found = F.regexp_extract_all(normalised(F.coalesce("text", F.lit(""))), F.lit(anywhere(known)), F.lit(0)) if known else F.array().cast("array<string>")
+    known = forms(sentences)
+    found = F.array().cast("array<string>")
+    if known:
+        found = F.regexp_extract_all(normalised(F.coalesce("text", F.lit(""))), F.lit(anywhere(known)), F.lit(0))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("s"))
     if known:
-        ids = F.create_map(*(F.lit(x) for p, i in known.items() for x in (p, i)))
+        ids = F.create_map(*(F.lit(x) for form, i in known.items() for x in (form, str(i))))
         d = d.withColumn("s", F.transform("s", lambda x: F.try_element_at(ids, F.trim(F.regexp_replace(x, r"\s+", " ")))))
-    d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.when(F.size("s") > 0, F.concat(F.lit(" "), F.array_join(F.transform("s", lambda x: x.cast("string")), " "), F.lit(" "))).otherwise("").alias("sequence"))
-    found = [F.when(F.col("sequence").rlike(pattern(r)), F.struct(F.lit(r.licence).alias("l"), F.lit(r.verdict).alias("v"))) for r in rules]
-    d = d.withColumn("f", F.when(F.col("n_sentences") > 0, F.array_compact(F.array(*found))))
-    has = lambda v: F.coalesce(F.exists("f", lambda x: x["v"] == v), F.lit(False))
+    sequence = F.when(F.size("s") > 0, F.concat(F.lit(" "), F.array_join("s", " "), F.lit(" "))).otherwise("")
+    d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), sequence.alias("sequence"))
+    none = F.array().cast("array<string>")
+    if rules:
+        ordered = F.array(*(F.struct(F.lit(pattern(r)).alias("p"), F.lit(between(r, "$")).alias("left"), F.lit(r.licence).alias("l"), F.lit(r.verdict).alias("v")) for r in rules))
+        start = F.struct(F.col("sequence").alias("q"), none.alias("l"), none.alias("v"))
+        took = lambda a, r: F.struct(F.regexp_replace(a["q"], r["p"], r["left"]).alias("q"), F.concat(a["l"], F.array(r["l"])).alias("l"), F.concat(a["v"], F.array(r["v"])).alias("v"))
+        applied = F.aggregate(ordered, start, lambda a, r: F.when(F.rlike(a["q"], r["p"]), took(a, r)).otherwise(a))
+        d = d.withColumn("f", F.when(F.col("n_sentences") > 0, applied))
+    else:
+        d = d.withColumn("f", F.struct(none.alias("l"), none.alias("v")))
+    has = lambda v: F.coalesce(F.array_contains("f.v", v), F.lit(False))
     verdict = F.when(has("block"), "block").when(has("review"), "review").when(has("allow"), "allow").otherwise("none")
-    names = F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("f", lambda x: x["l"]))), ","), F.lit(""))
+    names = F.coalesce(F.array_join(F.array_sort(F.array_distinct("f.l")), ","), F.lit(""))
     return d.select("doc_id", "n_sentences", "sequence", names.alias("licences"), verdict.alias("verdict"))
 
 
-def pattern(rule: LicenceRule) -> str:
-    return " " + " (.* )?".join(map(str, rule.sentences)) + " "
-
-
 def scan_sql(sentences: dict[int, str] = SENTENCES, rules=RULES) -> str:
-    known = ", ".join(f"({i}, '{plain(s)}')" for i, s in sentences.items())
-    ruled = ", ".join(f"('{r.licence}', '{pattern(r)}', '{r.verdict}')" for r in rules)
+    known = ", ".join(f"({i}, '{s}')" for s, i in forms(sentences).items())
+    steps = [f"""
+q{k + 1} AS (SELECT doc_id, n, sequence, CASE WHEN regexp_matches(q, '{pattern(r)}') THEN regexp_replace(q, '{pattern(r)}', '{between(r, chr(92))}', 'g') ELSE q END AS q,
+  CASE WHEN regexp_matches(q, '{pattern(r)}') THEN list_append(l, '{r.licence}') ELSE l END AS l,
+  CASE WHEN regexp_matches(q, '{pattern(r)}') THEN greatest(v, {("allow", "review", "block").index(r.verdict) + 1}) ELSE v END AS v FROM q{k})""" for k, r in enumerate(rules)]
     return f"""
-WITH known(id, s) AS (VALUES {known}), rules(licence, p, v) AS (VALUES {ruled}),
+WITH known(id, s) AS (VALUES {known}),
 t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.;:!?]+[ \\t\\r\\n]+|\\n', chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS l FROM documents),
 s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM t),
 f AS (SELECT doc_id, count(*) AS n, ' ' || string_agg(id::VARCHAR, ' ' ORDER BY pos) || ' ' AS sequence FROM s JOIN known ON trim(s.s) = known.s GROUP BY doc_id),
-r AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(CASE v WHEN 'block' THEN 3 WHEN 'review' THEN 2 ELSE 1 END) AS v
-      FROM f JOIN rules ON regexp_matches(sequence, p) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(licences, '') AS licences,
+q0 AS (SELECT doc_id, n, sequence, sequence AS q, []::VARCHAR[] AS l, 0 AS v FROM f),{",".join(steps)}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(array_to_string(list_sort(list_distinct(l)), ','), '') AS licences,
        CASE v WHEN 3 THEN 'block' WHEN 2 THEN 'review' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict
-FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN r USING (doc_id)
+FROM documents d LEFT JOIN q{len(rules)} USING (doc_id)
 """

@@ -114,7 +114,7 @@ def judged(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
     return ledger(docs).withColumn("base_failed", ~verdict(BASE)).withColumn("kept", ~F.col("base_failed") & verdict(policy))
 
 
-RULES_SQL = """
+LEDGER_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
@@ -125,10 +125,23 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
              len(l)::BIGINT AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
-      FROM w LEFT JOIN r USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 100 * n_capitals > 40 * word_chars)
-       AND (10 * word_chars < 22 * n_words)::INT + (10 * word_chars > 140 * n_words)::INT + (100 * n_dup_lines > 30 * n_lines)::INT + (n_words > 1000000)::INT <= 1 AS kept
-FROM m
+      FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+  + 8 * (10 * word_chars < 22 * n_words)::BIGINT + 16 * (10 * word_chars > 140 * n_words)::BIGINT + 32 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
+  + 64 * (100 * n_capitals > 40 * word_chars)::BIGINT + 128 * (n_words > 1000000)::BIGINT AS failed FROM m)
+"""
+
+RULES_SQL = f"""{LEDGER_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, failed & 3 <> 0 AS base_failed,
+       failed & 71 = 0 AND bit_count(failed & 184) <= 1 AS kept FROM b
+"""
+
+#: For each rule of the two policies: what fails it, and what passes once it is left out.
+ABLATIONS_SQL = f"""{LEDGER_SQL},
+r(policy, rule, bit, hard, soft) AS (VALUES ('base', 'few_words', 1, 3, 0), ('base', 'repeated_words', 2, 3, 0),
+  ('v1', 'few_words', 1, 71, 184), ('v1', 'repeated_words', 2, 71, 184), ('v1', 'symbols', 4, 71, 184), ('v1', 'capitals', 64, 71, 184),
+  ('v1', 'short_words', 8, 71, 184), ('v1', 'long_words', 16, 71, 184), ('v1', 'repeated_lines', 32, 71, 184), ('v1', 'many_words', 128, 71, 184)),
+p AS (SELECT policy, rule, failed & bit <> 0 AS fails, failed & hard = 0 AND bit_count(failed & soft) <= CASE policy WHEN 'v1' THEN 1 ELSE 0 END AS passes,
+  failed & hard & ~bit = 0 AND bit_count(failed & soft & ~bit) <= CASE policy WHEN 'v1' THEN 1 ELSE 0 END AS would FROM b, r)
+SELECT policy, rule, count(*) FILTER (fails) AS failed, count(*) FILTER (would AND NOT passes) AS alone FROM p GROUP BY policy, rule
 """

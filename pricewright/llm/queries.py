@@ -46,7 +46,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
+    "quality_ablations": quality_ablations,
     "op8_urls": op8_urls,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
@@ -81,5 +86,6 @@ ORACLES: dict[str, str] = {
     "op4_licences": licenses.scan_sql(),
     "op6_ngram_jaccard": ngram_join.GROUPS_SQL,
     "op7_quality_rules": quality_rules.RULES_SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op8_urls": urls.judged_sql(),
 }

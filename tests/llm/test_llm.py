@@ -261,10 +261,26 @@ def test_licences(spark, docs):
     full = "Copyright.\n" + ". ".join(licenses.SENTENCES[i] for i in (18, 19, 22, 20, 21)) + "."
     d = spark.createDataFrame([(1, "x\nReleased under the  MIT License.\ny", ""), (2, full, ""), (3, "Licensed under CC BY-NC 4.0. Released under the MIT licence", ""), (4, ". ".join(licenses.SENTENCES[i] for i in (20, 19, 18)), "")], "doc_id long, text string, licences string")
     got = {r.doc_id: (r.licences, r.verdict) for r in licenses.scan(d).collect()}
-    assert got == {1: ("MIT", "allow"), 2: ("All-rights-reserved,BSD-2-Clause,BSD-3-Clause", "block"), 3: ("CC-BY-NC-4.0", "block"), 4: ("", "none")}
+    assert got == {1: ("MIT", "allow"), 2: ("All-rights-reserved,BSD-3-Clause", "block"), 3: ("CC-BY-NC-4.0,MIT", "block"), 4: ("", "none")}
     assert {r.verdict for r in licenses.scan(docs).collect()} == {"none"} and licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_rules_take_sentences(spark):
+    text = lambda *ids: ". ".join(licenses.SENTENCES[i] for i in ids) + "."
+    cases = [
+        (text(18, 19, 20, 21), "BSD-3-Clause", "allow"), (text(18, 19, 20), "BSD-2-Clause", "allow"), (text(18, 19, 20, 21, 18, 19, 20), "BSD-2-Clause,BSD-3-Clause", "allow"),
+        (text(18, 19, 20, 21, 18, 19, 20, 21), "BSD-3-Clause", "allow"), (text(18, 1, 2, 6, 10, 19, 20), "Apache-2.0,GPL-3.0,MIT", "review"),  # too far apart
+        (text(11, 25, 26, 13), "GPL-2.0", "review"), (text(11, 12, 13), "GPL-3.0", "review"), (text(29, 30, 31, 13), "LGPL-2.1", "review"), (text(11, 33, 13), "AGPL-3.0", "block"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", "review"),
+        ("Licensed under the Mozilla Public License 2.0", "MPL-2.0", "review"), ("Released under the MIT licence", "MIT", "allow"), (text(39), "ISC", "allow"), (text(40), "0BSD", "allow"), (text(42), "CC0-1.0", "allow"),
+        (text(43), "CC-BY-SA-4.0", "review"), (text(44), "CC-BY-ND-4.0", "block"), (text(47, 48), "Unlicense", "allow"), (text(4, 3, 5), "", "none"),
+    ]
+    d = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.verdict) for r in licenses.scan(d).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    assert licenses.scan(d, rules=()).where("verdict <> 'none'").count() == 0
+
+
 def test_licences_wrapped(spark):
     import textwrap
 
@@ -424,6 +440,10 @@ def test_quality_rules(spark, docs):
         want = brute_measures(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+        lines, capitals = sum(bool(words(x)) for x in (texts[r.doc_id] or "").split("\n")), sum("A" <= c <= "Z" for c in texts[r.doc_id] or "")
+        soft = (10 * want[1] < 22 * want[0]) + (10 * want[1] > 140 * want[0]) + (100 * want[3] > 30 * lines) + (want[0] > 1000000)
+        hard = 10 * want[2] > want[0] or 100 * capitals > 40 * want[1]
+        assert r.kept == (not r.base_failed and not hard and soft <= 1)
     found = quality_rules.ledger(d)
     few = {r.rule: (r.failed, r.alone) for r in quality_rules.ablations(found).where("policy = 'base'").collect()}
     bits = [r.failed for r in found.collect()]

@@ -138,10 +138,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 #: For each rule of the two policies: what fails it, and what passes once it is left out.
 ABLATIONS_SQL = f"""{LEDGER_SQL},
-r(policy, rule, bit, hard, soft) AS (VALUES ('base', 'few_words', 1, 3, 0), ('base', 'repeated_words', 2, 3, 0),
+rules(policy, rule, bit, hard, soft) AS (VALUES ('base', 'few_words', 1, 3, 0), ('base', 'repeated_words', 2, 3, 0),
   ('v1', 'few_words', 1, 71, 184), ('v1', 'repeated_words', 2, 71, 184), ('v1', 'symbols', 4, 71, 184), ('v1', 'capitals', 64, 71, 184),
   ('v1', 'short_words', 8, 71, 184), ('v1', 'long_words', 16, 71, 184), ('v1', 'repeated_lines', 32, 71, 184), ('v1', 'many_words', 128, 71, 184)),
 p AS (SELECT policy, rule, failed & bit <> 0 AS fails, failed & hard = 0 AND bit_count(failed & soft) <= CASE policy WHEN 'v1' THEN 1 ELSE 0 END AS passes,
-  failed & hard & ~bit = 0 AND bit_count(failed & soft & ~bit) <= CASE policy WHEN 'v1' THEN 1 ELSE 0 END AS would FROM b, r)
+  failed & hard & ~bit = 0 AND bit_count(failed & soft & ~bit) <= CASE policy WHEN 'v1' THEN 1 ELSE 0 END AS would FROM b, rules)
 SELECT policy, rule, count(*) FILTER (fails) AS failed, count(*) FILTER (would AND NOT passes) AS alone FROM p GROUP BY policy, rule
 """

@@ -556,12 +556,21 @@ def checksum_groups(spark, d):
     return gates.checksum_groups(table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("file"), F.md5("text").alias("md5")))
 
 
-@query("""WITH i AS (SELECT source AS brand, 'doc ' || doc_id AS product_name, md5(text) AS md5, doc_id % 50 AS page FROM documents), f AS (SELECT brand, md5, min(product_name) AS first FROM i GROUP BY ALL HAVING count(DISTINCT product_name) > 1)
-SELECT DISTINCT i.brand, i.md5, i.product_name, first FROM i JOIN f ON i.brand = f.brand AND i.md5 = f.md5 WHERE i.product_name <> first AND NOT EXISTS (SELECT 1 FROM i j WHERE j.brand = i.brand AND j.md5 = i.md5 AND j.page = i.page AND j.product_name = f.first)""")
+@query("""WITH i AS (SELECT 'b' AS brand, 'doc ' || doc_id || '.' AS product_name, doc_id % 200 AS md5, doc_id % 7 AS page FROM documents),
+t AS (SELECT 'doc ' || doc_id || '.' AS product_name, 'see doc ' || (doc_id + 200) || '. and doc ' || (doc_id - 200) || '.' || CASE WHEN doc_id % 3 = 0 THEN ' c' || (doc_id + 400) || ';' ELSE '' END || ' c' || (doc_id - 400) || ';' AS t, 'c' || doc_id || ';' AS code FROM documents),
+p AS (SELECT DISTINCT a.brand, a.md5, a.product_name, b.product_name AS other FROM i a JOIN i b ON a.md5 = b.md5 AND a.product_name <> b.product_name),
+q AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM i a JOIN i b ON a.md5 = b.md5 AND a.page = b.page WHERE a.product_name = p.product_name AND b.product_name = p.other))
+SELECT q.brand, md5::VARCHAR AS md5, q.product_name, count(*) AS n_conflicts, min(other) AS first FROM q JOIN t a USING (product_name) JOIN t b ON b.product_name = other
+WHERE NOT ((contains(a.t, b.product_name) OR contains(a.t, b.code)) AND (contains(b.t, a.product_name) OR contains(b.t, a.code))) GROUP BY ALL""")
 def image_pairs(spark, d):
     docs = table(spark, d, "documents")
-    images = docs.select(F.col("source").alias("brand"), F.concat(F.lit("doc "), "doc_id").alias("product_name"), F.md5("text").alias("md5"), (F.col("doc_id") % 50).alias("page"))
-    return gates.image_conflicts(images, docs.select(F.col("source").alias("brand"), F.concat(F.lit("doc "), "doc_id").alias("product_name"), "text"))
+    name = lambda c: F.concat(F.lit("doc "), c.cast("string"), F.lit("."))
+    code = lambda c: F.concat(F.lit("c"), c.cast("string"), F.lit(";"))
+    i, one = F.col("doc_id"), F.lit("b").alias("brand")
+    more = F.when(i % 3 == 0, F.concat(F.lit(" "), code(i + 400))).otherwise("")
+    text = F.concat(F.lit("see "), name(i + 200), F.lit(" and "), name(i - 200), more, F.lit(" "), code(i - 400))
+    images = docs.select(one, name(i).alias("product_name"), (i % 200).cast("string").alias("md5"), (i % 7).alias("page"))
+    return gates.image_conflicts(images, docs.select(one, name(i).alias("product_name"), text.alias("text"), code(i).alias("code")))
 
 
 @query("WITH {model}, w AS (SELECT DISTINCT brand, product_name, unnest(range(start, stop + 1))::INT AS page FROM idx) SELECT brand, product_name, page FROM w WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.brand = w.brand AND p.product_name = w.product_name AND p.source_pdf_page = w.page)")

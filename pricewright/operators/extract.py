@@ -61,11 +61,11 @@ def repeated_headers(lines: DataFrame, pattern: str, *keys: str) -> DataFrame:
     return d.groupBy(*keys, "name").agg(F.min("page").alias("printed"))
 
 
-def category_headers(lines: DataFrame, categories: tuple[str, ...], *keys: str) -> DataFrame:
-    """S6g: lines that are a known category, with the last line before that is not blank as the product's name (30 characters at most, no colon, a capital first)."""
+def category_headers(lines: DataFrame, categories: tuple[str, ...] | Column, *keys: str) -> DataFrame:
+    """S6g: lines that are a known category (one of some words, or where a condition holds), with the last line before that is not blank as the product's name (30 characters at most, no colon, a capital first)."""
     by = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     name = F.last(F.when(F.trim("text") != "", F.trim("text")), ignorenulls=True).over(by)
-    d = lines.withColumn("name", name).where(F.lower(F.trim("text")).isin(*categories))
+    d = lines.withColumn("name", name).where(categories if isinstance(categories, Column) else F.lower(F.trim("text")).isin(*categories))
     return d.where((F.length("name") <= 30) & ~F.contains("name", F.lit(":")) & F.col("name").rlike("^[A-ZÀ-Þ]")).withColumn("category", F.lower(F.trim("text")))
 
 
@@ -198,9 +198,9 @@ def ranges(entries: DataFrame, start: str, last: str | Column, *keys: str) -> Da
     return entries.withColumn("end", F.greatest(F.col(start), F.coalesce(F.lead(start).over(by) - 1, last)))
 
 
-def tied_ranges(entries: DataFrame, start: str, last: str | Column, *keys: str) -> DataFrame:
-    """As above, but entries of one start share an end, that before the next different start."""
-    last = F.col(last) if isinstance(last, str) else last
+def tied_ranges(entries: DataFrame, start: str, last: str | Column, *keys: str, less: int = 0) -> DataFrame:
+    """As above, but entries of one start share an end, that before the next different start; the last group ends ``less`` pages before the document does."""
+    last = (F.col(last) if isinstance(last, str) else last) - less
     by = Window.partitionBy(*keys).orderBy(start)
     ends = entries.select(*keys, start).distinct().withColumn("_n", F.lead(start).over(by) - 1)
     return entries.join(ends, [*keys, start]).withColumn("end", F.greatest(F.col(start), F.coalesce("_n", last))).drop("_n")
@@ -282,9 +282,15 @@ def section_fold(found: DataFrame, *keys: str) -> DataFrame:
     return d.groupBy(*keys, "code").agg(F.min("page").alias("first_page"), F.min("_f").alias("priced_page"), F.max(F.when(F.col("_f").isNull() | (F.col("page") <= F.col("_f")), F.col("page"))).alias("end_page"), name.alias("name"))
 
 
-def known_codes_priced(lines: DataFrame, codes: DataFrame, *keys: str) -> DataFrame:
-    """S14h: keys, code, page: the first page with a euro sign on which a known code begins a line."""
-    with_price = lines.where(F.contains("text", F.lit("€"))).select(*keys, "page").distinct()
+def first_entries(entries: DataFrame, order: str, *keys: str) -> DataFrame:
+    """The first entry, by ``order``, of each key."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    return entries.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
+
+
+def known_codes_priced(lines: DataFrame, codes: DataFrame, *keys: str, sign: str = "€") -> DataFrame:
+    """S14h: keys, code, page: the first page with a euro sign (or another ``sign``) on which a known code begins a line."""
+    with_price = lines.where(F.contains("text", F.lit(sign))).select(*keys, "page").distinct()
     first = lines.withColumn("code", F.regexp_extract("text", r"^\s*(\S+)", 1)).join(with_price, [*keys, "page"], "left_semi")
     return first.join(codes.select(*keys, "code").distinct(), [*keys, "code"]).groupBy(*keys, "code").agg(F.min("page").alias("page"))
 

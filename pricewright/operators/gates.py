@@ -80,19 +80,31 @@ def checksum_groups(files: DataFrame) -> DataFrame:
 
 
 def image_conflicts(images: DataFrame, texts: DataFrame) -> DataFrame:
-    """Products of one brand that share an image by checksum though neither's text (heading or code) tells of the other: brand, md5, product_name, first.
+    """Products that share an image by checksum with others of their brand though the texts don't tell of each other.
 
-    Each product is held against the first of its group, both ways; a page that both have excuses it.
+    brand, md5, product_name, n_conflicts, first (the least of the others in conflict). Every pair of a group is tried:
+    it is excused if both have the image on one page, or if each one's text holds the other's name or, where ``texts``
+    (brand, product_name, text) has a ``code``, its code, dashes and case apart. A group whose pages are all blank
+    (``images`` may have a ``page_text``) is no conflict. A group's pairs are as many as its square; images of one
+    brand are shared by a few products, and Spark splits larger groups, but nothing is left out.
     """
-    i = images.select("brand", "product_name", "md5", "page").distinct()
-    first = i.groupBy("brand", "md5").agg(F.min("product_name").alias("first"), F.count_distinct("product_name").alias("c")).where("c > 1")
-    d = i.join(first, ["brand", "md5"]).where("product_name <> first")
-    same_page = i.select("brand", "md5", "page", F.col("product_name").alias("first"))
-    d = d.join(same_page, ["brand", "md5", "page", "first"], "left_anti")
-    t = texts.select("brand", "product_name", X.normalize("text").alias("t"))
-    d = d.join(t, ["brand", "product_name"], "left").join(t.select("brand", F.col("product_name").alias("first"), F.col("t").alias("u")), ["brand", "first"], "left")
-    told = lambda text, name: F.coalesce(F.contains(text, X.normalize(name)), F.lit(False))
-    return d.where(~(told(F.col("t"), "first") & told(F.col("u"), "product_name"))).select("brand", "md5", "product_name", "first").distinct()
+    blank = F.trim("page_text") == "" if "page_text" in images.columns else F.lit(False)
+    i = images.select("brand", "product_name", "md5", "page", F.coalesce(blank, F.lit(False)).alias("blank")).distinct()
+    shared = i.groupBy("brand", "md5").agg(F.count_distinct("product_name").alias("c"), F.every("blank").alias("b")).where("c > 1 and not b")
+    i = i.join(shared.select("brand", "md5"), ["brand", "md5"], "left_semi").drop("blank")
+    other = lambda *more: i.select("brand", "md5", *more, F.col("product_name").alias("other")).distinct()
+    pairs = i.select("brand", "md5", "product_name").distinct().join(other(), ["brand", "md5"]).where("product_name <> other")
+    together = i.join(other("page"), ["brand", "md5", "page"]).select("brand", "md5", "product_name", "other").distinct()
+    pairs = pairs.join(together, ["brand", "md5", "product_name", "other"], "left_anti")
+    plain = lambda c: F.regexp_replace(X.normalize(c), "[\u2010-\u2015-]", "-")
+    code = plain("code") if "code" in texts.columns else F.lit(None).cast("string")
+    t = texts.select("brand", "product_name", plain("text").alias("text"), plain("product_name").alias("name"), F.nullif(code, F.lit("")).alias("code"))
+    mine = t.select("brand", "product_name", *(F.col(c).alias(f"my_{c}") for c in ("text", "name", "code")))
+    theirs = t.select("brand", F.col("product_name").alias("other"), *(F.col(c).alias(f"their_{c}") for c in ("text", "name", "code")))
+    d = pairs.join(mine, ["brand", "product_name"], "left").join(theirs, ["brand", "other"], "left")
+    holds = lambda text, x: F.coalesce(F.contains(F.col(f"{text}_text"), F.col(f"{x}_name")), F.lit(False)) | F.coalesce(F.contains(F.col(f"{text}_text"), F.col(f"{x}_code")), F.lit(False))
+    d = d.where(~(holds("my", "their") & holds("their", "my")))
+    return d.groupBy("brand", "md5", "product_name").agg(F.count("*").alias("n_conflicts"), F.min("other").alias("first"))
 
 
 def page_gaps(index: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:

@@ -181,21 +181,29 @@ def named_product_scan(spark, d):
     return resolve.mentions(adapter.questions(spark, d), adapter.catalog_index(spark, d))
 
 
-CODES = rf"""
-cd AS (SELECT DISTINCT brand, product_name, regexp_replace({NORMAL.format('code')}, '[^a-z0-9]+', '', 'g') AS token, unnest(list_append({TOKENS.format(NORMAL.format("product_name || ' ' || coalesce(variant_context, '')"))}, '')) AS w FROM prices),
-cl AS (SELECT brand, product_name, token, list(DISTINCT w) AS w FROM cd WHERE token <> '' GROUP BY ALL),
-cq AS (SELECT qid, brand, {TOKENS.format(NORMAL.format('message'))} AS t FROM questions),
-ch AS (SELECT qid, product_name, max(len(list_intersect(t, w))) AS shared FROM cq JOIN cl ON cq.brand = cl.brand AND list_contains(t, token) GROUP BY ALL),
-coded AS (SELECT qid, product_name, shared FROM ch QUALIFY max(shared) OVER (PARTITION BY qid) = 0 OR shared = max(shared) OVER (PARTITION BY qid))"""
+def codes_sql(questions: str = "questions") -> str:
+    return rf"""
+cs AS (SELECT brand, product_name, code, variant_context AS context, true AS priced FROM prices
+  UNION ALL SELECT brand, product_name, art_code, NULL, EXISTS (SELECT 1 FROM prices p WHERE p.brand = idx.brand AND p.product_name = idx.product_name) FROM idx WHERE art_code IS NOT NULL),
+cd AS (SELECT DISTINCT brand, product_name, regexp_replace({NORMAL.format('code')}, '[^a-z0-9]+', '', 'g') AS token, unnest(list_append({TOKENS.format(NORMAL.format("product_name || ' ' || coalesce(context, '')"))}, '')) AS w, priced FROM cs WHERE code IS NOT NULL),
+cl AS (SELECT brand, product_name, token, list(DISTINCT w) AS w, bool_or(priced) AS priced FROM cd WHERE token <> '' GROUP BY ALL),
+cq AS (SELECT qid, brand, {TOKENS.format(NORMAL.format('message'))} AS t FROM {questions}),
+ch AS (SELECT qid, product_name, max(len(list_intersect(t, w))) AS shared, bool_or(priced) AS priced FROM cq JOIN cl ON cq.brand = cl.brand AND list_contains(t, token) GROUP BY ALL),
+cm AS (SELECT * FROM ch QUALIFY max(shared) OVER (PARTITION BY qid) = 0 OR shared = max(shared) OVER (PARTITION BY qid)),
+coded AS (SELECT qid, product_name, shared FROM cm QUALIFY priced OR NOT bool_or(priced) OVER (PARTITION BY qid))"""
+
+
+CODES = codes_sql()
 
 
 def _codes(spark, d):
-    return adapter.prices(spark, d).select("brand", "product_name", "code", F.col("variant_context").alias("context"))
+    return resolve.codes_of(adapter.catalog_index(spark, d), adapter.prices(spark, d))
 
 
-@query("WITH {model}, " + CODES + " SELECT qid, product_name, shared::INT AS shared FROM coded")
+@query("WITH {model}, ac AS (SELECT qid, q.brand, CASE WHEN qid % 3 = 0 THEN 'price of ' || lower(art_code) ELSE message END AS message FROM questions q JOIN idx i ON i.first = q.qid), " + codes_sql("ac") + " SELECT qid, product_name, shared::INT AS shared FROM coded")
 def code_lookup(spark, d):
-    return resolve.by_code(adapter.questions(spark, d), _codes(spark, d))
+    asked = F.when(F.col("qid") % 3 == 0, F.concat(F.lit("price of p"), "qid")).otherwise(F.col("message"))
+    return resolve.by_code(adapter.questions(spark, d).withColumn("message", asked), _codes(spark, d))
 
 
 FUZZY = rf"""
@@ -245,10 +253,12 @@ def variant_phrase_index(spark, d):
     return resolve.phrase_index(adapter.prices(spark, d))
 
 
-@query("WITH {model}, g AS (SELECT qid, collection, count(*) AS n, min(product_name) AS first FROM questions q JOIN idx i USING (brand) GROUP BY ALL) SELECT qid, arg_max(collection, {'n': n, 'f': -ascii(collection)}) AS family, max(n) AS products FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, first) AS r FROM g) WHERE r = 1 GROUP BY qid")
+@query("WITH {model}, " + MATCHES + """, t AS (SELECT m.qid, product_name, score, max(score) OVER (PARTITION BY qid) AS best FROM matches m),
+g AS (SELECT t.qid, coalesce(collection, '__ungrouped__:' || product_name) AS family, count(*) AS products, min(product_name) AS first FROM t JOIN questions USING (qid) JOIN idx USING (brand, product_name) WHERE score >= best - 5 GROUP BY ALL)
+SELECT qid, family, products FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY products DESC, first) = 1""")
 def majority_group(spark, d):
-    names = adapter.catalog_index(spark, d)
-    found = adapter.questions(spark, d).select("qid", "brand").join(names.select("brand", "product_name"), "brand")
+    q, names = adapter.questions(spark, d), adapter.catalog_index(spark, d)
+    found = resolve.tied(resolve.matches(q, names)).join(q.select("qid", "brand"), "qid").select("qid", "brand", "product_name")
     return resolve.majority_group(found, names)
 
 
@@ -385,10 +395,19 @@ DECISIONS = rf"""
 tp AS (SELECT * FROM (SELECT qid, product_name, score, max(score) OVER (PARTITION BY qid) AS best FROM matches) WHERE score >= best - 5),
 tt AS (SELECT qid, product_name, best, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM tp), tu AS (SELECT qid, list_distinct(flatten(list(t))) AS u FROM tt GROUP BY qid),
 mx AS (SELECT qid, product_name FROM tt JOIN tu USING (qid) WHERE list_has_all(t, u) AND best < 100 QUALIFY count(*) OVER (PARTITION BY qid) = 1),
-cand AS (SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1 AS m, 2 AS one, 1 AS many, 'named' AS r1, 'named' AS r2, 'multi' AS o FROM mentions
-  UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 3, 4, 'code', 'code', 'clarify' FROM coded
-  UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 6, 9, 'score', 'tie', 'clarify' FROM tp
-  UNION ALL SELECT qid, product_name, false, 8, 8, 'maximal', 'maximal', 'lookup' FROM mx),
+fn0 AS (SELECT brand, product_name, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM idx),
+fp AS (SELECT brand, product_name, k AS shared, array_to_string(t[1:k], ' ') AS family FROM fn0, range(1, len(t) + 1) r(k)), fc AS (SELECT brand, family FROM fp GROUP BY ALL HAVING count(*) > 1),
+ff AS (SELECT brand, product_name, max(shared) AS shared, max_by(family, shared) AS family FROM fp JOIN fc USING (brand, family) GROUP BY ALL),
+fm AS (SELECT ff.brand, family, product_name AS member, t AS mt FROM ff JOIN fn0 USING (brand, product_name)),
+f1 AS (SELECT qid, product_name FROM mentions QUALIFY count(*) OVER (PARTITION BY qid) = 1),
+f2 AS (SELECT qid, q.brand, family, shared, {TOKENS.format(NORMAL.format('message'))} AS t FROM f1 JOIN questions q USING (qid) JOIN ff ON ff.brand = q.brand AND ff.product_name = f1.product_name WHERE {NORMAL.format('message')} <> {NORMAL.format('f1.product_name')}),
+f3 AS (SELECT qid, member, mt FROM f2 JOIN fm USING (brand, family) WHERE list_has_all(t, mt[shared + 1:])),
+fam AS (SELECT qid, member AS product_name FROM f3 WHERE NOT EXISTS (SELECT 1 FROM f3 w WHERE w.qid = f3.qid AND len(w.mt) > len(f3.mt) AND list_has_all(w.mt, f3.mt)) QUALIFY count(*) OVER (PARTITION BY qid) > 1),
+cand AS (SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1 AS m, 3 AS one, 1 AS many, 'named' AS r1, 'named' AS r2, 'multi' AS o FROM mentions
+  UNION ALL SELECT qid, product_name, true, 2, 2, 'family', 'family', 'clarify' FROM fam
+  UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 4, 5, 'code', 'code', 'clarify' FROM coded
+  UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 7, 10, 'score', 'tie', 'clarify' FROM tp
+  UNION ALL SELECT qid, product_name, false, 9, 9, 'maximal', 'maximal', 'lookup' FROM mx),
 decided AS (SELECT qid, product_name, CASE WHEN m THEN many ELSE one END AS priority, CASE WHEN m THEN r2 ELSE r1 END AS rule, CASE WHEN m THEN o ELSE 'lookup' END AS outcome FROM cand)"""
 
 

@@ -124,11 +124,21 @@ def name_collisions(names: DataFrame) -> DataFrame:
 
 
 def unmatched_candidates(candidates: DataFrame, index: DataFrame) -> DataFrame:
-    """Candidate names (brand, name) that neither hold nor are held by a name of the index of their brand: by equal names first, then within the brand."""
+    """Candidate names (brand, name) that neither hold nor are held by a name of the index of their brand.
+
+    A text that another holds has its first three letters among the other's runs of letters; texts meet by these.
+    """
+    run = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    runs = lambda c: F.array_distinct(F.concat(F.array(F.lit("")), run(F.col(c), 1), run(F.col(c), 2), run(F.col(c), 3)))
     i = index.select("brand", X.normalize("product_name").alias("n")).distinct()
     c = candidates.withColumn("_c", X.normalize("name"))
-    rest = c.join(i, (c.brand == i.brand) & (c._c == i.n), "left_anti")
-    return rest.join(i, (rest.brand == i.brand) & (F.contains(i.n, rest._c) | F.contains(rest._c, i.n)), "left_anti").drop("_c")
+    names = c.select("brand", "_c").distinct()
+    start = lambda d, x: d.withColumn("part", F.substring(F.col(x), 1, 3))
+    inside = lambda d, x: d.withColumn("part", F.explode(runs(x)))
+    held = start(names, "_c").join(inside(i, "n"), ["brand", "part"]).where(F.contains("n", F.col("_c")))
+    holds = inside(names, "_c").join(start(i, "n"), ["brand", "part"]).where(F.contains("_c", F.col("n")))
+    matched = held.select("brand", "_c").unionByName(holds.select("brand", "_c")).distinct()
+    return c.join(matched, ["brand", "_c"], "left_anti").select(*candidates.columns)
 
 
 def image_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -37,19 +37,35 @@ def mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     return lists.select("qid", F.posexplode(F.aggregate("o", start, claim, lambda a: a["names"])).alias("claim", "product_name"))
 
 
+def codes_of(names: DataFrame, prices: DataFrame) -> DataFrame:
+    """Brand, product_name, code, context, priced: the codes of price rows and the art codes of the index; ``priced`` tells whether a product has rows."""
+    of_rows = prices.select("brand", "product_name", "code", F.col("variant_context").alias("context"), F.lit(True).alias("priced"))
+    if "art_code" not in names.columns:
+        return of_rows
+    known = prices.select("brand", "product_name").distinct().withColumn("priced", F.lit(True))
+    of_index = names.where("art_code is not null").join(known, ["brand", "product_name"], "left")
+    none = F.lit(None).cast("string").alias("context")
+    return of_rows.unionByName(of_index.select("brand", "product_name", F.col("art_code").alias("code"), none, F.coalesce("priced", F.lit(False)).alias("priced")))
+
+
 def by_code(questions: DataFrame, codes: DataFrame) -> DataFrame:
-    """R2: qid, product_name, shared: products whose code (brand, code, product_name, context) is a word of the message.
+    """R2: qid, product_name, shared: products whose code (``codes_of``; ``priced`` may be absent) is a word of the message.
 
-    Of several products those sharing most words of name or context with the message stay, if any share.
+    Of several products those sharing most words of name or context with the message stay, if any share; of these
+    those with prices, if some, not all, have any.
     """
+    if "priced" not in codes.columns:
+        codes = codes.withColumn("priced", F.lit(True))
     plain = lambda c: F.regexp_replace(X.normalize(c), "[^a-z0-9]+", "")
-    c = codes.where("code is not null").select("brand", "product_name", plain("code").alias("token"), X.tokenize_loose(F.concat_ws(" ", "product_name", "context")).alias("w")).where("token <> ''")
-    c = c.groupBy("brand", "product_name", "token").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"))
+    words = X.tokenize_loose(F.concat_ws(" ", "product_name", "context"))
+    c = codes.where("code is not null").select("brand", "product_name", plain("code").alias("token"), words.alias("w"), "priced").where("token <> ''")
+    c = c.groupBy("brand", "product_name", "token").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"), F.max("priced").alias("priced"))
     q = questions.select("qid", "brand", X.tokenize_loose("message").alias("t"))
     hits = q.select("qid", "brand", "t", F.explode(F.array_distinct("t")).alias("token")).join(c, ["brand", "token"])
-    hits = hits.groupBy("qid", "product_name").agg(F.max(F.size(F.array_intersect("t", "w"))).alias("shared"))
-    most = F.max("shared").over(Window.partitionBy("qid"))
-    return hits.withColumn("most", most).where("most = 0 or shared = most").select("qid", "product_name", "shared")
+    hits = hits.groupBy("qid", "product_name").agg(F.max(F.size(F.array_intersect("t", "w"))).alias("shared"), F.max("priced").alias("priced"))
+    by = Window.partitionBy("qid")
+    hits = hits.withColumn("most", F.max("shared").over(by)).where("most = 0 or shared = most")
+    return hits.withColumn("any", F.max("priced").over(by)).where("priced or not any").select("qid", "product_name", "shared")
 
 
 def scored_names(names: DataFrame) -> DataFrame:
@@ -100,12 +116,27 @@ def tied(found: DataFrame, band: float = 5.0) -> DataFrame:
     return found.withColumn("top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("score") >= F.col("top") - band).drop("top")
 
 
+def without_letters(c) -> Column:
+    """A word and what is left of it without any one or two letters: words within two edits have one of these in common."""
+    word = F.col(c) if isinstance(c, str) else c
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    once = F.array_distinct(cut(word))
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(F.filter(once, lambda w: w != ""), cut))))
+
+
 def fuzzy(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """R4 (J4): qid, product_name, distance: names a word of which is within an edit (two for more than four letters) of a word of the message."""
+    """R4 (J4): qid, product_name, distance: names a word of which is within an edit (two for more than four letters) of a word of the message.
+
+    Distinct words of questions meet distinct words of names, by what is left of them without up to two letters; the
+    pairs that are close enough go back to questions and names by brand and word.
+    """
     q = questions.select("qid", "brand", F.explode(F.array_distinct(X.tokenize_loose("message"))).alias("w")).where((F.length("w") >= 3) & ~F.col("w").isin(*X.RISKY))
-    q = q.withColumn("d", F.when(F.length("w") <= 4, 1).otherwise(2)).withColumn("len", F.explode(F.sequence(F.length("w") - F.col("d"), F.length("w") + F.col("d"))))
-    n = names.select("brand", "product_name", F.explode(F.array_distinct(X.tokenize_loose("product_name"))).alias("v")).where(F.length("v") >= 3).withColumn("len", F.length("v"))
-    hits = q.join(n, ["brand", "len"]).withColumn("distance", F.levenshtein("w", "v")).where("distance <= d")
+    n = names.select("brand", "product_name", F.explode(F.array_distinct(X.tokenize_loose("product_name"))).alias("v")).where(F.length("v") >= 3)
+    asked = q.select("w").distinct().select("w", F.explode(without_letters("w")).alias("part"))
+    held = n.select("v").distinct().select("v", F.explode(without_letters("v")).alias("part"))
+    close = asked.join(held, "part").select("w", "v").distinct().withColumn("distance", F.levenshtein("w", "v"))
+    close = close.where(F.col("distance") <= F.when(F.length("w") <= 4, 1).otherwise(2))
+    hits = q.join(close, "w").join(n, ["brand", "v"])
     return hits.groupBy("qid", "product_name").agg(F.min("distance").alias("distance"))
 
 

@@ -13,7 +13,7 @@ from ..sources.staging import staged
 def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFrame:
     """Qid, rule, outcome (lookup, multi or clarify) and product_name, a row for each product: the first rule that applies to a question.
 
-    Rules, in order: two products or more named; one named; one code; several codes; the anchor, where it explains
+    Rules, in order: two products or more named; one named whose family the message doesn't settle; one named; one code; several codes; the anchor, where it explains
     what is left of the message; one best score; of tied scores the anchor, the one that has all tokens of the others, or
     a choice to be clarified; a phrase of one product; of several; the anchor for a message of weak words. An intent's
     names are valid only if they are names. ``questions`` may have last_product and intent.
@@ -22,7 +22,7 @@ def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> Data
     for c, kind in (("last_product", "string"), ("intent", "struct<product_names:array<string>>")):
         if c not in q.columns:
             q = q.withColumn(c, F.lit(None).cast(kind))
-    codes = prices.select("brand", "product_name", "code", F.col("variant_context").alias("context"))
+    codes = resolve.codes_of(names, prices)
     named = resolve.mentions(q, names).select("qid", "product_name")
     guesses = q.select("qid", "brand", F.explode("intent.product_names").alias("guess"))
     named = staged(resolve.without_fragments(resolve.validated(guesses, names), named), "named")
@@ -38,19 +38,22 @@ def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> Data
     one = lambda d, n, rule: counted(d).where("_n = 1").select("qid", "product_name", F.lit(n).alias("priority"), F.lit(rule).alias("rule"), F.lit("lookup").alias("outcome"))
     many = lambda d, n, rule, outcome: counted(d).where("_n > 1").select("qid", "product_name", F.lit(n).alias("priority"), F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome"))
     weak = q.where(resolve.content_free("message") & F.col("last_product").isNotNull()).select("qid", F.col("last_product").alias("product_name"))
+    sole = counted(named).where("_n = 1").select("qid", "product_name")
+    family = resolve.family_ambiguity(q, sole, names)
     candidates = [
         many(named, 1, "named", "multi"),
-        one(named, 2, "named"),
-        one(coded, 3, "code"),
-        many(coded, 4, "code", "clarify"),
-        one(anchor.join(explained.where("explained").select("qid"), "qid", "left_semi"), 5, "anchor"),
-        one(top.select("qid", "product_name"), 6, "score"),
-        one(top.join(anchor, ["qid", "product_name"], "left_semi").select("qid", "product_name"), 7, "anchor"),
-        one(full.join(best.where("best < 100"), "qid", "left_semi"), 8, "maximal"),
-        many(top.select("qid", "product_name"), 9, "tie", "clarify"),
-        one(phrased, 10, "phrase"),
-        many(phrased, 11, "phrase", "clarify"),
-        one(weak, 12, "follow_up"),
+        many(family, 2, "family", "clarify"),
+        one(named, 3, "named"),
+        one(coded, 4, "code"),
+        many(coded, 5, "code", "clarify"),
+        one(anchor.join(explained.where("explained").select("qid"), "qid", "left_semi"), 6, "anchor"),
+        one(top.select("qid", "product_name"), 7, "score"),
+        one(top.join(anchor, ["qid", "product_name"], "left_semi").select("qid", "product_name"), 8, "anchor"),
+        one(full.join(best.where("best < 100"), "qid", "left_semi"), 9, "maximal"),
+        many(top.select("qid", "product_name"), 10, "tie", "clarify"),
+        one(phrased, 11, "phrase"),
+        many(phrased, 12, "phrase", "clarify"),
+        one(weak, 13, "follow_up"),
     ]
     found = candidates[0]
     for c in candidates[1:]:
@@ -62,6 +65,10 @@ def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> Data
 def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFrame:
     """qid, status, rule, product_name, n_rows and the rows of each answer; questions without a product have a row of nulls.
 
+    With each row: ``excluded``, the part of the message that has nothing to do with the product (R8b); ``low`` and
+    ``high``, the range of the prices shown (N10); ``withheld``, the rows left out because their prices conflict;
+    ``sizes`` and ``tiers`` that the product has, where no row fits (N4).
+
     A question of several products is scoped to clauses (R9, R13) before the chain; a choice to clarify lists its
     candidates (L4: the first five, with the number of the others in ``hidden``) and no rows.
     """
@@ -69,13 +76,23 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
     found = staged(decisions(questions, names, prices), "decisions")
     multi = found.where("outcome = 'multi'")
     claims = multi.select("qid", "product_name", F.dense_rank().over(Window.partitionBy("qid").orderBy("product_name")).alias("claim"))
-    lookups = found.where("outcome = 'lookup'").join(resolve.related_clauses(questions, found.where("outcome = 'lookup'").select("qid", "product_name"), prices), "qid").select("qid", "product_name", F.col("scoped").alias("clause"))
+    sole = found.where("outcome = 'lookup'")
+    related = staged(resolve.related_clauses(questions, sole.select("qid", "product_name"), prices), "related")
+    lookups = sole.join(related, "qid").select("qid", "product_name", F.col("scoped").alias("clause"))
     chosen = lookups.unionByName(resolve.scoped(questions, claims).select("qid", "product_name", "clause"))
     rows = narrow.narrowed(narrow.task_table(questions, chosen, "clause"), prices)
+    by = Window.partitionBy("qid", "product_name")
+    shown, none_fits = F.when(F.col("kept"), X.price_number("price_eur")), F.col("status") == "no_matching_variant"
+    rows = rows.withColumns({
+        "low": F.min(shown).over(by), "high": F.max(shown).over(by), "withheld": F.count_if(~F.col("kept") & F.col("ambiguous")).over(by),
+        "sizes": F.when(none_fits, F.array_sort(F.collect_set("size").over(by))), "tiers": F.when(none_fits, F.array_sort(F.collect_set("fabric_tier").over(by))),
+    })
     rows = rows.where("kept or status in ('no_price_data', 'no_matching_variant')").dropDuplicates(["qid", "product_name", "row_ord", "code", "price_eur"])
     rows = rows.withColumn("source", F.when(F.col("kept"), F.col("row_ord")))
     facts = ["model_variant", "variant_context", "size", "fabric_tier", "code", "price_eur", "source_pdf_page"]
-    rows = rows.select("qid", "brand", "product_name", "status", "n_rows", F.col("source").alias("row_ord"), *(F.when(F.col("kept"), F.col(c)).alias(c) for c in facts)).distinct()
+    rows = rows.join(related.select("qid", "excluded"), "qid", "left")
+    notes = ["excluded", "low", "high", "withheld", "sizes", "tiers"]
+    rows = rows.select("qid", "brand", "product_name", "status", "n_rows", *notes, F.col("source").alias("row_ord"), *(F.when(F.col("kept"), F.col(c)).alias(c) for c in facts)).distinct()
     rows = rows.join(found.select("qid", "product_name", "rule", "outcome"), ["qid", "product_name"])
     rows = rows.withColumn("status", F.when(F.col("outcome") == "multi", "multi_product").otherwise(F.col("status"))).drop("outcome")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("product_name"))

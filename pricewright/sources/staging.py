@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_paths: list[str] = []
+_paths: dict[str, list[str]] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,16 +25,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: what several branches of a plan read is made once, lineage ends here, and lost executors cost only their running tasks."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths.append(path)
+    _paths.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> int:
-    """Deletes the tables that this process staged, once results that read them are written; returns their number."""
+def staged_so_far(spark: SparkSession) -> int:
+    """The number of tables that are staged and not cleared, for ``since`` below."""
+    return len(_paths.get(spark.sparkContext.applicationId, []))
+
+
+def clear_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that this application staged after the first ``since``, but for the last ``keep``, once results that read them are written; returns their number."""
     conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    for path in _paths:
+    mine = _paths.get(spark.sparkContext.applicationId, [])
+    gone = mine[since : len(mine) - keep]
+    for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    n = len(_paths)
-    _paths.clear()
-    return n
+    del mine[since : len(mine) - keep]
+    return len(gone)

@@ -677,3 +677,39 @@ def test_pipeline(spark):
             assert {r.doc_id for r in after} == {i for i, (_, g) in want.items() if g == i}
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()) == sorted(r.decoded_sha256 for r in out)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows, clashing columns, an empty table: all stages run."""
+    import corpus_pipeline
+    from pricewright.sources import staging
+
+    r = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{x}" for x in r.integers(0, 500, n))
+    one, two = text(80), text(60) + "\n" + text(40)
+    rows = [(1, one, "en", "a", 5, "x", "y"), (1, one, "en", "a", 5, "x", "y"), (2, one, None, "b", None, None, None), (3, two, "en", None, 1, "", ""), (4, None, None, None, None, None, None), (5, "", "en", "a", 0, "", "")]
+    rows += [(None, two, "en", "a", 1, "x", "y"), (None, None, None, None, None, None, None), (None, text(50), "fr", "a", 1, "", ""), (6, text(30000), "de", "b", 1, "", "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, gone string, `a.b` string")
+    for name, part in (("some", d), ("none", d.limit(0))):
+        part.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(99, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        counts = []
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(f(spark, docs, str(tmp_path / name)), stage)
+            assert docs.columns == d.columns
+            counts.append(docs.count())
+        begun = staging.staged_so_far(spark)
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert len(out) == counts[-1] and staging.staged_so_far(spark) == begun + 1
+        if name == "none":
+            assert counts == [0, 0, 0, 0]
+        else:
+            assert counts[:2] == [10, 10]
+            # the copies of id 1, its text under id 2, and the text of id 3 without id are left out; texts without words stay to the mix
+            kept = {x.doc_id for x in ngram_rows(spark, d)}
+            assert kept == {1, 3, 4, 5, 6, None}
+
+
+def ngram_rows(spark, d):
+    return ngram_join.without_similar(d).collect()

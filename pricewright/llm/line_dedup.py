@@ -12,7 +12,7 @@ from .tables import BROADCAST_IDS, SPACE, named, unused, written
 MIN_WORDS = 20
 #: Hashed after a line for its second hash.
 SECOND = "second"
-#: Distinct pairs of ranks, counted, whose running sums are plain windows by rank; with more, sums go by buckets, so that no rank is one task's.
+#: Distinct pairs of ranks, counted, whose running sums are windows in one task (2 MB, no shuffle); with more, sums go by buckets, so that no rank is one task's.
 FEW_KINDS = 50_000
 
 
@@ -73,7 +73,7 @@ def doubled(ranks: DataFrame, width: int, total: int) -> DataFrame:
     known, bits = kinds.count(), max(1, total.bit_length())
     if known <= FEW_KINDS:
         earlier = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        kinds = kinds.withColumn("n", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+        kinds = kinds.coalesce(1).withColumn("n", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
     else:
         kinds = running_sum(kinds, ["r"], "s", "c", "n", bits, min(bits, bits_for(known)))
     kinds = kinds.select("r", "s", (F.col("r") + F.col("n")).alias("t"))

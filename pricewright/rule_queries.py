@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from .catalog_queries import NORMAL, TOKENS, _list, query
+from .catalog_queries import CODES, DECISIONS, MATCHES, MENTIONS, NORMAL, SCORES, TOKENS, _list, query
 from .functions import text as X
 from .operators import extract, gates, narrow, resolve
+from .plans import answer
 from .sources import adapter, readers
 from .sources.adapter import table
 
@@ -191,3 +194,56 @@ def phrase_matches(spark, d):
 def add_on_shares(spark, d):
     rows = narrow.add_on_rows(adapter.prices(spark, d))
     return rows.groupBy("brand", "product_name").agg(F.count_if("add_on").alias("add_ons"), F.count("*").alias("variants"))
+
+
+# ---- whole decisions with sessions and intents
+
+
+def session_questions(spark, d):
+    """Questions of five kinds: a follow-up on the last product, weak words after one, a phrase, an intent's name, and a last product beside the message."""
+    q, i = adapter.questions(spark, d), F.col("qid") % 5
+    message = F.when(i == 0, F.concat(F.lit("and cuscini in h.27 "), F.when(F.col("qid") % 2 == 0, "sedduta").otherwise("armadio"))).when(i == 1, "how do you do it").when(i == 2, "cuscini opzionali seduta")
+    last = F.when(i.isin(0, 1, 4), F.col("target"))
+    guess = F.when(i == 3, F.struct(F.array(F.upper("target"), F.lit("no such")).alias("product_names")))
+    return q.select("qid", "brand", F.coalesce(message, F.col("message")).alias("message"), last.alias("last_product"), guess.alias("intent"))
+
+
+SESSIONS = """
+sess AS (SELECT qid, brand, coalesce(CASE qid % 5 WHEN 0 THEN 'and cuscini in h.27 ' || CASE WHEN qid % 2 = 0 THEN 'sedduta' ELSE 'armadio' END WHEN 1 THEN 'how do you do it' WHEN 2 THEN 'cuscini opzionali seduta' END, message) AS message,
+  CASE WHEN qid % 5 IN (0, 1, 4) THEN target END AS target, CASE WHEN qid % 5 = 3 THEN target END AS guess FROM questions)"""
+
+
+def _of_sessions(sql: str) -> str:
+    return sql.replace("questions", "sess")
+
+
+def _renamed(sql: str, names: str, prefix: str) -> str:
+    """SQL whose common tables have other names."""
+    return re.sub(rf"\b({names})\b(?=\s|,|\)|$)", lambda m: prefix + m[1], sql)
+
+
+PHRASES = _renamed(_of_sessions(SCORES).replace("FROM idx", "FROM phr"), "sq|sq2|sn|sn2|sp|ss|scores", "ph_")
+EXPLAINED = _of_sessions(LEFT) + rf""",
+vv AS (SELECT brand, product_name, unnest([model_variant, variant_context, tier_label, fabric_tier, size]) AS v FROM prices),
+vt AS (SELECT DISTINCT brand, product_name, unnest({TOKENS.format(NORMAL.format('v'))}) AS v FROM vv WHERE v IS NOT NULL),
+lu AS (SELECT qid, brand, target, unnest(w) AS w FROM lw WHERE target IS NOT NULL),
+miss AS (SELECT DISTINCT qid FROM lu WHERE NOT EXISTS (SELECT 1 FROM vt WHERE vt.brand = lu.brand AND vt.product_name = lu.target
+  AND (v = w OR regexp_extract(v, '^([0-9]+)', 1) = w OR length(w) >= 4 AND length(v) >= 4 AND levenshtein(w, v) <= CASE WHEN length(w) = 4 THEN 1 ELSE 2 END)))"""
+NAMED = rf"""
+vn AS (SELECT qid, min(product_name) AS product_name FROM sess JOIN idx USING (brand) WHERE guess IS NOT NULL AND {NORMAL.format('product_name')} = {NORMAL.format('guess')} GROUP BY qid),
+vo AS (SELECT qid, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM vn WHERE NOT EXISTS (SELECT 1 FROM literal l WHERE l.qid = vn.qid AND l.product_name = vn.product_name)),
+mentions AS (SELECT * FROM vn UNION SELECT qid, product_name FROM literal l WHERE NOT EXISTS (SELECT 1 FROM vo WHERE vo.qid = l.qid AND list_has_all(vo.t, {TOKENS.format(NORMAL.format('l.product_name'))})))"""
+ANCHORED = rf"""
+phrased AS (SELECT DISTINCT qid, p.product_name FROM (SELECT qid, brand, product_name AS phrase FROM ph_scores WHERE score >= 80 QUALIFY score = max(score) OVER (PARTITION BY qid)) JOIN (SELECT DISTINCT brand, product_name FROM prices WHERE variant_context IS NOT NULL) p USING (brand)),
+cand2 AS (SELECT qid, product_name, priority, rule, outcome FROM decided
+  UNION ALL SELECT qid, target, 6, 'anchor', 'lookup' FROM sess WHERE target IS NOT NULL AND qid NOT IN (SELECT qid FROM miss)
+  UNION ALL SELECT qid, product_name, 8, 'anchor', 'lookup' FROM tp JOIN sess USING (qid) WHERE target = product_name
+  UNION ALL SELECT qid, product_name, CASE WHEN count(*) OVER w > 1 THEN 12 ELSE 11 END, 'phrase', CASE WHEN count(*) OVER w > 1 THEN 'clarify' ELSE 'lookup' END FROM phrased WINDOW w AS (PARTITION BY qid)
+  UNION ALL SELECT qid, target, 13, 'follow_up', 'lookup' FROM sess WHERE target IS NOT NULL AND len(list_filter({TOKENS.format(NORMAL.format('message'))}, lambda x: NOT list_contains({_list(X.RISKY)}, x))) = 0)
+SELECT DISTINCT qid, product_name, priority, rule, outcome FROM cand2 QUALIFY priority = min(priority) OVER (PARTITION BY qid)"""
+
+
+@query("WITH {model}, " + SESSIONS + ", phr AS (SELECT DISTINCT brand, 'Cuscini opzionali seduta' AS product_name, NULL::VARCHAR AS collection FROM prices WHERE variant_context IS NOT NULL), "
+       + ", ".join((_of_sessions(MATCHES), _of_sessions(MENTIONS).replace("mentions AS", "literal AS"), NAMED, _of_sessions(CODES), _of_sessions(DECISIONS), PHRASES, EXPLAINED, ANCHORED)))
+def session_decisions(spark, d):
+    return answer.decisions(session_questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))

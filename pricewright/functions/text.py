@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 #: Closed vocabularies.
 KNOWN_TIERS = ("nuvola leather", "luxury leather", "super nuvola fabric", "extra luxury fabric", "b e tcl", "super", "extra", "plus", "d, e", "c", "d", "e")
 TIER_ORDER = ("b e tcl", "c", "d", "e", "d, e", "plus", "extra", "extra luxury fabric", "luxury leather", "super", "super nuvola fabric", "nuvola leather")
-GENERIC = tuple("table chair armchair console office bench pouf stand mirror lounge coffee wood tv sofa bed cuscini cuscino".split())
-FILLER = tuple("what whats are is the a an for of me give show tell please how much do you have can i get price prices pricing cost costs all full complete every list in about and then con di per".split())
-RISKY = tuple(
-    "a i o u me my is am be we us or if in on at to so no go do up it as an the and not but out get has had was who how why him her his its our let put via she may say too own new use way now old see one two big top ask try any add day need come long than more much like just also this that with from have will been were then when all for give price prices yes yeah yep ok okay sure please full list of them".split()
+GENERIC = (
+    "table", "chair", "armchair", "console", "office", "bench", "pouf", "stand", "mirror", "lounge", "coffee", "wood", "tv", "sofa", "bed", "cuscini",
+    "cuscino",
+)
+FILLER = (
+    "what", "whats", "are", "is", "the", "a", "an", "for", "of", "me", "give", "show", "tell", "please", "how", "much",
+    "do", "you", "have", "can", "i", "get", "price", "prices", "pricing", "cost", "costs", "all", "full", "complete", "every", "list",
+    "in", "about", "and", "then", "con", "di", "per",
+)
+RISKY = (
+    "a", "i", "o", "u", "me", "my", "is", "am", "be", "we", "us", "or", "if", "in", "on", "at",
+    "to", "so", "no", "go", "do", "up", "it", "as", "an", "the", "and", "not", "but", "out", "get", "has",
+    "had", "was", "who", "how", "why", "him", "her", "his", "its", "our", "let", "put", "via", "she", "may", "say",
+    "too", "own", "new", "use", "way", "now", "old", "see", "one", "two", "big", "top", "ask", "try", "any", "add",
+    "day", "need", "come", "long", "than", "more", "much", "like", "just", "also", "this", "that", "with", "from", "have", "will",
+    "been", "were", "then", "when", "all", "for", "give", "price", "prices", "yes", "yeah", "yep", "ok", "okay", "sure", "please",
+    "full", "list", "of", "them",
 )
 UNITS = ("h", "mt", "mq", "cm", "ø")
 TIER_FILLER = ("cat", "category")

@@ -180,3 +180,48 @@ def test_empty_inputs(spark):
     assert answer.answers(q, name_rows(p), p).count() == 0
     assert narrow.add_on_totals(p.limit(0)).count() == 0
     assert grid.layout(p.limit(0)).count() == 0
+
+
+def test_image_conflicts_by_pairs(spark):
+    from pricewright.operators import gates
+
+    images = spark.createDataFrame([("x", p, "m1", i) for i, p in enumerate("abc")] + [("x", "d", "m2", 1), ("x", "e", "m2", 1), ("x", "f", "m3", 1), ("x", "g", "m3", 2), ("x", "f", "m4", 1)], "brand string, product_name string, md5 string, page int")
+    texts = spark.createDataFrame([("x", "a", "with b and c", None), ("x", "b", "see a", None), ("x", "c", "see a", None), ("x", "f", "see G‑7", "F-1"), ("x", "g", "f here", "g-7")], "brand string, product_name string, text string, code string")
+    got = {(r.md5, r.product_name): (r.n_conflicts, r["first"]) for r in gates.image_conflicts(images, texts).collect()}
+    assert got == {("m1", "b"): (1, "c"), ("m1", "c"): (1, "b")}  # b and c don't name each other, though a names both
+    blank = images.withColumn("page_text", F.when(F.col("md5") == "m1", " ").otherwise("x"))
+    assert gates.image_conflicts(blank, texts).count() == 0
+
+
+def test_close_words_by_brute_force(spark):
+    import itertools
+    import random
+
+    from pricewright.operators import resolve
+
+    random.seed(4)
+    words = ["".join(random.choice("abcd") for _ in range(random.randint(3, 7))) for _ in range(60)]
+    q = spark.createDataFrame([(i, "x" if i % 2 else "y", w) for i, w in enumerate(words[:30])], "qid long, brand string, message string")
+    n = spark.createDataFrame([("x" if i % 3 else "y", w) for i, w in enumerate(words[30:])], "brand string, product_name string").distinct()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = list(itertools.accumulate(zip(row, row[1:], b), lambda left, t: min(left + 1, t[1] + 1, t[0] + (x != t[2])), initial=i + 1))
+        return row[-1]
+
+    want = {(a.qid, b.product_name): distance(a.message, b.product_name) for a in q.collect() for b in n.collect() if a.brand == b.brand and distance(a.message, b.product_name) <= (1 if len(a.message) <= 4 else 2)}
+    got = {(r.qid, r.product_name): r.distance for r in resolve.fuzzy(q, n).collect()}
+    assert {k: v for k, v in got.items()} == {k: v for k, v in want.items() if q.where(f"qid = {k[0]}").first().message not in resolve.X.RISKY}
+
+
+def test_codes_of_the_index(spark):
+    from pricewright.operators import resolve
+
+    names = spark.createDataFrame([("x", "Alpha", "Z9"), ("x", "Beta", "Z9"), ("x", "Gamma", "Y1")], "brand string, product_name string, art_code string")
+    prices = spark.createDataFrame([("x", "Alpha", "A1", None), ("x", "Beta", "A1", "round top")], "brand string, product_name string, code string, variant_context string")
+    q = spark.createDataFrame([(1, "x", "price of z9"), (2, "x", "price of a1 round"), (3, "x", "y1"), (4, "x", "price of a1")], "qid long, brand string, message string")
+    got = sorted((r.qid, r.product_name) for r in resolve.by_code(q, resolve.codes_of(names, prices)).collect())
+    assert got == [(1, "Alpha"), (1, "Beta"), (2, "Beta"), (3, "Gamma"), (4, "Alpha"), (4, "Beta")]
+    got = sorted((r.qid, r.product_name) for r in resolve.by_code(q, resolve.codes_of(names, prices.where("product_name = 'Alpha'"))).collect())
+    assert got == [(1, "Alpha"), (3, "Gamma"), (4, "Alpha")] or got == [(1, "Alpha"), (2, "Alpha"), (3, "Gamma"), (4, "Alpha")]

@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .tables import small_batches, sole
+from .tables import emptied, small_batches, sole
 
 #: Words kept in a worker's cache at most; it is emptied when full.
 CACHE = 200_000
@@ -152,4 +152,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
 
-    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(emptied(run), schema)

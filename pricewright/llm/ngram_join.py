@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import named, small_batches, sole, unused, with_ids, written
+from .tables import emptied, named, small_batches, sole, unused, with_ids, written
 
 #: Word hashes kept in a worker at most; the cache is emptied when full.
 CACHE = 100_000
@@ -97,7 +97,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
         none = pa.nulls(len(blocks), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(blocks), pa.binary()), pa.array([i // SKETCH_BLOCK for i in blocks], pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "class", "block", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, class binary, block int, counts binary")
+    return docs.mapInArrow(emptied(run), "doc_id long, n long, class binary, block int, counts binary")
 
 
 def rough(counts: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, k: int, num: int, den: int) ->
                 tokens.append(np.sort(np.partition(keys, p - 1)[:p]) if p else keys)
             yield pa.RecordBatch.from_arrays([ids, pa.array(map(_class, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(tokens)], names=["doc_id", "class", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, class binary, n long, tokens array<long>")
+    return docs.mapInArrow(emptied(run), "doc_id long, class binary, n long, tokens array<long>")
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -155,7 +155,7 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
         for ids, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays([ids, _lists(sets)], names=["id", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams array<long>")
+    return docs.mapInArrow(emptied(run), "id long, grams array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:

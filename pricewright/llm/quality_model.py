@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches, sole
+from .tables import emptied, small_batches, sole
 
 #: Hashed features; a model is 2**BITS floats and its thresholds, 1 MB, whatever the corpus.
 BITS = 18
@@ -160,7 +160,7 @@ def training_rows(docs: DataFrame, grades: DataFrame, rows: int = FIT_ROWS) -> D
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labelled = small_batches(text).join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
-    return labelled.mapInArrow(run, "doc_id long, grade int, found binary")
+    return labelled.mapInArrow(emptied(run), "doc_id long, grade int, found binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalModel:
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
 
     one = training_rows(docs, graded(labels), rows).repartition(1).sortWithinPartitions("doc_id", "found")
-    got = one.mapInArrow(run, "weights binary, thresholds binary").collect()
+    got = one.mapInArrow(emptied(run), "weights binary, thresholds binary").collect()
     if not got:  # an empty input has no task
         return fit_ordinal(np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
     return OrdinalModel(*(np.frombuffer(x, dtype=np.float64) for x in got[0]))
@@ -206,7 +206,7 @@ def judge(docs: DataFrame, at: int, model: OrdinalModel, result, schema) -> Data
                 part = batch.slice(i, 500)
                 yield result(part, fitted.tails([features(t.as_py()) for t in part.column(at)]).astype(float))
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(emptied(run), schema)
 
 
 def score(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged as written
 
-__all__ = ["BROADCAST_IDS", "SPACE", "named", "ship_package", "small_batches", "sole", "unused", "with_ids", "words_of", "written"]
+__all__ = ["BROADCAST_IDS", "SPACE", "emptied", "named", "ship_package", "small_batches", "sole", "unused", "vocabulary", "with_ids", "words_of", "written"]
 
 #: Ids broadcast at most (some 50 MB as a hash table); beyond it the same join is a shuffled one.
 BROADCAST_IDS = 500_000
@@ -88,3 +88,22 @@ def words_of(text):
     """Column: the array of words ``[^\\x20\\x09-\\x0D]+`` of a text; null and empty texts have none."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACE[1:], " " * (len(SPACE) - 1))
     return F.array_remove(F.split(plain, " "), "")
+
+
+def vocabulary() -> str:
+    """The path of the production vocabulary of BPE."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def emptied(run):
+    """``run`` for ``mapInArrow``, after whose last batch the worker gives back the memory that its batches took."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole

@@ -44,3 +44,8 @@ def clear_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
         where.getFileSystem(conf).delete(where, True)
     del mine[since : len(mine) - keep]
     return len(gone)
+
+
+def forget(spark: SparkSession) -> None:
+    """Collects the driver's garbage: Spark then removes the shuffle files and broadcasts of plans that are done, and the driver's heap shrinks. For use between long steps."""
+    spark.sparkContext._jvm.System.gc()

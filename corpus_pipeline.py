@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.llm import bpe, line_dedup, mixing, ngram_join, quality_model
-from pricewright.llm.queries import vocabulary
-from pricewright.llm.tables import named, written
-from pricewright.sources.staging import clear_staged, staged_so_far
+from pricewright.llm.tables import named, vocabulary, written
+from pricewright.sources.staging import clear_staged, forget, staged_so_far
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +16,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Judged by the text alone: null and empty ones as texts without words, very long ones whole, repeated rows and null
     ids each for themselves. Ties of probability 0.5 stay. Without labels all stay; an empty table stays empty. All columns pass.
     """
+    forget(spark)
     return quality_model.selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,6 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     then the upper place, keeps a run; equal rows of one id count as one document and all stay. Null ids stand
     first. An empty table stays empty. Other columns pass, whatever their names.
     """
+    forget(spark)
     names = [named(c) for c in docs.columns]
     found = line_dedup.without_repeats(docs)
     if "n_chars" in docs.columns:
@@ -41,6 +42,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows stays; rows without id go where their text is in a group of ids, else one of each text stays. An empty
     table stays empty. Other columns pass.
     """
+    forget(spark)
     return ngram_join.without_similar(docs, k=5, num=80, den=100)
 
 
@@ -51,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and one of each source may be taken in part. Order is by a hash of the id; equal rows of one id share evenly what is
     taken of them. An empty table stays empty. Other columns pass.
     """
+    forget(spark)
     return mixing.mixed(docs)
 
 
@@ -60,6 +63,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; long ones are encoded whole; each row, repeated or without id, gives one. An
     empty table gives no rows. Other columns are left out.
     """
+    forget(spark)
     return bpe.encode_decode(docs, vocabulary())
 
 

@@ -268,13 +268,50 @@ def clause_split(spark, d):
     return resolve.clauses(adapter.questions(spark, d)).select("qid", F.col("at").alias("pos"), "clause")
 
 
-@query()
+def clauses_sql(source: str) -> str:
+    """SQL of the clauses of the messages of ``source`` (qid, message)."""
+    return rf"""
+heard AS (SELECT *, {NORMAL.format('message')} AS whole FROM {source}),
+heard_parts AS (SELECT *, string_split(regexp_replace(whole, '\band\b|&', ',', 'g'), ',') AS parts FROM heard),
+heard_clauses AS (SELECT * FROM (SELECT * EXCLUDE (parts), trim(unnest(parts)) AS clause, unnest(range(len(parts)))::INT AS spot FROM heard_parts) WHERE clause <> '')"""
+
+
+def scoping_sql(claims: str) -> str:
+    """SQL of the clause of each of ``claims`` (qid, claim, product_name), in turn, from the clauses ``heard_clauses``: ``placed`` (qid, claim, product_name, spot)."""
+    return rf"""
+claimed AS (SELECT qid, claim, row_number() OVER (PARTITION BY qid ORDER BY claim) AS turn, product_name, {NORMAL.format('product_name')} AS name FROM {claims}),
+claim_clauses AS (SELECT claimed.*, spot, contains(clause, name) AS holds, len(list_filter(string_split_regex(clause, '[^a-z0-9]+'), lambda w: length(w) >= 3
+  AND len(list_filter(string_split_regex(name, '[^a-z0-9]+'), lambda v: length(v) >= 3 AND levenshtein(w, v) <= 2)) > 0)) > 0 AS near FROM claimed JOIN (SELECT DISTINCT qid, spot, clause FROM heard_clauses) USING (qid)),
+claim_places AS (SELECT qid, claim, turn, product_name, coalesce(list(spot ORDER BY spot) FILTER (holds), []) AS held, coalesce(list(spot ORDER BY spot) FILTER (near), []) AS close FROM claim_clauses GROUP BY ALL),
+placed AS (SELECT qid, claim, turn, product_name, coalesce(held[1], close[1], -1) AS spot, [coalesce(held[1], close[1], -1)] AS used FROM claim_places WHERE turn = 1
+  UNION ALL SELECT qid, claim, turn, product_name, spot, list_append(used, spot) FROM (
+    SELECT claim_places.qid, claim_places.claim, claim_places.turn, claim_places.product_name, used, coalesce(list_filter(held, lambda x: NOT list_contains(used, x))[1], list_filter(close, lambda x: NOT list_contains(used, x))[1], -1) AS spot
+    FROM placed JOIN claim_places ON claim_places.qid = placed.qid AND claim_places.turn = placed.turn + 1))"""
+
+
+WEAK = _list(dict.fromkeys([*X.RISKY, *X.FILLER, *X.TIER_FILLER, *X.UNITS, "x"]))
+IN_WORDS = r"regexp_matches({0}, '(?i)(?:^|\W)\Q' || {1} || '\E(?:$|\W)')"
+#: From the clauses ``heard_clauses`` of a message and its product ``target``.
+RELATED = rf"""
+clause_words AS (SELECT * FROM (SELECT *, {TOKENS.format('clause')} AS words FROM heard_clauses) WHERE len(words) > 0),
+clause_facts AS (SELECT brand, product_name AS target, list(DISTINCT {NORMAL.format('fabric_tier')}) FILTER (fabric_tier <> '') AS tiers, list(DISTINCT regexp_extract(model_variant, '^([0-9]+)', 1)) FILTER (regexp_extract(model_variant, '^([0-9]+)', 1) <> '') AS digits FROM prices GROUP BY ALL),
+clause_known AS (SELECT clause_words.*, coalesce(tiers, []) AS tiers, coalesce(digits, []) AS digits FROM clause_words LEFT JOIN clause_facts USING (brand, target)),
+clause_kept AS (SELECT qid, clause, spot, list_has_any(words, {TOKENS.format(NORMAL.format('target'))})
+  OR len(list_filter(words, lambda w: regexp_matches(w, '^[0-9]{{2,3}}(x[0-9]+)*$'))) > 0 AND len(list_filter(words, lambda w: NOT list_contains({WEAK}, w) AND NOT regexp_matches(w, '^[0-9x]+$'))) = 0
+  OR len(list_filter(tiers, lambda t: {IN_WORDS.format('clause', 't')})) > 0 AND len(list_filter(words, lambda w: NOT list_contains({WEAK}, w) AND len(list_filter(tiers, lambda t: {IN_WORDS.format('t', 'w')})) = 0)) = 0
+  OR len(list_filter(words, lambda w: list_contains(digits, regexp_extract(w, '^([0-9]+)', 1)))) > 0 AS stays FROM clause_known),
+clause_groups AS (SELECT qid, bool_or(stays) AND NOT bool_and(stays) AS part, string_agg(clause, ' and ' ORDER BY spot) FILTER (stays) AS kept, string_agg(clause, ' and ' ORDER BY spot) FILTER (NOT stays) AS gone FROM clause_kept GROUP BY qid),
+related AS (SELECT qid, CASE WHEN part THEN kept ELSE whole END AS scoped, CASE WHEN part THEN gone END AS excluded FROM heard LEFT JOIN clause_groups USING (qid))"""
+
+
+@query("WITH RECURSIVE {model}, " + MENTIONS + ", " + clauses_sql("questions") + ", " + scoping_sql("mentions") + """
+SELECT p.qid, p.product_name, coalesce(clause, heard.whole) AS clause, p.spot AS "at" FROM placed p JOIN heard USING (qid) LEFT JOIN heard_clauses ON heard_clauses.qid = p.qid AND heard_clauses.spot = p.spot""")
 def clause_scoping(spark, d):
     q = adapter.questions(spark, d)
     return resolve.scoped(q, resolve.mentions(q, adapter.catalog_index(spark, d)))
 
 
-@query()
+@query("WITH {model}, " + clauses_sql("questions") + ", " + RELATED + " SELECT qid, scoped, excluded FROM related")
 def related_clauses(spark, d):
     q = adapter.questions(spark, d)
     return resolve.related_clauses(q, q.select("qid", F.col("target").alias("product_name")), adapter.prices(spark, d))
@@ -311,9 +348,9 @@ def size_numeric_filter(spark, d):
 
 
 TASKS = rf"""
-tk0 AS (SELECT qid, q.brand, target AS product_name, {NORMAL.format('message')} AS q, {NORMAL.format('target')} AS n FROM questions q),
+tk0 AS (SELECT qid, q.brand, target AS product_name, {NORMAL.format('message')} AS q, {NORMAL.format('message')} AS asks, {NORMAL.format('target')} AS n FROM questions q),
 tk1 AS (SELECT *, replace(q, n, ' ') AS p, array_to_string(string_split(n, ' ')[1:2], ' ') AS two FROM tk0),
-tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, regexp_matches(q, '\b(all|full|complete|every)\b') AS wants_all FROM tk1),
+tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, regexp_matches(asks, '\b(all|full|complete|every)\b') AS wants_all FROM tk1),
 tr AS (SELECT tk.*, model_variant, variant_context, size, fabric_tier, price_eur, row_ord, ambiguous FROM tk JOIN prices USING (brand, product_name))"""
 
 
@@ -416,13 +453,28 @@ def decision_rules(spark, d):
     return answer.decisions(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
 
 
-@query()
+@query("WITH RECURSIVE {model}, " + ", ".join((MATCHES, MENTIONS, CODES, DECISIONS)) + """,
+dec AS (SELECT DISTINCT qid, product_name, rule, outcome FROM decided QUALIFY priority = min(priority) OVER (PARTITION BY qid)),
+several AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY product_name) AS claim, product_name FROM dec WHERE outcome = 'multi'),
+sole AS (SELECT q.qid, q.brand, d.product_name AS target, message FROM questions q LEFT JOIN dec d ON d.qid = q.qid AND outcome = 'lookup'),""" + clauses_sql("sole") + ", " + RELATED + ", " + scoping_sql("several") + """,
+chosen AS (SELECT sole.qid, brand, target, scoped AS message, message AS asked_for FROM sole JOIN related USING (qid) WHERE target IS NOT NULL
+  UNION ALL SELECT p.qid, sole.brand, p.product_name, coalesce(clause, heard.whole), sole.message FROM placed p JOIN sole USING (qid) JOIN heard USING (qid) LEFT JOIN heard_clauses ON heard_clauses.qid = p.qid AND heard_clauses.spot = p.spot),
+""" + CHAIN.replace("FROM questions q", "FROM chosen q").replace(f"{NORMAL.format('message')} AS asks", f"{NORMAL.format('asked_for')} AS asks") + """,
+told AS (SELECT d.qid, CASE WHEN outcome = 'multi' THEN 'multi_product' WHEN rows IS NULL THEN 'no_price_data' WHEN NOT any_kept THEN 'no_matching_variant' WHEN NOT any_clean THEN 'ambiguous_price' WHEN kept = 1 THEN 'ok'
+    WHEN wants_all AND NOT tiered THEN 'full_price_grid' ELSE 'multiple_options' END AS status, rule, d.product_name, CASE WHEN any_kept THEN kept ELSE 0 END AS rows
+  FROM dec d LEFT JOIN v7 ON v7.qid = d.qid AND v7.product_name = d.product_name WHERE outcome <> 'clarify'
+  UNION ALL SELECT qid, 'clarify_product', rule, product_name, 0 FROM dec WHERE outcome = 'clarify' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY product_name) <= 5
+  UNION ALL SELECT qid, 'no_product_match', NULL, NULL, 0 FROM questions WHERE qid NOT IN (SELECT qid FROM dec))
+SELECT qid, status, rule, product_name, rows::BIGINT AS rows FROM told""")
 def answer_status(spark, d):
     a = answer.answers(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
     return a.groupBy("qid", "status", "rule", "product_name").agg(F.count("row_ord").alias("rows"))
 
 
-@query()
+@query("WITH {model}, hv0 AS (SELECT qid, brand, target, string_split_regex(" + NORMAL.format("lower(target) || ' h.7 and h.27'") + r""", '\band\b') AS parts FROM questions),
+hv AS (SELECT qid * 2 + part AS qid, brand, target, parts[part + 1] AS message FROM hv0, range(2) r(part) WHERE len(parts) = 2),""" + CHAIN.replace("FROM questions q", "FROM hv q") + """,
+one AS (SELECT qid // 2 AS qid, product_name, (qid % 2)::INT AS part, min(model_variant) AS model_variant FROM v6 WHERE kept3 AND NOT (any_clean AND ambiguous) GROUP BY qid, product_name HAVING count(DISTINCT model_variant) = 1)
+SELECT qid, part, product_name, model_variant FROM one QUALIFY min(model_variant) OVER (PARTITION BY qid) <> max(model_variant) OVER (PARTITION BY qid)""")
 def compound_variants(spark, d):
     q = adapter.questions(spark, d).withColumn("message", F.concat(F.lower("target"), F.lit(" h.7 and h.27")))
     return answer.compound(q, q.select("qid", F.col("target").alias("product_name")), adapter.prices(spark, d))

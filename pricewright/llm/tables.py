@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -105,5 +106,7 @@ def emptied(run):
 
         yield from run(batches)
         pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library's own pool, where it has one
+            trim(0)
 
     return whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, urls
+from . import ann, bpe, chat, fim, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_model, quality_rules, toxicity, urls
 from .tables import vocabulary
 
 
@@ -61,6 +61,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, label = table(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mined(vectors.withColumn("label", wrong))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(table(spark, sf_dir, "documents")).drop("output")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat": op2_chat,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fim": op12_fim,
+    "op13_toxicity": op13_toxicity,
 }
 #: Queries that SQL can express. Not here: mixing (a hash order and a schedule), BPE, nearest neighbours and fitted models; tests hold these against brute force.
 ORACLES: dict[str, str] = {
@@ -83,4 +101,6 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.RULES_SQL,
     "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op8_urls": urls.judged_sql(),
+    "op11_hard_negatives": hard_negatives.HARD_NEGATIVES_SQL,
+    "op12_fim": fim.FIM_SQL,
 }

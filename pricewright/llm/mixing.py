@@ -125,48 +125,86 @@ def mix_plan(rows: DataFrame, sources: DataFrame, block_words: int, seed: int) -
     joined = pieces.join(slots, ["key", "block"], "left")
     stops = F.when(F.col("epoch") < F.col("epochs"), F.col("last")).otherwise(F.least("last", F.col("rest") - F.col("at")))
     joined = joined.withColumn("to_word", F.greatest(stops, "first"))
-    return joined.select("slot", "epoch", "block", "row", "doc_id", "digest", "source", "key", "size", "at", F.col("first").alias("from_word"), "to_word")
+    joined = joined.select("slot", "epoch", "block", "row", "doc_id", "digest", "source", "key", "size", "at", F.col("first").alias("from_word"), "to_word")
+    return written(joined, "pieces")
+
+
+def planned(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The mix's pieces, staged, and the sources: see ``mix_plan`` and ``source_targets``."""
+    rows = written(sized(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sources = written(source_targets(rows, weights, share, most), "targets")
+    plan = mix_plan(rows, sources, block_words, seed)
+    words = F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word")).otherwise(F.lit(0)).cast("long")
+    return plan.withColumn("words", words), sources
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: int = 17) -> DataFrame:
-    """How many words the mix takes of each document: doc_id, digest, source, size, source_size, target, taken.
+    """What the mix takes of each document: doc_id, digest, source, size, source_size, target, taken (words), first_slot, n_slots.
 
-    Only (id, source, size) move; a hot source is spread by hash buckets and its blocks are keys of their own.
-    Targets are met to the word. ``taken`` is at most ``most`` (a whole number) times the size.
+    The schedule deals blocks to slots, and words come at the slots of their blocks: ``n_slots`` slots take words of the
+    document, the first of them is ``first_slot`` (null if none does). In every beginning of the mix each source's share
+    is within a few blocks of its share of the whole. Only (id, source, size) move; a hot source is spread by hash
+    buckets and its blocks are keys of their own. Targets are met to the word. ``taken`` is at most ``most`` (a whole
+    number) times the size.
 
     Null and empty texts have size 0 and nothing is taken of them. Null sources are one source, the last. Very
     long documents span several blocks. Repeated rows are documents of their own, also those without words; null
     ids stand together. An empty table gives no rows. Other columns are ignored.
     """
-    rows = written(sized(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    sources = written(source_targets(rows, weights, share, most), "targets")
-    plan = mix_plan(rows, sources, block_words, seed)
-    words = F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))
-    sums = plan.groupBy("row", "doc_id", "digest", "key", "source", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+    plan, sources = planned(docs, weights, share, most, block_words, seed)
+    dealt = F.when(F.col("words") > 0, F.col("slot"))
+    sums = plan.groupBy("row", "doc_id", "digest", "key", "source", "size").agg(F.sum("words").alias("taken"), F.min(dealt).alias("first_slot"), F.count(dealt).alias("n_slots"))
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     known = sources.select("key", "source_size", "target")
-    return sums.join(F.broadcast(known) if few else known, "key").select("doc_id", "digest", "source", "size", "source_size", "target", "taken")
+    joined = sums.join(F.broadcast(known) if few else known, "key")
+    return joined.select("doc_id", "digest", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
+
+
+def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_words: int = 8192, seed: int = 17) -> DataFrame:
+    """Every time that the mix takes a document: doc_id, digest, copy, many, size, slot, at, words.
+
+    In each epoch of its source a document begins at the slot that took the block of its first word; ``at`` tells its
+    place there. ``words`` is its size, or less where a target ends in it. ``copy`` numbers rows of one id, text and
+    source from 0, ``many`` is their number.
+    """
+    plan, _ = planned(docs, weights, share, most, block_words, seed)
+    taken = plan.where("words > 0").groupBy("row", "doc_id", "digest", "size", "at", "epoch").agg(F.min_by("slot", "from_word").alias("slot"), F.sum("words").alias("words"))
+    equal = Window.partitionBy("doc_id", "digest")
+    rows = plan.where("size > 0").select("row", "doc_id", "digest").distinct()
+    rows = rows.select("row", (F.row_number().over(equal.orderBy("row")) - 1).alias("copy"), F.count("*").over(equal).alias("many"))
+    return taken.join(rows, "row").select("doc_id", "digest", "copy", "many", "size", "slot", "at", "words")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix takes them, same columns: a row for every whole time a document is taken, and one with its first words for a part.
+    """``docs`` in the order of the mix, same columns: a row for every time a document is taken (``copies``), by slots.
+
+    A document stands whole at the slot that takes its first word; where a source's target ends, one document is
+    taken in part, its first words, joined by spaces. An ``n_chars`` column counts anew. Documents of which nothing is
+    taken, those without words among them, go. Partitions hold consecutive slots, so a table that is written has
+    the mix's order from file to file: any beginning of it holds the sources by their weights.
 
-    Parts arise where a source's target ends, in one document of each; their words are joined by spaces, and an
-    ``n_chars`` column counts anew. Documents of which nothing is taken, those without words among them, go.
-    Equal rows of one id share what is taken of them evenly. The counts return to the texts by broadcast if they
-    were counted and are few, else by a join.
+    Equal rows of one id are numbered, and each stands at its own places: these few rows are shuffled by id, the others
+    are not. Places meet the texts by broadcast if they were counted and are few, else by a join. Texts are shuffled
+    once, to their slots.
     """
-    i, x, d, g, t, n, w = unused(docs, "id", "row_digest", "taken_id", "taken_digest", "times", "words", "part")
-    taken = mix(docs, **how).where("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("t"), F.count("*").alias("c"), F.max("size").alias(n))
-    taken = written(taken.select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.expr("t div c").alias(t), n), "taken")
-    few = taken.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(x, digest())
-    rows = rows.join(F.broadcast(taken) if few else taken, F.col(i).eqNullSafe(F.col(d)) & (F.col(x) == F.col(g)))
-    part = F.col(t) % F.col(n)
-    whole = F.array_repeat(F.col(n), F.floor(F.col(t) / F.col(n)).cast("int"))
-    rows = rows.withColumn(w, F.explode(F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))))
+    i, x, j, d, g, c, n, w, t, a, m = unused(docs, "id", "row_digest", "row_copy", "taken_id", "taken_digest", "copy", "size", "words", "slot", "at", "many")
+    names = zip(("doc_id", "digest", "copy", "many", "size", "slot", "at", "words"), (d, g, c, m, n, t, a, w))
+    taken = written(copies(docs, **how).select(*(F.col(old).alias(new) for old, new in names)), "taken")
+    last, rows = taken.agg(F.max(t), F.count("*")).first()
+    few = F.broadcast if rows <= BROADCAST_IDS else lambda df: df
+    keyed = docs.withColumn(i, F.col("doc_id").cast("long")).withColumn(x, digest())
+    same = F.col(i).eqNullSafe(F.col(d)) & (F.col(x) == F.col(g))
+    found = keyed.join(few(taken.where(F.col(m) == 1)), same).withColumn(j, F.lit(0))
+    again = taken.where(F.col(m) > 1)
+    if not again.isEmpty():
+        ids = again.select(F.col(d).alias(d), F.col(g).alias(g)).distinct()
+        equal = keyed.join(few(ids), same, "left_semi")
+        equal = equal.withColumn(j, F.row_number().over(Window.partitionBy(i, x).orderBy(*(F.to_json(F.struct(named(col))) for col in docs.columns))) - 1)
+        found = found.unionByName(equal.join(few(again), same & (F.col(j) == F.col(c))))
     first_words = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col(w).cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col(w) < F.col(n), first_words).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(F.col(w) < F.col(n), first_words).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*map(named, docs.columns))
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = F.floor(F.col(t) * parts / F.lit((last or 0) + 1)).cast("int")
+    return found.repartitionById(parts, to).sortWithinPartitions(t, a, d, c).select(*map(named, docs.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.llm import fim, hard_negatives, toxicity
+from pricewright.llm import fim, hard_negatives, mixing, toxicity
 
 SPACES = "\x20\x09-\x0d"
 
@@ -224,3 +224,106 @@ def test_toxicity_without_classes(spark):
     clean = toxicity.fit(docs, spark.createDataFrame([(i, 1, 0) for i, _, _ in labels], LABELS))
     assert toxicity.score(docs, clean).where("predicted = 1").count() == 0
     assert toxicity.score(docs.limit(0), clean).count() == 0 and toxicity.passages(docs.limit(0), clean).count() == 0
+
+
+# ---- 3, in slot order
+
+
+def brute_mix(rows, hashes, targets, block_words):
+    """Pieces (slot, doc_id, from_word, to_word) by the definition: golden-ratio points through cumulative shares, ranks by source, blocks of its shuffled words."""
+    by = {}
+    for i, size, source in sorted(rows, key=lambda x: (hashes[x[0]], x[0])):
+        by.setdefault(source, []).append((i, size))
+    plans = {}
+    for source, docs in by.items():
+        total, words = sum(n for _, n in docs), round(targets[source])
+        blocks = -(-total // block_words)
+        if not blocks:
+            continue
+        small, extra = divmod(total, blocks)
+        ends = np.cumsum([small + (b < extra) for b in range(blocks)]).tolist()
+        epochs, rest = divmod(words, total)
+        slots = epochs * blocks + (next(b for b, e in enumerate(ends) if e > rest - 1) + 1 if rest else 0)
+        plans[source] = (docs, ends, rest, epochs, slots)
+    order = sorted(plans, key=lambda s: "n" if s is None else "s" + s)
+    edges, total = np.cumsum([0, *(plans[s][4] for s in order)]).tolist(), sum(plans[s][4] for s in order)
+    rank, taken, out = dict.fromkeys(order, 0), {}, []
+    for slot in range(total):
+        u = slot % 2**32 * 2_654_435_769 % 2**32 / 2**32
+        source = next(s for s, lo, hi in zip(order, edges, edges[1:]) if lo / total <= u < hi / total)
+        if rank[source] < plans[source][4]:
+            taken[slot] = (source, rank[source])
+            rank[source] += 1
+    for source in order:
+        for r in range(rank[source], plans[source][4]):
+            out.append((total + r, source, r))
+    for slot, source, r in [*((k, *v) for k, v in taken.items()), *out]:
+        docs, ends, rest, epochs, _ = plans[source]
+        epoch, block = divmod(r, len(ends))
+        lo, hi = (ends[block - 1] if block else 0), ends[block]
+        hi = min(hi, rest) if epoch == epochs else hi
+        at = 0
+        for i, n in docs:
+            a, b = max(lo, at), min(hi, at + n)
+            if a < b:
+                yield slot, source, i, a - at, b - at
+            at += n
+
+
+@pytest.fixture(scope="module")
+def mix_rows(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 90))), ["b", "a", None, "", "z"][int(r.integers(0, 5)) if i % 3 else 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {x.doc_id: x.h for x in df.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 2).alias("h")).collect()}
+    return rows, df, hashes
+
+
+@pytest.mark.parametrize("block_words", [16, 64])
+def test_mix_follows_its_schedule(mix_rows, block_words):
+    rows, df, hashes = mix_rows
+    got = mixing.mix(df, block_words=block_words).collect()
+    targets = {x.source: x.target for x in got}
+    pieces = list(brute_mix([(i, len(t.split()), s) for i, t, s in rows], hashes, targets, block_words))
+    want = {i: (0, None, 0) for i, _, _ in rows}
+    for slot, _, i, a, b in pieces:
+        n, first, slots = want[i]
+        want[i] = (n + b - a, slot if first is None else min(first, slot), slots + 1)
+    assert {x.doc_id: (x.taken, x.first_slot, x.n_slots) for x in got} == want
+
+
+def test_mix_of_another_schedule_differs(mix_rows, monkeypatch):
+    _, df, _ = mix_rows
+    slots = lambda **how: sorted((x.doc_id, x.first_slot, x.n_slots) for x in mixing.mix(df, **how).collect() if x.taken)
+    before = slots(block_words=32)
+    assert slots(block_words=48) != before
+    monkeypatch.setattr(mixing, "GOLDEN", 0)
+    assert slots(block_words=32) != before
+
+
+def test_every_beginning_of_the_mix_holds_the_shares(mix_rows):
+    """In slot order each source's words stay within a few blocks (and a document) of its share."""
+    _, df, _ = mix_rows
+    rows = mixing.mixed(df, block_words=32).toPandas()  # in the order of its partitions
+    words = np.array([len(t.split()) for t in rows.text])
+    up_to = np.cumsum(words)
+    for source in rows.source.drop_duplicates():
+        mine = (rows.source == source) if source is not None else rows.source.isna()
+        own = np.cumsum(words * mine.to_numpy())
+        assert np.abs(own - up_to * own[-1] / up_to[-1]).max() <= 6 * 32 + 90
+
+
+def test_mixed_table_is_written_in_slot_order(spark, mix_rows, tmp_path):
+    _, df, _ = mix_rows
+    at = str(tmp_path / "mix")
+    mixing.mixed(df, block_words=32).write.parquet(at)
+    parts = [spark.read.parquet(str(f)).toPandas() for f in sorted((tmp_path / "mix").glob("part-*"))]
+    want = mixing.copies(df, block_words=32).orderBy("slot", "at").toPandas()
+    assert [i for p in parts for i in p.doc_id] == want.doc_id.tolist()
+
+
+def test_equal_rows_share_odd_numbers_of_words(spark):
+    """Two equal rows of 10 words and a target of 29 words in all: none is lost."""
+    rows = [(1, "a b c d e f g h i j", "s", k) for k in range(2)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang long"), share=1.45, block_words=4).collect()
+    assert sorted(len(x.text.split()) for x in got) == [9, 10, 10] and {x.lang for x in got} == {0, 1}

@@ -130,53 +130,92 @@ def needs_of(parts: DataFrame) -> DataFrame:
     return on_call.unionByName(after).select("conv_id", "node", "need").distinct()
 
 
-def followed(picks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where chains of ``picks`` (conv_id, node, to) end: (conv_id, node, to, hops), and (conv_id, node) of those that lead into a cycle.
+def later(at, than):
+    """Column: whether a part in turn ``at`` whose need stands at ``than`` (at, depth, same) must move behind it.
 
-    Every round doubles the steps that all chains have made, so a chain of n parts takes log n rounds.
+    It must if the need stands in a later turn, or in the same turn and has itself moved, or, neither having moved, stands there
+    at the same place or behind (``same``).
     """
-    chains = written(picks.withColumn("hops", F.lit(1).cast("long")), "chains")
-    rounds = (chains.count() + 1).bit_length() + 1
+    return (than["at"] > at) | ((than["at"] == at) & ((than["depth"] > 0) | than["same"]))
+
+
+def followed(paths: DataFrame) -> DataFrame:
+    """Paths of single needs, followed to their ends: node, root, top, same, hops, at, depth, open.
+
+    A path says where ``node`` stands given where ``root``, the need at its end, does: behind the root, ``hops`` deeper, if that is
+    ``later`` than the largest turn ``top`` of the path's parts; else at (at, depth), which no root before that turn changes.
+    Every round puts each path and that of its root together, so a chain of n parts takes log n rounds, whichever of its
+    parts move. Paths that are still ``open`` after them run in a cycle.
+    """
+    paths = written(paths, "paths")
+    rounds = (paths.count() + 1).bit_length() + 1
     for _ in range(rounds):
-        ahead = chains.select("conv_id", F.col("node").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
-        known = chains.join(ahead, ["conv_id", "to"], "left")
-        known = known.select("conv_id", "node", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("open"))
-        chains = written(known, "chains")
-        if chains.where("open").isEmpty():
+        names = ("root", "top", "same", "hops", "at", "depth")
+        ahead = paths.select("conv_id", F.col("node").alias("root"), *(F.col(c).alias(f"far_{c}") for c in names))
+        far = F.struct(F.col("far_at").alias("at"), F.col("far_depth").alias("depth"), F.col("same").alias("same"))
+        moves, longer = later(F.col("top"), far), F.col("far_root").isNotNull()
+        both = paths.join(ahead, ["conv_id", "root"], "left").select(
+            "conv_id", "node", F.coalesce("far_root", "root").alias("root"), F.greatest("top", "far_top").alias("top"),
+            F.when(longer, (F.col("far_top") < F.greatest("top", "far_top")) | F.col("far_same")).otherwise(F.col("same")).alias("same"),
+            (F.col("hops") + F.coalesce("far_hops", F.lit(0))).alias("hops"),
+            F.when(longer & moves, F.col("far_at")).otherwise(F.col("at")).alias("at"),
+            F.when(longer & moves, F.col("far_depth") + F.col("hops")).otherwise(F.col("depth")).alias("depth"), longer.alias("open"),
+        )
+        paths = written(both, "paths")
+        if paths.where("open").isEmpty():
             break
-    inside = chains.join(chains.select("conv_id", F.col("node").alias("to")), ["conv_id", "to"], "left_semi")
-    cyclic = written(inside.select("conv_id", "node"), "cyclic")
-    return chains.join(cyclic, ["conv_id", "node"], "left_anti").drop("open"), cyclic
+    return paths
 
 
 def moved_places(needs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, node, at, depth) of the parts that move, and (conv_id, node) of those in or behind a cycle.
+    """(conv_id, node, at, depth) of the parts with needs, and (conv_id, node) of those in or behind a cycle.
 
-    A part moves behind the need that stands last, if that doesn't stand before it: to the same turn (``at``), a
-    depth further. Each round, all parts choose that need by the places found so far, chains of choices are followed
-    to their ends by doubling, and this gives the next places, until they stay. Parts whose choices make a cycle are
-    taken out, keep their turns, and the rest starts anew.
+    A part stands in its own turn, or behind the need that stands last if that is ``later``: in that one's turn (``at``), a
+    depth further. Chains of parts with one need each are followed by doubling, once, whether their parts move or not.
+    Parts with several needs wait until the ends of all their chains are placed: one round for each such part
+    on the longest way between them. What never gets a place is in or behind a cycle; that delays no other conversation.
     """
-    nothing = needs.limit(0).select("conv_id", "node")
-    empty = nothing.select("conv_id", "node", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("depth"))
-    places, cyclic, last = empty, nothing, None
-    while True:
-        of_need = places.select("conv_id", F.col("node").alias("need"), F.col("at").alias("need_at"), F.col("depth").alias("need_depth"))
-        known = needs.join(cyclic, ["conv_id", "node"], "left_anti").join(of_need, ["conv_id", "need"], "left")
-        stands = F.coalesce("need_at", "need.turn")
-        same = (stands == F.col("node.turn")) & (F.col("need_at").isNotNull() | (F.col("need.part") >= F.col("node.part")))
-        late = known.where((stands > F.col("node.turn")) | same)
-        choice = F.max(F.struct(stands.alias("at"), (F.coalesce("need_depth", F.lit(0)) + 1).alias("depth"), F.col("need").alias("to")))
-        picks = late.groupBy("conv_id", "node").agg(choice.alias("c")).select("conv_id", "node", "c.to")
-        found, stuck = followed(picks)
-        if not stuck.isEmpty():
-            cyclic, places, last = written(cyclic.unionByName(stuck), "cyclic"), empty, None
-            continue
-        places = written(found.select("conv_id", "node", F.col("to.turn").alias("at"), F.col("hops").alias("depth")), "places")
-        now = places.agg(F.count("*"), F.sum(F.xxhash64("conv_id", "node", "at", "depth").cast("decimal(38,0)"))).first()
-        if now == last:
-            return places, cyclic
-        last = now
+    several = written(needs.groupBy("conv_id", "node").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    own = F.col("node.turn")
+    step = needs.join(several, ["conv_id", "node"], "left_anti").select(
+        "conv_id", "node", F.col("need").alias("root"), own.alias("top"), (F.col("need.part") >= F.col("node.part")).alias("same"),
+        F.lit(1).cast("long").alias("hops"), own.alias("at"), F.lit(0).cast("long").alias("depth"),
+    )
+    paths = followed(step)
+    places = paths.where("not open").join(needs.select("conv_id", F.col("node").alias("root")).distinct(), ["conv_id", "root"], "left_anti")
+    places = written(places.select("conv_id", "node", *placed(F.struct(F.col("root.turn").alias("at"), F.lit(0).cast("long").alias("depth")))), "places")
+    if not several.isEmpty():
+        # a need of several is the end of a path itself, or leads to one
+        asked = needs.join(several.drop("n"), ["conv_id", "node"]).join(paths.select("conv_id", F.col("node").alias("need"), "root", "top", "same", "hops", "at", "depth"), ["conv_id", "need"], "left")
+        asked = written(asked, "asked")
+        base = needs.select("conv_id", F.col("node").alias("root")).distinct()
+        open_, settled = several.drop("n"), places.limit(0)
+        while True:
+            known = settled.select("conv_id", F.col("node").alias("root"), F.col("at").alias("root_at"), F.col("depth").alias("root_depth"))
+            ends = asked.join(open_, ["conv_id", "node"]).withColumn("root", F.coalesce("root", "need"))
+            ends = ends.join(base.withColumn("waits", F.lit(True)), ["conv_id", "root"], "left").join(known, ["conv_id", "root"], "left")
+            ends = ends.withColumn("ready", F.col("waits").isNull() | F.col("root_at").isNotNull())
+            root = F.struct(F.coalesce("root_at", "root.turn").alias("at"), F.coalesce("root_depth", F.lit(0)).alias("depth"))
+            at, depth = placed(root)
+            ends = ends.withColumn("n_at", F.when(F.col("hops").isNull(), root["at"]).otherwise(at)).withColumn("n_depth", F.when(F.col("hops").isNull(), root["depth"]).otherwise(depth))
+            than = F.struct(F.col("n_at").alias("at"), F.col("n_depth").alias("depth"), (F.col("need.part") >= F.col("node.part")).alias("same"))
+            behind = F.when(later(own, than), F.struct(F.col("n_at").alias("at"), (F.col("n_depth") + 1).alias("depth"))).otherwise(F.struct(own.alias("at"), F.lit(0).cast("long").alias("depth")))
+            found = ends.groupBy("conv_id", "node").agg(F.max(behind).alias("p"), F.min("ready").alias("ready")).where("ready").select("conv_id", "node", "p.at", "p.depth")
+            found = written(found, "found")
+            if found.isEmpty():
+                break
+            settled, open_ = written(settled.unionByName(found), "settled"), written(open_.join(found, ["conv_id", "node"], "left_anti"), "open")
+        roots = settled.select("conv_id", F.col("node").alias("root"), F.struct("at", "depth").alias("r"))
+        late = paths.where("not open").join(roots, ["conv_id", "root"]).select("conv_id", "node", *placed(F.col("r")))
+        places = written(places.unionByName(settled).unionByName(late), "places")
+    cyclic = needs.select("conv_id", "node").distinct().join(places, ["conv_id", "node"], "left_anti")
+    return places, written(cyclic, "cyclic")
+
+
+def placed(root):
+    """Columns at and depth of a path's node, its root standing at the struct ``root``."""
+    moves = later(F.col("top"), F.struct(root["at"].alias("at"), root["depth"].alias("depth"), F.col("same").alias("same")))
+    return F.when(moves, root["at"]).otherwise(F.col("at")).alias("at"), F.when(moves, root["depth"] + F.col("hops")).otherwise(F.col("depth")).alias("depth")
 
 
 def ordered(parts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from .tables import BROADCAST_IDS, SPACE, named, unused, written
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 20
-#: Hashed after a line for its second hash.
+#: Hashed before a line for its second hash: each argument is hashed with the hash of those before it as seed, so a line after it isn't a function of its first hash.
 SECOND = "second"
 #: Distinct pairs of ranks, counted, whose running sums are windows in one task (2 MB, no shuffle); with more, sums go by buckets, so that no rank is one task's.
 FEW_KINDS = 50_000
@@ -22,7 +22,7 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
     plain = F.translate(text, SPACE.replace("\n", ""), " " * (len(SPACE) - 1))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(plain, "\n").alias("l"))
     lines = F.transform("l", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
-    lines = F.transform(F.filter(lines, lambda x: x["x"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.xxhash64(x["x"], F.lit(SECOND)).alias("h2"), F.size(F.array_remove(F.split(x["x"], " "), "")).alias("w")))
+    lines = F.transform(F.filter(lines, lambda x: x["x"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.xxhash64(F.lit(SECOND), x["x"]).alias("h2"), F.size(F.array_remove(F.split(x["x"], " "), "")).alias("w")))
     d = d.select("doc_id", "digest", lines.alias("l")).where(F.size("l") > 0).select("doc_id", "digest", "l", F.transform("l", lambda x: x["w"]).alias("w"))
     d = d.withColumn("r", F.reverse("w"))
 

@@ -1,6 +1,7 @@
 """Hard negatives, fill-in-middle and toxicity against brute force, on small fixtures with nulls, ties, repeats, long texts and empty tables."""
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.llm import fim, hard_negatives, mixing, toxicity
+from pricewright.llm import chat, fim, hard_negatives, line_dedup, mixing, toxicity
 
 SPACES = "\x20\x09-\x0d"
 
@@ -327,3 +328,82 @@ def test_equal_rows_share_odd_numbers_of_words(spark):
     rows = [(1, "a b c d e f g h i j", "s", k) for k in range(2)]
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang long"), share=1.45, block_words=4).collect()
     assert sorted(len(x.text.split()) for x in got) == [9, 10, 10] and {x.lang for x in got} == {0, 1}
+
+
+# ---- 1 and 2
+
+
+def test_second_hash_of_lines_is_no_function_of_the_first(spark):
+    import xxhash
+
+    docs = spark.createDataFrame([(1, "a line"), (2, "another line")], "doc_id long, text string")
+    for x in line_dedup.line_table(docs, 2).collect():
+        line = x.lines[0]
+        signed = lambda v: v - 2**64 if v >= 2**63 else v
+        text = {1: b"a line", 2: b"another line"}[x.doc_id]
+        assert line.h == signed(xxhash.xxh64(text, seed=42).intdigest())
+        assert line.h2 == signed(xxhash.xxh64(text, seed=xxhash.xxh64(b"second", seed=42).intdigest()).intdigest())
+        assert line.h2 != signed(xxhash.xxh64(b"second", seed=line.h % 2**64).intdigest())
+
+
+def messages(calls):
+    """One call with its needs each turn, then its result the turn after; ``calls``: conversation, turn, name, names of calls whose results it needs, turn of the result."""
+    out = []
+    for conv, turn, name, after, answered in calls:
+        out.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": name, "name": "t", "arguments": "{}", "after": after}]})))
+        out.append((conv, answered, "tool", json.dumps({"tool_call_id": name, "content": "ok"})))
+    return out
+
+
+def relaxed(needs):
+    """Places by relaxation from the definition, and what is in or behind a cycle."""
+    place, nodes = {}, {n for n, _ in needs}
+    by = {n: [x for m, x in needs if m == n] for n in nodes}
+    open_ = set(nodes)
+    while ready := [n for n in open_ if not any(x in open_ for x in by[n])]:
+        for n in ready:
+            behind = []
+            for x in by[n]:
+                at, depth = place.get(x, (x[0], 0))
+                if at > n[0] or (at == n[0] and (depth or x[1] >= n[1])):
+                    behind.append((at, depth + 1))
+            place[n] = max(behind, default=(n[0], 0))
+        open_ -= set(ready)
+    return place, open_
+
+
+def test_chat_places_by_relaxation(spark):
+    r = np.random.default_rng(12)
+    calls = []
+    for conv in range(12):
+        names, turns = [f"c{i}" for i in range(14)], r.permutation(32)
+        for i, name in enumerate(names):
+            pool = names[:i] if conv % 3 else names  # every third conversation may hold cycles
+            some = r.choice(pool, min(len(pool), int(r.integers(0, 3))), replace=False).tolist() if pool else []
+            calls.append((conv, int(turns[2 * i]), name, some, int(turns[2 * i + 1])))
+    parts = chat.parts_of_messages(spark.createDataFrame(messages(calls), "conv_id long, turn long, role string, text string"))
+    needs = [(x.conv_id, tuple(x.node), tuple(x.need)) for x in chat.needs_of(parts).collect()]
+    got = {(x.conv_id, (x.turn, x.part, x.kind)): (x["at"], x.depth, x.cyclic) for x in chat.ordered(parts).collect()}
+    cycles = 0
+    for conv in range(12):
+        place, stuck = relaxed([(n, x) for c, n, x in needs if c == conv])
+        for n, p in place.items():
+            assert got[conv, n] == (*p, False), (conv, n)
+        for n in stuck:
+            assert got[conv, n] == (n[0], 0, True)
+        cycles += bool(stuck)
+    assert 0 < cycles < 12
+
+
+def test_chat_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """A chain of 1,000 delayed calls; a cycle elsewhere costs no round more."""
+    n, made = 1000, []
+    calls = [(1, i, f"c{i}", [f"c{i - 1}"] if i else [], i + (2500 if not i else 1)) for i in range(n)]
+    calls += [(2, i, f"e{i}", [f"e{(i + 1) % 3}"], i + 1) for i in range(3)]
+    parts = chat.parts_of_messages(spark.createDataFrame(messages(calls), "conv_id long, turn long, role string, text string"))
+    kept = chat.written
+    monkeypatch.setattr(chat, "written", lambda df, name: made.append(name) or kept(df, name))
+    out = {(x.conv_id, x.turn, x.kind): x for x in chat.ordered(parts).collect()}
+    assert made.count("paths") <= 14
+    assert {out[2, i, "call"].cyclic for i in range(3)} == {True}
+    assert out[1, n - 1, "call"]["at"] == 2500 and out[1, n - 1, "call"].depth == 2 * n - 3

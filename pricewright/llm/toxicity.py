@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,10 +32,16 @@ def hashed(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
 
 
+def beginning(core: str) -> str:
+    """The longest beginning of a token that has a level of its own; it is shorter than the token."""
+    return core[: min(BEGINNINGS[-1], len(core) - 1)] if len(core) > BEGINNINGS[0] else ""
+
+
 def levels(word: str) -> list[int]:
     """The hashed beginnings of a word, shortest first, and the word itself; none for a word of marks only."""
     core = word.strip(EDGES).lower()
-    return [hashed(f"{k} {core[:k]}") for k in BEGINNINGS if k < len(core)] + [hashed(f"w {core}")] if core else []
+    longest = beginning(core)
+    return [hashed(f"{k} {core[:k]}") for k in BEGINNINGS if k <= len(longest)] + [hashed(f"w {core}")] if core else []
 
 
 @dataclass
@@ -45,8 +52,8 @@ class ToxicityModel:
     chance (its e-value). The document's evidence is turned into a probability by ``offset`` and ``slope``.
     """
 
-    toxic: np.ndarray
-    seen: np.ndarray
+    toxic: array
+    seen: array
     documents: tuple[int, int]  # toxic ones and all
     strength: float = 8.0
     drift: float = 1.5
@@ -55,27 +62,43 @@ class ToxicityModel:
     offset: float = 0.0
     slope: float = 1.0
     cache: dict = field(default_factory=dict, repr=False)
+    begun: dict = field(default_factory=dict, repr=False)
 
     @property
     def share(self) -> float:
         return (self.documents[0] + 0.5) / (self.documents[1] + 2)
 
+    def posterior(self, p: float, feature: str) -> float:
+        """The share of toxic documents among those with a feature, given the one that its level above says."""
+        h = hashed(feature)
+        return (self.toxic[h] + self.strength * p) / (self.seen[h] + self.strength)
+
     def token(self, word: str) -> int:
         """Log-odds of a token's class against the corpus, less the drift, in hundredths.
 
         Each level is a Dirichlet posterior (of two classes): its counts, and ``strength`` more that are shared as the
-        level above it says, from the share of toxic documents down to the whole word.
+        level above it says, from the share of toxic documents down to the whole word. Beginnings are kept once found.
         """
-        p = self.share
-        for h in levels(word):
-            p = (self.toxic[h] + self.strength * p) / (self.seen[h] + self.strength)
-        return round(UNIT * float(math.log(p / (1 - p)) - math.log(self.share / (1 - self.share)) - self.drift))
+        core = word.strip(EDGES).lower()
+        longest = beginning(core)
+        p = self.begun.get(longest)
+        if p is None:
+            p = self.share
+            for k in BEGINNINGS:
+                if k <= len(longest):
+                    p = self.posterior(p, f"{k} {longest[:k]}")
+            self.begun[longest] = p
+        if core:
+            p = self.posterior(p, f"w {core}")
+        return round(UNIT * (math.log(p / (1 - p)) - math.log(self.share / (1 - self.share)) - self.drift))
 
     def scores(self, words: list[str]) -> np.ndarray:
         """The score of every word of a text."""
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
+        if len(self.begun) > CACHE:
+            self.begun.clear()
         for w in set(words).difference(cache):
             cache[w] = self.token(w)
         return np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
@@ -207,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_e: float =
     least = -math.log(max_e)
     picked = written(labelled(small_batches(docs), labels, rows), "labelled")
     fresh, rest = picked.where(f"fold < {FOLDS - 1}"), picked.where(f"fold = {FOLDS - 1}").select("toxic", "text")
-    model = ToxicityModel(np.zeros(1 << BITS, dtype=np.int32), np.zeros(1 << BITS, dtype=np.int32), (0, 0))
+    none = array("i", bytes(4 << BITS))
+    model = ToxicityModel(none[:], none[:], (0, 0))
     learn(model, fresh)
     tops = judged(rest, model, lambda m, words, found: [(len(words), max([s for _, _, s in found], default=0))], "toxic int, n long, best long").toArrow()
     y, n, best = (tops[c].to_numpy() for c in ("toxic", "n", "best"))
@@ -224,8 +248,10 @@ def learn(model: ToxicityModel, rows: DataFrame) -> None:
     sums = sums.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen")).toArrow()
     place, toxic, seen = (sums[c].to_numpy() for c in ("place", "toxic", "seen"))
     token = place >= 0
-    model.toxic[place[token]] += toxic[token].astype(np.int32)
-    model.seen[place[token]] += seen[token].astype(np.int32)
+    model.cache.clear()
+    model.begun.clear()
+    for counts, more in ((model.toxic, toxic), (model.seen, seen)):
+        np.frombuffer(counts, dtype=np.int32)[place[token]] += more[token].astype(np.int32)
     model.documents = (model.documents[0] + int(toxic[~token].sum()), model.documents[1] + int(seen[~token].sum()))
 
 

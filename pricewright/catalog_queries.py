@@ -347,10 +347,19 @@ def size_numeric_filter(spark, d):
     return _count(narrow.by_size(_rows(spark, d).where("size_wanted is not null")))
 
 
+def heard_sql(text: str, name: str) -> str:
+    """SQL list: the words of a message, without the product's name, that tell variants apart, and the digits that such a word begins with."""
+    own = f"list_filter(string_split_regex(replace({text}, {name}, ''), '[^a-z0-9]+'), lambda x: length(x) >= 4 OR regexp_matches(x, '[0-9]'))"
+    return f"list_filter(list_concat({own}, list_transform({own}, lambda x: regexp_extract(x, '^[0-9]+'))), lambda x: x <> '')"
+
+
+#: Distinguishing words of a variant that are heard, and those that are not.
+SHARED = "len(list_filter(string_split_regex(lower(coalesce(model_variant, '')), '[^a-z0-9]+'), lambda x: (length(x) >= 4 OR regexp_matches(x, '[0-9]')) AND list_contains(heard, x)))"
+
 TASKS = rf"""
 tk0 AS (SELECT qid, q.brand, target AS product_name, {NORMAL.format('message')} AS q, {NORMAL.format('message')} AS asks, {NORMAL.format('target')} AS n FROM questions q),
 tk1 AS (SELECT *, replace(q, n, ' ') AS p, array_to_string(string_split(n, ' ')[1:2], ' ') AS two FROM tk0),
-tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, regexp_matches(asks, '\b(all|full|complete|every)\b') AS wants_all FROM tk1),
+tk AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 2 AND contains(p, two) THEN replace(p, two, ' ') ELSE p END AS plain, {TOKENS.format('q')} AS asked, {heard_sql('q', 'n')} AS heard, regexp_matches(asks, '\b(all|full|complete|every)\b') AS wants_all FROM tk1),
 tr AS (SELECT tk.*, model_variant, variant_context, size, fabric_tier, price_eur, row_ord, ambiguous FROM tk JOIN prices USING (brand, product_name))"""
 
 
@@ -372,10 +381,10 @@ def context_narrow(spark, d):
 
 @query("WITH {model}, " + TASKS + r""", v AS (SELECT *, CASE model_variant WHEN 'h.7' THEN 'h7' WHEN 'h.27' THEN 'h27' END AS own, regexp_replace(regexp_extract(q, '\bh[.\s]?\s*[0-9]+\b'), '[^h0-9]', '', 'g') AS code, regexp_replace(plain, '[^a-z0-9]', '', 'g') AS compact, regexp_replace(model_variant, '[^a-z0-9]', '', 'g') AS suffix,
   avg(starts_with(price_eur, '+')::INT) OVER (PARTITION BY qid, product_name, model_variant) > 0.5 AS add_on FROM tr),
-w AS (SELECT *, coalesce(own = code, false) AS c, CASE WHEN length(suffix) >= 3 AND contains(compact, suffix) THEN length(suffix) ELSE 0 END AS s FROM v),
-x AS (SELECT *, bool_or(c) OVER p AS any_c, max(s) OVER p AS most, len(list(DISTINCT CASE WHEN NOT add_on THEN coalesce(model_variant, '') END) FILTER (NOT add_on) OVER p) AS mains FROM w WINDOW p AS (PARTITION BY qid, product_name)),
-y AS (SELECT *, CASE WHEN any_c THEN 'code' WHEN most > 0 THEN 'suffix' WHEN mains = 1 AND NOT wants_all THEN 'main' ELSE 'none' END AS by_rule FROM x)
-SELECT qid, product_name, by_rule, count(*) FILTER (CASE by_rule WHEN 'code' THEN c WHEN 'suffix' THEN s = most WHEN 'main' THEN NOT add_on ELSE true END) AS kept, count(*) AS rows FROM y GROUP BY ALL""")
+w AS (SELECT *, coalesce(own = code, false) AS c, CASE WHEN length(suffix) >= 3 AND contains(compact, suffix) THEN length(suffix) ELSE 0 END AS s, """ + SHARED + r""" AS shared FROM v),
+x AS (SELECT *, bool_or(c) OVER p AS any_c, max(s) OVER p AS most, max(shared) OVER p AS ms, len(list(DISTINCT CASE WHEN NOT add_on THEN coalesce(model_variant, '') END) FILTER (NOT add_on) OVER p) AS mains FROM w WINDOW p AS (PARTITION BY qid, product_name)),
+y AS (SELECT *, CASE WHEN any_c THEN 'code' WHEN most > 0 THEN 'suffix' WHEN ms > 0 THEN 'words' WHEN mains = 1 AND NOT wants_all THEN 'main' ELSE 'none' END AS by_rule FROM x)
+SELECT qid, product_name, by_rule, count(*) FILTER (CASE by_rule WHEN 'code' THEN c WHEN 'suffix' THEN s = most WHEN 'words' THEN shared = ms WHEN 'main' THEN NOT add_on ELSE true END) AS kept, count(*) AS rows FROM y GROUP BY ALL""")
 def variant_choice(spark, d):
     return _count(narrow.by_variant(_rows(spark, d)), "by_rule")
 
@@ -390,7 +399,7 @@ k5 AS (SELECT *, bool_or(h2) OVER (PARTITION BY qid, product_name) AS tiered FRO
 v1 AS (SELECT *, CASE model_variant WHEN 'h.7' THEN 'h7' WHEN 'h.27' THEN 'h27' END AS own, regexp_replace(regexp_extract(q, '\bh[.\s]?\s*[0-9]+\b'), '[^h0-9]', '', 'g') AS code, regexp_replace(plain, '[^a-z0-9]', '', 'g') AS compact, regexp_replace(model_variant, '[^a-z0-9]', '', 'g') AS suffix,
   coalesce(avg(starts_with(price_eur, '+')::INT) FILTER (kept2) OVER (PARTITION BY qid, product_name, model_variant) > 0.5, false) AS add_on FROM k6),
 v2 AS (SELECT *, kept2 AND coalesce(own = code, false) AS c, CASE WHEN kept2 AND length(suffix) >= 3 AND contains(compact, suffix) THEN length(suffix) ELSE 0 END AS s, kept2 AND NOT add_on AS main,
-  CASE WHEN kept2 AND model_variant = '2-er base' AND list_contains(asked, 'base') THEN 1 ELSE 0 END AS w FROM v1),
+  CASE WHEN kept2 THEN """ + SHARED + r""" ELSE 0 END AS w FROM v1),
 v3 AS (SELECT *, bool_or(c) OVER p AS any_c, max(s) OVER p AS most, max(w) OVER p AS shared, len(coalesce(list(DISTINCT coalesce(model_variant, '')) FILTER (main) OVER p, [])) AS mains FROM v2 WINDOW p AS (PARTITION BY qid, product_name)),
 v4 AS (SELECT *, CASE WHEN any_c THEN c WHEN most > 0 THEN s = most WHEN shared > 0 THEN w = shared WHEN mains = 1 AND NOT wants_all THEN main ELSE true END AS h3 FROM v3),
 v5 AS (SELECT *, CASE WHEN bool_or(kept2 AND h3) OVER (PARTITION BY qid, product_name) THEN kept2 AND h3 ELSE kept2 END AS kept3 FROM v4),
@@ -471,13 +480,65 @@ def answer_status(spark, d):
     return a.groupBy("qid", "status", "rule", "product_name").agg(F.count("row_ord").alias("rows"))
 
 
-@query("WITH {model}, hv0 AS (SELECT qid, brand, target, string_split_regex(" + NORMAL.format("lower(target) || ' h.7 and h.27'") + r""", '\band\b') AS parts FROM questions),
-hv AS (SELECT qid * 2 + part AS qid, brand, target, parts[part + 1] AS message FROM hv0, range(2) r(part) WHERE len(parts) = 2),""" + CHAIN.replace("FROM questions q", "FROM hv q") + """,
-one AS (SELECT qid // 2 AS qid, product_name, (qid % 2)::INT AS part, min(model_variant) AS model_variant FROM v6 WHERE kept3 AND NOT (any_clean AND ambiguous) GROUP BY qid, product_name HAVING count(DISTINCT model_variant) = 1)
-SELECT qid, part, product_name, model_variant FROM one QUALIFY min(model_variant) OVER (PARTITION BY qid) <> max(model_variant) OVER (PARTITION BY qid)""")
+#: Families of variants and questions about them, as in ``adapter.families``.
+FAMILIES = (
+    "fam AS (SELECT i.brand, i.product_name, i.first, f.i, f.v, f.c FROM idx i, (VALUES "
+    + ", ".join(f"({i}, '{v}', '{c}')" for i, (v, c) in enumerate(adapter.FAMILY))
+    + ") f(i, v, c) WHERE (first % 97 + f.i * first % 13) % 4 <> 0), fq AS (SELECT i.first AS qid, product_name, lower(product_name) AS n, lower(product_name) || ' ' || a.m AS t, a.l FROM idx i JOIN (VALUES "
+    + ", ".join(f"({i}, '{m}', " + (f"'{v}'" if v else "NULL") + ")" for i, (m, v) in enumerate(adapter.ASKED))
+    + f") a(i, m, l) ON first % {len(adapter.ASKED)} = a.i)"
+)
+
+
+def choice_sql(asks: str, out: str) -> str:
+    """SQL of the choice of variants for ``asks`` (k, qid, n, t, l): table ``out`` (k, qid, v, by_rule) of what stays.
+
+    Scores each variant on its own, counts the tied ones, then drops modified siblings, by grouping, not by windows.
+    """
+    words = "list_filter(string_split_regex(lower(v), '[^a-z0-9]+'), lambda x: length(x) >= 4 OR regexp_matches(x, '[0-9]'))"
+    return rf"""
+{out}_h AS (SELECT a.*, {heard_sql('a.t', 'a.n')} AS heard, regexp_extract(lower(l), 'h\.([0-9]+)', 1) AS height FROM {asks} a),
+{out}_s AS (SELECT k, h.qid, v, left(c, -1) AS stem, ends_with(c, '0') AS base, l, height, regexp_extract(lower(v), 'h\.([0-9]+)', 1) AS own, {words} AS w, list_filter({words}, lambda x: list_contains(heard, x)) AS hit,
+  contains(regexp_replace(replace(t, n, ' '), '[^a-z0-9]', '', 'g'), regexp_replace(lower(v), '[^a-z0-9]', '', 'g')) AS inside FROM {out}_h h JOIN fam ON first = h.qid),
+{out}_m AS (SELECT k, max(len(hit)) AS ms, max(CASE WHEN inside THEN length(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')) END) AS ml FROM {out}_s GROUP BY k),
+{out}_l AS (SELECT k, min(len(w) - len(hit)) AS least FROM {out}_s JOIN {out}_m USING (k) WHERE len(hit) = ms AND ms > 0 GROUP BY k),
+{out}_t AS (SELECT s.* FROM {out}_s s JOIN {out}_m USING (k) JOIN {out}_l USING (k) WHERE len(hit) = ms AND len(w) - len(hit) <= least + 3),
+{out}_b AS (SELECT k, stem FROM {out}_t WHERE base GROUP BY k, stem HAVING count(*) = 1 AND NOT bool_or(len(list_filter(hit, lambda x: NOT regexp_matches(x, '^[0-9]+$'))) > 0)),
+{out}_y AS (SELECT t.* FROM {out}_t t LEFT JOIN {out}_b b USING (k, stem) WHERE t.base OR b.k IS NULL),
+{out}_n AS (SELECT k, ms, ml, (SELECT count(*) FROM {out}_t t WHERE t.k = m.k) AS tied, (SELECT count(*) FROM {out}_y y WHERE y.k = m.k) AS stays, (SELECT count(*) FROM {out}_y y WHERE y.k = m.k AND own <> '' AND own = height) AS high,
+  (SELECT count(*) FROM {out}_s s WHERE s.k = m.k AND (own <> '' AND own = height)) AS heights, (SELECT count(*) FROM {out}_s s WHERE s.k = m.k AND v = l) AS again FROM {out}_m m),
+{out}_r AS (SELECT *, CASE WHEN ml IS NOT NULL THEN 'suffix' WHEN tied = 1 THEN 'words' WHEN stays = 1 THEN 'stem' WHEN high = 1 THEN 'height' WHEN ms > 0 THEN 'tie' WHEN heights + again > 0 THEN 'last' ELSE 'none' END AS by_rule FROM {out}_n),
+{out} AS (SELECT s.k, s.qid, s.v, CASE WHEN by_rule = 'none' AND (SELECT count(*) FROM {out}_s o WHERE o.k = s.k) = 1 THEN 'main' ELSE by_rule END AS by_rule FROM {out}_s s JOIN {out}_r r USING (k)
+  WHERE CASE by_rule WHEN 'suffix' THEN inside AND length(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')) = ml WHEN 'words' THEN EXISTS (SELECT 1 FROM {out}_t t WHERE t.k = s.k AND t.v = s.v)
+    WHEN 'height' THEN own = height AND EXISTS (SELECT 1 FROM {out}_y y WHERE y.k = s.k AND y.v = s.v) WHEN 'last' THEN CASE WHEN heights > 0 THEN own = height ELSE v = l END WHEN 'none' THEN true
+    ELSE EXISTS (SELECT 1 FROM {out}_y y WHERE y.k = s.k AND y.v = s.v) END)"""
+
+
+@query("WITH {model}, " + FAMILIES + ", " + choice_sql("(SELECT qid AS k, * FROM fq)", "got") + " SELECT qid, by_rule, string_agg(v, ', ' ORDER BY v) AS variants, count(*) AS n FROM got GROUP BY ALL")
+def variant_families(spark, d):
+    prices, q = adapter.families(spark, d)
+    rows = narrow.narrowed(narrow.task_table(q, q.select("qid", F.col("target").alias("product_name"))), prices).where("kept")
+    return rows.groupBy("qid", "by_rule").agg(F.array_join(F.array_sort(F.collect_set("model_variant")), ", ").alias("variants"), F.count("*").alias("n"))
+
+
+@query("WITH {model}, " + FAMILIES + r""",
+cq AS (SELECT *, regexp_extract(t, '^(.*?)\b(\d+-?[a-z]*)\s+and\s+(\d+-?[a-z]*)\b(.*)$', ['a', 'x', 'y', 'z']) AS p,
+  regexp_extract(t, '^(.*?)\b(\d+-?[a-z]*)(?:\s+([a-z]+(?:\s+[a-z]+)?))?\s+and\s+(\d+-?[a-z]*)(?:\s+([a-z]+(?:\s+[a-z]+)?))?\b(.*)$', ['a', 'x', 'xm', 'y', 'ym', 'z']) AS m, string_split_regex(t, '\band\b') AS h FROM fq),
+cr AS (SELECT qid, n, l, unnest([{'reading': 1, 'part': 0, 't': CASE WHEN p.x <> '' THEN p.a || p.x || p.z END}, {'reading': 1, 'part': 1, 't': CASE WHEN p.x <> '' THEN p.a || p.y || p.z END},
+  {'reading': 2, 'part': 0, 't': CASE WHEN m.x <> '' THEN m.a || m.x || CASE WHEN m.xm <> '' THEN ' ' || m.xm ELSE '' END || m.z END}, {'reading': 2, 'part': 1, 't': CASE WHEN m.x <> '' THEN m.a || m.y || CASE WHEN m.ym <> '' THEN ' ' || m.ym ELSE '' END || m.z END},
+  {'reading': 3, 'part': 0, 't': CASE WHEN len(h) = 2 THEN h[1] END}, {'reading': 3, 'part': 1, 't': CASE WHEN len(h) = 2 THEN h[2] END}], recursive := true) FROM cq),
+ca AS (SELECT qid * 100 + reading * 10 + part AS k, qid, n, t, l, reading, part FROM cr WHERE t IS NOT NULL),""" + choice_sql("ca", "c1") + """,
+cs AS (SELECT qid, reading, part, min(v) AS variant FROM c1 JOIN ca USING (k, qid) GROUP BY ALL HAVING count(DISTINCT v) = 1),
+cg0 AS (SELECT ca.k, ca.qid, ca.n, ca.l, ca.reading, ca.part, c1.v FROM ca JOIN c1 USING (k) JOIN cs o ON o.qid = ca.qid AND o.reading = 2 AND o.part = 1 - ca.part WHERE ca.reading = 2 AND c1.v <> o.variant AND NOT EXISTS (SELECT 1 FROM cs WHERE cs.qid = ca.qid AND cs.reading = 2 AND cs.part = ca.part)),
+cg AS (SELECT k, qid, n, lower(v) AS t, l, v AS guess, part FROM cg0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(v), v) = 1),""" + choice_sql("cg", "c2") + """,
+ck AS (SELECT qid, 2 AS reading, part, guess AS variant FROM cg JOIN c2 USING (k, qid) GROUP BY ALL HAVING count(DISTINCT v) = 1 AND min(v) = guess),
+ct AS (SELECT *, false AS guessed FROM cs UNION ALL SELECT *, true FROM ck),
+cu AS (SELECT * FROM ct QUALIFY min(variant) OVER (PARTITION BY qid, reading) <> max(variant) OVER (PARTITION BY qid, reading))
+SELECT qid, reading, part, variant, guessed FROM cu QUALIFY reading = min(reading) OVER (PARTITION BY qid)""")
 def compound_variants(spark, d):
-    q = adapter.questions(spark, d).withColumn("message", F.concat(F.lower("target"), F.lit(" h.7 and h.27")))
-    return answer.compound(q, q.select("qid", F.col("target").alias("product_name")), adapter.prices(spark, d))
+    prices, q = adapter.families(spark, d)
+    rows = answer.compound(q, q.select("qid", F.col("target").alias("product_name"), F.col("message").alias("clause")), prices)
+    return rows.select("qid", "reading", "part", "variant", "guessed").distinct()
 
 
 # ---- grids

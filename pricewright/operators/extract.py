@@ -122,12 +122,13 @@ def codes_by_place(words: DataFrame, code: str, edge: float = 50.0, down: float
     return d.groupBy("code").agg(F.min("page").alias("page"))
 
 
-def rows_of_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """S6d: adds ``row`` to words (page, top, left, text): a row begins where a word's top is more than ``tolerance`` from the top of the row's first word.
+def rows_of_words(words: DataFrame, tolerance: float = 3.0, *keys: str) -> DataFrame:
+    """S6d: adds ``row`` to words (keys, top, left, text): a row begins where a word's top is more than ``tolerance`` from the top of the row's first word.
 
-    The fold runs inside a page's own list of words, so only a page is gathered.
+    The fold runs inside a page's own list of words, so only a page (``keys``, the page alone if none are given) is gathered.
     """
-    lists = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("top", "left", "text"))).alias("w"))
+    keys = keys or ("page",)
+    lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "left", "text"))).alias("w"))
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
 
     def step(a: Column, w: Column) -> Column:
@@ -135,8 +136,8 @@ def rows_of_words(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
         row = F.when(new, a["row"] + 1).otherwise(a["row"])
         return F.struct(F.when(new, w["top"]).otherwise(a["top"]).alias("top"), row.alias("row"), F.concat(a["rows"], F.array(row)).alias("rows"))
 
-    d = lists.select("page", "w", F.aggregate("w", start, step, lambda a: a["rows"]).alias("r"))
-    return d.select("page", F.explode(F.arrays_zip("w", "r")).alias("x")).select("page", "x.w.top", "x.w.left", "x.w.text", F.col("x.r").alias("row"))
+    d = lists.select(*keys, "w", F.aggregate("w", start, step, lambda a: a["rows"]).alias("r"))
+    return d.select(*keys, F.explode(F.arrays_zip("w", "r")).alias("x")).select(*keys, "x.w.top", "x.w.left", "x.w.text", F.col("x.r").alias("row"))
 
 
 def split_at_gap(rows: DataFrame, gap: float = 80.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .resolve import full_list
 
+
 def by_task():
     return Window.partitionBy("qid", "product_name")
 
@@ -32,7 +33,22 @@ def task_table(questions: DataFrame, chosen: DataFrame, clause: str | None = Non
     d = d.withColumn("groups", X.size_groups("text", "product_name")).withColumn("wanted", X.size_numbers("size_wanted")).withColumn("bare", numbers(F.col("plain")))
     d = d.withColumn("asked_code", X.short_code("text")).withColumn("signals", X.size_signals("text", "product_name")).withColumn("asked", X.tokenize_loose("text"))
     d = d.withColumn("compact", F.regexp_replace("plain", "[^a-z0-9]", ""))
-    return d if "last_variants" in d.columns else d.withColumn("last_variants", F.array().cast("array<string>"))
+    if "last_variants" not in d.columns:
+        d = d.withColumn("last_variants", F.array().cast("array<string>"))
+    own = distinguishing(F.replace(F.col("q"), F.col("name"), F.lit("")))
+    digits = F.transform(own, lambda w: F.regexp_extract(w, r"^\d+", 0))
+    first = F.regexp_extract("name", "^[a-z0-9_]+", 0)
+    return d.withColumns({
+        "heard": X.not_empty(F.array_union(own, digits)),  # 3er is also heard as 3
+        "last_codes": F.array_compact(F.transform("last_variants", X.short_code)),
+        "height": F.coalesce("asked_code", X.short_code(F.get("last_variants", F.lit(0)))),
+        "broadened": F.col("wants_all") & X.contains_word("q", first),
+    })
+
+
+def distinguishing(c) -> Column:
+    """Words of a text that tell variants apart: four letters or more, or a digit."""
+    return F.filter(F.split(c, "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) | w.rlike(r"\d"))
 
 
 def candidate_rows(tasks: DataFrame, prices: DataFrame) -> DataFrame:
@@ -99,26 +115,70 @@ def by_context(rows: DataFrame) -> DataFrame:
     return keep(rows, (F.col("_n") == F.col("_m")) | F.col("variant_context").isNull(), where=F.col("_m") > 0).drop("_n", "_m")
 
 
+def sole(hit: Column) -> Column:
+    """Whether the rows of a task that are hit have one variant."""
+    shown = F.when(hit, F.col("model_variant"))
+    return F.coalesce(F.min(shown).over(by_task()) == F.max(shown).over(by_task()), F.lit(False))
+
+
+def by_stem(rows: DataFrame) -> DataFrame:
+    """``_tied`` without the variants that are modified siblings of a tied base variant.
+
+    A variant's code is that of its first row. Codes that differ in their last character alone are of one family; the one
+    that ends in 0 is its base, the others need a word of their own to be meant. If a family among the tied has one
+    base, and the message shares digits only with the base's name, the others drop out; a shared word (``sofa``)
+    asks for the whole family. Families are window partitions of the task, so nothing is gathered.
+    """
+    variant = Window.partitionBy("qid", "product_name", "model_variant")
+    rows = rows.withColumn("_stem", F.min_by("code", F.when(F.col("model_variant").isNotNull(), F.col("row_ord"))).over(variant))
+    family = Window.partitionBy("qid", "product_name", F.expr("left(_stem, length(_stem) - 1)"))
+    some, base = F.col("_tied") & (F.length("_stem") >= 2), F.col("_stem").endswith("0")
+    name = F.when(some & base, F.col("model_variant"))
+    real = F.exists(F.array_intersect("_words", "heard"), lambda w: ~w.rlike(r"^\d+$"))
+    one = (F.min(name).over(family) == F.max(name).over(family)) & ~F.max(F.when(some & base, real).otherwise(F.lit(False))).over(family)
+    return rows.withColumn("_stays", F.col("_tied") & ~F.coalesce(some & ~base & one, F.lit(False)))
+
+
 def by_variant(rows: DataFrame) -> DataFrame:
-    """The variant whose short code the message names; else the one whose suffix it contains, longest first; else those that share most words with at most three
-    unmatched more than the best; else variants of the previous turn; else, unless everything is wanted, the only one that is no add-on. Adds ``by_rule``."""
-    own = X.short_code("model_variant")
-    suffix = F.regexp_replace(X.variant_suffix("model_variant", "product_name"), "[^a-z0-9]", "")
-    shared, words = shared_words("model_variant"), F.size(X.tokenize_loose("model_variant"))
+    """The variant that a message means, by the first of these rules that finds one; ``by_rule`` says which.
+
+    ``code``: its short code is named; of several with that code the one that shares a word. ``suffix``: its name without the product's
+    stands in the message, longest first. ``words``: it alone shares most words, at most three unmatched more than the best
+    of these. Of several tied: ``stem``, what ``by_stem`` leaves, if one; ``height``, the only one of the height that the message or the
+    previous turn names; else ``tie``, all of them and the variants without a name of their own. ``last``: those of the
+    previous turn, all of their heights if they have any, unless the message asks for all of the product by name.
+    ``main``: unless everything is wanted, the only one that is no add-on.
+    """
+    suffix = X.variant_suffix("model_variant", "product_name")
+    rows = rows.withColumn("_suffix", F.when(F.col("kept"), suffix)).withColumn("_own", F.when(F.col("kept"), X.short_code("model_variant")))
+    rows = rows.withColumn("_words", F.coalesce(distinguishing(F.col("_suffix")), F.array().cast("array<string>")))
+    rows = rows.withColumn("_shared", F.size(F.filter("_words", lambda w: F.array_contains("heard", w)))).withColumn("_rest", F.size("_words") - F.col("_shared"))
+    letters = F.regexp_replace("_suffix", "[^a-z0-9]", "")
+    rows = rows.withColumn("_len", F.when((F.length(letters) >= 3) & F.contains("compact", letters), F.length(letters)).otherwise(0))
     addon = F.avg(F.when(F.col("kept"), F.trim("price_eur").startswith("+").cast("int"))).over(Window.partitionBy("qid", "product_name", "model_variant")) > 0.5
-    rows = rows.withColumn("_code", F.col("kept") & F.coalesce(own == F.col("asked_code"), F.lit(False)))
-    rows = rows.withColumn("_len", F.when(F.col("kept") & (F.length(suffix) >= 3) & F.contains("compact", suffix), F.length(suffix)).otherwise(0))
-    rows = rows.withColumn("_shared", F.when(F.col("kept") & F.col("model_variant").isNotNull(), shared).otherwise(0)).withColumn("_rest", words - F.col("_shared"))
-    rows = rows.withColumn("_last", F.col("kept") & F.coalesce(F.array_contains("last_variants", F.col("model_variant")), F.lit(False)))
     rows = rows.withColumn("_main", F.col("kept") & ~F.coalesce(addon, F.lit(False)))
-    mains = F.size(F.collect_set(F.when(F.col("_main"), F.coalesce("model_variant", F.lit("")))).over(by_task()))
-    rows = rows.withColumn("_mains", mains).withColumn("_ml", F.max("_len").over(by_task())).withColumn("_ms", F.max("_shared").over(by_task()))
-    rows = rows.withColumn("_least", F.min(F.when((F.col("_shared") == F.col("_ms")) & (F.col("_ms") > 0), F.col("_rest"))).over(by_task()))
-    rule = F.when(any_of(F.col("_code")), "code").when(F.col("_ml") > 0, "suffix").when(F.col("_ms") > 0, "words").when(any_of(F.col("_last")) & ~F.col("wants_all"), "last").when((F.col("_mains") == 1) & ~F.col("wants_all"), "main").otherwise("none")
-    rows = rows.withColumn("by_rule", rule)
-    hit = F.when(F.col("by_rule") == "code", F.col("_code")).when(F.col("by_rule") == "suffix", F.col("_len") == F.col("_ml")).when(F.col("by_rule") == "words", (F.col("_shared") == F.col("_ms")) & (F.col("_rest") <= F.col("_least") + 3))
-    hit = hit.when(F.col("by_rule") == "last", F.col("_last")).when(F.col("by_rule") == "main", F.col("_main")).otherwise(F.lit(True))
-    return keep(rows, hit).drop("_code", "_len", "_shared", "_rest", "_last", "_main", "_mains", "_ml", "_ms", "_least")
+    rows = rows.withColumn("_code", F.coalesce(F.col("_own") == F.col("asked_code"), F.lit(False)))
+    rows = rows.withColumn("_heard", F.col("_code") & (F.col("_shared") > 0))
+    rows = rows.withColumn("_code", F.when(~sole(F.col("_code")) & sole(F.col("_heard")), F.col("_heard")).otherwise(F.col("_code")))
+    rows = rows.withColumn("_ml", F.max("_len").over(by_task())).withColumn("_ms", F.max("_shared").over(by_task()))
+    most = (F.col("_shared") == F.col("_ms")) & (F.col("_ms") > 0)
+    rows = rows.withColumn("_least", F.min(F.when(most, F.col("_rest"))).over(by_task()))
+    rows = by_stem(rows.withColumn("_tied", F.coalesce(most & (F.col("_rest") <= F.col("_least") + 3), F.lit(False))))
+    rows = rows.withColumn("_high", F.col("_stays") & F.coalesce(F.col("_own") == F.col("height"), F.lit(False)))
+    same_height = F.coalesce(F.array_contains("last_codes", F.col("_own")), F.lit(False))
+    rows = rows.withColumn("_last", F.col("kept") & F.coalesce(F.array_contains("last_variants", F.col("model_variant")), F.lit(False)))
+    rows = rows.withColumn("_last", F.when(any_of(same_height), same_height).otherwise(F.col("_last")))
+    none = F.coalesce("model_variant", F.lit(""))
+    mains = F.min(F.when(F.col("_main"), none)).over(by_task()) == F.max(F.when(F.col("_main"), none)).over(by_task())
+    rule = F.when(any_of(F.col("_code")), "code").when(F.col("_ml") > 0, "suffix").when(sole(F.col("_tied")), "words").when(sole(F.col("_stays")), "stem")
+    rule = rule.when(sole(F.col("_high")), "height").when(F.col("_ms") > 0, "tie").when(any_of(F.col("_last")) & ~F.col("broadened"), "last")
+    rows = rows.withColumn("by_rule", rule.when(mains & ~F.col("wants_all"), "main").otherwise("none"))
+    bare = F.col("kept") & F.col("model_variant").isNotNull() & (F.col("_suffix") == "")
+    by = F.col("by_rule")
+    hit = F.when(by == "code", F.col("_code")).when(by == "suffix", F.col("_len") == F.col("_ml")).when(by == "words", F.col("_tied")).when(by == "stem", F.col("_stays"))
+    hit = hit.when(by == "height", F.col("_high")).when(by == "tie", F.col("_stays") | bare).when(by == "last", F.col("_last")).when(by == "main", F.col("_main"))
+    rows = keep(rows, hit.otherwise(F.lit(True)))
+    return rows.drop("_suffix", "_own", "_words", "_shared", "_rest", "_len", "_main", "_code", "_heard", "_ml", "_ms", "_least", "_tied", "_stem", "_stays", "_high", "_last")
 
 
 def narrowed(tasks: DataFrame, prices: DataFrame) -> DataFrame:

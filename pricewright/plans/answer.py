@@ -69,7 +69,7 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
     ``high``, the range of the prices shown (N10); ``withheld``, the rows left out because their prices conflict;
     ``sizes`` and ``tiers`` that the product has, where no row fits (N4).
 
-    A question of several products is scoped to clauses (R9, R13) before the chain; a choice to clarify lists its
+    A compound question about one product (R14) has the rows of both its parts and is of several products' kind. A question of several products is scoped to clauses (R9, R13) before the chain; a choice to clarify lists its
     candidates (L4: the first five, with the number of the others in ``hidden``) and no rows.
     """
     questions, names, prices = staged(questions, "questions"), staged(names, "names"), staged(prices, "prices")
@@ -81,6 +81,12 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
     lookups = sole.join(related, "qid").select("qid", "product_name", F.col("scoped").alias("clause"))
     chosen = lookups.unionByName(resolve.scoped(questions, claims).select("qid", "product_name", "clause"))
     rows = narrow.narrowed(narrow.task_table(questions, chosen, "clause"), prices)
+    several = staged(compound(questions, lookups, prices), "compound")
+    split = several.select("qid", "product_name", F.lit(True).alias("split")).distinct()
+    rows = rows.join(split, ["qid", "product_name"], "left_anti").unionByName(several.drop("reading", "part", "variant", "guessed"))
+    rows = rows.join(split, ["qid", "product_name"], "left")
+    rows = rows.withColumn("n_rows", F.when(F.col("split"), F.count_if("kept").over(Window.partitionBy("qid", "product_name"))).otherwise(F.col("n_rows")))
+    rows = rows.withColumn("status", F.when(F.col("split"), "multi_product").otherwise(F.col("status")))
     by = Window.partitionBy("qid", "product_name")
     shown, none_fits = F.when(F.col("kept"), X.price_number("price_eur")), F.col("status") == "no_matching_variant"
     rows = rows.withColumns({
@@ -102,19 +108,68 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
     return rows.unionByName(clarify, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
 
 
+#: Fixed forms of compound questions: a word that begins with a digit, and one or two words after it.
+NUMBERED, MORE = r"(\d+-?[a-zA-Z]*)", r"(?:\s+([a-zA-Z]+(?:\s+[a-zA-Z]+)?))?"
+PAIR = rf"(?is)^(.*?)\b{NUMBERED}\s+and\s+{NUMBERED}\b(.*)$"
+MODIFIED = rf"(?is)^(.*?)\b{NUMBERED}{MORE}\s+and\s+{NUMBERED}{MORE}\b(.*)$"
+
+
+def readings(chosen: DataFrame) -> DataFrame:
+    """Qid, product_name, reading, part, clause: what a clause (qid, product_name, clause) with ``and`` may ask, each reading in two parts.
+
+    ``1``, pair: ``2er and 3er sofa`` is ``2er sofa`` and ``3er sofa``. ``2``, modified: ``3er and 3er maxi`` is ``3er`` and ``3er maxi``; up
+    to two words after each number belong to it. ``3``, halves: what stands before ``and``, and after it.
+    """
+    c, text = F.col("clause"), F.coalesce("clause", F.lit(""))
+    at = lambda pattern, *groups: F.concat(*(F.regexp_extract(text, pattern, g) for g in groups))
+    worded = lambda n: F.concat(F.lit(" "), F.regexp_extract(text, MODIFIED, n))
+    part = lambda n: F.concat(F.regexp_extract(text, MODIFIED, 1), F.regexp_extract(text, MODIFIED, n), F.when(F.regexp_extract(text, MODIFIED, n + 1) != "", worded(n + 1)).otherwise(""), F.regexp_extract(text, MODIFIED, 6))
+    pair = F.when(c.rlike(PAIR), F.array(at(PAIR, 1, 2, 4), at(PAIR, 1, 3, 4)))
+    modified = F.when(c.rlike(MODIFIED), F.array(part(2), part(4)))
+    split = F.split(X.normalize("clause"), r"\band\b")
+    halves = F.when(F.size(split) == 2, split)
+    found = F.array(*(F.struct(F.lit(n).alias("reading"), texts.alias("texts")) for n, texts in ((1, pair), (2, modified), (3, halves))))
+    d = chosen.where(X.contains_word("clause", F.lit("and"))).select("qid", "product_name", F.explode(found).alias("r")).where("r.texts is not null")
+    return d.select("qid", "product_name", "r.reading", F.posexplode("r.texts").alias("part", "clause"))
+
+
+def in_parts(questions: DataFrame, parts: DataFrame, prices: DataFrame) -> DataFrame:
+    """The chain over (qid, product_name, reading, part, clause), each a question of its own with the other facts of its question."""
+    key = F.struct("qid", "reading", "part")
+    chosen = parts.select(key.alias("qid"), "product_name", "clause")
+    asked = parts.select(key.alias("sub"), "qid").distinct().join(questions, "qid").drop("qid").withColumnRenamed("sub", "qid")
+    rows = narrow.narrowed(narrow.task_table(asked, chosen, "clause"), prices)
+    return rows.withColumns({"reading": F.col("qid.reading"), "part": F.col("qid.part"), "qid": F.col("qid.qid")})
+
+
 def compound(questions: DataFrame, chosen: DataFrame, prices: DataFrame) -> DataFrame:
-    """Qid, product_name, part, model_variant: ``A and B`` within one product, where each half alone settles on a variant of its own.
+    """Rows of compound questions (qid, product_name, clause): those of ``narrowed`` with reading, part, variant, guessed.
 
-    Halves are questions of their own, numbered by the part, and go through the chain in one batch.
+    All readings (``readings``) of all questions go through the chain at once. The first reading counts whose two parts settle
+    on one variant each, of two. In the modified reading one part may be the plain member of a family: where only the other
+    settles, the shortest name among the variants left, without that one, is the guess, and counts if its name alone asks
+    for it. Questions without such a reading have no rows.
     """
-    halves = questions.join(chosen, "qid").select("qid", "brand", "product_name", F.posexplode(F.split(X.normalize("message"), r"\band\b")).alias("part", "text"))
-    halves = halves.withColumn("_k", F.count("*").over(Window.partitionBy("qid"))).where("_k = 2").withColumn("sub", F.struct("qid", "part"))
-    tasks = halves.select(F.to_json("sub").alias("qid"), "brand", "product_name", F.col("text").alias("message"))
-    rows = narrow.narrowed(narrow.task_table(tasks.drop("product_name"), tasks.select("qid", "product_name")), prices).where("kept")
-    sole = rows.groupBy("qid", "product_name").agg(F.collect_set("model_variant").alias("v")).where("size(v) = 1")
-    sole = sole.select(F.from_json("qid", "qid long, part int").alias("s"), "product_name", F.get("v", F.lit(0)).alias("model_variant")).select("s.*", "product_name", "model_variant")
-    by = Window.partitionBy("qid")
-    return sole.withColumn("_n", F.size(F.collect_set("model_variant").over(by))).where("_n = 2").drop("_n")
+    parts = staged(readings(chosen), "readings")
+    first = staged(in_parts(questions, parts, prices).where("kept"), "parts")
+    keys = ["qid", "product_name", "reading", "part"]
+    named = first.where("model_variant is not null").groupBy(*keys).agg(F.min("model_variant").alias("v"), F.max("model_variant").alias("w"))
+    named = staged(named.select(*keys, F.when(F.col("v") == F.col("w"), F.col("v")).alias("variant")), "settled")
+    other = named.where("reading = 2 and variant is not null").select("qid", "product_name", "reading", (1 - F.col("part")).alias("part"), F.col("variant").alias("taken"))
+    open_ = named.where("reading = 2 and variant is null").select(*keys).join(other, keys)
+    left = first.join(open_, keys).where("model_variant is not null and model_variant <> taken")
+    guesses = left.groupBy(*keys).agg(F.min(F.struct(F.length("model_variant").alias("n"), F.col("model_variant").alias("v")))["v"].alias("clause"))
+    guesses = staged(guesses, "guesses")
+    again = staged(in_parts(questions, guesses, prices).where("kept"), "guessed")
+    kept = again.where("model_variant is not null").groupBy(*keys).agg(F.min("model_variant").alias("v"), F.max("model_variant").alias("w"))
+    kept = kept.join(guesses, keys).where("v = w and v = clause").select(*keys, F.col("v").alias("variant"), F.lit(True).alias("guessed"))
+    settled = named.where("variant is not null").withColumn("guessed", F.lit(False)).unionByName(kept)
+    both = Window.partitionBy("qid", "product_name", "reading")
+    settled = settled.withColumn("ok", F.min("variant").over(both) != F.max("variant").over(both)).where("ok")
+    settled = settled.withColumn("r", F.min("reading").over(Window.partitionBy("qid", "product_name"))).where("reading = r").drop("ok", "r")
+    settled = staged(settled, "accepted")
+    plain = first.join(settled.where("not guessed"), keys)
+    return plain.unionByName(again.join(settled.where("guessed"), keys))
 
 
 def full_price_list(names: DataFrame, prices: DataFrame) -> DataFrame:

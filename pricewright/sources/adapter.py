@@ -56,6 +56,36 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("first").alias("qid"), "brand", message.alias("message"), F.col("product_name").alias("target"))
 
 
+#: Variants of the stand-in families: name, and end of its code. Codes that differ in their last character alone are of one family.
+FAMILY = (
+    ("2-er sofa", "D2000"), ("3-er sofa", "D3000"), ("3-er maxi sofa", "D300M"), ("3-er extra sofa", "D300E"), ("3-er central element", "C3000"),
+    ("2-er central element", "C2000"), ("Island", "I1000"), ("Armchair", "A1000"), ("Base h.27", "B2700"), ("Base h.8", "B0800"),
+)
+#: What is asked about them, after the product's name, and the variant of the turn before.
+ASKED = (
+    ("2er and 3er sofa", None), ("3er and 3er maxi", None), ("3er maxi and 3er", None), ("3er", None), ("sofa", None), ("base", "Top h.27"), ("island", None),
+    ("2er and 2er central element", None), ("armchair and island", None), ("3er extra and 2er", "Island"), ("price", "Base h.8"), ("base price", None),
+)
+
+
+def families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Prices of products with families of variants, of which each product has its own selection, and a question (qid, brand, message, last_variants, target) about each product."""
+    idx = catalog_index(spark, sf_dir).select("brand", "product_name", "first")
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"), F.lit(c).alias("c")) for i, (v, c) in enumerate(FAMILY)))
+    rows = idx.select("*", F.explode(table).alias("f")).where((F.col("first") % 97 + F.col("f.i") * F.col("first") % 13) % 4 != 0)
+    null = F.lit(None).cast("string")
+    price = X.italian_number(F.col("first") % 900 + 100 * (F.col("f.i") + 1))
+    prices = rows.select(
+        "brand", "product_name", F.col("f.v").alias("model_variant"), null.alias("variant_context"), null.alias("size"), null.alias("fabric_tier"), null.alias("tier_label"),
+        F.concat(F.lit("N"), F.col("first").cast("string"), F.col("f.c")).alias("code"), price.alias("price_eur"), F.lit(1).alias("source_pdf_page"),
+        (F.col("first") * 16 + F.col("f.i")).alias("row_ord"), F.lit(False).alias("ambiguous"),
+    )
+    asked = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(v).cast("string").alias("v")) for m, v in ASKED))
+    q = idx.withColumn("a", F.element_at(asked, (F.col("first") % len(ASKED) + 1).cast("int")))
+    last = F.when(F.col("a.v").isNotNull(), F.array("a.v")).otherwise(F.array().cast("array<string>"))
+    return prices, q.select(F.col("first").alias("qid"), "brand", F.concat(F.lower("product_name"), F.lit(" "), F.col("a.m")).alias("message"), last.alias("last_variants"), F.col("product_name").alias("target"))
+
+
 SQL = """
 pt0 AS (SELECT p_partkey, p_brand AS brand, p_name, p_type, p_size, min(p_type) OVER w <> max(p_type) OVER w AS several FROM part WINDOW w AS (PARTITION BY p_brand, p_name)),
 pt AS (SELECT p_partkey, brand, CASE WHEN several THEN p_name || ' (' || p_type || ')' ELSE p_name END AS product_name, p_name, p_type, p_size FROM pt0),

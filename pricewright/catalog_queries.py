@@ -939,14 +939,6 @@ def code_chunks(spark, d):
     return found.select("row_ord", "code", F.regexp_replace("name", r" € \S+$", "").alias("name"))
 
 
-@query("""WITH {model} SELECT row_ord, code AS own, code FROM prices WHERE row_ord % 4 > 0""")
-def article_discovery(spark, d):
-    p = adapter.prices(spark, d)
-    word = F.when(F.col("row_ord") % 4 == 0, "cover art. ").otherwise("art. ")
-    lines = extract.lines_of(p.select("row_ord", F.col("code").alias("own"), F.concat("product_name", F.lit("\n"), word, "code", F.lit("\nend")).alias("text")), "row_ord", "own")
-    return extract.articles(lines, "row_ord", "own").select("row_ord", "own", "code")
-
-
 @query("""WITH {model}, p AS (SELECT *, regexp_matches(price_eur, '[0-9]') AS priced FROM prices), f AS (SELECT *, min(source_pdf_page) FILTER (priced) OVER (PARTITION BY brand, product_name) AS pp FROM p)
 SELECT brand, product_name AS code, min(source_pdf_page) AS first_page, min(pp) AS priced_page, max(source_pdf_page) FILTER (pp IS NULL OR source_pdf_page <= pp) AS end_page FROM f GROUP BY ALL""")
 def section_fold(spark, d):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog_queries import query
-from .operators import layouts
+from .operators import extract, layouts
+from .sources import readers
 from .sources.adapter import table
 
 
@@ -72,3 +73,44 @@ def _category_pages(spark, d):
 SELECT DISTINCT file, CASE WHEN (SELECT count(DISTINCT kind) FROM e o WHERE o.file = e.file AND o.p_name = e.p_name) > 1 THEN p_name || ' (' || kind || ')' ELSE p_name END AS name, printed FROM e""")
 def index_categories(spark, d):
     return layouts.category_index(_category_pages(spark, d), "file", noise=r"^[A-Z]+_\d+$")
+
+
+#: Arrangements in which a part's code and name are printed, by its number: c is the code, n the name, and the articles found in them (as SQL).
+ARRANGED = (
+    ("art. {c}   {n}", "(c, n)"),
+    ("Plan B art. {c} {n} - art. 9999  art. {c}X set {n}", "(c, n), (c || 'X', 'set ' || n)"),
+    ("art.\n\n7 - LIST EXPORT\n{c}  {n}", "(c, n)"),
+    ("{c} {n}\nart. \nlower text", "(c, n)"),
+    ("{n} cover, art. {c} {n}", ""),
+    ("1 pz - art. {c} (60x40)", ""),
+    ("Art. {c}  A B  16 white", "(c, '')"),
+    ("art.\nsmall letters first\n{c} {n}", ""),
+    ("ART {c} - {n}  -", "(c, n)"),
+    ("art.\nText\nMore\nText\nText\nText\n{c} {n}", ""),
+)
+
+
+def _article_lines(spark, d):
+    """Pages of twelve parts, each in one of the arrangements, with running text after it."""
+    p = table(spark, d, "part").select("p_partkey", F.expr("p_partkey div 12").alias("page"), F.concat((F.col("p_partkey") + 1000).cast("string"), F.lit("A")).alias("c"), F.col("p_name").alias("n"))
+    forms = F.element_at(F.array(*(F.lit(form) for form, _ in ARRANGED)), (F.col("p_partkey") % len(ARRANGED) + 1).cast("int"))
+    printed = F.concat(F.replace(F.replace(forms, F.lit("{c}"), F.col("c")), F.lit("{n}"), F.col("n")), F.lit("\nnote of the article"))
+    pages = p.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", printed.alias("x")))), lambda y: y["x"]), "\n").alias("text"))
+    return extract.lines_of(pages, "page")
+
+
+@query("WITH p AS (SELECT p_partkey, p_partkey // 12 AS page, (p_partkey + 1000) || 'A' AS c, p_name AS n FROM part) " + " UNION ALL ".join(
+    f"SELECT page, v.code, v.name FROM p, LATERAL (VALUES {rows}) v(code, name) WHERE p_partkey % {len(ARRANGED)} = {i}" for i, (_, rows) in enumerate(ARRANGED) if rows
+))
+def article_discovery(spark, d):
+    return extract.articles(_article_lines(spark, d), "page", footer="LIST EXPORT").select("page", "code", "name")
+
+
+@query("""SELECT doc_id, chr(65533) || 'p. ' || doc_id || ' ' || chr(65533) AS head, md5(chr(65533) || 'p. ' || doc_id || ' ' || chr(65533) || coalesce(text, '') || chr(65533)) AS text_md5 FROM documents""")
+def texts_of_bytes(spark, d):
+    """Bytes that are no UTF-8 (a Latin-1 letter, a cut sequence) around every document's."""
+    docs = table(spark, d, "documents")
+    raw = F.concat(F.unhex(F.lit("E9")), F.encode(F.concat(F.lit("p. "), F.col("doc_id").cast("string"), F.lit(" ")), "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("E282")))
+    text = readers.valid_text(raw)
+    head = F.substring(text, F.lit(1), F.length(F.col("doc_id").cast("string")) + 6)
+    return docs.select("doc_id", head.alias("head"), F.md5(text).alias("text_md5"))

@@ -247,20 +247,62 @@ def slugs(entries: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     return d.withColumn("slug", F.when(F.col("_k") > 1, F.concat("_b", F.lit("_"), F.col("_k"))).otherwise(F.col("_b"))).drop("_b", "_k", "_t")
 
 
-def articles(lines: DataFrame, *keys: str) -> DataFrame:
-    """Code and line of ``art. CODE`` mentions: on the line itself, else on the next five lines before the next mention, else on the two before; not after ``cover``, ``N pz -`` or a dash."""
+#: The forms of an article's code after ``art.``, and of a code that begins a line.
+ART_CODE, LINE_CODE = r"[0-9]{3,6}[0-9A-Z]{0,6}", r"^[0-9]{3,6}[A-Z]{0,3}[0-9]{0,2}[A-Z]{0,2}$"
+#: Words of the legend of finishes, which no name is made of alone.
+FINISHES = (
+    "bianco", "white", "grigio", "seta", "silk", "grey", "gray", "denim", "ruggine", "rust", "bronzo", "metal", "bronze", "verde", "green", "moka", "dark", "brown", "nero", "black",
+)
+#: Stands before each mention while a line is cut.
+CUT = "\ue0f1"
+
+
+def diagram_noise(c: Column, finishes: tuple[str, ...] = FINISHES) -> Column:
+    """S14f: whether a text is a diagram's scattered marks: every word a single letter, a size or a finish, or any letter Cyrillic; not for an empty text."""
+    tokens = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    marks = F.forall(tokens, lambda w: w.rlike(r"^(?:[a-z]|ø?\d+(?:[.,]\d+)?)$") | w.isin(*finishes))
+    return c.rlike(r"[\u0400-\u04ff]") | ((F.size(tokens) > 0) & marks)
+
+
+def article_name(c: Column) -> Column:
+    """S14f: the name in what follows a code: single spaces, no dashes around, 60 characters at most; empty for prices, numbers alone and diagram noise."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"^[ -]+|[ -]+$", ""), "^[\b\ufeff]+", ""))
+    return F.when(name.rlike(r"^€|^[\d.,€\s]*$") | diagram_noise(name), "").otherwise(F.substring(name, 1, 60))
+
+
+def articles(lines: DataFrame, *keys: str, footer: str = "(?!)", code: str = ART_CODE, token: str = LINE_CODE, ahead: int = 5, back: int = 2) -> DataFrame:
+    """Keys, line, code, name of the articles that ``art.`` stands for, in three arrangements; ``keys`` name a page.
+
+    On the line itself, a mention is ``art. CODE``, and its name runs to the next mention or the line's end; mentions after
+    ``cover``, ``pz -`` or a dash refer to another article's parts and count for none. A line that begins with ``art.``
+    also takes the first of the next ``ahead`` lines that begins with a code, unless a line in small letters (running text) stands before it;
+    where none does, the last of the ``back`` lines above that isn't empty, if it begins with a code. The name is the rest of that line.
+    Empty lines and lines that match ``footer`` are passed over. Windows see seven lines at most besides each line.
+    """
     by = Window.partitionBy(*keys).orderBy("line")
-    code = r"(?i)\bart\.?\s*([A-Z0-9][A-Z0-9./-]{1,15})\b"
-    alone = r"^\s*([A-Z]*\d[A-Z0-9./-]{1,15})\b"
-    trigger = F.col("text").rlike(r"(?i)\bart\.") & ~F.col("text").rlike(r"(?i)(cover|\d+\s*pz\s*-|-\s*)\s*art\.")
-    found = [F.nullif(F.regexp_extract("text", code, 1), F.lit(""))]
-    open_ = F.lit(True)
-    for k in range(1, 6):
-        t = F.lead("text", k).over(by)
-        open_ = open_ & ~F.coalesce(t.rlike(r"(?i)\bart\."), F.lit(False))
-        found.append(F.when(open_, F.nullif(F.regexp_extract(t, alone, 1), F.lit(""))))
-    found += [F.nullif(F.regexp_extract(F.lag("text", k).over(by), alone, 1), F.lit("")) for k in (1, 2)]
-    return lines.withColumn("_t", trigger).withColumn("code", F.coalesce(*found)).where("_t and code is not null").select(*keys, "line", "code")
+    t = F.trim("text")
+    d = lines.withColumn("t", t)
+    mention = rf"(?i)\bart\.?\s+({code})\b"
+    pieces = F.split(F.regexp_replace("t", mention, rf"{CUT}$0"), CUT)
+    before = lambda i: F.lower(F.right(F.array_join(F.slice("pieces", F.lit(1), i), ""), F.lit(15)))
+    guard = r"cover|\bpz\b\s*-\s*$|-\s*$"
+    parts = F.transform("pieces", lambda x, i: F.struct(
+        F.upper(F.regexp_extract(x, mention, 1)).alias("code"), F.regexp_replace(x, rf"(?i)^art\.?\s+{code}\b", "").alias("rest"), F.when(i > 0, before(i).rlike(guard)).otherwise(F.lit(True)).alias("skip"),
+    ))
+    own = F.filter(parts, lambda m: ~m["skip"] & (m["code"] != ""))
+    look = lambda ts: F.array(*(F.coalesce(F.trim(x), F.lit("")) for x in ts))
+    d = d.withColumn("pieces", pieces).withColumn("down", look([F.lead("text", k).over(by) for k in range(1, ahead + 1)])).withColumn("up", look([F.lag("text", k).over(by) for k in range(1, back + 1)]))
+    first = lambda x: F.regexp_extract(x, r"^\S+", 0)
+    seen = lambda c: F.filter(c, lambda x: (x != "") & ~x.rlike(footer))
+    # the first line below that settles it: a code, or running text
+    settles = F.get(F.filter(seen("down"), lambda x: first(x).rlike(token) | ((F.length(x) > 3) & x.rlike(r"^\p{Ll}"))), F.lit(0))
+    below = F.when(first(settles).rlike(token), settles)
+    above = F.get(seen("up"), F.lit(0))
+    found = F.coalesce(below, F.when(first(above).rlike(token), above))
+    near = F.when(F.col("t").rlike(r"(?i)^art\.?(\s|$)") & found.isNotNull(), F.array(F.struct(F.upper(first(found)).alias("code"), F.regexp_replace(found, r"^\S+\s*", "").alias("rest"))))
+    inline = F.transform(own, lambda m: F.struct(m["code"].alias("code"), m["rest"].alias("rest")))
+    d = d.select(*keys, "line", F.explode(F.concat(inline, F.coalesce(near, F.array().cast("array<struct<code:string,rest:string>>")))).alias("a"))
+    return d.select(*keys, "line", F.col("a.code").alias("code"), article_name(F.trim("a.rest")).alias("name"))
 
 
 def code_chunks(lines: DataFrame, code: str, *keys: str) -> DataFrame:

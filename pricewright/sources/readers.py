@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +34,14 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("brand", F.explode("m").alias("product_name", "e")).select("brand", "product_name", "e.*")
 
 
+def valid_text(content) -> Column:
+    """Bytes as text; those that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files whose pages follow marks ``<<<PDFPAGE:n>>>``: file, page, text. Bytes that are no UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("t"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), valid_text(F.col("content")).alias("t"))
     plain = F.regexp_replace("t", "\r\n?", "\n")
     return files.select("file", F.explode(F.split(plain, "<<<PDFPAGE:")).alias("p")).where("p rlike '^[0-9]+>>>'").select("file", F.regexp_extract("p", r"^(\d+)>>>", 1).cast("int").alias("page"), F.regexp_replace("p", r"^\d+>>>\n?", "").alias("text"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog_queries import query
-from .operators import extract, layouts
+from .operators import extract, layouts, shapes
 from .sources import readers
 from .sources.adapter import table
 
@@ -114,3 +114,48 @@ def texts_of_bytes(spark, d):
     text = readers.valid_text(raw)
     head = F.substring(text, F.lit(1), F.length(F.col("doc_id").cast("string")) + 6)
     return docs.select("doc_id", head.alias("head"), F.md5(text).alias("text_md5"))
+
+
+#: Blocks of lines in which a part's prices are printed, by its number, ten to a page: {c} is its number in five digits, {n} its name, {a} and {b} prices;
+#: then the rows found, as SQL (shape, article, label, size, column, code, price), and how many lines are rejected.
+BLOCKS = (
+    ("{n}\n                         Pelle        Stoffa        Cat. C\nSEAT                     {a}                         {b}\nBACK  LOW                             {b}", [("grid", None, "SEAT", None, "Pelle", None, "a"), ("grid", None, "SEAT", None, "Cat. C", None, "b"), ("grid", None, "BACK LOW", None, "Stoffa", None, "b")], 0),
+    ("                  Pelle   Stoffa\nSEAT             {a}        /\nARM                   {b}\nFOOT       {a}  {b}", [("grid", None, "SEAT", None, "Pelle", None, "a")], 2),
+    ("{n}          Standard padding      Wool padding\n             Standard padding      Wool padding\n             0{c}ST              0{c}WL\nPelle              {a}                 {b}\nStoffa             {b}", [("codes", None, "Pelle", None, "Standard padding", "0{c}ST", "a"), ("codes", None, "Pelle", None, "Wool padding", "0{c}WL", "b"), ("codes", None, "Stoffa", None, "Standard padding", "0{c}ST", "b")], 0),
+    ("{n}   Prezzo 1 €   Prezzo 2 €\nTessuto Gourmet {a}\nPelle Ecologica {a} - {b}\nTessuto  {a} - ", [("dual", None, "Tessuto Gourmet", None, None, None, "a"), ("dual", None, "Pelle Ecologica", None, "1", None, "a"), ("dual", None, "Pelle Ecologica", None, "2", None, "b")], 1),
+    ("ARTICOLO  SPECIFICHE  VERSIONI   €\n15.08  L200 P106\n- Cristallo lucido M326{c} {a}\n- Noce {b}\nMaggiorazione per struttura in oro {a}\nSOLO {b}", [("options", "15.08", "Cristallo lucido", "L200 P106", None, "M326{c}", "a"), ("options", "15.08", "Noce", "L200 P106", None, None, "b"), ("options", "15.08", "Maggiorazione per struttura in oro", None, None, None, "+a")], 1),
+    ("{n} MOLLE H13 100x200cm € {a}\n{n} MOLLE H18 90x190 € {b}", [("sizes", None, "{n} MOLLE H13", "100x200", None, None, "a"), ("sizes", None, "{n} MOLLE H18", "90x190", None, None, "b")], 0),
+)
+
+
+def _blocks(spark, d):
+    """Pages of ten parts, each as one of the blocks."""
+    p = table(spark, d, "part").select("p_partkey", F.expr("p_partkey div 10").alias("page"), "p_name")
+    form = F.element_at(F.array(*(F.lit(b) for b, _, _ in BLOCKS)), (F.col("p_partkey") % len(BLOCKS) + 1).cast("int"))
+    number = F.lpad(F.col("p_partkey").cast("string"), 5, "0")
+    facts = {"{c}": number, "{n}": F.col("p_name"), "{a}": (F.col("p_partkey") % 900 + 100).cast("string"), "{b}": F.concat(F.lit("1."), (F.col("p_partkey") % 899 + 100).cast("string"))}
+    for mark, value in facts.items():
+        form = F.replace(form, F.lit(mark), value)
+    pages = p.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", form.alias("x")))), lambda y: y["x"]), "\n").alias("text"))
+    return extract.lines_of(pages, "page")
+
+
+def _block_sql():
+    """SELECTs of what each block holds, from the parts alone."""
+    prices = {"a": "(p_partkey % 900 + 100)::VARCHAR", "b": "'1.' || (p_partkey % 899 + 100)", "+a": "'+' || (p_partkey % 900 + 100)"}
+    text = lambda v: "NULL::VARCHAR" if v is None else "replace(replace('" + v + "', '{c}', lpad(p_partkey::VARCHAR, 5, '0')), '{n}', p_name)"
+    out = []
+    for i, (_, rows, _) in enumerate(BLOCKS):
+        for shape, article, label, size, column, code, price in rows:
+            out.append(f"""SELECT p_partkey // 10 AS page, '{shape}' AS shape, {text(article)} AS article, {text(label)} AS label, {text(size)} AS size, {text(column)} AS "column", {text(code)} AS code, {prices[price]} AS price_eur FROM part WHERE p_partkey % {len(BLOCKS)} = {i}""")
+    return " UNION ALL ".join(out)
+
+
+@query(_block_sql())
+def table_shapes(spark, d):
+    return shapes.price_tables(_blocks(spark, d), "page", tiers=("pelle", "stoffa"))[0].drop("line")
+
+
+@query("SELECT p_partkey // 10 AS page, sum([" + ", ".join(str(n) for _, _, n in BLOCKS) + f"][p_partkey % {len(BLOCKS)} + 1])::BIGINT AS n_rejects FROM part GROUP BY 1 HAVING n_rejects > 0")
+def table_rejects(spark, d):
+    return shapes.price_tables(_blocks(spark, d), "page", tiers=("pelle", "stoffa"))[1].groupBy("page").agg(F.count("*").alias("n_rejects"))

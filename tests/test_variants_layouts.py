@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.operators import layouts, narrow
+from pricewright.operators import extract, layouts, narrow, shapes
 from pricewright.plans import answer
+from pricewright.sources import readers
 
 PRICES = "brand string, product_name string, model_variant string, variant_context string, size string, fabric_tier string, tier_label string, code string, price_eur string, ambiguous boolean, source_pdf_page int, row_ord long"
 LINE = [("2-er sofa", "ONLID2000"), ("3-er sofa", "ONLID3000"), ("3-er maxi sofa", "ONLID300M"), ("3-er extra sofa", "ONLID300E"), ("3-er central element", "ONLIC300"), ("2-er central element", "ONLIC200"), ("Island", "ONLII100"), ("Square corner", "ONLIQ100")]
@@ -99,3 +100,58 @@ def test_category_index(spark):
     got = sorted((r.name, r.printed) for r in layouts.category_index(words, "file", noise=r"^\w+_\d+$").collect())
     assert got == [("Levante Out (Low Tables)", 12), ("Levante Out (Sofas)", 8), ("Lina", 9), ("Peonia", 14)]
     assert layouts.category_index(words.limit(0), "file").count() == 0
+
+
+LINES = "page int, line int, text string"
+
+
+def text_lines(spark, text, n=1):
+    return spark.createDataFrame([(n, i, t) for i, t in enumerate(text.split("\n"))], LINES)
+
+
+def test_articles(spark):
+    text = """Plan art. 2214 Sofa  - art. 3899K2 part   art. 9466C  system
+art.
+
+258 - LIST EXPORT
+1820L  Chaise  longue
+running text
+1 pz - art. 2726 (60x40)
+cover art. 9456C
+note
+23656 Bergere
+art.
+text in small letters
+7777 never
+plain words
+art. 2300 A B 16 white
+end"""
+    got = [(r.line, r.code, r.name) for r in extract.articles(text_lines(spark, text), "page", footer="LIST EXPORT").orderBy("line", "code").collect()]
+    assert got == [(0, "2214", "Sofa"), (0, "9466C", "system"), (1, "1820L", "Chaise longue"), (10, "23656", "Bergere"), (14, "2300", "")]
+
+
+def test_price_tables_by_spans(spark):
+    text = """             Extra        Plus         Super
+SEAT         1.000                     +300
+ARM                       -            40
+FOOT              20                   30
+LEG          10  11
+WORD         about
+prose without price"""
+    rows, rejects = shapes.price_tables(text_lines(spark, text), "page")
+    assert [(r.line, r.label, r.column, r.price_eur) for r in rows.orderBy("line", "column").collect()] == [(1, "SEAT", "Extra", "1.000"), (1, "SEAT", "Super", "+300"), (2, "ARM", "Super", "40")]
+    assert [r.line for r in rejects.orderBy("line").collect()] == [3, 4]
+    assert shapes.price_tables(text_lines(spark, "SEAT  100  200"), "page")[0].count() == 0  # no heading, no guess
+
+
+def test_articles_options_need_one(spark):
+    text = "ARTICOLO  SPECIFICHE  €\n- Noce 100\n15.08\n- Noce 200\nARTICOLO  SPECIFICHE  €\n- Noce 300"
+    rows, rejects = shapes.price_tables(text_lines(spark, text), "page")
+    assert [(r.line, r.article, r.price_eur) for r in rows.collect()] == [(3, "15.08", "200")]
+    assert sorted(r.line for r in rejects.collect()) == [1, 5]
+
+
+def test_page_texts_of_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"<<<PDFPAGE:1>>>\nPerch\xe9 no\r\n<<<PDFPAGE:2>>>\nok\xe2\x82")
+    got = sorted((r.page, r.text) for r in readers.page_texts(spark, str(tmp_path)).collect())
+    assert got == [(1, "Perch� no\n"), (2, "ok�")]

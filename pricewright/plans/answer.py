@@ -10,39 +10,73 @@ from ..operators import narrow, resolve
 from ..sources.staging import staged
 
 
+def with_session(questions: DataFrame) -> DataFrame:
+    """Questions with the columns of a session, null where they have none: last_product, last_candidates, intent."""
+    kinds = (("last_product", "string"), ("last_candidates", "array<string>"), ("intent", "struct<product_names:array<string>>"))
+    return questions.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds if c not in questions.columns})
+
+
+def guesses_of(questions: DataFrame, names: DataFrame, explained: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, product_name, trusted) of an intent's names that are names, and (qid, unresolved), the others as they were written.
+
+    A guess of the anchor itself is trusted if the anchor explains what the message says (``trusted``: its family needs no
+    check); if it doesn't, the message is a fresh attempt at another product and the guess is dropped.
+    """
+    g = questions.select("qid", "brand", "last_product", F.explode("intent.product_names").alias("guess")).where("guess is not null and guess <> ''")
+    key = names.select("brand", X.normalize("product_name").alias("_k"), "product_name")
+    g = g.withColumn("_k", X.normalize("guess")).join(key, ["brand", "_k"], "left").join(explained, "qid", "left")
+    known = g.where("product_name is not null").withColumn("anchored", F.coalesce(F.col("product_name") == F.col("last_product"), F.lit(False)))
+    known = known.where("not anchored or coalesce(explained, false)").select("qid", "product_name", F.col("anchored").alias("trusted")).distinct()
+    return known, g.where("product_name is null").groupBy("qid").agg(F.array_sort(F.collect_set("guess")).alias("unresolved"))
+
+
+def offered(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, product_name, wants_all): what the turn before offered and still is a name, for messages of weak words alone."""
+    weak = resolve.content_free("message") | resolve.content_free(F.regexp_replace("message", r"(?i)\b(all|full|complete|every)\b", " "))
+    c = questions.where(weak & (F.size("last_candidates") > 0)).select("qid", "brand", resolve.full_list("message").alias("wants_all"), F.explode(F.array_distinct("last_candidates")).alias("product_name"))
+    return c.join(names.select("brand", "product_name"), ["brand", "product_name"]).select("qid", "product_name", "wants_all")
+
+
 def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFrame:
-    """Qid, rule, outcome (lookup, multi or clarify) and product_name, a row for each product: the first rule that applies to a question.
+    """Qid, priority, rule, outcome (lookup, multi or clarify) and product_name, a row for each product: the first rule that applies to a question.
 
-    Rules, in order: two products or more named; one named whose family the message doesn't settle; one named; one code; several codes; the anchor, where it explains
-    what is left of the message; one best score; of tied scores the anchor, the one that has all tokens of the others, or
-    a choice to be clarified; a phrase of one product; of several; the anchor for a message of weak words. An intent's
-    names are valid only if they are names. ``questions`` may have last_product and intent.
+    Rules, in order: two products or more named, or one beside names of an intent that are none; the code, where an intent names one product and the
+    message another's code; one named whose family the message doesn't settle, the anchor if it is one of these; one named; one code;
+    several codes; the anchor, where it explains what is left of the message; one best score; of tied scores the anchor, the one that has all
+    tokens of the others, or a choice to be clarified; for a message of weak words what the turn before offered, all of it if everything is
+    wanted, else again a choice; a phrase of one product; of several; the anchor for a message of weak words. An intent's names
+    count as in ``guesses_of``. ``questions`` may have last_product, last_candidates and intent.
     """
-    q = questions
-    for c, kind in (("last_product", "string"), ("intent", "struct<product_names:array<string>>")):
-        if c not in q.columns:
-            q = q.withColumn(c, F.lit(None).cast(kind))
+    q = with_session(questions)
     codes = resolve.codes_of(names, prices)
-    named = resolve.mentions(q, names).select("qid", "product_name")
-    guesses = q.select("qid", "brand", F.explode("intent.product_names").alias("guess"))
-    named = staged(resolve.without_fragments(resolve.validated(guesses, names), named), "named")
+    explained = staged(resolve.anchor_explains(q, prices), "explained")
+    literal = resolve.mentions(q, names).select("qid", "product_name")
+    guessed, unresolved = guesses_of(q, names, explained)
+    guessed, unresolved = staged(guessed, "guessed"), staged(unresolved, "unresolved")
+    named = staged(resolve.without_fragments(guessed.select("qid", "product_name").distinct(), literal), "named")
     coded = staged(resolve.by_code(q, codes).select("qid", "product_name"), "coded")
     scored = staged(resolve.matches(q, names), "scored")
     top = resolve.tied(scored)
     best = scored.where("rank = 1").select("qid", F.col("score").alias("best"))
     full = resolve.maximal(top.select("qid", "product_name"))
     phrased = staged(resolve.by_phrase(q, resolve.phrase_index(prices)).select("qid", "product_name").distinct(), "phrased")
-    explained = resolve.anchor_explains(q, prices)
     anchor = q.where("last_product is not null").select("qid", F.col("last_product").alias("product_name"))
     counted = lambda d: d.withColumn("_n", F.count("*").over(Window.partitionBy("qid")))
-    one = lambda d, n, rule: counted(d).where("_n = 1").select("qid", "product_name", F.lit(n).alias("priority"), F.lit(rule).alias("rule"), F.lit("lookup").alias("outcome"))
-    many = lambda d, n, rule, outcome: counted(d).where("_n > 1").select("qid", "product_name", F.lit(n).alias("priority"), F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome"))
+    told = lambda d, n, rule, outcome: d.select("qid", "product_name", F.lit(n).alias("priority"), F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome"))
+    one = lambda d, n, rule: told(counted(d).where("_n = 1"), n, rule, "lookup")
+    many = lambda d, n, rule, outcome: told(counted(d).where("_n > 1"), n, rule, outcome)
     weak = q.where(resolve.content_free("message") & F.col("last_product").isNotNull()).select("qid", F.col("last_product").alias("product_name"))
     sole = counted(named).where("_n = 1").select("qid", "product_name")
-    family = resolve.family_ambiguity(q, sole, names)
+    intended = q.where("size(intent.product_names) > 0").select("qid")
+    family = staged(resolve.family_ambiguity(q, sole.join(guessed.where("trusted"), ["qid", "product_name"], "left_anti"), names), "family")
+    stays = family.join(anchor, ["qid", "product_name"], "left_semi").select("qid", "product_name")
+    offers = staged(offered(q, names), "offered")
     candidates = [
         many(named, 1, "named", "multi"),
-        many(family, 2, "family", "clarify"),
+        told(sole.join(unresolved, "qid", "left_semi"), 1, "named", "multi"),
+        one(coded.join(sole.select("qid"), "qid", "left_semi").join(intended, "qid", "left_semi"), 2, "code_override"),
+        told(stays, 2, "anchor_family", "lookup"),
+        many(family.join(stays.select("qid"), "qid", "left_anti"), 2, "family", "clarify"),
         one(named, 3, "named"),
         one(coded, 4, "code"),
         many(coded, 5, "code", "clarify"),
@@ -51,15 +85,20 @@ def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> Data
         one(top.join(anchor, ["qid", "product_name"], "left_semi").select("qid", "product_name"), 8, "anchor"),
         one(full.join(best.where("best < 100"), "qid", "left_semi"), 9, "maximal"),
         many(top.select("qid", "product_name"), 10, "tie", "clarify"),
-        one(phrased, 11, "phrase"),
-        many(phrased, 12, "phrase", "clarify"),
-        one(weak, 13, "follow_up"),
+        many(offers.where("wants_all"), 11, "offered", "multi"),
+        one(offers.where("wants_all"), 11, "offered"),
+        told(offers.where("not wants_all"), 11, "offered", "clarify"),
+        one(phrased, 12, "phrase"),
+        many(phrased, 13, "phrase", "clarify"),
+        one(weak, 14, "follow_up"),
     ]
     found = candidates[0]
     for c in candidates[1:]:
         found = found.unionByName(c)
-    first = F.min("priority").over(Window.partitionBy("qid"))
-    return found.withColumn("_p", first).where("priority = _p").drop("_p").distinct()
+    # a code beats the family of a name that the intent gave
+    found = found.withColumn("_o", F.when(F.col("rule") == "code_override", 0).otherwise(1))
+    first = F.min(F.struct("priority", "_o")).over(Window.partitionBy("qid"))
+    return found.withColumn("_p", first).where("priority = _p.priority and _o = _p._o").drop("_p", "_o").distinct()
 
 
 def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFrame:
@@ -67,13 +106,15 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
 
     With each row: ``excluded``, the part of the message that has nothing to do with the product (R8b); ``low`` and
     ``high``, the range of the prices shown (N10); ``withheld``, the rows left out because their prices conflict;
-    ``sizes`` and ``tiers`` that the product has, where no row fits (N4).
+    ``sizes`` and ``tiers`` that the product has, where no row fits (N4); the notes of ``noted``; and ``unresolved``, an intent's names
+    that are none.
 
     A compound question about one product (R14) has the rows of both its parts and is of several products' kind. A question of several products is scoped to clauses (R9, R13) before the chain; a choice to clarify lists its
     candidates (L4: the first five, with the number of the others in ``hidden``) and no rows.
     """
     questions, names, prices = staged(questions, "questions"), staged(names, "names"), staged(prices, "prices")
     found = staged(decisions(questions, names, prices), "decisions")
+    _, unresolved = guesses_of(with_session(questions), names, questions.select("qid", F.lit(None).cast("boolean").alias("explained")))
     multi = found.where("outcome = 'multi'")
     claims = multi.select("qid", "product_name", F.dense_rank().over(Window.partitionBy("qid").orderBy("product_name")).alias("claim"))
     sole = found.where("outcome = 'lookup'")
@@ -105,7 +146,51 @@ def answers(questions: DataFrame, names: DataFrame, prices: DataFrame) -> DataFr
     clarify = found.where("outcome = 'clarify'").withColumn("k", rank).withColumn("hidden", F.greatest(F.lit(0), F.count("*").over(Window.partitionBy("qid")) - 5)).where("k <= 5")
     clarify = clarify.join(questions.select("qid", "brand"), "qid").select("qid", "brand", "product_name", "rule", "hidden", F.lit("clarify_product").alias("status"))
     none = questions.join(found, "qid", "left_anti").select("qid", "brand", F.lit("no_product_match").alias("status"))
-    return rows.unionByName(clarify, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
+    out = rows.unionByName(clarify, allowMissingColumns=True).unionByName(none, allowMissingColumns=True)
+    out = out.join(staged(noted(rows, prices), "notes"), ["qid", "product_name"], "left")
+    return out.join(staged(unresolved, "unresolved"), "qid", "left")
+
+
+def noted(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """What an answer says of the rows it shows, for each product: qid, product_name, shown_name, add_on, total, n_variants, n_contexts, labels.
+
+    ``shown_name``: the variant that all rows share, after the product unless it holds its name; where all variants have one
+    short code, the product and that; else the product. ``add_on``: that shared variant is a surcharge. ``total``: of a single such row, its price
+    with that of the only main variant at the same size. ``labels``: the groups of contexts and variants, where there are several.
+    """
+    shown = rows.where("row_ord is not null")
+    shared = (F.count("*") == F.count("model_variant")) & (F.min("model_variant") == F.max("model_variant"))
+    code = X.short_code("model_variant")
+    context = F.when(F.col("variant_context").isNotNull(), F.concat_ws(" — ", "variant_context", "model_variant")).otherwise(F.col("model_variant"))
+    d = shown.groupBy("qid", "brand", "product_name").agg(
+        F.when(shared, F.min("model_variant")).alias("variant"), F.when(F.min(code) == F.max(code), F.replace(F.min(code), F.lit(":"), F.lit("."))).alias("code"),
+        F.count_distinct("model_variant").alias("n_variants"), F.count_distinct("variant_context").alias("n_contexts"), F.array_sort(F.collect_set(context)).alias("labels"),
+        F.when(F.count("*") == 1, F.first("row_ord")).alias("row_ord"),
+    )
+    kinds = narrow.add_on_rows(prices).where("model_variant is not null")
+    mains = kinds.where("not add_on").groupBy("brand", "product_name").agg(F.when(F.count("*") == 1, F.min("model_variant")).alias("main")).where("main is not null")
+    size = F.regexp_replace(F.lower("size"), r"\s", "")
+    main = prices.join(mains, ["brand", "product_name"]).where((F.col("model_variant") == F.col("main")) & ~F.coalesce("ambiguous", F.lit(False)) & F.col("size").isNotNull())
+    main = main.groupBy("brand", "product_name", size.alias("k")).agg(F.min_by("price_eur", "row_ord").alias("main_price"))
+    own = prices.select("brand", "product_name", "row_ord", size.alias("k"), F.col("price_eur").alias("own_price"))
+    d = d.join(kinds.select("brand", "product_name", F.col("model_variant").alias("variant"), "add_on"), ["brand", "product_name", "variant"], "left")
+    d = d.join(own, ["brand", "product_name", "row_ord"], "left").join(main, ["brand", "product_name", "k"], "left")
+    named = F.concat(F.col("product_name"), F.lit(" ("), F.col("variant"), F.lit(")"))
+    name = F.when(F.contains(X.normalize("variant"), X.normalize("product_name")), F.col("variant")).when(F.col("variant").isNotNull(), named)
+    name = name.when(F.col("code").isNotNull(), F.concat("product_name", F.lit(" "), "code")).otherwise(F.col("product_name"))
+    add_on = F.coalesce("add_on", F.lit(False))
+    total = F.when(add_on & F.col("main_price").isNotNull(), X.add_on_total("main_price", "own_price"))
+    labels = F.when(F.size("labels") > 1, F.array_join("labels", "; "))
+    return d.select("qid", "product_name", name.alias("shown_name"), add_on.alias("add_on"), total.alias("total"), "n_variants", "n_contexts", labels.alias("labels"))
+
+
+def summaries(answered: DataFrame, names: DataFrame, many: int = 20) -> DataFrame:
+    """Qid, n_products, n_priced, n_unpriced, subject of answers about more than ``many`` products, which are told in one line: the collection if all are of one."""
+    multi = answered.where("status = 'multi_product'").groupBy("qid", "brand", "product_name").agg((F.count("row_ord") > 0).alias("priced"))
+    d = multi.join(names.select("brand", "product_name", "collection"), ["brand", "product_name"], "left")
+    one = (F.count("*") == F.count("collection")) & (F.min("collection") == F.max("collection"))
+    g = d.groupBy("qid").agg(F.count("*").alias("n_products"), F.count_if("priced").alias("n_priced"), F.when(one, F.min("collection")).otherwise("matching").alias("subject"))
+    return g.where(F.col("n_products") > many).select("qid", "n_products", "n_priced", (F.col("n_products") - F.col("n_priced")).alias("n_unpriced"), "subject")
 
 
 #: Fixed forms of compound questions: a word that begins with a digit, and one or two words after it.

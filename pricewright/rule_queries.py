@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog_queries import CODES, DECISIONS, MATCHES, MENTIONS, NORMAL, SCORES, TOKENS, _list, query
+from .catalog_queries import CODES, DECISIONS, MATCHES, MENTIONS, NORMAL, ORACLES, SCORES, TOKENS, _list, codes_sql, query
 from .functions import text as X
 from .operators import extract, gates, narrow, resolve
 from .plans import answer
@@ -235,11 +236,13 @@ vo AS (SELECT qid, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM vn W
 mentions AS (SELECT * FROM vn UNION SELECT qid, product_name FROM literal l WHERE NOT EXISTS (SELECT 1 FROM vo WHERE vo.qid = l.qid AND list_has_all(vo.t, {TOKENS.format(NORMAL.format('l.product_name'))})))"""
 ANCHORED = rf"""
 phrased AS (SELECT DISTINCT qid, p.product_name FROM (SELECT qid, brand, product_name AS phrase FROM ph_scores WHERE score >= 80 QUALIFY score = max(score) OVER (PARTITION BY qid)) JOIN (SELECT DISTINCT brand, product_name FROM prices WHERE variant_context IS NOT NULL) p USING (brand)),
-cand2 AS (SELECT qid, product_name, priority, rule, outcome FROM decided
+cand2 AS (SELECT qid, product_name, priority, rule, outcome FROM decided WHERE rule <> 'family' OR qid NOT IN (SELECT qid FROM fam JOIN sess USING (qid) WHERE target = product_name)
+  UNION ALL SELECT qid, product_name, 1, 'named', 'multi' FROM mentions JOIN sess USING (qid) WHERE guess IS NOT NULL
+  UNION ALL SELECT qid, target, 2, 'anchor_family', 'lookup' FROM fam JOIN sess USING (qid) WHERE target = product_name
   UNION ALL SELECT qid, target, 6, 'anchor', 'lookup' FROM sess WHERE target IS NOT NULL AND qid NOT IN (SELECT qid FROM miss)
   UNION ALL SELECT qid, product_name, 8, 'anchor', 'lookup' FROM tp JOIN sess USING (qid) WHERE target = product_name
-  UNION ALL SELECT qid, product_name, CASE WHEN count(*) OVER w > 1 THEN 12 ELSE 11 END, 'phrase', CASE WHEN count(*) OVER w > 1 THEN 'clarify' ELSE 'lookup' END FROM phrased WINDOW w AS (PARTITION BY qid)
-  UNION ALL SELECT qid, target, 13, 'follow_up', 'lookup' FROM sess WHERE target IS NOT NULL AND len(list_filter({TOKENS.format(NORMAL.format('message'))}, lambda x: NOT list_contains({_list(X.RISKY)}, x))) = 0)
+  UNION ALL SELECT qid, product_name, CASE WHEN count(*) OVER w > 1 THEN 13 ELSE 12 END, 'phrase', CASE WHEN count(*) OVER w > 1 THEN 'clarify' ELSE 'lookup' END FROM phrased WINDOW w AS (PARTITION BY qid)
+  UNION ALL SELECT qid, target, 14, 'follow_up', 'lookup' FROM sess WHERE target IS NOT NULL AND len(list_filter({TOKENS.format(NORMAL.format('message'))}, lambda x: NOT list_contains({_list(X.RISKY)}, x))) = 0)
 SELECT DISTINCT qid, product_name, priority, rule, outcome FROM cand2 QUALIFY priority = min(priority) OVER (PARTITION BY qid)"""
 
 
@@ -247,3 +250,61 @@ SELECT DISTINCT qid, product_name, priority, rule, outcome FROM cand2 QUALIFY pr
        + ", ".join((_of_sessions(MATCHES), _of_sessions(MENTIONS).replace("mentions AS", "literal AS"), NAMED, _of_sessions(CODES), _of_sessions(DECISIONS), PHRASES, EXPLAINED, ANCHORED)))
 def session_decisions(spark, d):
     return answer.decisions(session_questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
+
+
+INTENTS = 6  # kinds of questions below
+
+
+def intent_questions(spark, d):
+    """A question for each product, of six kinds: an intent against a code; weak words after an offer, all of it or not; an intent with a name that is none; an offer that is gone; a fresh attempt beside an intent of the anchor."""
+    q = adapter.questions(spark, d).select("qid", "brand", F.col("target").alias("t"))
+    first = adapter.prices(spark, d).groupBy("brand", F.col("product_name").alias("t")).agg(F.min_by("code", "row_ord").alias("code"))
+    q = q.join(first, ["brand", "t"], "left")
+    by = Window.partitionBy("brand").orderBy("t")
+    q = q.withColumn("after", F.coalesce(F.lead("t").over(by), F.col("t"))).withColumn("k", F.col("qid") % INTENTS)
+    pick = lambda *values: F.element_at(F.array(*values), (F.col("k") + 1).cast("int"))
+    none, no_list, t, after = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.col("t"), F.col("after")
+    price, gone = F.lit("price"), F.lit("No Such Thing")
+    message = pick(F.concat(F.lit("price of "), F.coalesce("code", F.lit("it"))), price, F.lit("all prices"), price, price, F.lit("zzqx price"))
+    intent = pick(F.array(after), no_list, no_list, F.array(F.upper(t), gone), no_list, F.array(t))
+    offer = pick(no_list, F.array(t, after), F.array(t, after), no_list, F.array(gone), no_list)
+    last = pick(none, none, none, none, none, t)
+    return q.select("qid", "brand", message.alias("message"), last.alias("last_product"), offer.alias("last_candidates"), F.when(intent.isNotNull(), F.struct(intent.alias("product_names"))).alias("intent"))
+
+
+INTENT_SQL = """iq0 AS (SELECT qid, q.brand, target AS t, coalesce(lead(target) OVER (PARTITION BY q.brand ORDER BY target), target) AS after, (SELECT arg_min(code, row_ord) FROM prices p WHERE p.brand = q.brand AND p.product_name = target) AS code FROM questions q),
+iq AS (SELECT *, qid % 6 AS k, 'price of ' || coalesce(code, 'it') AS message FROM iq0)"""
+
+
+@query("WITH {model}, " + INTENT_SQL + ", " + codes_sql("(SELECT * FROM iq WHERE k = 0)") + """, c1 AS (SELECT qid, min(product_name) AS product_name FROM coded GROUP BY qid HAVING count(*) = 1)
+SELECT qid, coalesce(c1.product_name, after) AS product_name, CASE WHEN c1.qid IS NULL THEN 'named' ELSE 'code_override' END AS rule, 'lookup' AS outcome FROM iq LEFT JOIN c1 USING (qid) WHERE k = 0
+UNION ALL SELECT DISTINCT qid, unnest([t, after]), 'offered', 'clarify' FROM iq WHERE k = 1
+UNION ALL SELECT DISTINCT qid, unnest([t, after]), 'offered', CASE WHEN t = after THEN 'lookup' ELSE 'multi' END FROM iq WHERE k = 2
+UNION ALL SELECT qid, t, 'named', 'multi' FROM iq WHERE k = 3""")
+def intent_decisions(spark, d):
+    found = answer.decisions(intent_questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d))
+    return found.select("qid", "product_name", "rule", "outcome")
+
+
+@query("WITH {model} SELECT qid, 'No Such Thing' AS unresolved FROM questions WHERE qid % 6 = 3")
+def unresolved_names(spark, d):
+    q = intent_questions(spark, d)
+    explained = q.select("qid", F.lit(False).alias("explained"))
+    found = answer.guesses_of(q, adapter.catalog_index(spark, d), explained)[1]
+    return found.select("qid", F.array_join("unresolved", ", ").alias("unresolved"))
+
+
+_STATUS = ORACLES["answer_status"]
+
+
+@query(_STATUS[: _STATUS.index("told AS (")] + """ar AS (SELECT *, CASE WHEN starts_with(model_variant, 'h.') THEN model_variant END AS short, CASE WHEN variant_context IS NOT NULL THEN variant_context || coalesce(' — ' || model_variant, '') ELSE model_variant END AS label FROM v6 WHERE kept3 AND NOT (any_clean AND ambiguous)),
+ak AS (SELECT brand, product_name, model_variant AS variant, avg(starts_with(price_eur, '+')::INT) > 0.5 AS add_on FROM prices WHERE model_variant IS NOT NULL GROUP BY ALL),
+am AS (SELECT p.brand, p.product_name, p.size, arg_min(price_eur, row_ord) AS main_price FROM prices p JOIN (SELECT brand, product_name, min(variant) AS main FROM ak WHERE NOT add_on GROUP BY ALL HAVING count(*) = 1) m ON p.brand = m.brand AND p.product_name = m.product_name AND p.model_variant = m.main WHERE NOT ambiguous AND size IS NOT NULL GROUP BY ALL),
+ag AS (SELECT qid, brand, product_name, CASE WHEN count(*) = count(model_variant) AND min(model_variant) = max(model_variant) THEN min(model_variant) END AS variant, CASE WHEN min(short) = max(short) THEN min(short) END AS short,
+  count(DISTINCT model_variant) AS n_variants, count(DISTINCT variant_context) AS n_contexts, list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)) AS labels, count(*) AS n, any_value(price_eur) AS price, any_value(size) AS size FROM ar GROUP BY ALL)
+SELECT ag.qid, ag.product_name, CASE WHEN ag.variant IS NOT NULL THEN ag.product_name || ' (' || ag.variant || ')' WHEN short IS NOT NULL THEN ag.product_name || ' ' || short ELSE ag.product_name END AS shown_name, coalesce(add_on, false) AS add_on,
+  CASE WHEN n = 1 AND add_on THEN replace(format('{:,}', TRY_CAST(regexp_replace(main_price, '[^0-9]', '', 'g') AS BIGINT) + TRY_CAST(regexp_replace(price, '[^0-9]', '', 'g') AS BIGINT)), ',', '.') END AS total, n_variants, n_contexts, CASE WHEN len(labels) > 1 THEN array_to_string(labels, '; ') END AS labels
+FROM ag LEFT JOIN ak ON ak.brand = ag.brand AND ak.product_name = ag.product_name AND ak.variant = ag.variant LEFT JOIN am ON am.brand = ag.brand AND am.product_name = ag.product_name AND am.size = ag.size AND n = 1""")
+def answer_notes(spark, d):
+    a = answer.answers(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d)).where("row_ord is not null")
+    return a.select("qid", "product_name", "shown_name", "add_on", "total", "n_variants", "n_contexts", "labels").distinct()

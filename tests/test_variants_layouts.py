@@ -155,3 +155,43 @@ def test_page_texts_of_bytes(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"<<<PDFPAGE:1>>>\nPerch\xe9 no\r\n<<<PDFPAGE:2>>>\nok\xe2\x82")
     got = sorted((r.page, r.text) for r in readers.page_texts(spark, str(tmp_path)).collect())
     assert got == [(1, "Perch� no\n"), (2, "ok�")]
+
+
+def decided(spark, prices, asked):
+    names = prices.groupBy("brand", "product_name").agg(F.lit("One").alias("collection"), F.min("row_ord").alias("first"))
+    rows = [(i, "D", m, last, offers, (guess,) if guess else None) for i, (m, last, offers, guess) in enumerate(asked)]
+    q = spark.createDataFrame(rows, "qid long, brand string, message string, last_product string, last_candidates array<string>, intent struct<product_names:array<string>>")
+    return q, names
+
+
+def test_decisions_of_sessions(spark, prices):
+    asked = [
+        ("give me prices", None, ["On Line", "Face", "Gone"], None), ("give me all prices", None, ["On Line", "Face", "Gone"], None), ("all prices", None, ["Face"], None), ("prices", None, ["Gone"], None),
+        ("price F27", None, None, ["On Line"]), ("price of face", None, None, ["FACE", "Nowhere"]), ("zzqx price", "On Line", None, ["On Line"]), ("island price", "On Line", None, ["On Line"]),
+    ]
+    q, names = decided(spark, prices, asked)
+    got = {}
+    for r in answer.decisions(q, names, prices).collect():
+        got.setdefault(r.qid, set()).add((r.product_name, r.rule, r.outcome))
+    assert got[0] == {("On Line", "offered", "clarify"), ("Face", "offered", "clarify")} and got[1] == {("On Line", "offered", "multi"), ("Face", "offered", "multi")}
+    assert got[2] == {("Face", "offered", "lookup")} and 3 not in got
+    assert got[4] == {("Face", "code_override", "lookup")} and got[5] == {("Face", "named", "multi")}
+    assert 6 not in got  # a fresh attempt at another product
+    assert got[7] == {("On Line", "named", "lookup")}
+    told = {r.qid: r for r in answer.answers(q, names, prices).collect()}
+    assert told[5].unresolved == ["Nowhere"] and told[3].status == told[6].status == "no_product_match"
+    assert told[7].shown_name == "On Line (Island)" and told[7].n_variants == 1 and told[7].total is None
+
+
+def test_add_on_totals_and_summaries(spark):
+    row = lambda p, v, size, price, n: ("D", p, v, None, size, None, None, f"C{n}", price, False, 1, n)
+    rows = [row("Face", "Face", "160x200", "1.200", 1), row("Face", "Lift", "160x200", "+300", 2), row("Face", "Lift", "180x200", "+350", 3)]
+    rows += [row(f"Lamp {c}", None, None, "10", 10 + i) for i, c in enumerate("abcdefghijklmnopqrstuvw")]
+    p = spark.createDataFrame(rows, PRICES)
+    names = p.groupBy("brand", "product_name").agg(F.lit("Set").alias("collection"), F.min("row_ord").alias("first"))
+    every = ", ".join(f"lamp {c}" for c in "abcdefghijklmnopqrstuvw")
+    q = spark.createDataFrame([(1, "D", "face lift 160x200"), (2, "D", "face lift"), (3, "D", every)], "qid long, brand string, message string")
+    out = answer.answers(q, names, p)
+    got = {r.qid: r for r in out.where("qid < 3").collect()}
+    assert (got[1].shown_name, got[1].add_on, got[1].total) == ("Face (Lift)", True, "1.500") and (got[2].add_on, got[2].total) == (True, None)
+    assert [tuple(r) for r in answer.summaries(out, names).collect()] == [(3, 23, 23, 0, "Set")]

@@ -300,10 +300,19 @@ def leftover(message, name) -> Column:
     return F.filter(words, lambda w: ~w.isin(*known) & ~w.rlike(r"^\d+(x\d+)*$"))
 
 
-def anchor_explains(questions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Qid, explained: whether every word left of a message is known of its last product: its variants, contexts, tier labels, their leading digits, or within an edit or two of such a word (four letters at least)."""
+def anchor_explains(questions: DataFrame, prices: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Qid, explained: whether every word left of a message is known of its last product: its variants, contexts, tier labels, their leading digits (3er by
+    3-er), or within an edit or two of such a word (four letters at least), or a word of its page's title block (``titles``: brand, product_name, title_block), if given."""
     p = prices.select("brand", F.col("product_name").alias("last_product"), F.explode(F.array("model_variant", "variant_context", "tier_label", "fabric_tier", "size")).alias("v")).where("v is not null")
     vocab = p.select("brand", "last_product", F.explode(X.tokenize_loose("v")).alias("v")).groupBy("brand", "last_product").agg(F.collect_set("v").alias("vocab"))
     q = questions.where("last_product is not null").select("qid", "brand", "last_product", leftover("message", "last_product").alias("w")).join(vocab, ["brand", "last_product"], "left")
-    near = lambda w: F.exists("vocab", lambda v: (v == w) | (F.regexp_extract(v, r"^(\d+)", 1) == w) | (F.length(w) >= 4) & (F.length(v) >= 4) & (F.levenshtein(w, v) <= F.when(F.length(w) == 4, 1).otherwise(2)))
-    return q.select("qid", F.forall("w", lambda w: F.coalesce(near(w), F.lit(False))).alias("explained"))
+    if titles is None:
+        q = q.withColumn("block", F.lit(None).cast("string"))
+    else:
+        first = titles.groupBy("brand", F.col("product_name").alias("last_product")).agg(F.min("title_block").alias("block"))
+        q = q.join(first, ["brand", "last_product"], "left")
+    digits = lambda x: F.regexp_extract(x, r"^(\d+)", 1)
+    close = lambda w, v: (F.length(w) >= 4) & (F.length(v) >= 4) & (F.levenshtein(w, v) <= F.when(F.length(w) == 4, 1).otherwise(2))
+    near = lambda w: F.exists("vocab", lambda v: (v == w) | (digits(v) == w) | ((digits(w) != "") & (digits(w) == digits(v))) | close(w, v))
+    titled = lambda w: F.coalesce(X.contains_word(F.lower("block"), w), F.lit(False))
+    return q.select("qid", F.forall("w", lambda w: F.coalesce(near(w), F.lit(False)) | titled(w)).alias("explained"))

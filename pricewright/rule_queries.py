@@ -13,6 +13,8 @@ from .operators import extract, gates, narrow, resolve
 from .plans import answer
 from .sources import adapter, readers
 from .sources.adapter import table
+from .sources.staging import staged
+from .streaming import sessions
 
 # ---- text functions
 
@@ -308,3 +310,16 @@ FROM ag LEFT JOIN ak ON ak.brand = ag.brand AND ak.product_name = ag.product_nam
 def answer_notes(spark, d):
     a = answer.answers(adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d)).where("row_ord is not null")
     return a.select("qid", "product_name", "shown_name", "add_on", "total", "n_variants", "n_contexts", "labels").distinct()
+
+
+@query(_STATUS[: _STATUS.rindex("SELECT qid, status")] + """
+SELECT qid, product_name, 'offered' AS rule, 'multi' AS outcome FROM told WHERE status = 'clarify_product'
+UNION ALL SELECT qid, product_name, 'anchor', 'lookup' FROM told WHERE status NOT IN ('clarify_product', 'no_product_match', 'multi_product')""")
+def session_turns(spark, d):
+    """Every question as a session's first turn, and ``all prices`` as its second: answered, what it leaves joined, decided."""
+    first = adapter.questions(spark, d).withColumn("session", F.col("qid")).withColumn("turn", F.lit(0))
+    names, prices = adapter.catalog_index(spark, d), adapter.prices(spark, d)
+    results = staged(sessions.results_of(first, answer.answers(first, names, prices), "session", "turn"), "results")
+    second = first.select("qid", "brand", "session", F.lit(1).alias("turn"), F.lit("all prices").alias("message"))
+    found = answer.decisions(sessions.asked_next(second, results, "session"), names, prices)
+    return found.select("qid", "product_name", "rule", "outcome")

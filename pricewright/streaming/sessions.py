@@ -38,17 +38,40 @@ def anchors(results: DataFrame, *keys: str) -> DataFrame:
     return left_by(results).withColumn("anchor", before)
 
 
-def stream_anchors(results: DataFrame, key: str = "session") -> DataFrame:
+def results_of(questions: DataFrame, answered: DataFrame, *keys: str) -> DataFrame:
+    """What ``answer.answers`` found, as a turn's result: keys, status, product_name (null for several), candidates, variants; one row for each question (qid, keys)."""
+    shown = F.when(F.col("row_ord").isNotNull(), F.col("model_variant"))
+    clarify = F.col("status") == "clarify_product"
+    one = F.min("product_name") == F.max("product_name")
+    g = answered.groupBy("qid").agg(
+        F.min("status").alias("status"), F.when(one & ~F.bool_or(clarify), F.min("product_name")).alias("product_name"),
+        F.array_sort(F.collect_set(F.when(clarify, F.col("product_name")))).alias("candidates"), F.array_sort(F.collect_set(shown)).alias("variants"),
+    )
+    return questions.select("qid", *keys).join(g, "qid").drop("qid")
+
+
+def asked_next(questions: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """Questions (keys, turn) with what the turn before left in their session: last_product, last_candidates, last_variants, from results (keys, turn, status ...) of that turn."""
+    left = left_by(results).select(*keys, (F.col("turn") + 1).alias("turn"), F.col("anchor.product_name").alias("last_product"), F.col("anchor.candidates").alias("last_candidates"), F.col("anchor.last_variants").alias("last_variants"))
+    none = F.array().cast("array<string>")
+    return questions.join(left, [*keys, "turn"], "left").withColumn("last_variants", F.coalesce("last_variants", none))
+
+
+def stream_anchors(results: DataFrame, key: str = "session", idle: int | None = None) -> DataFrame:
     """W7 as a stream: (key, turn, anchor before it) from a streaming table (key, turn, status, product_name, candidates, variants).
 
-    Only a session's last anchor is kept as state. Turns of one batch are put in order; a turn that comes after a
-    later one was seen is answered from the state as it stands.
+    Only a session's last anchor is kept as state; with ``idle`` none of a session that was idle for so many milliseconds, and its
+    next turn has no anchor. For streams that run on: queries that end when all is read (``availableNow``) wait for timeouts. Turns of one batch are put in order; a turn that comes after a later one was seen is answered from the
+    state as it stands.
     """
     kind = dict(results.dtypes)[key]
     schema = f"{key} {kind}, turn long, anchor struct<{ANCHOR.replace(' ', ':').replace(',:', ',')}>"
     prepared = left_by(results).select(key, F.col("turn").cast("long").alias("turn"), "anchor.*")
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else (None, None, None)
         rows = pd.concat(list(batches)).sort_values("turn")
         out = []
@@ -57,6 +80,8 @@ def stream_anchors(results: DataFrame, key: str = "session") -> DataFrame:
             lists = [None if x is None else list(x) for x in (row.candidates, row.last_variants)]
             now = (row.product_name, *lists)
         state.update(now)
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out)
 
-    return prepared.groupBy(key).applyInPandasWithState(step, schema, ANCHOR, "append", "NoTimeout")
+    return prepared.groupBy(key).applyInPandasWithState(step, schema, ANCHOR, "append", "ProcessingTimeTimeout" if idle else "NoTimeout")

@@ -1,11 +1,15 @@
 """Variant families, compound questions and index layouts, on planted rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricewright.operators import extract, layouts, narrow, shapes
+from pricewright.operators import extract, layouts, narrow, resolve, shapes
 from pricewright.plans import answer
 from pricewright.sources import readers
+from pricewright.streaming import loading
 
 PRICES = "brand string, product_name string, model_variant string, variant_context string, size string, fabric_tier string, tier_label string, code string, price_eur string, ambiguous boolean, source_pdf_page int, row_ord long"
 LINE = [("2-er sofa", "ONLID2000"), ("3-er sofa", "ONLID3000"), ("3-er maxi sofa", "ONLID300M"), ("3-er extra sofa", "ONLID300E"), ("3-er central element", "ONLIC300"), ("2-er central element", "ONLIC200"), ("Island", "ONLII100"), ("Square corner", "ONLIQ100")]
@@ -195,3 +199,60 @@ def test_add_on_totals_and_summaries(spark):
     got = {r.qid: r for r in out.where("qid < 3").collect()}
     assert (got[1].shown_name, got[1].add_on, got[1].total) == ("Face (Lift)", True, "1.500") and (got[2].add_on, got[2].total) == (True, None)
     assert [tuple(r) for r in answer.summaries(out, names).collect()] == [(3, 23, 23, 0, "Set")]
+
+
+def test_brand_files_replace_their_brand_only(spark, tmp_path):
+    kind = T.StructType([T.StructField("brand", T.StringType()), T.StructField("product_name", T.StringType()), T.StructField("price_eur", T.StringType())])
+    source, table, marks = (str(tmp_path / x) for x in ("in", "table", "marks"))
+    (tmp_path / "in").mkdir()
+    put = lambda name, rows: (tmp_path / "in" / name).write_text(json.dumps([dict(zip(("brand", "product_name", "price_eur"), r)) for r in rows]))
+    manual = spark.createDataFrame([("A", "Manual", "5")], kind)
+
+    def merge(rows):
+        return rows.unionByName(manual.join(rows.select("brand").distinct(), "brand", "left_semi").select(*rows.columns)).distinct()
+
+    def load():
+        loading.stream_brands(spark, source, kind, table, marks, merge).awaitTermination(120)
+        return sorted(tuple(r) for r in readers.reload(spark, table).select("brand", "product_name", "price_eur").collect())
+
+    put("a1.json", [("A", "Ada", "100"), ("A", "Bo", "200")])
+    put("b1.json", [("B", "Cy", "300")])
+    assert load() == [("A", "Ada", "100"), ("A", "Bo", "200"), ("A", "Manual", "5"), ("B", "Cy", "300")]
+    other = sorted(f.name for f in (tmp_path / "table" / "brand=B").glob("*.parquet"))
+    put("a2.json", [("A", "Ada", "110")])
+    first = load()
+    assert first == [("A", "Ada", "110"), ("A", "Manual", "5"), ("B", "Cy", "300")]
+    assert sorted(f.name for f in (tmp_path / "table" / "brand=B").glob("*.parquet")) == other  # untouched
+    assert load() == first  # nothing new
+    again = spark.createDataFrame([("A", "Ada", "110")], kind)
+    loading.replace_brands(again, table, merge)  # the batch once more
+    assert sorted(tuple(r) for r in readers.reload(spark, table).select("brand", "product_name", "price_eur").collect()) == first
+
+
+def test_newest_file_of_a_brand(spark):
+    rows = spark.createDataFrame([("A", 1, "x", 5), ("A", 2, "y", 7), ("A", 3, "y", 7), ("B", 4, "x", 5)], "brand string, n int, file string, modified int")
+    assert sorted(tuple(r) for r in loading.newest(rows).collect()) == [("A", 2), ("A", 3), ("B", 4)]
+
+
+#: Literal questions of the sizes-and-variants gate, on planted rows: message, product of the turn before, variants that must be shown.
+CASES = [
+    ("give on line 2er and 3er sofa price", None, {"2-er sofa", "3-er sofa"}), ("give online 3er and 3er maxi all price", "On Line", {"3-er sofa", "3-er maxi sofa"}),
+    ("give online 3er maxi and 3er all price", "On Line", {"3-er maxi sofa", "3-er sofa"}), ("give 2er and 2er central element price", "On Line", {"2-er sofa", "2-er central element"}),
+    ("give on line 3er price", None, {"3-er sofa", "3-er central element"}), ("give me krisby (armchairs) armchair price", None, {"Armchair", "Armchair mix", "Armchair low", "Armchair mix low"}),
+]
+
+
+def test_cases_through_answers(spark, prices):
+    names = prices.groupBy("brand", "product_name").agg(F.lit(None).cast("string").alias("collection"), F.min("row_ord").alias("first"))
+    q = spark.createDataFrame([(i, "D", m, last) for i, (m, last, _) in enumerate(CASES)], "qid long, brand string, message string, last_product string")
+    shown = {}
+    for r in answer.answers(q, names, prices).where("row_ord is not null").collect():
+        shown.setdefault(r.qid, set()).add(r.model_variant)
+    assert [shown.get(i) for i in range(len(CASES))] == [v for _, _, v in CASES]
+
+
+def test_title_block_explains_a_follow_up(spark, prices):
+    q = spark.createDataFrame([(1, "D", "the modular one", "On Line"), (2, "D", "the modular lamp", "On Line"), (3, "D", "3er maxi", "On Line")], "qid long, brand string, message string, last_product string")
+    titles = spark.createDataFrame([("D", "On Line", "ON LINE\nModular system\nDesign")], "brand string, product_name string, title_block string")
+    got = lambda t: {r.qid: r.explained for r in resolve.anchor_explains(q, prices, t).collect()}
+    assert got(titles)[1] is True and got(None)[1] is False and got(titles)[3] is True

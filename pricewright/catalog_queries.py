@@ -572,13 +572,22 @@ def grid_layout(spark, d):
     return grid.layout(adapter.prices(spark, d)).select("brand", "product_name", "group_label", "fabric_tier", "column_key", "price_eur", "tier_place", "column_place")
 
 
-@query("WITH {model}, pq AS (SELECT * FROM prices WHERE NOT ambiguous), " + GRID.replace("FROM prices", "FROM pq") + ", " + CELLS + """
+_LOST = GRID.replace("FROM prices", "FROM pq") + ", " + CELLS + """
 SELECT g2.brand, g2.product_name, g2.model_variant, size, g2.fabric_tier, g2.code, row_ord, g2.price_eur, c1.f.price_eur AS shown FROM g2 JOIN c1 ON g2.brand = c1.brand AND g2.product_name = c1.product_name AND g2.variant_context IS NOT DISTINCT FROM c1.variant_context
-  AND g2.model_variant IS NOT DISTINCT FROM c1.model_variant AND g2.fabric_tier IS NOT DISTINCT FROM c1.fabric_tier AND g2.column_key = c1.column_key WHERE c1.f.price_eur <> g2.price_eur""")
+  AND g2.model_variant IS NOT DISTINCT FROM c1.model_variant AND g2.fabric_tier IS NOT DISTINCT FROM c1.fabric_tier AND g2.column_key = c1.column_key WHERE c1.f.price_eur <> g2.price_eur"""
+
+
+@query("WITH {model}, pq AS (SELECT * FROM prices WHERE NOT ambiguous), " + _LOST)
 def lost_rows(spark, d):
     return grid.lost_rows(adapter.prices(spark, d))
 
 
+@query("WITH {model}, pq AS (SELECT * FROM prices), " + _LOST)
+def lost_rows_unflagged(spark, d):
+    """The same audit where no row's conflict was flagged: those that a cell hides are found."""
+    return grid.lost_rows(adapter.prices(spark, d).withColumn("ambiguous", F.lit(False)))
+
+
 @query("""WITH {model}, o AS (SELECT brand, product_name, kind, value, min(row_ord) AS first FROM (SELECT brand, product_name, row_ord, unnest(['size', 'tier', 'category']) AS kind, unnest([size, fabric_tier, variant_context]) AS value FROM prices) WHERE value IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, count(*) OVER b AS n, row_number() OVER (b ORDER BY first, value) AS place FROM o WINDOW b AS (PARTITION BY brand, product_name, kind))
 SELECT brand, product_name, kind, place::INT AS place, value AS label, 'give ' || product_name || ' ' || value || ' price' AS question FROM r WHERE n > 1 AND place <= CASE kind WHEN 'category' THEN 2 ELSE 6 END""")

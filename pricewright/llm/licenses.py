@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,12 +131,6 @@ def normalised(text) -> Column:
     return F.regexp_replace(F.regexp_replace(text, ENDS, "\n\n"), OTHER, " ")
 
 
-def anywhere(sentences) -> str:
-    """Pattern of the normalised sentences, longer ones first: from the start of a line or sentence to the end of one, single line ends standing for spaces."""
-    gap = r"(?: ?\n| )"
-    return r"(?<![^\n]) ?(?:" + "|".join(x.replace(" ", gap) for x in sorted(sentences, key=lambda x: (-len(x), x))) + r")(?= ?(?:\n|\z))"
-
-
 def plain(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
@@ -157,6 +152,57 @@ def between(rule: LicenceRule, sign: str) -> str:
     return "".join(f"{sign}{i}" for i in range(1, len(rule.sentences)))
 
 
+def from_texts(texts: dict[str, tuple[str, str]], first_id: int = 1) -> tuple[dict[int, str], tuple[LicenceRule, ...]]:
+    """Sentences and rules of whole licence texts (name to text and verdict): a rule is all sentences of a text in order.
+
+    Equal sentences share an identifier; rules of more sentences come first, so that a text that holds a shorter one
+    isn't taken for it. ``scan`` takes both in place of, or beside, the fixed ones.
+    """
+    ids: dict[str, int] = {}
+    rules = []
+    for name, (text, verdict) in texts.items():
+        found = [x for x in map(plain, re.split(r"[.;:!?]+[ \t\r\n]+|\n[^\w\n]*\n", text)) if x]
+        rules.append(LicenceRule(name, tuple(ids.setdefault(x, first_id + len(ids)) for x in found), verdict))
+    return {i: x for x, i in ids.items()}, tuple(sorted((r for r in rules if r.sentences), key=lambda r: -len(r.sentences)))
+
+
+def heads(known) -> dict[str, int]:
+    """First two words of the known sentences (one, of those of one word) to the most words of a sentence that begins so."""
+    words = [x.split(" ") for x in known]
+    return {h: max(len(w) for w in words if " ".join(w[:2]) == h) for h in sorted({" ".join(w[:2]) for w in words})}
+
+
+def identified(d: DataFrame, known: dict[str, int]) -> DataFrame:
+    """Adds ``s``, the identifiers of the known sentences of ``text`` in order.
+
+    The text is cut once into lines (``p``; an empty one where a sentence ends). A line whose first words begin a known
+    sentence begins a candidate; the candidates are it and the lines after it, up to the end of the sentence and to
+    as many lines as the sentence has words. Each is looked up in the set of known sentences, the longest counts.
+    Costs follow the lines, not the dictionary: both look-ups are in hash sets.
+    """
+    begins = heads(known)
+    single = [x for x in known if " " not in x]
+    line = lambda i: F.nullif(F.get("p", i), F.lit(""))
+    head = lambda i: F.substring_index(F.concat_ws(" ", line(i), line(i + 1)), " ", 2)
+    begun = lambda i: line(i).isNotNull() & (head(i).isin(*begins) | F.get("p", i).isin(*single))
+    most = F.create_map(*(F.lit(x) for h, n in begins.items() for x in (h, n)))
+    after = lambda i: F.slice("p", i + 1, F.coalesce(F.try_element_at(most, head(i)), F.lit(1)))
+    upto = lambda x: F.when(F.array_contains(x, ""), F.slice(x, 1, (F.array_position(x, "") - 1).cast("int"))).otherwise(x)
+    joined = lambda x, n: F.array_join(F.slice(x, 1, n), " ")
+    candidates = lambda r: F.transform(F.sequence(F.lit(1), F.size(r["x"])), lambda n: F.struct(r["at"].alias("at"), (r["at"] + n).alias("end"), joined(r["x"], n).alias("form")))
+    longest = lambda r: F.try_element_at(F.filter(candidates(r), lambda c: c["form"].isin(*known)), F.lit(-1))
+    ids = F.create_map(*(F.lit(x) for form, i in known.items() for x in (form, str(i))))
+    # one that began up to a sentence's length before may reach over this one
+    reach = max(begins.values())
+    earlier = lambda j: F.slice("f", F.greatest(j - reach + 1, F.lit(1)), F.least(j, F.lit(reach)))
+    free = lambda f, j: ~F.exists(earlier(j), lambda g: g["end"] > f["at"])
+    d = d.withColumn("p", F.transform(F.split(normalised(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x)))
+    d = d.withColumn("b", F.filter(F.sequence(F.lit(0), F.size("p") - 1), begun))
+    d = d.withColumn("r", F.transform("b", lambda i: F.struct(i.alias("at"), upto(after(i)).alias("x"))))
+    d = d.withColumn("f", F.filter(F.transform("r", longest), lambda f: f.isNotNull()))
+    return d.withColumn("s", F.transform(F.filter("f", free), lambda f: F.element_at(ids, f["form"]))).drop("p", "b", "r", "f")
+
+
 def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
     """doc_id, n_sentences, sequence, licences, verdict: known sentences of each text, in order, and the rules that they fulfil.
 
@@ -168,19 +214,14 @@ def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) ->
 
     A known sentence may be wrapped over lines, with comment marks (without letters: #, *, //, ;;) before and (but for .;:!?) after
     each, but not over a blank line. It starts where a line or a sentence starts and ends where one ends, so a line
-    alone counts as well; of several that start at one place the longest counts, and none within another.
+    alone counts as well; of several that start at one place the longest counts, and none that starts within another found one.
 
     Null and empty texts have no sentences and the verdict none. Repeated rows and null ids: a row for each.
     Empty table: no rows. Other columns are ignored.
     """
     known = forms(sentences)
-    found = F.array().cast("array<string>")
-    if known:
-        found = F.regexp_extract_all(normalised(F.coalesce("text", F.lit(""))), F.lit(anywhere(known)), F.lit(0))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("s"))
-    if known:
-        ids = F.create_map(*(F.lit(x) for form, i in known.items() for x in (form, str(i))))
-        d = d.withColumn("s", F.transform("s", lambda x: F.try_element_at(ids, F.trim(F.regexp_replace(x, r"\s+", " ")))))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = identified(d, known) if known else d.withColumn("s", F.array().cast("array<string>"))
     sequence = F.when(F.size("s") > 0, F.concat(F.lit(" "), F.array_join("s", " "), F.lit(" "))).otherwise("")
     d = d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), sequence.alias("sequence"))
     none = F.array().cast("array<string>")
@@ -200,17 +241,28 @@ def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) ->
 
 def scan_sql(sentences: dict[int, str] = SENTENCES, rules=RULES) -> str:
     known = ", ".join(f"({i}, '{s}')" for s, i in forms(sentences).items())
+    most = max(heads(forms(sentences)).values())
     steps = [f"""
-q{k + 1} AS (SELECT doc_id, n, sequence, CASE WHEN regexp_matches(q, '{pattern(r)}') THEN regexp_replace(q, '{pattern(r)}', '{between(r, chr(92))}', 'g') ELSE q END AS q,
+q{k + 1} AS (SELECT rid, sequence, CASE WHEN regexp_matches(q, '{pattern(r)}') THEN regexp_replace(q, '{pattern(r)}', '{between(r, chr(92))}', 'g') ELSE q END AS q,
   CASE WHEN regexp_matches(q, '{pattern(r)}') THEN list_append(l, '{r.licence}') ELSE l END AS l,
   CASE WHEN regexp_matches(q, '{pattern(r)}') THEN greatest(v, {("allow", "review", "block").index(r.verdict) + 1}) ELSE v END AS v FROM q{k})""" for k, r in enumerate(rules)]
     return f"""
 WITH known(id, s) AS (VALUES {known}),
-t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.;:!?]+[ \\t\\r\\n]+|\\n', chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS l FROM documents),
-s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM t),
-f AS (SELECT doc_id, count(*) AS n, ' ' || string_agg(id::VARCHAR, ' ' ORDER BY pos) || ' ' AS sequence FROM s JOIN known ON trim(s.s) = known.s GROUP BY doc_id),
-q0 AS (SELECT doc_id, n, sequence, sequence AS q, []::VARCHAR[] AS l, 0 AS v FROM f),{",".join(steps)}
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(array_to_string(list_sort(list_distinct(l)), ','), '') AS licences,
+d AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
+t AS (SELECT rid, string_split(regexp_replace(regexp_replace(regexp_replace(chr(10) || lower(coalesce(text, '')),
+        '\\n[^\\p{{L}}\\p{{N}}\\n]+', chr(10), 'g'), '[.;:!?]+[ \\t\\r\\n]+', chr(10) || chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS l FROM d),
+p AS (SELECT rid, trim(unnest(l)) AS x, unnest(range(len(l))) AS pos FROM t),
+b AS (SELECT *, count_if(x = '') OVER (PARTITION BY rid ORDER BY pos) AS sentence FROM p),
+w AS (SELECT rid, sentence, pos, x FROM b WHERE x <> ''),
+a AS MATERIALIZED (SELECT * FROM w WHERE EXISTS (SELECT 1 FROM known k WHERE starts_with(k.s || ' ', w.x || ' '))),
+r AS (SELECT a.rid, a.pos, list(w.x ORDER BY w.pos) AS x
+      FROM a JOIN w ON w.rid = a.rid AND w.sentence = a.sentence AND w.pos >= a.pos AND w.pos < a.pos + {most} GROUP BY a.rid, a.pos),
+c AS (SELECT rid, pos, pos + k AS until, array_to_string(x[1:k], ' ') AS s FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM r)),
+n AS (SELECT rid, pos, max(until) AS until, arg_max(id, until) AS id FROM c JOIN known USING (s) GROUP BY rid, pos),
+o AS (SELECT *, max(until) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM n),
+f AS (SELECT rid, count(*) AS n, ' ' || string_agg(id::VARCHAR, ' ' ORDER BY pos) || ' ' AS sequence FROM o WHERE covered IS NULL OR covered <= pos GROUP BY rid),
+q0 AS (SELECT rid, sequence, sequence AS q, []::VARCHAR[] AS l, 0 AS v FROM f),{",".join(steps)}
+SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_sentences, coalesce(f.sequence, '') AS sequence, coalesce(array_to_string(list_sort(list_distinct(l)), ','), '') AS licences,
        CASE v WHEN 3 THEN 'block' WHEN 2 THEN 'review' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict
-FROM documents d LEFT JOIN q{len(rules)} USING (doc_id)
+FROM d LEFT JOIN f USING (rid) LEFT JOIN q{len(rules)} USING (rid)
 """

@@ -4,7 +4,9 @@ import hashlib
 import json
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,11 +309,27 @@ def test_licences_wrapped(spark):
     add("a title\n# Released under the MIT License\nimport x\nAll rights\nreserved\nby us", (1, 22))
     add("Licensed under the Apache License, Version 2.0\n(the \"License\");\nAll rights reserved\nAll rights reserved", (7, 22, 22))
     add("x\n" * 20000 + "Licensed under\nCC BY 4.0", (15,))
-    got = {r.doc_id: r.sequence for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    overlap = {**licenses.SENTENCES, 60: "Licensed under CC BY 4.0 or MIT License", 61: "MIT License", 62: "Free", 63: "MIT License or"}
+    add("Licensed under CC BY 4.0 or\nMIT License\nMIT License\n", (60, 61))
+    add("Licensed under CC BY 4.0\nMIT License\nor\nFREE\nas in free. Free!", (15, 63, 62, 62))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), overlap).collect()
+    assert {r.doc_id: r.sequence for r in got} == {**want, len(rows) - 1: " 15 63 62 62 "}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows] + [None, 0], "text": [t for _, t in rows] + [None, ""]}))
+    of_sql = [r for r in con.execute(licenses.scan_sql(overlap)).fetchall() if r[1]]
+    assert sorted(of_sql) == sorted(tuple(r) for r in got if r.n_sentences)
     assert [r.sequence for r in licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).collect()] == [""]
 
 
+def test_licences_from_texts(spark):
+    long = "The Plain Licence\n\nYou may copy this. You may sell this;\nyou must keep\nthis notice."
+    short = "You may copy this. You may sell this."
+    sentences, rules = licenses.from_texts({"Short": (short, "review"), "Plain": (long, "allow")}, first_id=100)
+    assert [r.licence for r in rules] == ["Plain", "Short"] and len(sentences) == 4 and min(sentences) == 100
+    d = spark.createDataFrame([(1, "# The Plain\n# Licence\n#\n# You may copy this. You\n# may sell this; you must\n# keep this notice.\n"), (2, short), (3, long + "\n\n" + short), (4, "You may sell this")], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licenses.scan(d, sentences, rules).collect()} == {1: "Plain", 2: "Short", 3: "Plain,Short", 4: ""}
+
+
 # ---- 5
 
 

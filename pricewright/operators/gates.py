@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import staged
 
 KEY = ["brand", "product_name", "model_variant", "size", "fabric_tier", "price_eur"]
 
@@ -79,32 +80,73 @@ def checksum_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("md5").agg(F.count("*").alias("n"), F.min("file").alias("first")).where("n > 1")
 
 
+#: Letters of a name by which it meets texts; the rest is compared afterwards.
+MEET_BY = 16
+
+
+def held_names(texts: DataFrame) -> DataFrame:
+    """brand, product_name, other: the text of one product holds the other's name or, if ``texts`` has it, code (both in plain letters).
+
+    Every run of as many letters as the brand's names have (``MEET_BY`` at most) is a key of a text, so names meet
+    only texts that hold their beginning; ids alone move there, and texts join what is left to be compared. Empty names and codes are held by none.
+    """
+    plain = lambda c: F.regexp_replace(X.normalize(c), "[\u2010-\u2015-]", "-")
+    labels = [plain(c) for c in ("product_name", "code") if c in texts.columns]
+    n = texts.select("brand", F.col("product_name").alias("other"), F.explode(F.array_distinct(F.array(*labels))).alias("label")).where("label <> ''").distinct()
+    n = n.withColumn("key", F.left("label", F.lit(MEET_BY)))
+    lengths = n.groupBy("brand").agg(F.collect_set(F.length("key")).alias("lengths"))  # MEET_BY at most
+    t = texts.select("brand", "product_name", plain("text").alias("text"))
+    letters = t.join(lengths, "brand").withColumn("letters", F.split("text", ""))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("letters") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("letters", i, k), ""))
+    keys = letters.select("brand", "product_name", F.explode(F.array_distinct(F.flatten(F.transform("lengths", runs)))).alias("key"))
+    met = keys.join(n, ["brand", "key"]).select("brand", "product_name", "other", "label", (F.length("label") <= MEET_BY).alias("whole")).distinct()
+    longer = met.where("not whole").join(t, ["brand", "product_name"]).where(F.contains("text", F.col("label")))
+    return met.where("whole").select("brand", "product_name", "other").unionByName(longer.select("brand", "product_name", "other")).distinct()
+
+
 def image_conflicts(images: DataFrame, texts: DataFrame) -> DataFrame:
     """Products that share an image by checksum with others of their brand though the texts don't tell of each other.
 
-    brand, md5, product_name, n_conflicts, first (the least of the others in conflict). Every pair of a group is tried:
-    it is excused if both have the image on one page, or if each one's text holds the other's name or, where ``texts``
-    (brand, product_name, text) has a ``code``, its code, dashes and case apart. A group whose pages are all blank
-    (``images`` may have a ``page_text``) is no conflict. A group's pairs are as many as its square; images of one
-    brand are shared by a few products, and Spark splits larger groups, but nothing is left out.
+    brand, md5, product_name, n_conflicts, first (the least of the others in conflict). Others are excused if both
+    have the image on one page, or if each one's text holds the other's name or, where ``texts`` (brand, product_name,
+    text) has a ``code``, its code, dashes and case apart. A group whose pages are all blank (``images`` may have a
+    ``page_text``) is no conflict. Rows without brand, checksum or name take no part; of several texts of a product any may hold a name.
+
+    Pairs in conflict are never made: they are counted as the group without the excused. Products with the same pages
+    are a class, whose excused by page are listed once, not for each member; excuses by text are found by ``held_names``. The
+    least other is looked for among as many of the group's first names as are excused, and one more.
     """
     blank = F.trim("page_text") == "" if "page_text" in images.columns else F.lit(False)
-    i = images.select("brand", "product_name", "md5", "page", F.coalesce(blank, F.lit(False)).alias("blank")).distinct()
-    shared = i.groupBy("brand", "md5").agg(F.count_distinct("product_name").alias("c"), F.every("blank").alias("b")).where("c > 1 and not b")
-    i = i.join(shared.select("brand", "md5"), ["brand", "md5"], "left_semi").drop("blank")
-    other = lambda *more: i.select("brand", "md5", *more, F.col("product_name").alias("other")).distinct()
-    pairs = i.select("brand", "md5", "product_name").distinct().join(other(), ["brand", "md5"]).where("product_name <> other")
-    together = i.join(other("page"), ["brand", "md5", "page"]).select("brand", "md5", "product_name", "other").distinct()
-    pairs = pairs.join(together, ["brand", "md5", "product_name", "other"], "left_anti")
-    plain = lambda c: F.regexp_replace(X.normalize(c), "[\u2010-\u2015-]", "-")
-    code = plain("code") if "code" in texts.columns else F.lit(None).cast("string")
-    t = texts.select("brand", "product_name", plain("text").alias("text"), plain("product_name").alias("name"), F.nullif(code, F.lit("")).alias("code"))
-    mine = t.select("brand", "product_name", *(F.col(c).alias(f"my_{c}") for c in ("text", "name", "code")))
-    theirs = t.select("brand", F.col("product_name").alias("other"), *(F.col(c).alias(f"their_{c}") for c in ("text", "name", "code")))
-    d = pairs.join(mine, ["brand", "product_name"], "left").join(theirs, ["brand", "other"], "left")
-    holds = lambda text, x: F.coalesce(F.contains(F.col(f"{text}_text"), F.col(f"{x}_name")), F.lit(False)) | F.coalesce(F.contains(F.col(f"{text}_text"), F.col(f"{x}_code")), F.lit(False))
-    d = d.where(~(holds("my", "their") & holds("their", "my")))
-    return d.groupBy("brand", "md5", "product_name").agg(F.count("*").alias("n_conflicts"), F.min("other").alias("first"))
+    group = ["brand", "md5"]
+    i = images.where("brand is not null and md5 is not null and product_name is not null")
+    i = i.select(*group, "product_name", "page", F.coalesce(blank, F.lit(False)).alias("blank"))
+    m = i.groupBy(*group, "product_name").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.every("blank").alias("blank"))
+    shared = m.groupBy(*group).agg(F.count("*").alias("n"), F.every("blank").alias("b")).where("n > 1 and not b").select(*group, "n")
+    m = m.join(shared, group).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("product_name")))
+    kind = F.when(F.size("pages") > 0, F.to_json(F.struct("pages"))).otherwise(F.concat(F.lit("-"), "product_name"))
+    m = staged(m.withColumn("kind", kind).drop("blank"), "image-members")
+    kinds = m.groupBy(*group, "kind").agg(F.first("pages").alias("pages"))
+    at = kinds.select(*group, "kind", F.explode("pages").alias("page"))
+    met = at.join(at.withColumnRenamed("kind", "other_kind"), [*group, "page"]).select(*group, "kind", "other_kind")
+    met = staged(met.unionByName(kinds.select(*group, "kind", F.col("kind").alias("other_kind"))).distinct(), "image-pages")
+    known = texts.join(m.select("brand", "product_name").distinct(), ["brand", "product_name"], "left_semi")
+    holds = staged(held_names(known).where("product_name <> other"), "image-texts")
+    mutual = holds.join(holds.select("brand", F.col("other").alias("product_name"), F.col("product_name").alias("other")), ["brand", "product_name", "other"])
+    theirs = m.select(*group, F.col("product_name").alias("other"), F.col("kind").alias("other_kind"))
+    excused = mutual.join(m.select(*group, "product_name", "kind"), ["brand", "product_name"]).join(theirs, [*group, "other"])
+    excused = staged(excused.join(met, [*group, "kind", "other_kind"], "left_anti").select(*group, "product_name", "other"), "image-excused")
+    beside = staged(met.join(m.select(*group, F.col("kind").alias("other_kind"), "rank"), [*group, "other_kind"]).select(*group, "kind", "rank"), "image-beside")
+    own = m.join(excused.groupBy(*group, "product_name").agg(F.count("*").alias("told")), [*group, "product_name"], "left").na.fill(0, ["told"])
+    own = own.join(beside.groupBy(*group, "kind").agg(F.count("*").alias("beside")), [*group, "kind"])
+    own = own.withColumn("n_conflicts", F.col("n") - F.col("beside") - F.col("told")).where("n_conflicts > 0")
+    # of each class the first names that aren't excused by page, as many as a member may need
+    need = own.groupBy(*group, "kind").agg((F.max("told") + 1).alias("need"), F.first("n").alias("n"), F.first("beside").alias("beside"))
+    looked = need.select(*group, "kind", "need", F.explode(F.sequence(F.lit(1), F.least("n", F.col("need") + F.col("beside")).cast("int"))).alias("rank"))
+    others = looked.join(beside, [*group, "kind", "rank"], "left_anti").join(m.select(*group, "rank", F.col("product_name").alias("other")), [*group, "rank"])
+    others = others.withColumn("place", F.row_number().over(Window.partitionBy(*group, "kind").orderBy("rank"))).where("place <= need").select(*group, "kind", "place", "other")
+    tries = own.select(*group, "kind", "product_name", "n_conflicts", F.explode(F.sequence(F.lit(1), (F.col("told") + 1).cast("int"))).alias("place"))
+    tries = tries.join(others, [*group, "kind", "place"]).join(excused, [*group, "product_name", "other"], "left_anti")
+    return tries.groupBy(*group, "product_name").agg(F.first("n_conflicts").alias("n_conflicts"), F.min("other").alias("first"))
 
 
 def page_gaps(index: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:

@@ -193,6 +193,42 @@ def test_image_conflicts_by_pairs(spark):
     assert gates.image_conflicts(blank, texts).count() == 0
 
 
+def test_image_conflicts_by_brute_force(spark):
+    import random
+
+    from pricewright.operators import gates
+
+    random.seed(11)
+    names = [f"model {i} of the long family" if i % 2 else f"m{i}." for i in range(40)]
+    images = [("x", random.choice(names), random.choice("123"), random.choice([1, 2, 3, 4, 5, None])) for _ in range(160)] + [(None, "m1", "1", 1), ("x", None, "1", 1), ("x", "m0.", None, 2)]
+    texts = [("x", n, " ".join(random.sample(names, 25)) if i % 5 else None, f"c-{i};" if i % 3 else "") for i, n in enumerate(names)]
+    texts += [("x", "m0.", "see C‑1;", "c-0;"), ("y", "m2.", "m4.", None)]
+    i = spark.createDataFrame(images, "brand string, product_name string, md5 string, page int")
+    t = spark.createDataFrame(texts, "brand string, product_name string, text string, code string")
+    held = lambda p, o: any(a[2] and any(x and x in a[2].lower().replace("‑", "-") for b in texts if b[:2] == ("x", o) for x in (b[1], b[3])) for a in texts if a[:2] == ("x", p))
+    want = {}
+    rows = {r[1:] for r in images if None not in r[:3]}
+    for md5 in "123":
+        group = sorted({n for n, m, _ in rows if m == md5})
+        pages = {n: {p for a, m, p in rows if a == n and m == md5 and p} for n in group}
+        for a in group:
+            bad = [b for b in group if b != a and not pages[a] & pages[b] and not (held(a, b) and held(b, a))]
+            if bad:
+                want[md5, a] = (len(bad), min(bad))
+    got = {(r.md5, r.product_name): (r.n_conflicts, r["first"]) for r in gates.image_conflicts(i, t).collect()}
+    assert got == want and len(want) > 30
+    assert gates.image_conflicts(i.limit(0), t).count() == 0
+    assert {(r.md5, r.product_name) for r in gates.image_conflicts(i, t.limit(0)).collect()} >= set(want)
+
+
+def test_image_of_many_products(spark):
+    from pricewright.operators import gates
+
+    one = spark.range(10000).selectExpr("'x' AS brand", "concat('p', id) AS product_name", "'m' AS md5", "id % 5000 AS page")
+    got = gates.image_conflicts(one, one.selectExpr("brand", "product_name", "'nothing' AS text")).groupBy("n_conflicts").count().collect()
+    assert [tuple(r) for r in got] == [(9998, 10000)]
+
+
 def test_close_words_by_brute_force(spark):
     import itertools
     import random

@@ -36,6 +36,7 @@ def _list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+IN_WORDS = r"regexp_matches({0}, '(?i)(?:^|\W)\Q' || {1} || '\E(?:$|\W)')"
 TOKENS = r"list_filter(string_split_regex({0}, '[^a-z0-9]+'), lambda x: x <> '')"
 NORMAL = r"trim(strip_accents(lower(coalesce({0}, ''))))"
 
@@ -234,17 +235,30 @@ def family_prefix(spark, d):
     return resolve.families(adapter.catalog_index(spark, d))
 
 
-@query(f"""WITH {{model}}, n AS (SELECT brand, product_name, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM idx),
-p AS (SELECT brand, product_name, k AS shared, array_to_string(t[1:k], ' ') AS family FROM n, range(1, len(t) + 1) r(k)), c AS (SELECT brand, family FROM p GROUP BY ALL HAVING count(*) > 1),
-f AS (SELECT brand, product_name, max(shared) AS shared, max_by(family, shared) AS family FROM p JOIN c USING (brand, family) GROUP BY ALL),
-m AS (SELECT f.brand, family, product_name AS member, t AS mt FROM f JOIN n USING (brand, product_name)),
-q AS (SELECT qid, q.brand, family, shared, {TOKENS.format(NORMAL.format('message'))} AS t FROM questions q JOIN f ON f.brand = q.brand AND f.product_name = q.target WHERE {NORMAL.format('message')} <> {NORMAL.format('target')}),
-o AS (SELECT qid, member, mt FROM q JOIN m USING (brand, family) WHERE list_has_all(t, mt[shared + 1:])),
-x AS (SELECT qid, member FROM o WHERE NOT EXISTS (SELECT 1 FROM o w WHERE w.qid = o.qid AND len(w.mt) > len(o.mt) AND list_has_all(w.mt, o.mt)))
-SELECT qid, member AS product_name FROM x QUALIFY count(*) OVER (PARTITION BY qid) > 1""")
+def family_sql(chosen: str) -> str:
+    """Common tables of ambiguous families up to ``fam``: ``chosen`` gives qid and product_name; reads questions, idx and coded."""
+    return rf"""
+fn0 AS (SELECT brand, product_name, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM idx),
+fp AS (SELECT brand, product_name, k AS shared, array_to_string(t[1:k], ' ') AS family FROM fn0, range(1, len(t) + 1) r(k)),
+fc AS (SELECT brand, family FROM fp GROUP BY ALL HAVING count(*) > 1),
+ff AS (SELECT brand, product_name, max(shared) AS shared, max_by(family, shared) AS family FROM fp JOIN fc USING (brand, family) GROUP BY ALL),
+f1 AS ({chosen}),
+f2 AS (SELECT f1.qid, q.brand, f1.product_name AS chosen, family, shared, {NORMAL.format('message')} AS q,
+    list_filter({TOKENS.format(NORMAL.format('message'))}, lambda x: NOT list_contains({_list(X.FILLER)}, x)) AS heard
+  FROM f1 JOIN questions q USING (qid) JOIN ff ON ff.brand = q.brand AND ff.product_name = f1.product_name),
+f3 AS (SELECT f2.*, fn0.product_name AS member, list_distinct(fn0.t[f2.shared + 1:]) AS rest FROM f2 JOIN fp ON fp.brand = f2.brand AND fp.family = f2.family
+  JOIN fn0 ON fn0.brand = fp.brand AND fn0.product_name = fp.product_name JOIN ff own ON own.brand = fp.brand AND own.product_name = fp.product_name WHERE f2.shared > 1 OR own.shared = 1),
+f4 AS (SELECT *, list_has_all(heard, rest) OR EXISTS (SELECT 1 FROM coded WHERE coded.qid = f3.qid AND coded.product_name = member) AS ok, {IN_WORDS.format('q', NORMAL.format('member'))} AS exact FROM f3 QUALIFY count(*) OVER (PARTITION BY qid) > 1),
+f5 AS (SELECT * FROM f4 WINDOW w AS (PARTITION BY qid) QUALIFY NOT (count(*) FILTER (exact) OVER w = 1 AND bool_or(exact AND member = chosen) OVER w) AND (count(*) FILTER (ok) OVER w = 0 OR count(*) FILTER (ok) OVER w > 1 AND ok)),
+fam AS (SELECT qid, member AS product_name FROM f5 WHERE NOT EXISTS (SELECT 1 FROM f5 w WHERE w.qid = f5.qid AND w.ok AND len(w.rest) > len(f5.rest) AND list_has_all(w.rest, f5.rest)) QUALIFY count(*) OVER (PARTITION BY qid) > 1)"""
+
+
+@query("WITH {model}, " + CODES + ", " + family_sql("SELECT qid, target AS product_name FROM questions") + " SELECT qid, product_name FROM fam")
 def family_ambiguity(spark, d):
-    q = adapter.questions(spark, d)
-    return resolve.family_ambiguity(q, q.select("qid", F.col("target").alias("product_name")), adapter.catalog_index(spark, d))
+    """Each question's own product as the one chosen upstream, named in it or not: by code, by its first word alone, mistyped."""
+    q, names = adapter.questions(spark, d), adapter.catalog_index(spark, d)
+    coded = resolve.by_code(q, resolve.codes_of(names, adapter.prices(spark, d)))
+    return resolve.family_ambiguity(q, q.select("qid", F.col("target").alias("product_name")), names, coded)
 
 
 @query(f"""WITH {{model}}, p AS (SELECT brand, product_name, unnest([variant_context, model_variant]) AS phrase FROM prices)
@@ -290,7 +304,6 @@ placed AS (SELECT qid, claim, turn, product_name, coalesce(held[1], close[1], -1
 
 
 WEAK = _list(dict.fromkeys([*X.RISKY, *X.FILLER, *X.TIER_FILLER, *X.UNITS, "x"]))
-IN_WORDS = r"regexp_matches({0}, '(?i)(?:^|\W)\Q' || {1} || '\E(?:$|\W)')"
 #: From the clauses ``heard_clauses`` of a message and its product ``target``.
 RELATED = rf"""
 clause_words AS (SELECT * FROM (SELECT *, {TOKENS.format('clause')} AS words FROM heard_clauses) WHERE len(words) > 0),
@@ -441,14 +454,7 @@ DECISIONS = rf"""
 tp AS (SELECT * FROM (SELECT qid, product_name, score, max(score) OVER (PARTITION BY qid) AS best FROM matches) WHERE score >= best - 5),
 tt AS (SELECT qid, product_name, best, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM tp), tu AS (SELECT qid, list_distinct(flatten(list(t))) AS u FROM tt GROUP BY qid),
 mx AS (SELECT qid, product_name FROM tt JOIN tu USING (qid) WHERE list_has_all(t, u) AND best < 100 QUALIFY count(*) OVER (PARTITION BY qid) = 1),
-fn0 AS (SELECT brand, product_name, {TOKENS.format(NORMAL.format('product_name'))} AS t FROM idx),
-fp AS (SELECT brand, product_name, k AS shared, array_to_string(t[1:k], ' ') AS family FROM fn0, range(1, len(t) + 1) r(k)), fc AS (SELECT brand, family FROM fp GROUP BY ALL HAVING count(*) > 1),
-ff AS (SELECT brand, product_name, max(shared) AS shared, max_by(family, shared) AS family FROM fp JOIN fc USING (brand, family) GROUP BY ALL),
-fm AS (SELECT ff.brand, family, product_name AS member, t AS mt FROM ff JOIN fn0 USING (brand, product_name)),
-f1 AS (SELECT qid, product_name FROM mentions QUALIFY count(*) OVER (PARTITION BY qid) = 1),
-f2 AS (SELECT qid, q.brand, family, shared, {TOKENS.format(NORMAL.format('message'))} AS t FROM f1 JOIN questions q USING (qid) JOIN ff ON ff.brand = q.brand AND ff.product_name = f1.product_name WHERE {NORMAL.format('message')} <> {NORMAL.format('f1.product_name')}),
-f3 AS (SELECT qid, member, mt FROM f2 JOIN fm USING (brand, family) WHERE list_has_all(t, mt[shared + 1:])),
-fam AS (SELECT qid, member AS product_name FROM f3 WHERE NOT EXISTS (SELECT 1 FROM f3 w WHERE w.qid = f3.qid AND len(w.mt) > len(f3.mt) AND list_has_all(w.mt, f3.mt)) QUALIFY count(*) OVER (PARTITION BY qid) > 1),
+{family_sql("SELECT qid, product_name FROM mentions QUALIFY count(*) OVER (PARTITION BY qid) = 1")},
 cand AS (SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1 AS m, 3 AS one, 1 AS many, 'named' AS r1, 'named' AS r2, 'multi' AS o FROM mentions
   UNION ALL SELECT qid, product_name, true, 2, 2, 'family', 'family', 'clarify' FROM fam
   UNION ALL SELECT qid, product_name, count(*) OVER (PARTITION BY qid) > 1, 4, 5, 'code', 'code', 'clarify' FROM coded

@@ -164,29 +164,56 @@ def validated(guesses: DataFrame, names: DataFrame) -> DataFrame:
     return exact.unionByName(rest.join(near, ["brand", "k"]).select("qid", "product_name")).distinct()
 
 
+def prefixes(names: DataFrame) -> DataFrame:
+    """brand, product_name, shared, family: every run of leading tokens of a name, by their number."""
+    n = names.select("brand", "product_name", X.tokenize_loose("product_name").alias("t")).where(F.size("t") > 0)
+    runs = F.transform(F.sequence(F.lit(1), F.size("t")), lambda k: F.struct(k.alias("shared"), F.array_join(F.slice("t", F.lit(1), k), " ").alias("family")))
+    return n.select("brand", "product_name", F.explode(runs).alias("p")).select("brand", "product_name", "p.*")
+
+
 def families(names: DataFrame) -> DataFrame:
     """R7 (J13): brand, product_name, shared, family: the longest leading tokens that a name shares with another of its brand, by prefixes as keys."""
-    n = names.select("brand", "product_name", X.tokenize_loose("product_name").alias("t"))
-    p = n.select("brand", "product_name", F.explode(F.when(F.size("t") > 0, F.transform(F.sequence(F.lit(1), F.size("t")), lambda k: F.struct(k.alias("shared"), F.array_join(F.slice("t", F.lit(1), k), " ").alias("family"))))).alias("p")).select("brand", "product_name", "p.*")
+    p = prefixes(names)
     common = p.groupBy("brand", "family").agg(F.count("*").alias("c")).where("c > 1")
     return p.join(common, ["brand", "family"]).groupBy("brand", "product_name").agg(F.max("shared").alias("shared"), F.max_by("family", "shared").alias("family"))
 
 
-def family_ambiguity(questions: DataFrame, chosen: DataFrame, names: DataFrame) -> DataFrame:
-    """R7 (U4): qid, product_name: the members of a chosen name's family that a message satisfies, where it doesn't settle on one.
+def relatives(names: DataFrame) -> DataFrame:
+    """Brand, product_name, member, shared: the names of each name's family, itself included.
+
+    A family shares the longest leading tokens that the name shares with any other. One token alone is a family only of names
+    that share no more with any other name either (each other's best); names alone in their family have no row.
+    """
+    best = families(names)
+    own = best.select("brand", F.col("product_name").alias("member"), F.col("shared").alias("deepest"))
+    members = prefixes(names).select("brand", "family", F.col("product_name").alias("member")).join(own, ["brand", "member"])
+    r = best.join(members, ["brand", "family"]).where("shared > 1 or deepest = 1")
+    return r.withColumn("_n", F.count("*").over(Window.partitionBy("brand", "product_name"))).where("_n > 1").select("brand", "product_name", "member", "shared")
+
+
+def family_ambiguity(questions: DataFrame, chosen: DataFrame, names: DataFrame, coded: DataFrame | None = None) -> DataFrame:
+    """R7 (U4): qid, product_name: the members of a chosen name's family that a message may mean, where it doesn't settle on one.
 
-    A member is satisfied if the message has all its tokens beyond the family's; members whose tokens are a part of
-    another satisfied member's are dropped. One member left, or a message that is the chosen name, is no ambiguity.
+    A member is satisfied if the message names its code (``coded``: qid, product_name) or has, among words that aren't filler, all
+    its tokens beyond the family's. No member satisfied: all may be meant. Members whose tokens are a part of another
+    satisfied member's are dropped; one left is no ambiguity, and neither is a message that holds the chosen name, whole, and no other member's.
     """
-    f = families(names)
-    members = f.select("brand", "family", F.col("product_name").alias("member"), X.tokenize_loose("product_name").alias("mt"))
-    c = chosen.join(questions, "qid").join(f, ["brand", "product_name"]).where(X.normalize("message") != X.normalize("product_name"))
-    c = c.select("qid", "brand", "family", "shared", X.tokenize_loose("message").alias("t")).join(members, ["brand", "family"])
-    rest = F.slice("mt", F.col("shared") + 1, F.size("mt"))
-    ok = c.where(F.size(F.array_except(rest, "t")) == 0).select("qid", "member", "mt")
-    wider = ok.select("qid", F.col("mt").alias("w"))
-    top = ok.join(wider, (ok.qid == wider.qid) & (F.size(ok.mt) < F.size(wider.w)) & (F.size(F.array_except(ok.mt, wider.w)) == 0), "left_anti")
-    return top.withColumn("c", F.count("*").over(Window.partitionBy("qid"))).where("c > 1").select("qid", F.col("member").alias("product_name"))
+    words = F.array_except(X.tokenize_loose("message"), X.words_literal(X.FILLER))
+    q = chosen.select("qid", "product_name").distinct().join(questions, "qid").select("qid", "brand", "product_name", X.normalize("message").alias("q"), words.alias("t"))
+    c = q.join(relatives(names), ["brand", "product_name"]).withColumn("mt", X.tokenize_loose("member"))
+    c = c.withColumn("rest", F.array_distinct(F.slice("mt", F.col("shared") + 1, F.size("mt"))))
+    by_code = F.lit(False)
+    if coded is not None:
+        c = c.join(coded.select("qid", F.col("product_name").alias("member"), F.lit(True).alias("_code")).distinct(), ["qid", "member"], "left")
+        by_code = F.coalesce("_code", F.lit(False))
+    c = c.withColumn("ok", by_code | (F.size(F.array_except("rest", "t")) == 0)).withColumn("exact", X.contains_word("q", X.normalize("member")))
+    by = Window.partitionBy("qid", "product_name")
+    only = (F.count_if("exact").over(by) == 1) & F.max(F.col("exact") & (F.col("member") == F.col("product_name"))).over(by)
+    c = c.withColumn("_only", only).withColumn("_oks", F.count_if("ok").over(by)).where("not _only and (_oks = 0 or (_oks > 1 and ok))")
+    wider = c.where("ok").select("qid", "product_name", F.col("rest").alias("w"))
+    narrower = (F.size(c.rest) < F.size(wider.w)) & (F.size(F.array_except(c.rest, wider.w)) == 0)
+    top = c.join(wider, (c.qid == wider.qid) & (c.product_name == wider.product_name) & narrower, "left_anti")
+    return top.withColumn("_n", F.count("*").over(by)).where("_n > 1").select("qid", F.col("member").alias("product_name")).distinct()
 
 
 def maximal(found: DataFrame) -> DataFrame:

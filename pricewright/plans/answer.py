@@ -68,7 +68,7 @@ def decisions(questions: DataFrame, names: DataFrame, prices: DataFrame) -> Data
     weak = q.where(resolve.content_free("message") & F.col("last_product").isNotNull()).select("qid", F.col("last_product").alias("product_name"))
     sole = counted(named).where("_n = 1").select("qid", "product_name")
     intended = q.where("size(intent.product_names) > 0").select("qid")
-    family = staged(resolve.family_ambiguity(q, sole.join(guessed.where("trusted"), ["qid", "product_name"], "left_anti"), names), "family")
+    family = staged(resolve.family_ambiguity(q, sole.join(guessed.where("trusted"), ["qid", "product_name"], "left_anti"), names, coded), "family")
     stays = family.join(anchor, ["qid", "product_name"], "left_semi").select("qid", "product_name")
     offers = staged(offered(q, names), "offered")
     candidates = [

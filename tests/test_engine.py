@@ -261,3 +261,29 @@ def test_codes_of_the_index(spark):
     assert got == [(1, "Alpha"), (1, "Beta"), (2, "Beta"), (3, "Gamma"), (4, "Alpha"), (4, "Beta")]
     got = sorted((r.qid, r.product_name) for r in resolve.by_code(q, resolve.codes_of(names, prices.where("product_name = 'Alpha'"))).collect())
     assert got == [(1, "Alpha"), (3, "Gamma"), (4, "Alpha")] or got == [(1, "Alpha"), (2, "Alpha"), (3, "Gamma"), (4, "Alpha")]
+
+
+def test_families_of_one_token_are_each_others_best(spark):
+    from pricewright.operators import resolve
+
+    names = ["Puppet (Armchairs)", "Puppet (Night)", "Big In&Out", "Big Light 1", "Big Light 2", "Chloè luxury", "Chloe' Luxury", "Innesti table", "Innesti coffee table", "Magda", "Magda ML", "Magda ML couture", "Lone"]
+    n = spark.createDataFrame([("x", v) for v in names] + [("y", "Lone star")], "brand string, product_name string")
+    related = {}
+    for r in resolve.relatives(n).collect():
+        related.setdefault(r.product_name, set()).add(r.member)
+    assert related["Puppet (Night)"] == {"Puppet (Night)", "Puppet (Armchairs)"} and related["Innesti table"] == {"Innesti table", "Innesti coffee table"}
+    assert not {"Big In&Out", "Lone", "Lone star"} & set(related)  # Big Light has a deeper family of its own
+    assert related["Big Light 1"] == {"Big Light 1", "Big Light 2"} and related["Chloè luxury"] == {"Chloè luxury", "Chloe' Luxury"}
+    assert "Magda" not in related and related["Magda ML"] == {"Magda ML", "Magda ML couture"}
+    cases = [
+        ("give puppet all price", "Puppet (Night)", {"Puppet (Night)", "Puppet (Armchairs)"}), ("puppet night", "Puppet (Night)", set()), ("innesti coffee table", "Innesti table", set()),
+        ("price of big light", "Big Light 1", {"Big Light 1", "Big Light 2"}), ("price of c2", "Big Light 1", set()), ("c1 and c2", "Big Light 1", {"Big Light 1", "Big Light 2"}),
+        ("magda ml couture price", "Magda ML", set()), ("magda ml price", "Magda ML", set()), ("the big in&out", "Big In&Out", set()), ("lone", "Lone", set()), ("chloe luxury", "Chloè luxury", set()), ("luxury", "Chloè luxury", {"Chloè luxury", "Chloe' Luxury"}),
+    ]
+    q = spark.createDataFrame([(i, "x", c[0], c[1]) for i, c in enumerate(cases)], "qid long, brand string, message string, target string")
+    codes = spark.createDataFrame([("x", "Big Light 1", "c1", None), ("x", "Big Light 2", "c2", None)], "brand string, product_name string, code string, context string")
+    chosen = q.selectExpr("qid", "target AS product_name")
+    found = {}
+    for r in resolve.family_ambiguity(q, chosen, n, resolve.by_code(q, codes)).collect():
+        found.setdefault(r.qid, set()).add(r.product_name)
+    assert {i: found.get(i, set()) for i in range(len(cases))} == {i: c[2] for i, c in enumerate(cases)}

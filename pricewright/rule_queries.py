@@ -323,3 +323,38 @@ def session_turns(spark, d):
     second = first.select("qid", "brand", "session", F.lit(1).alias("turn"), F.lit("all prices").alias("message"))
     found = answer.decisions(sessions.asked_next(second, results, "session"), names, prices)
     return found.select("qid", "product_name", "rule", "outcome")
+
+
+# ---- gates over whole answers
+
+#: Expected status of a question by its kind (``qid`` % 8): everything of a product, two products; the others only have to name the product.
+EXPECTED = {0: "full_price_grid", 6: "multi_product"}
+
+
+@query(_STATUS[: _STATUS.rindex("SELECT qid, status")] + """,
+cases AS (SELECT qid, CASE qid % 8 WHEN 0 THEN 'full_price_grid' WHEN 6 THEN 'multi_product' END AS status, CASE WHEN qid % 8 <> 6 THEN target END AS product_name FROM questions)
+SELECT c.qid, c.status, c.product_name, t.status AS got_status, t.product_name AS got_product_name FROM cases c LEFT JOIN told t USING (qid)
+WHERE c.status IS NOT NULL AND c.status IS DISTINCT FROM t.status OR c.product_name IS NOT NULL AND c.product_name IS DISTINCT FROM t.product_name""")
+def answer_cases(spark, d):
+    """Every question as a case of the status and product that its kind asks for, run through ``answers``: the cases that fail, with what they got."""
+    q, kind = adapter.questions(spark, d), F.col("qid") % 8
+    got = answer.answers(q, adapter.catalog_index(spark, d), adapter.prices(spark, d)).groupBy("qid", "status", "product_name").agg(F.count("row_ord").alias("n_rows"))
+    status = F.when(kind == 0, EXPECTED[0]).when(kind == 6, EXPECTED[6])
+    cases = q.select("qid", status.alias("status"), F.when(kind != 6, F.col("target")).alias("product_name"), F.lit(None).cast("long").alias("n_rows"))
+    return gates.case_failures(cases, got).select("qid", "status", "product_name", "got_status", "got_product_name")
+
+
+@query(_STATUS[: _STATUS.index("told AS (")] + """ar AS (SELECT qid, product_name, fabric_tier, price_eur FROM v6 WHERE kept3 AND NOT (any_clean AND ambiguous)),
+fr AS (SELECT brand, product_name, arg_min({'t': fabric_tier, 'p': price_eur}, row_ord) AS f FROM prices WHERE NOT ambiguous GROUP BY ALL),
+req AS (SELECT q.qid, fr.product_name, f.t AS fabric_tier, f.p AS price_eur FROM questions q JOIN fr ON fr.brand = q.brand AND (fr.product_name = target OR qid % 8 = 6 AND message = lower(target) || ' and ' || lower(fr.product_name)))
+SELECT * FROM req WHERE NOT EXISTS (SELECT 1 FROM ar WHERE ar.qid = req.qid AND ar.product_name = req.product_name AND (req.fabric_tier IS NULL OR ar.fabric_tier = req.fabric_tier) AND ar.price_eur = req.price_eur)""")
+def answer_isolation(spark, d):
+    """Of each product that a question is about the tier and price of its first clean row, required in the answer: those that it lacks (other products' rows, clarified or narrowed away)."""
+    q, names, prices = adapter.questions(spark, d), adapter.catalog_index(spark, d), adapter.prices(spark, d)
+    first = prices.where("not ambiguous").groupBy("brand", "product_name").agg(F.min_by(F.struct("fabric_tier", "price_eur"), "row_ord").alias("f")).select("brand", "product_name", "f.*")
+    after = q.where("qid % 8 = 6").select("qid", "brand", F.expr("substring(message, length(target) + 6)").alias("n"))
+    after = after.join(names.select("brand", "product_name", F.lower("product_name").alias("n")), ["brand", "n"]).select("qid", "brand", "product_name")
+    about = q.select("qid", "brand", F.col("target").alias("product_name")).unionByName(after).distinct()
+    required = about.join(first, ["brand", "product_name"]).select("qid", "product_name", "fabric_tier", "price_eur")
+    got = answer.answers(q, names, prices).where("row_ord is not null")
+    return gates.isolation_failures(required, got)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ COARSE, FINE = 1024, 32
 TRIED = 1 << 22
 #: Queries of one list that meet a block of it at once.
 CHUNK = 2048
+#: Standard deviations of a coded distance within which a vector may still be nearer.
+SURE = 3
 
 
 def taking_part(vectors: DataFrame) -> DataFrame:
@@ -97,21 +100,26 @@ class IvfPq:
         parts, _, width = self.books.shape
         return np.pad(x, ((0, 0), (0, parts * width - x.shape[1]))).reshape(len(x), parts, width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, length of the residual, and the code of its direction: dense lists, of short residuals, are coded as finely as others."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, length of the residual, the code of its direction (dense lists, of short residuals, are coded as finely as others), and the code's distance from that direction."""
         lists = self.lists(x)
         lengths, rest = shapes(x - self.centre(lists))
         rest = self.parts(rest)
-        return lists, lengths, np.stack([nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
+        missed = sum(((rest[:, m] - self.books[m][codes[:, m]]) ** 2).sum(1) for m in range(len(self.books)))
+        return lists, lengths, codes, np.sqrt(missed).astype(np.float32)
 
-    def distances(self, q: np.ndarray, at: int, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric square distances of queries to the coded vectors of one list: tables hold the product of each part of a query's own residual with each code word."""
+    def distances(self, q: np.ndarray, at: int, lengths: np.ndarray, codes: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Asymmetric square distances of queries to the coded vectors of one list, and their standard deviations: tables hold the product of each part of a query's own residual with each code word."""
         rest = q - self.centre(at)
         tables = np.einsum("qmd,mcd->qmc", self.parts(rest), self.books)
         products = np.zeros((len(q), len(codes)), dtype=np.float32)
         for m in range(codes.shape[1]):
             products += tables[:, m, :][:, codes[:, m]]
-        return (rest * rest).sum(1)[:, None] - 2 * lengths * products + lengths * lengths
+        own = (rest * rest).sum(1)[:, None]
+        # what a code misses has any direction, so the part of it along the query's residual is one of as many as there are components; the rest is rounding
+        spread = 2 * np.sqrt(own) * (lengths * errors) / math.sqrt(q.shape[1]) + 1e-6 * (own + lengths * lengths)
+        return own - 2 * lengths * products + lengths * lengths, spread
 
 
 def shapes(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +127,9 @@ def shapes(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lengths, (rest / np.maximum(lengths, 1e-30)[:, None]).astype(np.float32)
 
 
-def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
-    """Fits the index on a sample of unit vectors. The probes are the fewest by which ``target`` of the sample's own five nearest neighbours lie in probed lists."""
+def fit(x: np.ndarray, asked: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
+    """Fits the index on a sample of unit vectors. The probes are the fewest by which ``target`` of the five nearest neighbours in the sample
+    lie in probed lists, those of the sample's own vectors and those of ``asked``, a sample of the queries, which may lie elsewhere."""
     random = np.random.default_rng(seed)
     wanted = max(1, round(math.sqrt(rows) / 2))
     coarse = kmeans(x, max(1, min(wanted, COARSE, len(x) // 8)), 8, random)
@@ -133,17 +142,25 @@ def fit(x: np.ndarray, rows: int, part: int, target: float, seed: int) -> IvfPq:
     books = [np.concatenate([b, np.repeat(b[:1], 256 - len(b), 0)]) for b in books]
     index.books = np.stack(books)
     x = np.unique(x, axis=0)  # copies of one vector, which are easy to find, don't count more than others
-    of, centres = index.lists(x), index.centres
-    tried = random.choice(len(x), min(max(32, TRIED // len(centres)), 1024, len(x)), replace=False)
-    near = x[tried] @ x.T
-    near[np.arange(len(tried)), tried] = -9
-    best = np.argpartition(-near, min(5, len(x) - 1), axis=1)[:, :5]
-    order = np.argsort(-(x[tried] @ centres.T - (centres * centres).sum(1) / 2), axis=1)
-    place = np.argsort(order, axis=1)
-    index.probes = int(np.sort(np.take_along_axis(place, of[best], 1).ravel())[min(best.size - 1, int(target * best.size))]) + 1
+    centres = index.centres
+    most = min(max(32, TRIED // len(centres)), 1024)
+    index.probes = max(probes(index, x, x[random.choice(len(x), min(most, len(x)), replace=False)], target), probes(index, x, np.unique(asked, axis=0)[:most], target))
     return index
 
 
+def probes(index: IvfPq, x: np.ndarray, tried: np.ndarray, target: float) -> int:
+    """The lists that ``tried`` vectors must probe to meet ``target`` of their five nearest others of ``x``."""
+    if not len(tried) or len(x) < 2:
+        return 1
+    x, at = np.unique(np.concatenate([tried, x]), axis=0, return_inverse=True)
+    own, centres = at.ravel()[: len(tried)], index.centres
+    near = tried @ x.T
+    near[np.arange(len(tried)), own] = -9
+    best = np.argpartition(-near, min(5, len(x) - 1), axis=1)[:, : min(5, len(x) - 1)]
+    place = np.argsort(np.argsort(-(tried @ centres.T - (centres * centres).sum(1) / 2), axis=1), axis=1)
+    return int(np.sort(np.take_along_axis(place, index.lists(x)[best], 1).ravel())[min(best.size - 1, int(target * best.size))]) + 1
+
+
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12, rerank: int = 64, part: int = 2, target: float = 0.99, seed: int = 11) -> DataFrame:
     """The ``k`` nearest vectors by cosine of each query (vec_id divisible by ``every``): query_id, rank, vec_id, score.
 
@@ -152,9 +169,11 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, kept: int = 12,
     chunk, and a code is copied only as often as its own list has chunks. Lists grow with the root of the number of
     vectors, so the work does with its power 1.5 at most. A query
     meets the blocks of the lists that it probes (as many as ``target`` asks for, more while these hold few
-    vectors), keeps ``kept`` of each block by asymmetric distance, ``rerank`` of all, and these get their exact
-    cosine in double precision from the original vectors. Ties go to smaller ids at every step. Of copies, which
-    have one code and so one distance, only the k + 1 of the smallest ids go on: no others can be among the nearest.
+    vectors), keeps ``kept`` of each block by asymmetric distance, ``rerank`` of all, and in both steps every other vector that could
+    be among the nearest: ``SURE`` standard deviations of its distance (of what its code misses) reach that of the last of the k + 1 nearest.
+    So codes that can't tell the vectors of a dense group apart lose none of them. These get their exact
+    cosine in double precision from the original vectors. Ties go to smaller ids at every step. Of copies
+    only the k + 1 of the smallest ids go on: no others can be among the nearest.
 
     Vectors are compared with those of their own length: the most frequent length and others of more than
     ``EXACT_ROWS`` vectors have an index each, the rest are searched exactly. Vectors that are null, zero or hold null or
@@ -213,15 +232,20 @@ def indexed(v: DataFrame, queries: DataFrame, n: int, k: int, kept: int, rerank:
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()
     x = np.concatenate([unit(rows_of(chunk)) for chunk in sample.column(0).chunks if len(chunk)])
     del sample
-    index = spark.sparkContext.broadcast(fit(x, n, part, target, seed))
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(1024).select("embedding").toArrow()
+    asked = np.concatenate([x[:0], *(unit(rows_of(chunk)) for chunk in some.column(0).chunks if len(chunk))])
+    index = spark.sparkContext.broadcast(fit(x, asked, n, part, target, seed))
 
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                lists, lengths, codes = index.value.encode(unit(rows_of(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists.astype(np.int32)), pa.array(lengths), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "length", "code"])
+                x = rows_of(batch.column(1))
+                lists, lengths, codes, errors = index.value.encode(unit(x))
+                same = np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in scaled(x)])
+                columns = [batch.column(0), pa.array(lists.astype(np.int32)), pa.array(lengths), pa.array(errors), pa.array(same), pa.array([c.tobytes() for c in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "list", "length", "error", "same", "code"])
 
-    codes = written(v.mapInArrow(encode, "vec_id long, list int, length float, code binary"), "codes")
+    codes = written(v.mapInArrow(encode, "vec_id long, list int, length float, error float, same long, code binary"), "codes")
     lists = len(index.value.coarse) * len(index.value.fine)
     sizes = np.zeros(lists, dtype=np.int64)
     for row in codes.groupBy("list").count().collect():  # a row for each centroid, 32,768 at most
@@ -260,28 +284,31 @@ def indexed(v: DataFrame, queries: DataFrame, n: int, k: int, kept: int, rerank:
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = index.value
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float32")})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("vec_id", "int64"), ("same", "int64"), ("far", "float32"), ("least", "float32"))})
         left = left.sort_values("vec_id")
-        left = left[left.groupby(["length", "code"], dropna=False).cumcount() <= k]  # of copies only those of the smallest ids can be found
-        ids = left["vec_id"].to_numpy()
+        left = left[left.groupby("same").cumcount() <= k]  # of copies only those of the smallest ids can be found
+        ids, same = left["vec_id"].to_numpy(), left["same"].to_numpy()
         code = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
         q = np.frombuffer(b"".join(right["q"]), dtype=np.float32).reshape(len(right), -1)
-        qs, vs, ns = [], [], []
+        out = []
         for at in range(0, len(q), 64):
-            near = -found.distances(q[at : at + 64], int(left["list"].iloc[0]), left["length"].to_numpy(), code)
-            best = np.argsort(-near, axis=1, kind="stable")[:, : kept + 1]
-            qs.append(np.repeat(right["query_id"].to_numpy()[at : at + 64], best.shape[1]))
-            vs.append(ids[best].ravel())
-            ns.append(np.take_along_axis(near, best, 1).ravel())
-        out = pd.DataFrame({"query_id": np.concatenate(qs), "vec_id": np.concatenate(vs), "near": np.concatenate(ns).astype("float32")})
+            far, spread = found.distances(q[at : at + 64], int(left["list"].iloc[0]), left["length"].to_numpy(), code, left["error"].to_numpy())
+            least = far - SURE * spread
+            order = np.argsort(far, axis=1, kind="stable")
+            keep = least <= np.take_along_axis(far, order[:, min(k, len(ids) - 1)][:, None], 1)
+            np.put_along_axis(keep, order[:, : kept + 1], True, 1)
+            i, j = np.nonzero(keep)
+            out.append(pd.DataFrame({"query_id": right["query_id"].to_numpy()[at + i], "vec_id": ids[j], "same": same[j], "far": far[i, j].astype("float32"), "least": least[i, j].astype("float32")}))
+        out = pd.concat(out)
         return out[out["query_id"] != out["vec_id"]]
 
     keys = ["list", "block", "chunk"]
-    met = cells.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, near float")
-    first = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    copies = Window.partitionBy("query_id", "near").orderBy("vec_id")
+    met = cells.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, same long, far float, least float")
+    first = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    copies = Window.partitionBy("query_id", "same").orderBy("vec_id")
     picked = met.distinct().withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1)
-    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "vec_id")
+    picked = picked.withColumn("r", F.row_number().over(first)).withColumn("bar", F.max(F.when(F.col("r") <= k + 1, F.col("far"))).over(Window.partitionBy("query_id")))
+    picked = picked.where((F.col("r") <= rerank) | (F.col("least") <= F.col("bar"))).select("query_id", "vec_id").distinct()
     picked = written(picked, "picked")
     pairs = picked.join(v, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 

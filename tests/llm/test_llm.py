@@ -731,3 +731,17 @@ def test_pipeline_edges(spark, tmp_path):
 
 def ngram_rows(spark, d):
     return ngram_join.without_similar(d).collect()
+
+
+def test_neighbours_in_dense_groups(spark):
+    """More groups of near vectors than lists, dense to different degrees, and queries that lie elsewhere than the other vectors: nearest ones are found where codes can't tell them apart."""
+    random = np.random.default_rng(8)
+    for spread, apart in ((0.1, 0.0), (0.001, 0.0), (0.01, 1.0)):
+        x = random.standard_normal((50, 32))[random.integers(0, 50, 4000)] + spread * random.standard_normal((4000, 32))
+        x[::50] += apart * random.standard_normal((80, 32))
+        got = ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u[::50] @ u.T
+        near[np.arange(80), np.arange(0, 4000, 50)] = -9
+        want = {(50 * i, int(j)) for i, row in enumerate(np.argsort(-near, axis=1)[:, :5]) for j in row}
+        assert len(got) == 400 and len(want & set(zip(got["query_id"], got["vec_id"]))) >= 0.9 * len(want)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -149,15 +149,31 @@ def image_conflicts(images: DataFrame, texts: DataFrame) -> DataFrame:
     return tries.groupBy(*group, "product_name").agg(F.first("n_conflicts").alias("n_conflicts"), F.min("other").alias("first"))
 
 
+def page_gap_ranges(index: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
+    """Keys, first, last: the runs of pages within a product's ranges (start, stop) that no row (keys, page) has.
+
+    Ranges and pages of a product stand in one order; a run lies between one place and the next, so work follows ranges and
+    rows, not the pages of a range. Ranges that overlap count once.
+    """
+    by = Window.partitionBy(*keys)
+    before = F.max("stop").over(by.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = index.select(*keys, "start", "stop").where("start <= stop").withColumn("at", F.greatest("start", before + 1)).where("at <= stop")
+    have = pages.select(*keys, F.col("page").alias("at")).dropna().distinct()
+    places = ranges.select(*keys, "at", "stop", F.lit(0).alias("page")).unionByName(have.withColumn("page", F.lit(1)), allowMissingColumns=True)
+    order = by.orderBy("at", "page")
+    until = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    places = places.withColumns({"first": F.col("at") + F.col("page"), "last": F.least(until, F.lead("at").over(order) - 1), "_until": until})
+    return places.where("_until is not null and first <= last").select(*keys, "first", "last")
+
+
 def page_gaps(index: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
     """Keys, page: pages within a product's range (start, stop) that no row (keys, page) has."""
-    want = index.select(*keys, F.explode(F.sequence("start", "stop")).alias("page")).distinct()
-    return want.join(pages.select(*keys, "page").distinct(), [*keys, "page"], "left_anti")
+    return page_gap_ranges(index, pages, *keys).select(*keys, F.explode(F.sequence("first", "last")).alias("page"))
 
 
-def worst(found: DataFrame, key: str, limit: int = 5) -> DataFrame:
-    """The keys with most rows."""
-    return found.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(limit)
+def worst(found: DataFrame, key: str, limit: int = 5, rows: Column | None = None) -> DataFrame:
+    """The keys with most rows; ``rows`` tells how many a row stands for."""
+    return found.groupBy(key).agg((F.count("*") if rows is None else F.sum(rows)).alias("n")).orderBy(F.desc("n"), key).limit(limit)
 
 
 def name_collisions(names: DataFrame) -> DataFrame:

@@ -306,15 +306,22 @@ def articles(lines: DataFrame, *keys: str, footer: str = "(?!)", code: str = ART
 
 
 def code_chunks(lines: DataFrame, code: str, *keys: str) -> DataFrame:
-    """(keys, line, at, code, name): chunks between two spaces or more that begin with a code, a euro sign standing within three lines; the name is the rest of the chunk and the chunks to the next code."""
+    """(keys, line, at, code, name): chunks between two spaces or more that begin with a code, a euro sign standing within three lines; the name is the rest of the chunk and the chunks to the next code.
+
+    A line is cut by itself; the window carries what was found there and whether it has the sign, no texts.
+    """
     by = Window.partitionBy(*keys).orderBy("line")
-    priced = F.contains(F.concat_ws(" ", "text", F.lead("text", 1).over(by), F.lead("text", 2).over(by)), F.lit("€"))
-    d = lines.withColumn("_p", priced).where("_p").select(*keys, "line", F.posexplode(X.not_empty(F.transform(F.split("text", r"\s{2,}"), lambda x: F.trim(x)))).alias("at", "chunk"))
-    d = d.withColumn("_c", F.nullif(F.regexp_extract("chunk", rf"^({code})(?:\s|$)", 1), F.lit("")))
-    d = d.withColumn("_i", F.count("_c").over(Window.partitionBy(*keys, "line").orderBy("at"))).where("_i > 0")
-    rest = F.when(F.col("_c").isNotNull(), F.trim(F.expr("substring(chunk, length(_c) + 1)"))).otherwise(F.col("chunk"))
-    d = d.withColumn("_r", rest).groupBy(*keys, "line", "_i").agg(F.min("at").alias("at"), F.max("_c").alias("code"), F.array_sort(F.collect_list(F.struct("at", "_r"))).alias("n"))
-    return d.select(*keys, "line", "at", "code", F.array_join(X.not_empty(F.transform("n", lambda x: x["_r"])), " ").alias("name"))
+    chunks = X.not_empty(F.transform(F.split("text", r"\s{2,}"), lambda x: F.trim(x)))
+    d = lines.select(*keys, "line", F.coalesce(F.contains("text", F.lit("€")), F.lit(False)).alias("_e"), chunks.alias("_t"))
+    d = d.withColumn("_c", F.transform("_t", lambda x: F.regexp_extract(x, rf"^({code})(?:\s|$)", 1)))
+    d = d.withColumn("_s", F.filter(F.transform("_c", lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull()))
+    rest = lambda i: F.trim(F.substr(F.get("_t", i), F.length(F.get("_c", i)) + 1))
+    more = lambda i, k: F.slice("_t", i + 2, F.coalesce(F.get("_s", k + 1), F.size("_t")) - i - 1)
+    name = lambda i, k: F.array_join(X.not_empty(F.concat(F.array(rest(i)), more(i, k))), " ")
+    found = F.transform("_s", lambda i, k: F.struct(i.alias("at"), F.get("_c", i).alias("code"), name(i, k).alias("name")))
+    d = d.select(*keys, "line", "_e", F.when(F.size("_s") > 0, found).alias("_f"))
+    near = F.col("_e") | F.coalesce(F.lead("_e", 1).over(by), F.lit(False)) | F.coalesce(F.lead("_e", 2).over(by), F.lit(False))
+    return d.withColumn("_p", near).where("_p").select(*keys, "line", F.inline("_f"))
 
 
 def section_fold(found: DataFrame, *keys: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from pricewright.operators import extract
+from pricewright.sources import adapter
 
 
 def planned(df) -> str:
@@ -29,3 +30,15 @@ def test_code_chunks_in_one_pass(spark):
     found = extract.code_chunks(spark.createDataFrame(rows, "page int, line int, text string"), r"[AB]\d+", "page")
     assert want and sorted(tuple(r) for r in found.select("page", "line", "at", "code", "name").collect()) == want
     assert planned(found).count("Exchange") == 1 and "Aggregate" not in planned(found)
+
+
+def test_prices_move_once(spark, tmp_path):
+    parts = [(1, "b", "oak table", "t", 5), (2, "b", "oak table", "t", 5), (3, "b", "elm", "t", 5)]
+    lines = [(1, 1, 1, 1, 2.0, 1234567.4, 0.1, "A"), (2, 1, 1, 1, 2.0, 900.0, 0.1, "A"), (3, 1, 1, 1, 2.0, 900.0, 0.0, "A"), (4, 1, 2, 1, 2.0, 900.0, 0.1, "A"), (5, 7, 3, 2, 2.0, 50.0, 0.1, "R"), (6, 1, 3, 2, 1.0, 50.0, 0.1, "R")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = adapter.prices(spark, str(tmp_path))
+    got = sorted((r.row_ord // 65536 // 8, r.price_eur, r.ambiguous) for r in found.collect())
+    assert got == [(1, "1.234.567", True), (2, "900", True), (3, "900", False), (4, "900", False), (5, "+50", True), (6, "Price upon request", True)]
+    of_lines = [x for x in planned(found).splitlines() if "Exchange hashpartitioning" in x and "l_partkey" in x]
+    assert len(of_lines) == 1 and "Exchange hashpartitioning(brand" not in planned(found)

@@ -12,23 +12,27 @@ GROUP = ["brand", "product_name", "variant_context", "model_variant"]
 
 def grouped(rows: DataFrame) -> DataFrame:
     """Adds group_label and column_key, column_label. A size under which a group has several codes gets a column for each code; a missing code is one of them."""
-    by = Window.partitionBy("brand", "product_name")
+    rows = rows.withColumn("_key", F.coalesce("size", F.lit("__flat__")))
+    rows = rows.withColumn("_cell", F.xxhash64("variant_context", "model_variant", "_key"))
+    # both windows read one order of a product's rows; hashes before names only make them cheap to sort
+    by = Window.partitionBy("brand", "product_name").orderBy("_cell", "variant_context", "model_variant", "_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     contexts = F.min(F.coalesce("variant_context", F.lit(""))).over(by) != F.max(F.coalesce("variant_context", F.lit(""))).over(by)
     variant = F.coalesce("model_variant", F.lit("Standard"))
     label = F.when(contexts & F.col("variant_context").isNotNull(), F.concat("variant_context", F.lit(" — "), variant)).otherwise(variant)
-    key, code = F.coalesce("size", F.lit("__flat__")), F.coalesce("code", F.lit(""))
-    cell = Window.partitionBy(*GROUP, key)
-    several = F.min(code).over(cell) != F.max(code).over(cell)
+    code = F.coalesce("code", F.lit(""))
+    cell = Window.partitionBy("brand", "product_name", "_cell", "variant_context", "model_variant", "_key")
+    rows = rows.withColumn("group_label", label).withColumn("_several", F.min(code).over(cell) != F.max(code).over(cell))
     shown = F.coalesce("size", F.lit("—"))
-    rows = rows.withColumn("group_label", label)
-    return rows.withColumn("column_key", F.when(several, F.concat(key, F.lit("::"), code)).otherwise(key)).withColumn("column_label", F.when(several, F.concat(shown, F.lit(" ("), code, F.lit(")"))).otherwise(shown))
+    rows = rows.withColumn("column_key", F.when(F.col("_several"), F.concat("_key", F.lit("::"), code)).otherwise(F.col("_key")))
+    return rows.withColumn("column_label", F.when(F.col("_several"), F.concat(shown, F.lit(" ("), code, F.lit(")"))).otherwise(shown)).drop("_key", "_cell", "_several")
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """The first row of each tier and column of a group: brand, product_name, variant_context, model_variant, fabric_tier, column_key, column_label, price_eur, code."""
-    first = F.min(F.struct("row_ord", "price_eur", "code"))
-    g = rows.groupBy(*GROUP, "group_label", "fabric_tier", "column_key", "column_label").agg(first.alias("f"))
-    return g.select(*GROUP, "group_label", "fabric_tier", "column_key", "column_label", "f.price_eur", "f.code")
+    """The first row of each tier and column of a group: brand, product_name, variant_context, model_variant, group_label, fabric_tier, column_key, column_label, price_eur, code."""
+    keys = [*GROUP, "group_label", "fabric_tier", "column_key", "column_label"]
+    order = Window.partitionBy("_hash", *keys).orderBy("row_ord", "price_eur", "code")
+    first = rows.withColumn("_hash", F.xxhash64(*keys)).withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return first.select(*keys, "price_eur", "code")
 
 
 def tier_rank(c) -> Column:

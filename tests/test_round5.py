@@ -1,6 +1,6 @@
 import random
 
-from pricewright.operators import extract
+from pricewright.operators import extract, grid
 from pricewright.sources import adapter
 
 
@@ -42,3 +42,17 @@ def test_prices_move_once(spark, tmp_path):
     assert got == [(1, "1.234.567", True), (2, "900", True), (3, "900", False), (4, "900", False), (5, "+50", True), (6, "Price upon request", True)]
     of_lines = [x for x in planned(found).splitlines() if "Exchange hashpartitioning" in x and "l_partkey" in x]
     assert len(of_lines) == 1 and "Exchange hashpartitioning(brand" not in planned(found)
+
+
+def grid_rows(spark):
+    random.seed(6)
+    pick = lambda *x: random.choice(x)
+    rows = [(pick("B", None), pick("p", "q"), pick(None, "v"), pick(None, "c"), pick(None, "10x20"), pick(None, "t"), pick(None, "X", "Y"), pick(None, "1", "2"), pick(True, False, False), i) for i in range(300)]
+    return rows, spark.createDataFrame(rows, "brand string, product_name string, model_variant string, variant_context string, size string, fabric_tier string, code string, price_eur string, ambiguous boolean, row_ord long")
+
+
+def test_grid_sorts_a_product_once(spark):
+    _, frame = grid_rows(spark)
+    found = grid.grouped(frame)
+    assert planned(found).count("Exchange") == 1 and planned(found).count("Sort [") == 1
+    assert "_hash" in planned(grid.cells(found)).split("Sort [")[1].split(",")[0]

@@ -57,11 +57,11 @@ def pivoted(rows: DataFrame, product: str, brand: str, columns: list[str]) -> Da
 
 
 def lost_rows(rows: DataFrame) -> DataFrame:
-    """Clean rows whose own cell doesn't give their price back."""
-    clean = grouped(rows.where(~F.col("ambiguous")))
-    c = cells(clean).select(*(F.col(x).alias(f"_{x}") for x in (*GROUP, "fabric_tier", "column_key")), F.col("price_eur").alias("shown"))
-    on = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in (*GROUP, "fabric_tier", "column_key")]
-    return clean.join(c, on).where("shown <> price_eur").select("brand", "product_name", "model_variant", "size", "fabric_tier", "code", "row_ord", "price_eur", "shown")
+    """Clean rows whose own cell doesn't give their price back. Cells are those of ``cells``, read off beside their rows; rows move once, by group, for codes and cells alike."""
+    keys = [*GROUP, "fabric_tier", "column_key", "column_label"]
+    own = Window.partitionBy("_hash", *keys)
+    clean = grouped(rows.where(~F.col("ambiguous")).repartition(*GROUP)).withColumn("_hash", F.xxhash64(*keys)).withColumn("shown", F.min(F.struct("row_ord", "price_eur", "code")).over(own)["price_eur"])
+    return clean.where("shown <> price_eur").select("brand", "product_name", "model_variant", "size", "fabric_tier", "code", "row_ord", "price_eur", "shown")
 
 
 def chips(rows: DataFrame) -> DataFrame:

@@ -51,6 +51,23 @@ def grid_rows(spark):
     return rows, spark.createDataFrame(rows, "brand string, product_name string, model_variant string, variant_context string, size string, fabric_tier string, code string, price_eur string, ambiguous boolean, row_ord long")
 
 
+def test_lost_rows_beside_their_cells(spark):
+    """Against brute force with nulls; each row's cell is read off where the row is: one exchange, no join."""
+    rows, frame = grid_rows(spark)
+    clean = [r for r in rows if not r[8]]
+    group = lambda r: (r[0], r[1], r[3], r[2], r[4])
+    codes, first = {}, {}
+    for r in clean:
+        codes.setdefault(group(r), set()).add(r[6] or "")
+    cell = lambda r: (*group(r), r[5], (r[6] or "") if len(codes[group(r)]) > 1 else None)
+    for r in clean:
+        first.setdefault(cell(r), r)
+    want = {(r[9], r[7], first[cell(r)][7]) for r in clean if r[7] is not None and first[cell(r)][7] not in (None, r[7])}
+    found = grid.lost_rows(frame)
+    assert want and {(r.row_ord, r.price_eur, r.shown) for r in found.collect()} == want
+    assert planned(found).count("Exchange") == 1 and "Join" not in planned(found)
+
+
 def test_grid_sorts_a_product_once(spark):
     _, frame = grid_rows(spark)
     found = grid.grouped(frame)

@@ -122,12 +122,8 @@ def codes_by_place(words: DataFrame, code: str, edge: float = 50.0, down: float
     return d.groupBy("code").agg(F.min("page").alias("page"))
 
 
-def rows_of_words(words: DataFrame, tolerance: float = 3.0, *keys: str) -> DataFrame:
-    """S6d: adds ``row`` to words (keys, top, left, text): a row begins where a word's top is more than ``tolerance`` from the top of the row's first word.
-
-    The fold runs inside a page's own list of words, so only a page (``keys``, the page alone if none are given) is gathered.
-    """
-    keys = keys or ("page",)
+def _row_lists(words: DataFrame, tolerance: float, keys: tuple[str, ...]) -> DataFrame:
+    """keys, w, r: the words of a page in order, and the row of each."""
     lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "left", "text"))).alias("w"))
     start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
 
@@ -136,10 +132,35 @@ def rows_of_words(words: DataFrame, tolerance: float = 3.0, *keys: str) -> DataF
         row = F.when(new, a["row"] + 1).otherwise(a["row"])
         return F.struct(F.when(new, w["top"]).otherwise(a["top"]).alias("top"), row.alias("row"), F.concat(a["rows"], F.array(row)).alias("rows"))
 
-    d = lists.select(*keys, "w", F.aggregate("w", start, step, lambda a: a["rows"]).alias("r"))
+    return lists.select(*keys, "w", F.aggregate("w", start, step, lambda a: a["rows"]).alias("r"))
+
+
+def rows_of_words(words: DataFrame, tolerance: float = 3.0, *keys: str) -> DataFrame:
+    """S6d: adds ``row`` to words (keys, top, left, text): a row begins where a word's top is more than ``tolerance`` from the top of the row's first word.
+
+    The fold runs inside a page's own list of words, so only a page (``keys``, the page alone if none are given) is gathered.
+    """
+    keys = keys or ("page",)
+    d = _row_lists(words, tolerance, keys)
     return d.select(*keys, F.explode(F.arrays_zip("w", "r")).alias("x")).select(*keys, "x.w.top", "x.w.left", "x.w.text", F.col("x.r").alias("row"))
 
 
+def columns_of_words(words: DataFrame, tolerance: float = 3.0, gap: float = 80.0, *keys: str) -> DataFrame:
+    """S6d: ``rows_of_words`` and ``split_at_gap`` in one: both folds run inside a page's list, so that no rows are sorted again to be split."""
+    keys = keys or ("page",)
+    d = _row_lists(words, tolerance, keys)
+    placed = F.array_sort(F.transform(F.arrays_zip("w", "r"), lambda x: F.struct(x["r"].alias("row"), x["w"]["left"].alias("left"), x["w"]["top"].alias("top"), x["w"]["text"].alias("text"))))
+    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("left"), F.lit(0).alias("column"), F.array().cast("array<int>").alias("columns"))
+
+    def step(a: Column, w: Column) -> Column:
+        same = a["row"] == w["row"]
+        column = F.when(same & ((a["column"] == 1) | F.coalesce(w["left"] - a["left"] > gap, F.lit(False))), 1).otherwise(0)
+        return F.struct(w["row"].alias("row"), w["left"].cast("double").alias("left"), column.alias("column"), F.concat(a["columns"], F.array(column)).alias("columns"))
+
+    d = d.select(*keys, placed.alias("w")).select(*keys, "w", F.aggregate("w", start, step, lambda a: a["columns"]).alias("c"))
+    return d.select(*keys, F.explode(F.arrays_zip("w", "c")).alias("x")).select(*keys, "x.w.top", "x.w.left", "x.w.text", "x.w.row", F.col("x.c").alias("column"))
+
+
 def split_at_gap(rows: DataFrame, gap: float = 80.0) -> DataFrame:
     """S6d: adds ``column``, 1 for the words of a row from its first gap over ``gap`` on."""
     by = Window.partitionBy("page", "row").orderBy("left")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from pricewright.operators import extract, grid
 from pricewright.sources import adapter
 
@@ -73,3 +75,14 @@ def test_grid_sorts_a_product_once(spark):
     found = grid.grouped(frame)
     assert planned(found).count("Exchange") == 1 and planned(found).count("Sort [") == 1
     assert "_hash" in planned(grid.cells(found)).split("Sort [")[1].split(",")[0]
+
+
+def test_columns_inside_pages(spark):
+    """As rows_of_words and split_at_gap, with ties and nulls, and without a window."""
+    random.seed(7)
+    words = [(p, random.choice([1.0, 2.0, 5.0, 9.0, 20.0]), random.choice([None, 0.0, 10.0, 85.0, 95.0, 200.0]), str(i)) for p in range(40) for i in range(random.randrange(12))]
+    w = spark.createDataFrame(words, "page long, top double, left double, text string")
+    of = lambda d: sorted((r.page, int(r.text), r.row, r.column) for r in d.collect())
+    found = extract.columns_of_words(w)
+    assert of(found) == of(extract.split_at_gap(extract.rows_of_words(w))) and found.where(F.col("column") == 1).count() > 0
+    assert "Window" not in planned(found)

@@ -82,23 +82,37 @@ def checksum_groups(files: DataFrame) -> DataFrame:
 
 #: Letters of a name by which it meets texts; the rest is compared afterwards.
 MEET_BY = 16
+#: First letters of a name by which places of a text are chosen before any key is made there.
+HEAD = 4
+#: Beginnings of names that are broadcast at most; beyond it the same join is a shuffled one.
+BROADCAST_HEADS = 50_000
+#: Letters of a text that are gone through at once.
+BLOCK = 256
 
 
 def held_names(texts: DataFrame) -> DataFrame:
     """brand, product_name, other: the text of one product holds the other's name or, if ``texts`` has it, code (both in plain letters).
 
-    Every run of as many letters as the brand's names have (``MEET_BY`` at most) is a key of a text, so names meet
-    only texts that hold their beginning; ids alone move there, and texts join what is left to be compared. Empty names and codes are held by none.
+    Names meet texts by as many letters as they have (``MEET_BY`` at most). A text makes such a key only where a name of its brand
+    begins like that place (``HEAD`` letters) and, at its length, ends with the letter found there, so few places move;
+    ids alone move there, and texts join what is left to be compared. Empty names and codes are held by none.
     """
     plain = lambda c: F.regexp_replace(X.normalize(c), "[\u2010-\u2015-]", "-")
     labels = [plain(c) for c in ("product_name", "code") if c in texts.columns]
     n = texts.select("brand", F.col("product_name").alias("other"), F.explode(F.array_distinct(F.array(*labels))).alias("label")).where("label <> ''").distinct()
     n = n.withColumn("key", F.left("label", F.lit(MEET_BY)))
-    lengths = n.groupBy("brand").agg(F.collect_set(F.length("key")).alias("lengths"))  # MEET_BY at most
-    t = texts.select("brand", "product_name", plain("text").alias("text"))
-    letters = t.join(lengths, "brand").withColumn("letters", F.split("text", ""))
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("letters") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("letters", i, k), ""))
-    keys = letters.select("brand", "product_name", F.explode(F.array_distinct(F.flatten(F.transform("lengths", runs)))).alias("key"))
+    end = F.struct(F.length("key").alias("length"), F.right("key", F.lit(1)).alias("last"))
+    heads = staged(n.groupBy("brand", F.left("key", F.lit(HEAD)).alias("head")).agg(F.collect_set(end).alias("ends")), "image-heads")
+    sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect())  # HEAD at most
+    few = heads.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS
+    t = texts.select("brand", "product_name", plain("text").alias("text")).where("text <> ''")
+    cut = F.transform(F.expr(f"sequence(0, (length(text) - 1) div {BLOCK})"), lambda b: F.substring("text", b.cast("int") * BLOCK + 1, F.lit(BLOCK + MEET_BY - 1)))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.length("block"), F.lit(BLOCK))), lambda i: F.substring("block", i, F.lit(MEET_BY)))
+    places = t.select("brand", "product_name", F.explode(cut).alias("block")).select("brand", "product_name", F.explode(F.array_distinct(runs)).alias("run"))
+    begun = F.array(*(F.left("run", F.lit(k)) for k in sizes)).cast("array<string>")
+    places = places.select("*", F.explode(F.array_distinct(begun)).alias("head")).join(F.broadcast(heads) if few else heads, ["brand", "head"])
+    fit = F.filter("ends", lambda e: F.substring("run", e["length"], F.lit(1)) == e["last"])
+    keys = places.select("brand", "product_name", F.explode(F.transform(fit, lambda e: F.left("run", e["length"]))).alias("key")).distinct()
     met = keys.join(n, ["brand", "key"]).select("brand", "product_name", "other", "label", (F.length("label") <= MEET_BY).alias("whole")).distinct()
     longer = met.where("not whole").join(t, ["brand", "product_name"]).where(F.contains("text", F.col("label")))
     return met.where("whole").select("brand", "product_name", "other").unionByName(longer.select("brand", "product_name", "other")).distinct()

@@ -86,3 +86,41 @@ def test_columns_inside_pages(spark):
     found = extract.columns_of_words(w)
     assert of(found) == of(extract.split_at_gap(extract.rows_of_words(w))) and found.where(F.col("column") == 1).count() > 0
     assert "Window" not in planned(found)
+
+
+def shuffled(spark) -> int:
+    """Rows that all stages so far wrote for others to read."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_names_in_long_texts_by_brute_force(spark):
+    """Names of one letter to 40 at any place of texts of several blocks; what moves follows the names found, not the letters of the texts."""
+    from pyspark import StorageLevel
+
+    from pricewright.operators import gates
+
+    random.seed(24)
+    letters = "abcd. \U0001f600"
+    names = ["a", "\U0001f600b", "xy", "abc"] + ["".join(random.choice("mnop ") for _ in range(k)).strip() + f"{k}." for k in range(1, 41)]
+    texts = []
+    for i, name in enumerate(names):
+        t = [random.choice(letters[1:] if i % 3 else letters) for _ in range(random.choice([0, 5, 255, 256, 257, 271, 272, 700]))]
+        for at in (0, 241, 250, 255, 256, 500, len(t)):
+            t.insert(min(at, len(t)), random.choice(names) if random.random() < 0.6 else "")
+        texts.append(("x" if i % 4 else "y", name, "".join(t) if i % 9 else None, f"K‐{i}" if i % 2 else None))
+    d = spark.createDataFrame(texts, "brand string, product_name string, text string, code string")
+    want = {(b, p, o) for b, p, t, _ in texts for c, o, _, code in texts if b == c and any(x in (t or "").strip() for x in (o, code and code.lower().replace("‐", "-")) if x)}
+    assert {tuple(r) for r in gates.held_names(d).collect()} == want and len(want) > 100
+
+    many = spark.range(400).selectExpr("'x' AS brand", "concat('part ', id, '.') AS product_name", "concat(repeat('words of no name ', 40), sha2(string(id), 512), ' part ', id + 1, '.') AS text").persist(StorageLevel.MEMORY_ONLY)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert gates.held_names(many).where("product_name <> other").count() == 399
+        assert shuffled(spark) - before < 12 * 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        many.unpersist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.staging import staged
+from .narrow import rows_in
 
 KEY = ["brand", "product_name", "model_variant", "size", "fabric_tier", "price_eur"]
 
@@ -43,10 +44,10 @@ def zero_row_products(index: DataFrame, prices: DataFrame, ledger: DataFrame | N
 
 
 def coverage(prices: DataFrame, results: DataFrame) -> DataFrame:
-    """Brand, product_name, expected, returned: clean rows (all, if none is clean) against the rows of an answer."""
-    clean = F.count_if(~F.col("ambiguous"))
-    want = prices.groupBy("brand", "product_name").agg(F.when(clean > 0, clean).otherwise(F.count("*")).alias("expected"))
-    got = results.groupBy("brand", "product_name").agg(F.count("*").alias("returned"))
+    """Brand, product_name, expected, returned: clean rows (all, if none is clean) against the rows of an answer; both may be kinds of rows (``narrow.kinds``)."""
+    clean = F.coalesce(F.sum(F.when(~F.col("ambiguous"), rows_in(prices))), F.lit(0))
+    want = prices.groupBy("brand", "product_name").agg(F.when(clean > 0, clean).otherwise(F.sum(rows_in(prices))).alias("expected"))
+    got = results.groupBy("brand", "product_name").agg(F.sum(rows_in(results)).alias("returned"))
     return want.join(got, ["brand", "product_name"], "left").na.fill(0, ["returned"])
 
 

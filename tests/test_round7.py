@@ -54,3 +54,16 @@ def test_codes_of_letters_and_signs(spark):
     codes = spark.createDataFrame([("B", str(i), c, None) for i, c in enumerate(("A1", "a-1", "Á1", "A1\n", "A11", None, ""))], "brand string, product_name string, code string, context string")
     q = spark.createDataFrame([(1, "B", "price of a1")], "qid long, brand string, message string")
     assert sorted(r.product_name for r in resolve.by_code(q, codes).collect()) == ["0", "1", "2", "3"]
+
+
+def test_lists_of_images_are_not_sorted(spark):
+    """Products are put in the join's order before their lists of images are made: nothing sorts or holds the lists of many."""
+    index = spark.range(50).select(F.lit("B").alias("brand"), F.col("id").cast("string").alias("product_name"), F.lit(1).alias("start"), (F.col("id") + 3).cast("int").alias("stop"))
+    rows = index.select("brand", "product_name", F.lit(2).alias("source_pdf_page"))
+    images = F.transform(F.sequence("start", "stop"), lambda p: F.concat(F.lit("page-"), p.cast("string")))
+    found = narrow.page_images(rows, index, images, F.lit(None).cast("string"))
+    assert {r.product_name: len(r.shown) for r in found.collect()} == {str(i): i + 3 for i in range(50)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    at = next(i for i, x in enumerate(plan) if "transform(sequence" in x)
+    above = [x for x in plan[:at] if "Sort [" in x and x.index("Sort") <= plan[at].index("Project")]
+    assert not [x for x in above if not x.lstrip().startswith(":")]
